@@ -104,7 +104,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     if block_tokens is None:
         block_tokens = int(min(BLOCK_TOKENS, max(1, targets[targets > 0].min(initial=np.inf) // 200))) if all_tokens else 1
     shard_tokens = max(SHARD_TOKENS, -(-all_tokens // MAX_SHARDS))
-    sources = sources.assign(source_no=np.arange(len(sizes)), shards=-(-sizes // shard_tokens).clip(min=1) if len(sizes) else [], target=targets)
+    sources = sources.assign(source_no=np.arange(len(sizes)), shards=np.maximum(1, -(-sizes // shard_tokens)), target=targets)
     by_source = spark.createDataFrame(
         [(None if pd.isna(r.source) else r.source, int(r.source_size), int(r.source_no), int(r.shards), float(r.target)) for r in sources.itertuples()],
         "source string, source_size long, source_no int, shards int, target double",
