@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import pickle
-import tempfile
-import uuid
-from typing import Any
-
-from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilespark.shared import received, send, settle, shared_dir  # noqa: F401
+
 #: Java regex of a word in the contracts that split on ASCII white space only.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
@@ -19,30 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which driver and executors share.
-
-    Only where the session names none (tests, a single machine) is a local folder
-    set, and it is kept in the session so that later calls use the same one.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='tilespark-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the lineage ends there.
-
-    Unlike a cached or locally checkpointed table, the files outlive the executors
-    that wrote them, and later reads take only the columns that they need.
-    """
-    path = f"{shared_dir(df.sparkSession)}/tilespark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     """Partitions of an explicit shuffle: what the session sets for all shuffles."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -51,12 +23,3 @@ def partitions(spark: SparkSession) -> int:
 def held_out(doc_id: Column) -> Column:
     """Whether a row is kept from training: crc32 of its id as text is a multiple of 5."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
-
-
-def send(spark: SparkSession, value: Any) -> Broadcast:
-    """Broadcast an object of this package to workers that may not have the package."""
-    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
-
-
-def received(sent: Broadcast) -> Any:
-    return pickle.loads(sent.value)
