@@ -15,12 +15,13 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which driver and executors share.
 
     Only where the session names none (tests, a single machine) is a local folder
-    set, and it is kept in the session so that later calls use the same one.
+    set, and the session keeps it, so that later calls use the same one.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='tilespark-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tilespark-')}")
+        found = context.getCheckpointDir()
     return found.rstrip("/")
 
 

@@ -194,7 +194,9 @@ class ArchiveReader(DataSourceReader):
             parts.append(replace(whole, entries=own, low=low, high=high))
         return parts
 
-    def read(self, part: Part) -> Iterator[pa.RecordBatch]:
+    def read(self, part: Part | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # there are no partitions
+            return
         source = open_ranges(part.archive)
         if part.version and source.version() != part.version:
             raise ChangedError(f"{part.archive} changed while it was read")

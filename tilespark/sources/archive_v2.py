@@ -63,7 +63,9 @@ class ReaderV2(DataSourceReader):
                 parts.append(Stretch(path, [], (offset, length)))
         return parts
 
-    def read(self, part: Stretch) -> Iterator[pa.RecordBatch]:
+    def read(self, part: Stretch | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # there are no partitions
+            return
         source = open_ranges(part.archive)
         entries = np.array(part.entries, np.int64).reshape(-1, 6)
         if part.leaf:

@@ -49,7 +49,9 @@ class DatabaseReader(DataSourceReader):
             low, high = db.execute("SELECT min(rowid), max(rowid) FROM tiles").fetchone()
         return [Rows(self.path, a, min(a + PART_ROWS, high + 1)) for a in range(low, high + 1, PART_ROWS)] if low is not None else []
 
-    def read(self, part: Rows) -> Iterator[pa.RecordBatch]:
+    def read(self, part: Rows | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # there are no partitions
+            return
         with sqlite3.connect(f"file:{part.path}?mode=ro", uri=True) as db:
             db.text_factory = lambda b: b.decode("utf-8", "replace")
             if self.table == "metadata":
