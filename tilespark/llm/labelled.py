@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tilespark.llm.common import held_out
 
 #: A classifier is fitted on at most so many labelled rows, those with the smallest hashed ids.
-TRAINING_ROWS = 12_000
+TRAINING_ROWS = 8_000
 #: Width of the hashed feature space.
 BITS = 20
 
@@ -22,6 +22,19 @@ def bucket(token: str) -> int:
     return zlib.crc32(token.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
 
 
+def by_hash(df: DataFrame, key: str, rows: int, of: int) -> DataFrame:
+    """A sample of at most ``rows`` rows, those with the smallest hashes of ``key``.
+
+    ``of`` is about how many rows there are. Hashes beyond three times the share wanted
+    are left out before the sort, so what meets in its last task does not grow with the
+    number of partitions.
+    """
+    h = F.xxhash64(key)
+    if of > 4 * rows:
+        df = df.where(h < int(-(1 << 63) + (1 << 64) * 3 * rows / of))
+    return df.withColumn("_hash", h).orderBy("_hash", key).limit(rows).drop("_hash")
+
+
 def training_texts(docs: DataFrame, labels: DataFrame, label: str, rows: int = TRAINING_ROWS) -> DataFrame:
     """(doc_id, label, text) of at most ``rows`` labelled documents that are not held out.
 
@@ -30,39 +43,37 @@ def training_texts(docs: DataFrame, labels: DataFrame, label: str, rows: int = T
     """
     known = labels.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col(label).isNotNull())
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    chosen = by_hash(known, "doc_id", rows, known.count())
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
 
 
-def gather(texts: DataFrame, featurise: Callable[[str], Iterable[tuple[np.ndarray, np.ndarray]]]) -> list[tuple[int, list[tuple[np.ndarray, np.ndarray]]]]:
-    """Labels and hashed features (indices, values) of the training rows, on the driver.
+def gather(texts: DataFrame, featurise: Callable[[str], list[np.ndarray]], kinds: list[str]) -> list[tuple[int, list[np.ndarray]]]:
+    """Labels and hashed features of the training rows, on the driver.
 
-    Executors hash the texts, so what is gathered is bounded by the rows and by the
-    width of the feature space. A row can give several variants of its features.
+    ``featurise`` gives one array for each of ``kinds`` (int or float). Executors hash
+    the texts, so what is gathered is bounded by the rows and by the width of the
+    feature space; it stays in 32-bit numbers.
     """
+    names = [f"part{i}" for i in range(len(kinds))]
+    arrow = [pa.int64(), pa.int32(), *(pa.list_(pa.int32() if k == "int" else pa.float32()) for k in kinds)]
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[] for _ in arrow]
             for doc_id, label, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "label", "text"))):
-                for variant, (at, value) in enumerate(featurise(text or "")):
-                    for column, x in zip(out, (doc_id, label, variant, at.astype(np.int32), value.astype(np.float32))):
-                        column.append(x)
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["doc_id", "label", "variant", "at", "value"])
+                for column, x in zip(out, (doc_id, label, *(v.astype(np.int32 if k == "int" else np.float32) for v, k in zip(featurise(text or ""), kinds)))):
+                    column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, arrow)], ["doc_id", "label", *names])
 
+    schema = "doc_id long, label int, " + ", ".join(f"{n} array<{k}>" for n, k in zip(names, kinds))
     found: list[tuple] = []
-    for batch in texts.mapInArrow(hashed, "doc_id long, label int, variant int, at array<int>, value array<float>").toArrow().to_batches():
-        heads = zip(*(batch.column(i).to_pylist() for i in range(3)))
-        cuts = [(c.flatten().to_numpy(zero_copy_only=False), c.offsets.to_numpy() - c.offsets[0].as_py()) for c in (batch.column(3), batch.column(4))]
-        for row, (doc_id, label, variant) in enumerate(heads):
-            at, value = (values[ends[row] : ends[row + 1]] for values, ends in cuts)
-            if not variant:
-                found.append((doc_id, label, []))
-            found[-1][2].append((at.astype(np.int64), value.astype(np.float64)))
+    for batch in texts.mapInArrow(hashed, schema).toArrow().to_batches():
+        cuts = [(c.flatten().to_numpy(zero_copy_only=False), c.offsets.to_numpy() - c.offsets[0].as_py()) for c in batch.columns[2:]]
+        for row, (doc_id, label) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            found.append((doc_id, label, [values[ends[row] : ends[row + 1]] for values, ends in cuts]))
     # the order of the rows must not depend on how they were dealt out
-    found.sort(key=lambda x: (zlib.crc32(str(x[0]).encode()), x[0], x[2][0][0].tobytes()))
-    return [(label, variants) for _, label, variants in found]
+    found.sort(key=lambda x: (zlib.crc32(str(x[0]).encode()), x[0], x[2][0].tobytes()))
+    return [(label, parts) for _, label, parts in found]
 
 
 class FollowTheLeader:
@@ -84,9 +95,10 @@ class FollowTheLeader:
         """Kept at the last index; like the rest, but not drawn to zero."""
         return float(-self.z[-1] / ((self.beta + np.sqrt(self.n[-1])) / self.alpha))
 
-    def update(self, at: np.ndarray, value: np.ndarray, slope: float) -> None:
+    def update(self, at: np.ndarray, value: np.ndarray, slope: float, bias: bool = True) -> None:
         """One step against the gradient ``slope * value``; ``at`` has no index twice."""
-        for where, g in ((at, slope * value), (np.array([self.z.size - 1]), np.array([slope]))):
+        steps = [(at, slope * value), (np.array([self.z.size - 1]), np.array([slope]))]
+        for where, g in steps[: 1 + bias]:
             w = self.weights(where) if where is at else np.array([self.bias])
             sigma = (np.sqrt(self.n[where] + g * g) - np.sqrt(self.n[where])) / self.alpha
             self.z[where] += g - sigma * w

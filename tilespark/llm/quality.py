@@ -63,19 +63,19 @@ def _ngrams(text: str, words: _Words) -> tuple[np.ndarray, np.ndarray]:
     return at, np.sqrt(counts / len(found))
 
 
-def _featuriser() -> Callable[[str], Iterable[tuple[np.ndarray, np.ndarray]]]:
+def _featuriser() -> Callable[[str], list[np.ndarray]]:
     words = _Words()
-    return lambda text: [_ngrams(text, words)]
+    return lambda text: list(_ngrams(text, words))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
     """Weights fitted to ``labels.quality`` on at most ``rows`` documents that are not held out."""
-    sample = gather(training_texts(docs, labels, "quality", rows), _featuriser())
+    sample = gather(training_texts(docs, labels, "quality", rows), _featuriser(), ["int", "float"])
     if (found := {label for label, _ in sample}) != {0, 1}:
         return np.zeros(0, np.int64), np.zeros(0), {0: -4.0, 1: 4.0}.get(*found) if found else 0.0
     model = FollowTheLeader(alpha=0.5, l1=0.3, l2=0.1)
     for _ in range(EPOCHS):
-        for label, [(at, value)] in sample:
+        for label, [at, value] in sample:
             model.update(at, value, sigmoid(model.margin(at, value)) - label)
     return model.sparse()
 

@@ -65,17 +65,15 @@ def _words(text: str) -> set[str]:
     return set(_LETTERS.findall(text.lower()))
 
 
-def _features(text: str, known: _Buckets) -> tuple[np.ndarray, np.ndarray]:
-    at = np.unique(np.fromiter((b for w in _words(text) for b in known[w]), np.int64))
-    return at, np.ones(len(at))
+def _features(text: str, known: _Buckets) -> np.ndarray:
+    return np.unique(np.fromiter((b for w in _words(text) for b in known[w]), np.int64))
 
 
-def _variants() -> Callable[[str], Iterable[tuple[np.ndarray, np.ndarray]]]:
-    """Gives the features of a text, then those of its counterfactual."""
+def _featuriser() -> Callable[[str], list[np.ndarray]]:
+    """Gives the features of a text, and those that only it or only its counterfactual has."""
     known = _Buckets()
 
-    def variants(text: str) -> Iterable[tuple[np.ndarray, np.ndarray]]:
-        yield _features(text, known)
+    def features(text: str) -> list[np.ndarray]:
         turn = zlib.crc32(text.encode("utf-8", "surrogatepass"))
 
         def other(found: re.Match) -> str:
@@ -86,26 +84,27 @@ def _variants() -> Callable[[str], Iterable[tuple[np.ndarray, np.ndarray]]]:
         if not count:
             group = IDENTITY_TERMS[turn % len(IDENTITY_TERMS)]
             swapped = f"{text} {group[turn // 7 % len(group)]}"
-        yield _features(swapped, known)
+        own, swap = _features(text, known), _features(swapped, known)
+        return [own, np.setdiff1d(own, swap, True), np.setdiff1d(swap, own, True)]
 
-    return variants
+    return features
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
     """Weights fitted to ``labels.toxic`` on at most ``rows`` documents that are not held out."""
-    sample = gather(training_texts(docs, labels, "toxic", rows), _variants())
+    sample = gather(training_texts(docs, labels, "toxic", rows), _featuriser(), ["int", "int", "int"])
     if (found := {label for label, _ in sample}) != {0, 1}:
         return np.zeros(0, np.int64), np.zeros(0), {0: -4.0, 1: 4.0}.get(*found) if found else 0.0
     model = FollowTheLeader(alpha=0.4, l1=5.0, l2=1.0)
-    rows_and_swaps = [(label, at, value, np.setdiff1d(at, swap, True), np.setdiff1d(swap, at, True)) for label, [(at, value), (swap, _)] in sample]
     for _ in range(EPOCHS):
-        for label, at, value, only, only_swap in rows_and_swaps:
-            slope = sigmoid(model.margin(at, value)) - label
-            model.update(at, value, slope * (POSITIVE if label else 1.0))
+        for label, [at, only, only_swap] in sample:
+            ones = np.ones(len(at))
+            slope = sigmoid(model.margin(at, ones)) - label
+            model.update(at, ones, slope * (POSITIVE if label else 1.0))
             gap = float(model.weights(only).sum() - model.weights(only_swap).sum())
             if gap:
                 for where, sign in ((only, 1.0), (only_swap, -1.0)):
-                    model.update(where, np.ones(len(where)), sign * 2 * COUNTERFACTUAL * gap)
+                    model.update(where, np.ones(len(where)), sign * 2 * COUNTERFACTUAL * gap, bias=False)
     return model.sparse()
 
 
