@@ -69,7 +69,7 @@ def sainte_lague(weights: np.ndarray, seats: int, caps: np.ndarray) -> np.ndarra
             low = middle
         else:
             high = middle
-    out = held(high)
+    out = held(high * (1 + 1e-9))  # so that no rounding parts quotients that are equal
     heap = [(-w / (2 * q + 1), i) for i, (w, q, c) in enumerate(zip(weights, out, caps)) if w > 0 and q < c]
     heapq.heapify(heap)
     for _ in range(seats - int(out.sum())):
