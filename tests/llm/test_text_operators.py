@@ -150,7 +150,7 @@ def test_license_scan(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
-SAMPLE = 'Ring +1 (017) 555-7713 or 555-123-4567, from 10.1.2.3 or 300.1.2.3, und.34@mail7.example.com and UND.34@MAIL7.EXAMPLE.COM, born 2020-02-29 or 29.2.2020, not 2021-13-40, card 4111 1111 1111 1111 and 9807915762804490, ssn 123-45-6789, TOKEN = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B", x12345678901234, pi 3.14159265.'
+SAMPLE = 'Ring +1 (017) 555-7713 or 555-123-4567, from 10.1.2.3 or 300.1.2.3, und.34@mail7.example.com and UND.34@MAIL7.EXAMPLE.COM, born 2020-02-29 or 29.2.2020, not 2021-13-40, card 4111 1111 1111 1111 and 9807915762804490, ssn 123-45-6789, TOKEN = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B", x12345678901234, pi 3.14159265, to DE89 3704 0044 0532 0130 00 or GB29NWBK60161331926819, not GB28NWBK60161331926819.'
 
 
 def test_pseudonyms(spark):
@@ -158,12 +158,15 @@ def test_pseudonyms(spark):
     out = pii.pseudonymise(table, b"key", counts=True).orderBy("doc_id").collect()
     text = out[0].text
     assert out[1].text is None and out[2].text == "" and out[3].text == "nothing here 12" and out[4].text == text + " again"
-    assert (out[0].n_date, out[0].n_card, out[0].n_phone, out[0].n_ssn, out[0].n_ip, out[0].n_email, out[0].n_secret) == (2, 2, 2, 1, 1, 2, 1)
-    for same in ("300.1.2.3", "2021-13-40", "x12345678901234", "3.14159265"):
+    assert (out[0].n_date, out[0].n_card, out[0].n_phone, out[0].n_ssn, out[0].n_ip, out[0].n_iban, out[0].n_email, out[0].n_secret) == (2, 2, 2, 1, 1, 2, 2, 1)
+    for same in ("300.1.2.3", "2021-13-40", "x12345678901234", "3.14159265", "GB28NWBK60161331926819"):
         assert same in text
-    for gone in ("555-7713", "10.1.2.3", "und.34", "2020-02-29", "4111 1111", "9807915762804490", "123-45-6789", "9233A8EC"):
+    for gone in ("555-7713", "10.1.2.3", "und.34", "2020-02-29", "4111 1111", "9807915762804490", "123-45-6789", "9233A8EC", "DE89 3704", "GB29"):
         assert gone not in text
     shape = lambda t: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub(r"\d", "9", t)))
+    for found in re.findall(r"to (DE[0-9 ]+\d) or (GB\d\d[A-Z]{4}\d{14})", text)[0]:
+        plain = found.replace(" ", "")
+        assert pii.iban_check(plain[:2], plain[4:]) == plain[2:4]
     free = re.compile(r"\d+(\.\d+){3}|[0-9A-F]{40}")  # addresses change in length, keys in which places are digits
     assert shape(free.sub("", text)) == shape(free.sub("", SAMPLE))
     card = re.search(r"card (\d{4} \d{4} \d{4} \d{4}) and (\d{16})", text)

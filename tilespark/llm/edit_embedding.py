@@ -27,6 +27,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 from collections.abc import Iterable, Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -107,6 +108,20 @@ def likeness(a: str, b: str) -> float:
     return max(0.0, (same - 1 / 16) * 16 / 15)
 
 
+def _bands(bands: int = 16, digits: int = 6, seed: int = SEED) -> list[list[int]]:
+    """Sampled slots of each band."""
+    rng = np.random.default_rng(seed + 3)
+    return [sorted(rng.choice(SLOTS, digits, replace=False).tolist()) for _ in range(bands)]
+
+
+_PICKS = [itemgetter(*band) for band in _bands()]
+
+
+def share_band(a: str, b: str) -> bool:
+    """Whether two fingerprints agree in all sampled digits of a band, and so are candidates."""
+    return any(pick(a) == pick(b) for pick in _PICKS)
+
+
 def _edited(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
     """Fingerprints of rows in order of (part, doc_id); a part ends with its successor's copy."""
     walker, out = Walker(), []
@@ -118,13 +133,13 @@ def _edited(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         edited = np.concatenate([points[: n - half], after[2][:half]])
         other = walker.fingerprint(edited, walker.walk(edited, arrived[: n - half + 1])) if half else print_
         text = edited.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "replace")
-        out.append((doc_id, n, hashlib.sha256(text).hexdigest(), print_, other, likeness(print_, other), likeness(print_, after[4])))
+        out.append((doc_id, n, hashlib.sha256(text).hexdigest(), print_, other, likeness(print_, other), likeness(print_, after[4]), share_band(print_, other), share_band(print_, after[4])))
 
     def flush() -> pa.RecordBatch:
-        columns = list(zip(*out)) or [[]] * 7
+        columns = list(zip(*out)) or [[]] * 9
         out.clear()
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.bool_(), pa.bool_()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edited_candidate", "next_candidate"])
 
     for batch in batches:
         for part, doc_id, trailer, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
@@ -152,6 +167,9 @@ def _part_of(doc_id: Column, starts: list[int]) -> Column:
 def edit_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of all texts, of their edited texts, and likeness to the next document.
 
+    ``edited_candidate`` and ``next_candidate`` say whether the two fingerprints share a
+    band of sampled digits; the likeness is what verifies a candidate.
+
     The rows are dealt into consecutive ranges of ``doc_id``. The row that begins a
     range is also sent, as a trailer, to the range before it (the first row of all to
     the last range), so the texts are shuffled once and each task has every successor
@@ -160,7 +178,8 @@ def edit_fingerprints(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     count = partitions(spark)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    seams = ids.repartitionByRange(count, "doc_id").groupBy(F.spark_partition_id().alias("p")).agg(F.min("doc_id").alias("start"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls")).collect()
+    # more ranges than tasks, so that tasks that get one more of them do little more
+    seams = ids.repartitionByRange(4 * count, "doc_id").groupBy(F.spark_partition_id().alias("p")).agg(F.min("doc_id").alias("start"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls")).collect()
     nulls = sum(r["nulls"] for r in seams)
     firsts = sorted({r["start"] for r in seams if r["start"] is not None})
     starts = firsts if nulls else firsts[1:]
@@ -172,7 +191,7 @@ def edit_fingerprints(docs: DataFrame) -> DataFrame:
     return (
         dealt.repartition(count, "part")
         .sortWithinPartitions("part", "trailer", "doc_id", "text")
-        .mapInArrow(_edited, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+        .mapInArrow(_edited, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_candidate boolean, next_candidate boolean")
     )
 
 
@@ -181,24 +200,17 @@ def candidate_pairs(prints: DataFrame, at_least: float = 0.8, bands: int = 16, d
 
     ``prints`` has doc_id and fingerprint. Returns (membership, pairs): membership has
     doc_id and class_id, the smallest doc_id of its fingerprint; pairs has one row for
-    two classes that share a band of sampled digits and are at least so alike. A band
-    key that many classes share is dealt by a hash of the class over several tasks on
-    one side of the join.
+    two classes that share a band of sampled digits and are at least so alike. Equal
+    fingerprints were made one class before, so a group of copies is one row of the
+    join, and a band key that many classes share is split by Spark's skewed join.
     """
-    rng = np.random.default_rng(seed + 3)
-    membership = settle(prints.select("doc_id", "fingerprint", F.min("doc_id").over(_by("fingerprint")).alias("class_id")))
-    classes = membership.groupBy("fingerprint").agg(F.min("class_id").alias("class_id"))
-    picks = [sorted(rng.choice(SLOTS, digits, replace=False) + 1) for _ in range(bands)]
-    keys = F.array(*[F.concat(F.lit(f"{b}:"), *[F.substring("fingerprint", int(i), 1) for i in pick]) for b, pick in enumerate(picks)])
+    prints = settle(prints.select("doc_id", "fingerprint"))
+    classes = settle(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id")))
+    membership = prints.join(classes, "fingerprint").select("doc_id", "class_id")
+    keys = F.array(*[F.concat(F.lit(f"{b}:"), *[F.substring("fingerprint", i + 1, 1) for i in pick]) for b, pick in enumerate(_bands(bands, digits, seed))])
     banded = settle(classes.select("class_id", "fingerprint", F.explode(keys).alias("band")))
     a, b = banded.alias("a"), banded.alias("b")
     same = F.aggregate(F.sequence(F.lit(1), F.lit(SLOTS)), F.lit(0), lambda n, i: n + (F.substr(F.col("a.fingerprint"), i, F.lit(1)) == F.substr(F.col("b.fingerprint"), i, F.lit(1))).cast("int"))
     alike = (same / SLOTS - 1 / 16) * 16 / 15
     pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.class_id") < F.col("b.class_id")) & (alike >= at_least)).select(F.col("a.class_id").alias("class_a"), F.col("b.class_id").alias("class_b"), alike.alias("likeness")).distinct()
-    return membership.select("doc_id", "class_id"), pairs
-
-
-def _by(column: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(column)
+    return membership, pairs
