@@ -262,6 +262,20 @@ def test_queries_against_sql(spark):
         assert sorted(map(str, (tuple(r[c] for c in columns) for r in ours.collect()))) == want
 
 
+def test_stages_on_odd_tables(spark):
+    """Nulls everywhere, blank and very long texts, repeated rows, extra columns with clashing names, no rows."""
+    rows = [(1, None, None, None, None), (None, "a b c", "en", "s", 5), (None, None, None, None, None), (2, "", "en", "s", 0), (3, "word and " * 40000, "en", None, 9), (4, "x y z", "en", "t", 5), (4, "x y z", "en", "t", 5)]
+    odd = spark.createDataFrame(rows, SCHEMA)
+    for c in ("score", "size", "fp", "component_id", "kept_id", "spans", "row", "taken", "target", "part"):
+        odd = odd.withColumn(c, F.lit("clash"))
+    for table in (odd, odd.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, table, SF)
+            assert out.count() <= len(rows)
+            if name != "source mix":
+                assert out.columns == table.columns and out.where("score <> 'clash' OR part <> 'clash'").isEmpty()
+
+
 def test_pipeline(spark):
     """Each stage on what the stage before it kept, against brute force where there is one."""
     rows = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}

@@ -210,10 +210,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     kept = settle(
         rows.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
         .groupBy(F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp").cast("string"))).alias("component"))
-        .agg(F.min("doc_id").alias("kept_id"), F.min("text_hash").alias("kept_hash"), F.count("*").alias("rows"))
+        .agg(F.min("doc_id").alias("kept doc_id"), F.min("text_hash").alias("kept text_hash"), F.count("*").alias("rows"))
     )
-    keep = (F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id"))) & (F.xxhash64("text") == F.col("kept_hash"))
-    found = docs.join(kept.select("kept_id", "kept_hash"), keep, "left_semi")
+    keep = docs["doc_id"].cast("long").eqNullSafe(kept["kept doc_id"]) & (F.xxhash64(docs["text"]) == kept["kept text_hash"])
+    found = docs.join(kept, keep, "left_semi")
     if kept.where("rows > 1").isEmpty():
         return found
     return found.dropDuplicates(["doc_id", "text"])
