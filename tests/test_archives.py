@@ -131,6 +131,19 @@ def test_decompressed(spark, tmp_path):
     assert bytes(read(spark, tmp_path / "a").first().data)[:2] == b"\x1f\x8b"
 
 
+def test_changed_archives_are_noticed(spark, tmp_path):
+    from tilespark.sources.archive import ArchiveReader
+
+    write_archives(tiles_of(spark, [(0, "a")]), str(tmp_path / "a"))
+    path = next((tmp_path / "a").iterdir())
+    reader = ArchiveReader({"path": str(path)}, "tiles")
+    (part,) = reader.partitions()
+    assert next(reader.read(part)).num_rows == 1
+    os.utime(path, (1, 1))
+    with pytest.raises(codec.ChangedError):
+        next(reader.read(part))
+
+
 def test_web_ranges(spark, tmp_path):
     write_archives(tiles_of(spark, [(i, f"tile {i}") for i in range(50)]), str(tmp_path / "a"))
     data = next((tmp_path / "a").iterdir()).read_bytes()

@@ -73,6 +73,23 @@ def test_find(spark, find, entries, asked, want):
     assert [r.offset for r in rows] == [want, want, None]
 
 
+def test_many_archives(spark):
+    rng = random.Random(7)
+    entries, held = [], {}
+    for archive in "abcde":
+        at = 0
+        while at < 300:
+            at += rng.randrange(1, 9)
+            run = rng.randrange(0, 5)
+            entries.append((archive, at, len(entries), 1, run))
+            held |= {(archive, i): len(entries) - 1 for i in range(at, at + run)}
+            at += run
+    asked = [(rng.choice("abcdef"), rng.randrange(320)) for _ in range(500)] + [("a", 3)] * 50 + [("c", (1 << 62) + 1), (None, 5)]
+    table = spark.createDataFrame(entries, "archive string, tile_id long, offset long, length long, run_length long")
+    found = lookup.lookup_archives(spark.createDataFrame(asked, "archive string, tile_id long"), table)
+    assert sorted(map(str, ((r.archive, r.tile_id, r.offset) for r in found.collect()))) == sorted(map(str, ((a, i, held.get((a, i))) for a, i in asked)))
+
+
 def test_large_entry_tables_are_merged(spark):
     entries = spark.range(50).select((F.col("id") * 3).alias("tile_id"), F.col("id").alias("offset"), F.lit(1).cast("long").alias("length"), F.lit(2).cast("long").alias("run_length"))
     asked = spark.range(160).select(F.col("id").alias("tile_id"))

@@ -1,7 +1,8 @@
 """Batch lookup: which entry holds each requested tile.
 
 The greatest entry at or below an id holds it if the id is inside the entry's run.
-``lookup`` merges sorted ids and entries (any size); ``lookup_small`` sends the entries
+``lookup`` merges sorted ids and entries (any size), ``lookup_archives`` those of many
+archives at once; ``lookup_small`` sends the entries
 to all tasks after counting them, and else does the same merge.
 """
 
@@ -9,11 +10,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilespark.operators.ordered import RANGE, into_ranges, last_known
-from tilespark.shared import received, send
+from tilespark.shared import received, send, settle
 
 #: Entries that may be sent to all tasks: 32 bytes each.
 BROADCAST_ENTRIES = 1 << 20
@@ -40,6 +41,24 @@ def lookup(requests: DataFrame, entries: DataFrame) -> DataFrame:
     return _answer(requests.join(found, requests["tile_id"] == found["asked"], "left"), requests)
 
 
+def lookup_archives(requests: DataFrame, entries: DataFrame) -> DataFrame:
+    """``lookup`` over many archives: both tables have archive and tile_id.
+
+    Archives are numbered, one row each, and number and id make one wide key that keeps
+    an archive's ids together, so all archives are merged at once.
+    """
+    names = entries.select("archive").distinct().select("archive", F.row_number().over(Window.orderBy("archive")).alias("number"))
+    key = (F.col("number").cast("decimal(38,0)") * F.lit(str(1 << 63)).cast("decimal(20,0)") + F.col("tile_id")).cast("decimal(38,0)").alias("key")
+    numbered = settle(names)
+    ids = requests.select("archive", "tile_id").distinct().join(numbered, "archive").select("archive", "tile_id", key, F.lit(1).alias("kind"), F.lit(None).cast(_HIT).alias("entry"))
+    known = entries.where("run_length > 0").join(numbered, "archive")
+    known = known.select("archive", "tile_id", key, F.lit(0).alias("kind"), F.struct("tile_id", "offset", "length", "run_length").alias("entry"))
+    merged = into_ranges(known.unionByName(ids), "key").withColumn("entry", F.when(F.col("entry").isNotNull(), F.struct("archive", "entry")))
+    found = last_known(merged, "entry", "found", "key", ("kind",)).where("kind = 1 AND found.archive = archive")
+    found = found.select(F.col("archive").alias("of"), F.col("tile_id").alias("asked"), F.col("found.entry.tile_id").alias("entry_id"), "found.entry.offset", "found.entry.length", "found.entry.run_length")
+    return _answer(requests.join(found, (requests["archive"] == found["of"]) & (requests["tile_id"] == found["asked"]), "left"), requests)
+
+
 def lookup_small(requests: DataFrame, entries: DataFrame, most: int = BROADCAST_ENTRIES) -> DataFrame:
     """The same answers, by binary search in broadcast entries if there are at most ``most`` of them."""
     own = entries.where("run_length > 0").select("tile_id", "offset", "length", "run_length")

@@ -1,6 +1,6 @@
 """Order-dependent columns over whole tables without a one-task window.
 
-Rows are dealt into consecutive ranges of an integer key. Windows run inside a range;
+Rows are dealt into consecutive ranges of a key. Windows run inside a range;
 what must cross a seam (the last row before it, the sums before it) is aggregated to one
 row a range, carried along those few rows, and joined back.
 """
@@ -15,8 +15,8 @@ from tilespark.shared import settle
 RANGE = "_range"
 
 
-def _starts(df: DataFrame, key: str, ranges: int) -> list[int]:
-    """The first key of each range but the first: as many numbers as there are ranges."""
+def _starts(df: DataFrame, key: str, ranges: int) -> list:
+    """The first key of each range but the first: as many values as there are ranges."""
     rows = df.select(key).repartitionByRange(ranges, key).groupBy(F.spark_partition_id().alias("p")).agg(F.min(key).alias("start")).collect()
     return sorted({r["start"] for r in rows if r["start"] is not None})[1:]
 
@@ -31,7 +31,7 @@ def into_ranges(df: DataFrame, key: str, ranges: int | None = None) -> DataFrame
     starts = _starts(df, key, ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if not starts:
         return df.withColumn(RANGE, F.lit(0))
-    bounds = F.array(*[F.lit(s).cast("long") for s in starts])
+    bounds = F.array(*[F.lit(s).cast(df.schema[key].dataType) for s in starts])
     halves = F.array(*[F.lit(1 << k) for k in reversed(range(len(starts).bit_length()))])
     find = F.aggregate(halves, F.lit(0), lambda at, step: F.when((at + step <= len(starts)) & (F.get(bounds, at + step - 1) <= F.col(key)), at + step).otherwise(at))
     return df.withColumn(RANGE, F.when(F.col(key).isNull(), F.lit(0)).otherwise(find))

@@ -219,6 +219,18 @@ def batch_lookup_asof(spark, d):
     return _plain(lookup.lookup(requests(spark, d), event_runs(spark, d)))
 
 
+@query(f"""WITH {DAY_TILES}, {DEDUPE}, {RUNS},
+entries AS (SELECT archive, r.* FROM runs r, (VALUES ('north'), ('south')) a(archive) WHERE archive = 'north' OR tile_id > 5000),
+asked AS (SELECT event_id AS request_id, CASE event_id % 3 WHEN 0 THEN 'north' WHEN 1 THEN 'south' ELSE 'west' END AS archive, (event_id * 31) % ((SELECT max(event_id) FROM events) * 2) AS tile_id FROM events)
+SELECT request_id, a.archive, a.tile_id, coalesce(e.tile_id, -1) AS entry_id, coalesce(e."offset", -1) AS "offset", coalesce(e.length, -1) AS length
+FROM asked a LEFT JOIN entries e ON a.archive = e.archive AND a.tile_id >= e.tile_id AND a.tile_id < e.tile_id + e.run_length""")
+def batch_lookup_archives(spark, d):
+    asked = requests(spark, d).withColumn("archive", F.expr("CASE request_id % 3 WHEN 0 THEN 'north' WHEN 1 THEN 'south' ELSE 'west' END"))
+    runs = event_runs(spark, d)
+    entries = runs.withColumn("archive", F.lit("north")).unionByName(runs.where("tile_id > 5000").withColumn("archive", F.lit("south")))
+    return _plain(lookup.lookup_archives(asked, entries))
+
+
 @query("SELECT DISTINCT (event_id * 31) % ((SELECT max(event_id) FROM events) * 2) AS tile_id FROM events WHERE (event_id * 31) % ((SELECT max(event_id) FROM events) * 2) NOT IN (SELECT event_id FROM events)")
 def missing_tiles(spark, d):
     return lookup.missing(requests(spark, d), event_runs(spark, d))
