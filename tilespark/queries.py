@@ -477,6 +477,109 @@ def cutline_cover(spark, d):
         json.dump({"type": "FeatureCollection", "features": features}, out)
     return navigate.cutline_cover(navigate.read_cutlines(spark, f"file://{path}/cutline.geojson"), 6, 6)
 
+@query("SELECT o_orderkey, (o_orderkey % 256) * 256 + o_custkey % 256 + (o_orderkey % 64) / 256.0::DOUBLE - 32768 AS metres FROM orders")
+def terrain_elevation(spark, d):
+    return _table(spark, d, "orders").select("o_orderkey", mercator.elevation(F.expr("o_orderkey % 256"), F.expr("o_custkey % 256"), F.expr("o_orderkey % 64")).alias("metres"))
+
+
+@query("""SELECT p_partkey, (SELECT max(f) FROM (VALUES (2), (4), (8), (16)) t(f) WHERE f <= power(2, 9 - p_size % 10) / 4) AS factor,
+  (SELECT max(i) FROM (VALUES (2, 0), (4, 1), (8, 2), (16, 3)) t(f, i) WHERE f <= power(2, 9 - p_size % 10) / 4) AS level FROM part WHERE p_size % 10 < 7""")
+def overview_choice(spark, d):
+    factors = F.array(*[F.lit(f) for f in (2, 4, 8, 16)])
+    rows = _table(spark, d, "part").where("p_size % 10 < 7")
+    return rows.select("p_partkey", mercator.best_overview(factors, F.expr("p_size % 10"), F.lit(9)).alias("level")).withColumn("factor", F.get(factors, "level")).select("p_partkey", "factor", "level")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE c_custkey % 5 END AS min_zoom, CASE WHEN c_custkey % 4 = 0 THEN 31 ELSE c_custkey % 5 + 7 END AS max_zoom FROM customer""")
+def zoom_ranges(spark, d):
+    text = F.expr("CASE WHEN c_custkey % 3 = 0 THEN '' ELSE cast(c_custkey % 5 AS string) END || '..' || CASE WHEN c_custkey % 4 = 0 THEN '' ELSE cast(c_custkey % 5 + 7 AS string) END")
+    return _table(spark, d, "customer").withColumn("z", paths.parse_zoom_range(text)).select("c_custkey", "z.min_zoom", "z.max_zoom")
+
+
+@query("SELECT c_custkey, 'set/' || c_mktsegment || '/' || c_mktsegment || '.tiles' AS path, CASE WHEN c_custkey % 2 = 0 THEN 'http://' || c_mktsegment ELSE '*' END AS origin FROM customer")
+def archive_names_and_origins(spark, d):
+    rows = _table(spark, d, "customer").withColumn("ask", F.concat(F.lit("http://"), "c_mktsegment"))
+    allowed = paths.allowed_origin(F.expr("CASE WHEN c_custkey % 2 = 0 THEN '*,http://x,' || ask ELSE ask || ',http://x,*' END"), "ask")
+    return rows.select("c_custkey", paths.archive_path("c_mktsegment", "set/{name}/{name}.tiles").alias("path"), allowed.alias("origin"))
+
+
+@query("SELECT c_custkey, 'map=' || (c_custkey % 20) || '&name=' || c_mktsegment AS hash, c_mktsegment AS name, 'https://t/' || (c_custkey % 20) || '/' || c_nationkey || '/1.png' AS url FROM customer")
+def hashes_and_templates(spark, d):
+    rows = _table(spark, d, "customer").withColumn("m", F.create_map(F.lit("map"), F.expr("cast(c_custkey % 20 AS string)"), F.lit("name"), F.col("c_mktsegment")))
+    hashed = paths.build_hash("m")
+    return rows.select("c_custkey", F.substr(hashed, F.lit(2)).alias("hash"), paths.parse_hash(hashed)["name"].alias("name"), paths.fill_template(F.lit("https://t/{z}/{x}/{y}.png"), F.expr("c_custkey % 20"), "c_nationkey", F.lit(1)).alias("url"))
+
+
+@query(f"""WITH {POINTS} SELECT event_id, round(radians(lon) * 40075016.68 / (2 * pi()), 3) AS x, round(ln(tan(pi() / 4 + radians(lat) / 2)) * 40075016.68 / (2 * pi()), 3) AS y, round(lon, 7) AS lon, round(lat, 7) AS lat FROM points""")
+def projected_metres(spark, d):
+    rows = event_points(spark, d).withColumn("m", mercator.to_metres("lon", "lat")).withColumn("b", mercator.to_degrees("m.x", "m.y"))
+    return rows.select("event_id", F.round("m.x", 3).alias("x"), F.round("m.y", 3).alias("y"), F.round("b.lon", 7).alias("lon"), F.round("b.lat", 7).alias("lat"))
+
+
+@query("""SELECT * FROM (VALUES ('pbf', 1, 2, '.mvt', 'mvt'), ('png', 2, 1, '.png', 'png'), ('jpg', 3, 1, '.jpg', 'jpeg'), ('webp', 4, 2, '.webp', 'webp'), ('avif', 5, 1, '.avif', 'avif'), ('mlt', 6, 1, '.mlt', 'mlt'), ('tiff', 0, 1, '', 'unknown')) t(format, tile_type, compression, extension, name)""")
+def format_names(spark, d):
+    rows = spark.createDataFrame([("pbf", None), ("png", None), ("jpg", None), ("webp", "gzip"), ("avif", None), ("mlt", None), ("tiff", None)], "format string, said string").withColumn("t", facts.tile_type_of_format("format"))
+    return rows.select("format", F.col("t").cast("int").alias("tile_type"), facts.compression_of_format("format", "said").cast("int").alias("compression"), facts.tile_extension("t").alias("extension"), facts.tile_type_name("t").alias("name"))
+
+
+@query("SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'type' WHEN 2 THEN 'version' ELSE 'vector_layers' END AS faults FROM nation")
+def metadata_validation(spark, d):
+    json_ = F.expr("""CASE n_nationkey % 4 WHEN 0 THEN '{"type":"overlay","version":"1.2.3","vector_layers":[]}' WHEN 1 THEN '{"type":"other","vector_layers":[]}'
+  WHEN 2 THEN '{"version":"one","vector_layers":[]}' ELSE '{"name":"x"}' END""")
+    return _table(spark, d, "nation").withColumn("tile_type", F.lit(1)).select("n_nationkey", F.array_join(facts.metadata_faults(json_), ",").alias("faults"))
+
+
+@query(f"""WITH {PATHS}, {KINDS}
+SELECT event_id, CASE WHEN event_id % 6 = 0 THEN 405 WHEN path = 'junk' OR archive IS NULL THEN 404 WHEN path LIKE '%.json' THEN 200 WHEN z > max_zoom THEN 404
+  WHEN tile_type <> 0 AND tile_type <> CASE ext WHEN 'mvt' THEN 1 WHEN 'png' THEN 2 WHEN 'jpg' THEN 3 ELSE 4 END THEN 400 ELSE 200 END AS status
+FROM (SELECT p.event_id, path, a.name AS archive, a.tile_type, a.max_zoom, try_cast(split_part(path, '/', 3) AS BIGINT) AS z, split_part(path, '.', 2) AS ext
+  FROM paths p LEFT JOIN archives a ON split_part(split_part(path, '/', 2), '.', 1) = a.name)""")
+def edge_status(spark, d):
+    asked = tile_paths(spark, d).withColumn("method", F.expr("CASE WHEN event_id % 6 = 0 THEN 'POST' ELSE 'GET' END"))
+    return serve.serve(asked, _archives(spark), "example.com", "edge").select("event_id", "status")
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS tile_id, n_name AS text, CASE WHEN n_regionkey = 0 AND n_nationkey = 0 THEN 404 WHEN n_regionkey = 0 THEN 204 ELSE 200 END AS status FROM nation")
+def served_tiles(spark, d):
+    """Requests for the first tiles of an archive from which one region's tiles, and with them zoom 0, were left out."""
+    out = scratch(spark)
+    nations = _table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("tile_id"), "n_name", "n_regionkey")
+    write_archives(nations.where("n_regionkey <> 0").select("tile_id", F.col("n_name").cast("binary").alias("data")), out)
+    read = register(spark).read.format("tile_archive").option("path", out)
+    archives = read.option("table", "header").load().withColumn("name", F.lit("n")).withColumn("json", F.lit("{}"))
+    t = hilbert.tile_id_to_zxy("tile_id")
+    asked = nations.withColumn("t", t).select(F.col("tile_id").alias("asked"), "n_name", F.format_string("/n/%d/%d/%d.png", "t.z", "t.x", "t.y").alias("path"))
+    answers = serve.with_tiles(serve.serve(asked, archives), read.option("table", "tiles").load())
+    return answers.select(F.col("asked").alias("tile_id"), F.coalesce(F.col("data").cast("string"), "n_name").alias("text"), "status")
+
+
+@query("SELECT z, CAST(power(4, z) AS BIGINT) - CASE WHEN z = 3 THEN 8 ELSE 0 END AS tiles FROM range(0, 4) t(z)")
+def pyramid_render(spark, d):
+    """A small world rendered by a function that finds one column of its deepest zoom empty."""
+    from tilespark.plans.pyramid import build_pyramid
+
+    out = scratch(spark)
+    build_pyramid(spark, lambda z, x, y: None if z == 3 and x == 5 else f"{z}/{x}/{y}".encode(), out, bounds=(-180.0, -85.0, 180.0, 85.0), max_zoom=3)
+    return convert.found_by_zoom(register(spark).read.format("tile_archive").option("path", out).load()).select(F.col("z").cast("long").alias("z"), "tiles")
+
+
+@query("SELECT r_name AS id, r_regionkey + 1 AS features FROM region WHERE r_regionkey % 2 = 0")
+def layer_visibility(spark, d):
+    regions = _table(spark, d, "region").orderBy("r_regionkey")
+    tile = _vector_tile({r["r_name"]: r["r_regionkey"] + 1 for r in regions.collect()})  # five rows of a fixed table
+    found = inspect.features(spark.createDataFrame([(0, tile)], "tile_id long, data binary"))
+    shown = inspect.visible(found, regions.select(F.col("r_name").alias("id"), (F.col("r_regionkey") % 2 == 0).alias("visible")))
+    return shown.groupBy(F.col("layer").alias("id")).agg(F.count("*").cast("int").alias("features"))
+
+
+@query("SELECT count(*) AS tiles, CAST(round(sum(west) , 3) AS DOUBLE) AS west FROM (SELECT event_id / 1.0 * 0 - 180 AS west FROM events WHERE event_id = 0)")
+def entry_outlines(spark, d):
+    """The outline of the entry that holds the whole world's tile."""
+    entries = spark.createDataFrame([(0, 1), (1, 4)], "tile_id long, run_length long")
+    lines = navigate.entry_lines(entries)
+    return lines.where("run_length = 1").agg(F.count("*").alias("tiles"), F.round(F.sum("box.west"), 3).alias("west"))
+
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
