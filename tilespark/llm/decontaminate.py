@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -128,18 +128,28 @@ def _joined(spans: np.ndarray) -> list[list[int]]:
     return out
 
 
-def _slices(benchmark: DataFrame, most: int) -> list[list[tuple[int | None, list[bytes]]]]:
-    """The items in slices of at most ``most`` words each; a longer item is a slice of its own."""
-    slices: list[list] = []
-    size = most
+def _slices(benchmark: DataFrame, most: int) -> Iterator[list[tuple[int | None, list[bytes]]]]:
+    """The items in slices of at most ``most`` words each; a longer item is a slice of its own.
+
+    The driver holds one slice at a time.
+    """
+    found: list[tuple[int | None, list[bytes]]] = []
+    size = 0
     for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").orderBy("item_id", "text").toLocalIterator():
         item = words(row["text"])
-        if size + len(item) > most or not slices:
-            slices.append([])
-            size = 0
-        slices[-1].append((row["item_id"], item))
+        if found and size + len(item) > most:
+            yield found
+            found, size = [], 0
+        found.append((row["item_id"], item))
         size += len(item)
-    return slices
+    yield found
+
+
+def _one_slice(slices: Iterator[list]) -> tuple[list, Iterator[list] | None]:
+    """The first slice, and all of them again if there are more."""
+    first = next(slices)
+    second = next(slices, None)
+    return first, None if second is None else chain([first, second], slices)
 
 
 def _prepared(texts: DataFrame, items: list[tuple[int | None, list[bytes]]]):
@@ -204,9 +214,9 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
 def contamination(docs: DataFrame, benchmark: DataFrame, slice_words: int = SLICE_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    slices = _slices(benchmark, slice_words) or [[]]
-    if len(slices) == 1:
-        rows = _found(texts, _prepared(texts, slices[0]), [texts.schema["doc_id"]])
+    first, slices = _one_slice(_slices(benchmark, slice_words))
+    if slices is None:
+        rows = _found(texts, _prepared(texts, first), [texts.schema["doc_id"]])
     else:
         # rows of equal id and text are told apart by their number, so that unions by row are exact
         texts = settle(texts.withColumn("row", F.monotonically_increasing_id()))
@@ -222,14 +232,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, slice_words: int = SLIC
 
 def clean(docs: DataFrame, benchmark: DataFrame, slice_words: int = SLICE_WORDS) -> DataFrame:
     """The documents that the rule does not call contaminated, with their columns as they were."""
-    slices = _slices(benchmark, slice_words)
-    if len(slices) > 1:
+    first, slices = _one_slice(_slices(benchmark, slice_words))
+    if slices is not None:
         rows = settle(docs.withColumn("row number", F.monotonically_increasing_id()))
         bad = contamination(rows.withColumn("doc_id", F.col("row number")), benchmark, slice_words).where("contaminated")
         return rows.join(bad.select(F.col("doc_id").alias("row number")), "row number", "left_anti").select(*docs.columns)
-    if not slices:
-        return docs
-    sent, names = _prepared(docs, slices[0]), docs.columns
+    sent, names = _prepared(docs, first), docs.columns
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         index = received(sent)
