@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilespark.shared import received, send, settle, shared_dir  # noqa: F401
+from tilespark.shared import discard, received, send, settle, shared_dir  # noqa: F401
 
 #: Java regex of a word in the contracts that split on ASCII white space only.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"

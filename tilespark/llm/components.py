@@ -4,7 +4,7 @@ Each round hooks every node to its smallest neighbour, follows the hooks one ste
 further and relabels the links by where they lead, so each component that is not yet
 one node at least halves. Minima are taken with partial aggregation before the
 shuffle and repeated links are merged, so a node with very many links costs no task
-more than its share; every round ends in tables in the shared folder.
+more than its share; every round ends in tables in the shared folder, and deletes those before it.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilespark.llm.common import settle
+from tilespark.llm.common import discard, settle
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,16 +25,18 @@ def components(links: DataFrame) -> DataFrame:
     labels = None
     while not links.isEmpty():
         both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionAll(links.select("b", "a"))
-        hooks = settle(both.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("hook")))
-        up = hooks.select(F.col("node").alias("hook"), F.col("hook").alias("up"))
-        hooks = settle(hooks.join(up, "hook").select("node", F.col("up").alias("hook")))
-        if labels is None:
-            labels = hooks.withColumnRenamed("hook", "root")
+        smallest = settle(both.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("hook")))
+        up = smallest.select(F.col("node").alias("hook"), F.col("hook").alias("up"))
+        hooks = settle(smallest.join(up, "hook").select("node", F.col("up").alias("hook")))
+        known = labels
+        if known is None:
+            labels = settle(hooks.withColumnRenamed("hook", "root"))
         else:
-            labels = labels.join(hooks.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("hook", "root").alias("root"))
-        labels = settle(labels)
+            labels = settle(known.join(hooks.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("hook", "root").alias("root")))
         of_a = hooks.select(F.col("node").alias("a"), F.col("hook").alias("new_a"))
         of_b = hooks.select(F.col("node").alias("b"), F.col("hook").alias("new_b"))
         moved = links.join(of_a, "a").join(of_b, "b").where("new_a <> new_b")
-        links = settle(moved.select(F.least("new_a", "new_b").alias("a"), F.greatest("new_a", "new_b").alias("b")).distinct())
+        left = settle(moved.select(F.least("new_a", "new_b").alias("a"), F.greatest("new_a", "new_b").alias("b")).distinct())
+        discard(smallest, hooks, known, links)
+        links = left
     return labels if labels is not None else links.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilespark.llm.common import partitions, settle
+from tilespark.llm.common import discard, partitions, settle
 from tilespark.llm.components import components
 
 SHINGLE = 3
@@ -185,18 +185,21 @@ def near_components(prints: DataFrame) -> DataFrame:
         .select("cell", (lower * F.lit(1 << 24) + upper).cast("long").alias("pair"), "fp", F.when(lower == upper, F.lit(-1)).otherwise(F.col("mine")).cast("long").alias("side"))
     )
     links = dealt.repartition(partitions(spark), "cell", "pair").sortWithinPartitions("cell", "pair").mapInArrow(_links, "a long, b long")
-    return components(links)
+    found = components(links)
+    discard(cells)
+    return found
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, fp and component_id (the smallest doc_id reachable) of every document."""
     rows = settle(fingerprints(docs))
     classes = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = settle(near_components(classes))
+    roots = near_components(classes)
     rooted = classes.join(roots, classes["fp"] == roots["node"]).select("fp", "root", "first_id")
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = roots.join(least, "root").select(F.col("node").alias("fp"), "component_id")
     known = settle(classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id")))
+    discard(classes, roots)
     return rows.join(known, "fp", "left").select("doc_id", "text_hash", "fp", "component_id")
 
 
