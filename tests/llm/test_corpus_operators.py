@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tilespark.llm import decontaminate, mixing, simhash, token_rollup
+from tilespark.llm import decontaminate, mixing, near_copies, simhash, token_rollup
 from tilespark.llm.components import components
 from tilespark.llm.queries import oracle_sql, queries
 
@@ -163,6 +163,40 @@ def test_simhash_of_odd_tables(spark):
     assert kept.columns == rows.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["4", "9", "None"]
 
 
+def five_words(text):
+    words = re.sub("[A-Z]", lambda m: m.group().lower(), text or "").split()
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+@pytest.mark.parametrize("stars", [2, 0])
+def test_near_dedup_stage_links_by_five_word_likeness(spark, monkeypatch, stars):
+    """Chains, sizes and likenesses around 0.8; the stage keeps one text of each brute-force group."""
+    monkeypatch.setattr(near_copies, "STARS", stars)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(500)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.choice([1, 4, 5, 64, 300]))) for _ in range(40)]
+    for t in texts[:]:
+        for _ in range(rng.choice([1, 5])):
+            own = t.split()
+            for _ in range(max(1, len(own) // 64)):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            t = " ".join(own)
+            texts += [t, t.upper()]
+    texts += [None, "", " \n"]
+    rng.shuffle(texts)
+    sets, label = [five_words(t) for t in texts], list(range(len(texts)))
+    linked = lambda a, b: a == b or (a & b and len(a & b) >= 0.8 * len(a | b))
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and linked(sets[i], sets[j]):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    table = docs(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    kept = corpus_pipeline.near_dedup(spark, table, None)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label))
+    assert near_copies.near_copies(docs(spark, [])).count() == 0
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(100)] + [(200, 200 + i) for i in range(1, 50)] + [(300, 300), (1, 0), (1, 0)]
     found = dict(components(spark.createDataFrame(links, "a long, b long")).collect())

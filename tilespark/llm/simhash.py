@@ -203,13 +203,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(known, "fp", "left").select("doc_id", "text_hash", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """The documents without near copies: of each component the row with its smallest id stays.
 
+    ``rows`` has the columns of ``near_duplicates``, which finds them if none are given.
     Of rows that share that id the one with the smallest text hash stays, and of
     wholly equal ones any; where all ids are null, one row of each fingerprint stays.
     """
-    rows = near_duplicates(docs)
+    rows = near_duplicates(docs) if rows is None else rows
     kept = settle(
         rows.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
         .groupBy(F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp").cast("string"))).alias("component"))
