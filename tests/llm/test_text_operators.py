@@ -150,6 +150,24 @@ def test_license_scan(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_license_in_long_lines(spark):
+    """Notices with words around them on one line, alone and two to a line; talk in a long line is no licence."""
+    rng = random.Random(4)
+    prose = lambda n: " ".join(rng.choice("the river runs by old stones and many people walk there each day in spring".split()) for _ in range(n))
+    notices = {
+        "mit": "Released under the MIT License.",
+        "apache": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
+        "gpl": "This work is licensed under the GNU General Public License, version 3.",
+        "lgpl": "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "cc-by-nc": "Licensed under CC BY-NC 4.0.",
+    }
+    cases = [(f"{prose(n)} {text} {prose(n)}", [family]) for n in (10, 40, 300) for family, text in notices.items()]
+    cases += [(f"{prose(200)} {notices['mit']} {prose(50)} {notices['gpl']} {prose(200)}", ["gpl", "mit"]), (f"{prose(300)} lost his license to drive after the copyright trial {prose(300)}", [])]
+    found = {r.doc_id: r for r in license_scan.license_scan(docs(spark, [t for t, _ in cases])).collect()}
+    assert [found[i].families for i in range(len(cases))] == [want for _, want in cases]
+    assert found[len(cases) - 1].n_unconfirmed == 1
+
+
 SAMPLE = 'Ring +1 (017) 555-7713 or 555-123-4567, from 10.1.2.3 or 300.1.2.3, und.34@mail7.example.com and UND.34@MAIL7.EXAMPLE.COM, born 2020-02-29 or 29.2.2020, not 2021-13-40, card 4111 1111 1111 1111 and 9807915762804490, ssn 123-45-6789, TOKEN = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B", x12345678901234, pi 3.14159265, to DE89 3704 0044 0532 0130 00 or GB29NWBK60161331926819, not GB28NWBK60161331926819.'
 
 
