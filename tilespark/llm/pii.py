@@ -1,23 +1,27 @@
 """Personal data: format-preserving pseudonyms by a keyed Feistel permutation.
 
 Numbers and dates are found by pattern, validated, and permuted within their format:
-a date becomes another date, a card number with a right check digit another one, an
-address of the internet another one. The permutation is a Feistel network over exactly
-the values of the format (values outside it are walked on), so equal values have equal
-pseudonyms in every document, different values different ones, and who holds the key
-can undo it. Written separators, letter case and grouping stay as they were.
+a date becomes another date, a card number another one of the same network with a right
+check digit, an address of the internet another one. Numbers are permuted by a Feistel
+network over exactly the values of the format (values outside it are walked on); names
+and keys, which may be of any length, by one over their symbols, whose round function is
+as wide as the half that it changes. So equal values have equal pseudonyms in every
+document, different values different ones, and who holds the key can undo it. Written
+separators, letter case and grouping stay as they were.
 
 Formats: dates from 1900 to 2099 (year, month, day or day, month, year); phone numbers
-(10 to 15 digits with a country code, brackets or dashes); payment card and account
-numbers (13 to 19 digits; those with a right check digit stay right, others stay
-wrong); international account numbers (check digits made anew); social security
-numbers; IPv4 addresses; e-mail addresses (local part and
-domain, letters to letters and digits to digits, so equal domains stay linked too); keys
-of 32 or more hexadecimal digits.
+(10 to 15 digits with a country code, which stays, brackets or dashes; not all equal);
+payment cards (a network's prefix and length, which stay, and a right check digit, made
+anew); international account numbers (check digits made anew); social security numbers
+(of areas, groups and serials that are given out); IPv4 addresses (not this host's own);
+e-mail addresses (local part and domain, letters to letters and digits to digits, so
+equal domains stay linked too); keys of 32 or more hexadecimal digits that follow a word
+such as token, key or password (a digest or hex dump without one stays).
 
 Defined cases: null text stays null; text without such values stays as it is; values
-that fail their validation stay; long texts are handled whole; all other columns are
-kept as they are.
+that fail their validation stay; long texts and long values are handled whole; an empty
+table stays empty; repeated rows are rewritten alike; all other columns are kept as they
+are, but for columns named as the counts are, in any case, which the counts replace.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ import struct
 from collections.abc import Callable, Iterable, Iterator
 from math import isqrt
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +47,15 @@ _FIRST, _DAYS = datetime.date(1900, 1, 1), 73049
 
 _EMAIL = re.compile(r"(?<![\w.%+-])([A-Za-z0-9._%+-]+)@((?:[A-Za-z0-9-]+\.)+)([A-Za-z]{2,})(?![\w-])")
 _HEX = re.compile(r"(?<![0-9A-Za-z_])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z_])")
-_IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])")
+#: What a key is written after: a word for secrets, the rest of a name, and an assignment.
+_NAMED = re.compile(r"(?:token|secret|passw(?:or)?d|passphrase|pwd|credentials?|auth|bearer|key)[\w-]{0,24}[\"'`)\]]{0,2}\s{0,4}(?::|=>?|:=|is)?\s{0,4}[\"'`]?$", re.I)
+_IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])")
+#: Prefixes of payment card networks, and their lengths.
+_NETWORK = re.compile(
+    r"(?P<visa>4)(?:\d{12}|\d{15}|\d{18})$|(?P<mc>5[1-5]|222[1-9]|22[3-9]\d|2[3-6]\d\d|27[01]\d|2720)(?<=\d\d)\d+$"
+    r"|(?P<amex>3[47])\d{13}$|(?P<disc>6011|64[4-9]|65)\d+$|(?P<diners>30[0-5]|3[689])\d{11,17}$|(?P<jcb>35)\d{14,17}$|(?P<union>62)\d{14,17}$"
+)
+_LENGTHS = {"mc": (16,), "disc": (16, 19)}
 #: Any run that could hold numbers; what they are is decided inside it.
 _RUN = re.compile(r"[+(0-9][0-9 ()./+-]{5,}[0-9]")
 _NUMBER = re.compile(
@@ -60,7 +73,7 @@ class Feistel:
 
     def __init__(self, key: bytes) -> None:
         self.key = hashlib.blake2b(key, digest_size=32).digest()
-        self.seen: dict[tuple[str, int, int], int] = {}
+        self.seen: dict[tuple, int | bytes] = {}
 
     def _mix(self, name: bytes, step: int, value: int) -> int:
         data = struct.pack("<B", step) + value.to_bytes((value.bit_length() + 7) // 8 or 1, "little")
@@ -92,6 +105,25 @@ class Feistel:
             self.seen[at] = out
         return self.seen[at]
 
+    def symbols(self, name: str, bases: bytes, values: bytes, back: bool = False) -> bytes:
+        """The image of a row of symbols, each below its base, of any length."""
+        at = (name, bases, values, back)
+        if len(values) > 1000 or at not in self.seen:
+            tag, base = hashlib.blake2b(name.encode() + b"\0" + bases, digest_size=32).digest(), np.frombuffer(bases, np.uint8).astype(np.int64)
+            half, row = len(values) // 2, np.frombuffer(values, np.uint8).astype(np.int64)
+            for step in reversed(range(ROUNDS)) if back else range(ROUNDS):
+                changed, other = (slice(half, None), slice(0, half)) if step % 2 else (slice(0, half), slice(half, None))
+                data = self.key + tag + struct.pack("<B", step) + row[other].astype(np.uint8).tobytes()
+                stream = np.frombuffer(hashlib.shake_256(data).digest(4 * len(row[changed])), "<u4").astype(np.int64)
+                row[changed] = (row[changed] + (-stream if back else stream)) % base[changed]
+            out = row.astype(np.uint8).tobytes()
+            if len(values) > 1000:
+                return out
+            if len(self.seen) > 200_000:
+                self.seen.clear()
+            self.seen[at] = out
+        return self.seen[at]
+
 
 def luhn(digits: str) -> bool:
     odd, even = digits[-1::-2], digits[-2::-2]
@@ -122,10 +154,30 @@ class Pseudonyms:
         n = len(digits)
         return f"{self._permute(name, 10**n, int(digits), lambda v: fits(f'{v:0{n}d}')):0{n}d}"
 
-    def card(self, found: str) -> str:
+    def card(self, found: str) -> str | None:
         digits = re.sub(r"\D", "", found)
-        right = luhn(digits)
-        return _refill(found, self.digits("card right" if right else "card wrong", digits, lambda d: luhn(d) == right))
+        network = _NETWORK.match(digits)
+        if network is None or not luhn(digits) or len(digits) not in _LENGTHS.get(network.lastgroup, (len(digits),)):
+            return None
+        prefix = network[network.lastgroup]
+        new = prefix + self.digits(f"card {prefix} {len(digits)}", digits[len(prefix) : -1])
+        return _refill(found, next(new + c for c in "0123456789" if luhn(new + c)))
+
+    def ssn(self, found: str) -> str | None:
+        def given(d: str) -> bool:
+            return d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000"
+
+        digits = found.replace("-", "")
+        return _refill(found, self.digits("ssn", digits, given)) if given(digits) else None
+
+    def phone(self, found: str) -> str | None:
+        code = re.match(r"\+\d{1,3}(?=\D)|\+1(?=\d{10}$)|\+", found)
+        rest = found[code.end() :] if code else found
+        digits = re.sub(r"\D", "", rest)
+        if found.startswith("+0") or not 7 <= len(digits) <= 15 or len(set(digits)) == 1:
+            return None
+        own = f"phone {code[0] if code else ''}"
+        return (code[0] if code else "") + _refill(rest, self.digits(own, digits, lambda d: len(set(d)) > 1 and (code is None or code[0] != "+" or d[0] != "0")))
 
     def date(self, found: str, year_first: bool) -> str | None:
         parts = re.split(r"[-/.]", found)
@@ -144,9 +196,9 @@ class Pseudonyms:
 
     def ip(self, found: str) -> str | None:
         parts = list(map(int, found.split(".")))
-        if max(parts) > 255:
+        if max(parts) > 255 or parts[0] in (0, 127):
             return None
-        value = self._permute("ip", 1 << 32, int.from_bytes(bytes(parts), "big"))
+        value = self._permute("ip", 1 << 32, int.from_bytes(bytes(parts), "big"), lambda v: v >> 24 not in (0, 127))
         return ".".join(map(str, value.to_bytes(4, "big")))
 
     def iban(self, found: str) -> str | None:
@@ -159,21 +211,17 @@ class Pseudonyms:
         return "".join(c if c == " " else next(rest) for c in found)
 
     def letters(self, name: str, found: str) -> str:
-        """Small letters to letters, digits to digits, all else as it is; capitals stay capitals."""
-        value, size = 0, 1
-        for c in found.lower():
-            if c.isalnum():
-                base = 10 if c.isdigit() else 26
-                value, size = value * base + (int(c) if base == 10 else ord(c) - 97), size * base
-        if size == 1:
-            return found
-        value, out = self._permute(f"{name} {re.sub('[a-z]', 'a', re.sub('[0-9]', '0', found.lower()))}"[:200], size, value), []
-        for c in reversed(found):
-            if c.isalnum():
-                value, digit = divmod(value, 10 if c.isdigit() else 26)
-                c = str(digit) if c.isdigit() else chr((65 if c.isupper() else 97) + digit)
-            out.append(c)
-        return "".join(reversed(out))
+        """Letters to letters, digits to digits, all else as it is; capitals stay capitals."""
+        shape = re.sub("[a-z]", "a", re.sub("[0-9]", "0", found.lower()))
+        own = [c for c in found.lower() if c.isalnum()]
+        bases, values = bytes(10 if c.isdigit() else 26 for c in own), bytes(int(c) if c.isdigit() else ord(c) - 97 for c in own)
+        new = iter(self.feistel.symbols(f"{name} {shape}", bases, values, self.back))
+        return "".join(c if not c.isalnum() else str(next(new)) if c.isdigit() else chr((65 if c.isupper() else 97) + next(new)) for c in found)
+
+    def hexadecimal(self, found: str) -> str:
+        values = bytes(int(c, 16) for c in found)
+        digits = "0123456789ABCDEF" if found.isupper() else "0123456789abcdef"
+        return "".join(map(digits.__getitem__, self.feistel.symbols("hex", bytes([16]) * len(values), values, self.back)))
 
     def rewrite(self, text: str, counts: dict[str, int]) -> str:
         def email(m: re.Match) -> str:
@@ -181,10 +229,11 @@ class Pseudonyms:
             return f"{self.letters('local', m[1])}@{self.letters('domain', m[2])}{m[3]}"
 
         def secret(m: re.Match) -> str:
+            # the case of a key without letters, and whether its digits differ, must outlast the permutation
+            if not _NAMED.search(m.string, max(0, m.start() - 80), m.start()):
+                return m[0]
             counts["secret"] += 1
-            n, upper = len(m[0]), m[0].isupper()
-            new = f"{self._permute('hex', 16**n, int(m[0], 16)):0{n}x}"
-            return new.upper() if upper else new
+            return self.hexadecimal(m[0])
 
         def number(m: re.Match) -> str:
             found = m[0]
@@ -194,9 +243,10 @@ class Pseudonyms:
                 kind, new = "ip", self.ip(found)
             elif m["card"]:
                 kind, new = "card", self.card(found)
+            elif m["ssn"]:
+                kind, new = "ssn", self.ssn(found)
             else:
-                kind = "ssn" if m["ssn"] else "phone"
-                new = _refill(found, self.digits(kind, re.sub(r"\D", "", found)))
+                kind, new = "phone", self.phone(found)
             if new is None:
                 return found
             counts[kind] += 1
@@ -236,8 +286,9 @@ class Pseudonyms:
 
 def pseudonymise(docs: DataFrame, key: bytes = DEFAULT_KEY, counts: bool = False) -> DataFrame:
     """``docs`` with rewritten texts; with ``counts``, also n_<kind> for every kind of value."""
-    names = docs.columns
     extra = [f"n_{k}" for k in KINDS] if counts else []
+    docs = docs.select(*[docs[f"`{c}`"] for c in docs.columns if c.lower() not in extra]) if counts else docs
+    names = docs.columns
 
     def rewritten(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         own = Pseudonyms(key)
