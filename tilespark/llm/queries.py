@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilespark.llm import chat, decontaminate, edit_embedding, license_scan, mixing, pii, quality, simhash, token_rollup, toxicity
-from tilespark.llm.common import settle, shared_dir, table
+from tilespark.llm.common import discard, settle, shared_dir, table
+
+#: Documents of fewer words go in the last batch of the rollup.
+SHORT = 20
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,9 +29,10 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents counted by two tokenizers; then one is revised to its next version.
+    """All documents counted by two tokenizers; then one is revised to its next version, and short documents go.
 
-    Every batch is committed twice; the second time must change nothing.
+    Every batch is committed twice; the second time must change nothing. The batches are
+    compacted before the deletes, which then come on top of the compacted totals.
     """
     docs = table(spark, sf_dir, "documents")
     versions = list(token_rollup.TOKENIZERS)
@@ -43,9 +47,14 @@ def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("revise").alias("op"), "source", "lang", F.lit("words@2").alias("tokenizer"), counts["words@2"].alias("tokens"),
         F.col("source").alias("old_source"), F.col("lang").alias("old_lang"), F.lit("words@1").alias("old_tokenizer"), counts["words@1"].alias("old_tokens"),
     )
-    for batch, changes in (("load words", inserts("words@1")), ("load pieces", inserts("pieces@1")), ("words to version 2", revisions)):
+    short = counted.where(counts["words@2"] < SHORT)
+    deletes = [short.select(F.lit("delete").alias("op"), "source", "lang", F.lit(v).alias("tokenizer"), counts[v].alias("tokens"), *_no_old()) for v in ("words@2", "pieces@1")]
+    for batch, changes in (("load words", inserts("words@1")), ("load pieces", inserts("pieces@1")), ("words to version 2", revisions), ("short documents", deletes[0].unionAll(deletes[1]))):
+        if batch == "short documents":
+            rollup.compact()
         rollup.commit(batch, changes)
         rollup.commit(batch, changes)
+    discard(counted)
     return rollup.totals()
 
 
@@ -107,9 +116,9 @@ WITH n AS (
   FROM documents)
 SELECT source, lang, 'words@1' AS tokenizer, CAST(0 AS BIGINT) AS docs, CAST(0 AS BIGINT) AS tokens FROM n GROUP BY source, lang
 UNION ALL
-SELECT source, lang, 'words@2', CAST(count(*) AS BIGINT), CAST(sum(words2) AS BIGINT) FROM n GROUP BY source, lang
+SELECT source, lang, 'words@2', CAST(count_if(words2 >= 20) AS BIGINT), CAST(sum(CASE WHEN words2 >= 20 THEN words2 ELSE 0 END) AS BIGINT) FROM n GROUP BY source, lang
 UNION ALL
-SELECT source, lang, 'pieces@1', CAST(count(*) AS BIGINT), CAST(sum(pieces1) AS BIGINT) FROM n GROUP BY source, lang
+SELECT source, lang, 'pieces@1', CAST(count_if(words2 >= 20) AS BIGINT), CAST(sum(CASE WHEN words2 >= 20 THEN pieces1 ELSE 0 END) AS BIGINT) FROM n GROUP BY source, lang
 """
 
 OP9_SQL = f"""

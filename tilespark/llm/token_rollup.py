@@ -6,14 +6,18 @@ sign +1 under the new key). A batch of changes is summed by key and becomes one
 of additive deltas, named by the batch. Totals are the sums over the folders whose
 batch has a commit mark. The mark is written last, in one step, and names the attempt
 whose rows count; a batch that has a mark is not applied again, and rows of an attempt
-that was lost on the way are never read.
+that was lost on the way are never read. Compaction replaces the folders of many batches by one
+of their totals, named in a numbered manifest that appears in one step as well.
 
 Tokenizers are SQL patterns that match a token, under a versioned name, so the counts
 are plain columns; ``bpe_counts`` counts with a public byte-pair vocabulary instead.
 
 Defined cases: null text counts as empty; null source or language is a key of its own;
 a null op, or one that is not insert, delete or revise, fails the batch; keys whose
-totals are zero stay listed; repeated rows in one batch count as often as they occur.
+totals are zero stay listed; repeated rows in one batch count as often as they occur; very
+long texts are counted whole; an empty batch is committed and changes nothing; a rollup
+without batches has no totals and can be compacted; columns of changes that are not named
+below are ignored.
 """
 
 from __future__ import annotations
@@ -45,8 +49,10 @@ def token_count(text: Column, version: str) -> Column:
 def bpe_counts(texts: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """``texts`` with a column tokens, by a byte-pair vocabulary file (base64 token and rank a line).
 
-    Spark reads the file, whose size bounds what is broadcast; a null text has no tokens.
+    Spark reads the file, whose size bounds what is broadcast; a null text has no tokens; a
+    column of that name, in any case, is replaced.
     """
+    texts = texts.select(*[texts[f"`{c}`"] for c in texts.columns if c.lower() != "tokens"])
     spark = texts.sparkSession
     ranks = {base64.b64decode(a): int(b) for a, b in (r["value"].split() for r in spark.read.text(vocabulary).toLocalIterator() if r["value"])}
     sent, names = send(spark, (ranks, pattern)), texts.columns
@@ -88,47 +94,68 @@ class Rollup:
         self._folder = spark._jvm.org.apache.hadoop.fs.Path(self.path)
         self._files = self._folder.getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _mark(self, batch: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits/{base64.urlsafe_b64encode(batch.encode()).decode()}")
+    def _at(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
 
-    def commit(self, batch: str, changes: DataFrame) -> bool:
-        """Apply a batch of changes once; False if it had been applied before."""
-        mark = self._mark(batch)
-        if self._files.exists(mark):
-            return False
-        attempt = uuid.uuid4().hex
-        signed(changes).withColumn("batch", F.lit(batch)).withColumn("attempt", F.lit(attempt)).write.parquet(f"{self.path}/deltas/{attempt}")
-        # the mark carries its attempt, and appears whole or not at all: of two writers one rename wins
-        draft = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/drafts/{attempt}")
+    def _publish(self, text: str, name: str) -> bool:
+        """A small file that appears whole or not at all; False if there is one: of two writers one rename wins."""
+        draft, place = self._at(f"drafts/{uuid.uuid4().hex}"), self._at(name)
         out = self._files.create(draft, False)
-        out.write(bytearray(attempt.encode()))
+        out.write(bytearray(text.encode()))
         out.close()
-        self._files.mkdirs(mark.getParent())
-        if self._files.exists(mark) or not self._files.rename(draft, mark):
+        self._files.mkdirs(place.getParent())
+        if self._files.exists(place) or not self._files.rename(draft, place):
             self._files.delete(draft, False)
             return False
         return True
 
-    def _attempts(self) -> list[str]:
-        """The attempts that count: one short string for each committed batch."""
-        commits = f"{self.path}/commits"
-        if not self._files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(commits)):
+    def commit(self, batch: str, changes: DataFrame) -> bool:
+        """Apply a batch of changes once; False if it had been applied before."""
+        mark = f"commits/{base64.urlsafe_b64encode(batch.encode()).decode()}"
+        if self._files.exists(self._at(mark)):
+            return False
+        attempt = uuid.uuid4().hex
+        signed(changes).withColumn("batch", F.lit(batch)).withColumn("attempt", F.lit(attempt)).write.parquet(f"{self.path}/deltas/{attempt}")
+        return self._publish(attempt, mark)
+
+    def _names(self, folder: str) -> list[str]:
+        if not self._files.exists(self._at(folder)):
             return []
-        return [r["value"] for r in self.spark.read.text(commits).toLocalIterator()]
+        return sorted(m.getPath().getName() for m in self._files.listStatus(self._at(folder)))
+
+    def _text(self, name: str) -> str:
+        return "\n".join(r["value"] for r in self.spark.read.text(f"{self.path}/{name}").toLocalIterator())
+
+    def _live(self) -> tuple[int, list[str], list[str]]:
+        """Number of the newest manifest (0: none), the attempts that count, and all marks they stand for.
+
+        A manifest is the attempt that holds the totals of some batches, and their marks.
+        One short string for each committed batch comes to the driver.
+        """
+        numbers = self._names("manifests")
+        base, *covered = self._text(f"manifests/{numbers[-1]}").split("\n") if numbers else [""]
+        known = set(covered)
+        marks = [m for m in self._names("commits") if m not in known]
+        attempts = [self._text(f"commits/{m}") for m in marks]
+        return int(numbers[-1]) if numbers else 0, [*([base] if base else []), *attempts], [*covered, *marks]
+
+    def _sum(self, attempts: list[str]) -> DataFrame:
+        paths = [f"{self.path}/deltas/{a}" for a in attempts]
+        rows = self.spark.read.schema(DELTA).parquet(*paths) if paths else self.spark.createDataFrame([], DELTA)
+        return rows.groupBy(*KEY).agg(F.sum("docs").cast("long").alias("docs"), F.sum("tokens").cast("long").alias("tokens"))
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, docs and tokens over all committed batches."""
-        paths = [f"{self.path}/deltas/{a}" for a in self._attempts()]
-        rows = self.spark.read.schema(DELTA).parquet(*paths) if paths else self.spark.createDataFrame([], DELTA)
-        return rows.groupBy(*KEY).agg(F.sum("docs").cast("long").alias("docs"), F.sum("tokens").cast("long").alias("tokens"))
+        return self._sum(self._live()[1])
 
-    def compact(self, batch: str) -> None:
-        """Write the totals as one attempt and let its mark stand for all the batches so far."""
-        marks = [m.getPath() for m in self._files.listStatus(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits"))]
-        total, attempt = self.totals(), uuid.uuid4().hex
-        total.withColumn("batch", F.lit(batch)).withColumn("attempt", F.lit(attempt)).write.parquet(f"{self.path}/deltas/{attempt}")
-        for mark in marks:  # they stay, so that their batches are not applied again, but count for nothing
-            self._files.create(mark, True).close()
-        out = self._files.create(self._mark(batch), False)
-        out.write(bytearray(attempt.encode()))
-        out.close()
+    def compact(self) -> bool:
+        """Write the totals of the batches so far as one attempt; False if another compaction came first.
+
+        The manifest that names the attempt and the batches appears by one rename, after
+        the rows. Marks are never touched: until then the old ones count, and a batch
+        that is committed meanwhile is not in the manifest and counts by its own mark.
+        """
+        number, attempts, marks = self._live()
+        attempt = uuid.uuid4().hex
+        self._sum(attempts).withColumn("batch", F.lit(None).cast("string")).withColumn("attempt", F.lit(attempt)).write.parquet(f"{self.path}/deltas/{attempt}")
+        return self._publish("\n".join([attempt, *marks]), f"manifests/{number + 1:012d}")
