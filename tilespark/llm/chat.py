@@ -1,7 +1,9 @@
 """Chat formatting in budgeted windows.
 
 A conversation's rows come in order of turn; a running sum of turn tokens cuts them
-into spans of whole turns that fit the budget, a longer turn being a span of its own.
+into spans of whole turns that fit the budget together with the system turn and the
+history. Less history is repeated where the next turn needs the room; a window is over the
+budget only if the system turn and one turn alone are.
 Each window holds the system turn, a limited history of the turns before its span, and
 the span. Loss is on the assistant texts of the span only; the system turn and the
 history are repeated context and are masked.
@@ -91,14 +93,16 @@ def windows(rows: Iterable[tuple[int | None, str, str]], budget: int, history: i
         if span and used + tokens(text) > budget:
             yield made()
             window += 1
-            tail, left = [], history
+            kept = tokens(system[2]) if system else 0
+            # history goes before the budget does
+            tail, left = [], min(history, budget - kept - tokens(text))
             for old in reversed(before + span):
                 left -= tokens(old[2])
                 if left < 0 or old == system:
                     break
                 tail.append(old)
             before, span = tail[::-1], []
-            used = (tokens(system[2]) if system else 0) + sum(tokens(t[2]) for t in before)
+            used = kept + sum(tokens(t[2]) for t in before)
         span.append(turn)
         used += tokens(text)
         number += 1
