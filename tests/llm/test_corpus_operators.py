@@ -264,18 +264,56 @@ def test_rollup(spark, tmp_path):
     # an attempt that was written but never marked does not count
     token_rollup.signed(first).withColumn("batch", F.lit("3")).withColumn("attempt", F.lit("lost")).write.parquet(f"{tmp_path}/r/deltas/lost")
     assert {tuple(r) for r in rollup.totals().collect()} == want
-    rollup.compact("sum")
-    assert {tuple(r) for r in rollup.totals().collect()} == want and not rollup.commit("1", first)
+    assert rollup.compact() and {tuple(r) for r in rollup.totals().collect()} == want and not rollup.commit("1", first)
+    assert rollup.compact() and {tuple(r) for r in rollup.totals().collect()} == want and not rollup.commit("2", second)
+    assert rollup.commit("5", first.limit(1)) and rollup.commit("none", first.limit(0))
+    assert {tuple(r) for r in rollup.totals().collect()} == {("a", "en", "t1", 2, 10), *[w for w in want if w[0] != "a"]}
     with pytest.raises(Exception, match="unknown change"):
         rollup.commit("4", first.withColumn("op", F.lit(None).cast("string")))
 
 
+FIELDS = "op string, source string, lang string, tokenizer string, tokens long, old_source string, old_lang string, old_tokenizer string, old_tokens long"
+
+
+@pytest.mark.parametrize("step", ["rows", "publish", "meanwhile", "rival"])
+def test_rollup_compaction_that_is_cut_short_or_overtaken(spark, tmp_path, monkeypatch, step):
+    """A crash before the rows or before the manifest, a batch that commits meanwhile, and a second compaction."""
+    changes = spark.createDataFrame([("insert", "a", "en", "t1", 5, *[None] * 4)] * 2, FIELDS)
+    rollup, other = (token_rollup.Rollup(spark, f"file://{tmp_path}/r") for _ in range(2))
+    assert rollup.compact() and rollup.totals().count() == 0  # nothing yet
+    rollup.commit("1", changes)
+    total = lambda: [(r.docs, r.tokens) for r in token_rollup.Rollup(spark, f"file://{tmp_path}/r").totals().collect()]
+    real_sum, real_publish = token_rollup.Rollup._sum, token_rollup.Rollup._publish
+
+    def stop(*_):
+        raise RuntimeError("lost")
+
+    def before_publish(self, text, name):
+        if self is rollup and step == "meanwhile":
+            other.commit("2", changes)
+        if self is rollup and step == "rival":
+            other.compact()
+        return real_publish(self, text, name)
+
+    with monkeypatch.context() as m:
+        m.setattr(token_rollup.Rollup, "_sum" if step == "rows" else "_publish", stop if step in ("rows", "publish") else before_publish)
+        if step in ("rows", "publish"):
+            with pytest.raises(RuntimeError):
+                rollup.compact()
+        else:
+            assert rollup.compact() == (step == "meanwhile")
+    assert token_rollup.Rollup._sum is real_sum
+    assert total() == [(4, 20)] if step == "meanwhile" else total() == [(2, 10)]
+    rollup.compact()
+    assert not rollup.commit("1", changes) and total() == ([(4, 20)] if step == "meanwhile" else [(2, 10)])
+
+
 def test_byte_pair_counts(spark, tmp_path):
     import base64
 
     lines = [f"{base64.b64encode(bytes([i])).decode()} {i}" for i in range(256)] + [f"{base64.b64encode(b'ab').decode()} 256"]
     (tmp_path / "ranks").write_text("\n".join(lines))
-    rows = token_rollup.bpe_counts(docs(spark, [(1, "abab c", "s"), (2, None, "s"), (3, "é", "s")]), f"file://{tmp_path}/ranks", r"\S+|\s+")
+    rows = token_rollup.bpe_counts(docs(spark, [(1, "abab c", "s"), (2, None, "s"), (3, "é", "s")]).withColumn("Tokens", F.lit("clash")), f"file://{tmp_path}/ranks", r"\S+|\s+")
     assert [r.tokens for r in rows.orderBy("doc_id").collect()] == [4, 0, 2]
 
 
@@ -300,14 +338,14 @@ def test_stages_on_odd_tables(spark):
     """Nulls everywhere, blank and very long texts, repeated rows, extra columns with clashing names, no rows."""
     rows = [(1, None, None, None, None), (None, "a b c", "en", "s", 5), (None, None, None, None, None), (2, "", "en", "s", 0), (3, "word and " * 40000, "en", None, 9), (4, "x y z", "en", "t", 5), (4, "x y z", "en", "t", 5)]
     odd = spark.createDataFrame(rows, SCHEMA)
-    for c in ("score", "size", "fp", "component_id", "kept_id", "spans", "row", "taken", "target", "part"):
+    for c in ("Score", "score ", "TEXT_HASH", "size", "fp", "component_id", "kept_id", "kept doc_id", "row number", "spans", "row", "taken", "target", "part", "n_date"):
         odd = odd.withColumn(c, F.lit("clash"))
     for table in (odd, odd.limit(0)):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, table, SF)
             assert out.count() <= len(rows)
             if name != "source mix":
-                assert out.columns == table.columns and out.where("score <> 'clash' OR part <> 'clash'").isEmpty()
+                assert out.columns == table.columns and out.where("Score <> 'clash' OR part <> 'clash' OR `row number` <> 'clash'").isEmpty()
 
 
 def test_pipeline(spark):

@@ -14,6 +14,8 @@ from tilespark.llm.common import held_out
 
 #: A classifier is fitted on at most so many labelled rows, those with the smallest hashed ids.
 TRAINING_ROWS = 8_000
+#: A row of the fit has at most so many features; scoring takes all of a text's.
+TRAINING_FEATURES = 1 << 13
 #: Width of the hashed feature space.
 BITS = 20
 
@@ -39,20 +41,22 @@ def training_texts(docs: DataFrame, labels: DataFrame, label: str, rows: int = T
     """(doc_id, label, text) of at most ``rows`` labelled documents that are not held out.
 
     Repeated label rows of a document count as positive if any is; null ids and null
-    labels teach nothing. What is broadcast is bounded by ``rows``.
+    labels teach nothing. Of rows that share an id the text with the smallest hash
+    teaches, so what comes out, and what is broadcast, is bounded by ``rows``.
     """
     known = labels.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col(label).isNotNull())
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
     chosen = by_hash(known, "doc_id", rows, known.count())
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    return own.groupBy("doc_id").agg(F.first("label").alias("label"), F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
-def gather(texts: DataFrame, featurise: Callable[[str], list[np.ndarray]], kinds: list[str]) -> list[tuple[int, list[np.ndarray]]]:
+def gather(texts: DataFrame, featurise: Callable[[str], list[np.ndarray]], kinds: list[str], bounded: Callable[[list[np.ndarray]], list[np.ndarray]] = lambda parts: parts) -> list[tuple[int, list[np.ndarray]]]:
     """Labels and hashed features of the training rows, on the driver.
 
-    ``featurise`` gives one array for each of ``kinds`` (int or float). Executors hash
-    the texts, so what is gathered is bounded by the rows and by the width of the
-    feature space; it stays in 32-bit numbers.
+    ``featurise`` gives one array for each of ``kinds`` (int or float), and ``bounded``
+    keeps at most ``TRAINING_FEATURES`` of them. Executors hash the texts, so what is
+    gathered is bounded by rows times features; it stays in 32-bit numbers.
     """
     names = [f"part{i}" for i in range(len(kinds))]
     arrow = [pa.int64(), pa.int32(), *(pa.list_(pa.int32() if k == "int" else pa.float32()) for k in kinds)]
@@ -61,7 +65,7 @@ def gather(texts: DataFrame, featurise: Callable[[str], list[np.ndarray]], kinds
         for batch in batches:
             out: list[list] = [[] for _ in arrow]
             for doc_id, label, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "label", "text"))):
-                for column, x in zip(out, (doc_id, label, *(v.astype(np.int32 if k == "int" else np.float32) for v, k in zip(featurise(text or ""), kinds)))):
+                for column, x in zip(out, (doc_id, label, *(v.astype(np.int32 if k == "int" else np.float32) for v, k in zip(bounded(featurise(text or "")), kinds)))):
                     column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, arrow)], ["doc_id", "label", *names])
 

@@ -8,7 +8,9 @@ document's score is the sparse dot product of these values with the trained weig
 
 Defined cases: null and blank texts have no n-grams and score what the bias gives; no
 labelled rows, or labels of one kind only, give 0.5 (or the share of that kind, kept
-off 0 and 1); columns other than doc_id and text are never read.
+off 0 and 1); a document that stands in several rows teaches once, and all its rows are
+scored; very long texts are scored whole; no documents give no rows; columns other than
+doc_id and text are never read.
 """
 
 from __future__ import annotations
@@ -20,10 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tilespark.llm.common import held_out
-from tilespark.llm.labelled import BITS, TRAINING_ROWS, FollowTheLeader, bucket, gather, sigmoid, training_texts
+from tilespark.llm.labelled import BITS, TRAINING_FEATURES, TRAINING_ROWS, FollowTheLeader, bucket, gather, sigmoid, training_texts
 
 THRESHOLD = 0.3
 EPOCHS = 4
@@ -68,9 +69,18 @@ def _featuriser() -> Callable[[str], list[np.ndarray]]:
     return lambda text: list(_ngrams(text, words))
 
 
+def _strongest(parts: list[np.ndarray]) -> list[np.ndarray]:
+    """The ``TRAINING_FEATURES`` n-grams of a training row with the greatest values."""
+    at, value = parts
+    if len(at) <= TRAINING_FEATURES:
+        return parts
+    kept = np.sort(np.lexsort((at, -value))[:TRAINING_FEATURES])
+    return [at[kept], value[kept]]
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
     """Weights fitted to ``labels.quality`` on at most ``rows`` documents that are not held out."""
-    sample = gather(training_texts(docs, labels, "quality", rows), _featuriser(), ["int", "float"])
+    sample = gather(training_texts(docs, labels, "quality", rows), _featuriser(), ["int", "float"], _strongest)
     if (found := {label for label, _ in sample}) != {0, 1}:
         return np.zeros(0, np.int64), np.zeros(0), {0: -4.0, 1: 4.0}.get(*found) if found else 0.0
     model = FollowTheLeader(alpha=0.5, l1=0.3, l2=0.1)
@@ -80,35 +90,40 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> tupl
     return model.sparse()
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
-    """``docs`` with a column score, 0 to 1; all other columns are kept."""
-    weights = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
+def _scorer(model: tuple[np.ndarray, np.ndarray, float]) -> Callable[[pa.Array], list[float]]:
+    """Scores a column of texts."""
+    at, value, bias = model
+    dense, words = np.zeros(1 << BITS), _Words()
+    dense[at] = value
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        at, value, bias = weights.value
-        dense, words = np.zeros(1 << BITS), _Words()
-        dense[at] = value
-        for batch in batches:
-            out = []
-            for text in batch.column(names.index("text")).to_pylist():
-                where, x = _ngrams(text or "", words)
-                out.append(sigmoid(dense[where] @ x + bias))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*names, "score"])
+    def scores(texts: pa.Array) -> list[float]:
+        found = (_ngrams(text or "", words) for text in texts.to_pylist())
+        return [sigmoid(dense[where] @ x + bias) for where, x in found]
 
-    return docs.mapInArrow(scored, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return scores
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
-    model = train(docs, labels)
-    scored = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    weights = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        scores = _scorer(weights.value)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores(batch.column("text")), pa.float64())], ["doc_id", "score"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scored, "doc_id long, score double")
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier does not reject, with their columns as they were."""
-    columns = docs.columns
-    renamed = docs.withColumnsRenamed({"score": "score "}) if "score" in columns else docs
-    kept = score(renamed, train(docs, labels)).where(F.col("score") >= THRESHOLD).drop("score")
-    return kept.withColumnsRenamed({"score ": "score"}).select(*columns)
+    """The documents that the classifier does not reject, with their columns, whatever their names, as they were."""
+    weights = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    at = docs.columns.index("text")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        scores = _scorer(weights.value)
+        for batch in batches:
+            yield batch.filter(pa.array([x >= THRESHOLD for x in scores(batch.column(at))], pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)

@@ -2,15 +2,16 @@
 
 The features are the distinct words of a text and their beginnings of four to eight
 letters (so that one weight serves inflected forms), hashed. The weights come from
-follow-the-regularised-leader steps on the labelled texts. For every sentence of a
-labelled text that names a group, other versions swap that identity term for terms of
-other groups, and a further version of every text adds a neutral mention; the training
-loss adds ``COUNTERFACTUAL`` times the squared difference of the two scores' margins,
-so that what group a text mentions moves its score as little as can be.
+follow-the-regularised-leader steps on the labelled texts. Every labelled text has one
+counterfactual: each identity term in its sentences is swapped for one of the same kind,
+chosen by a hash of the text, and a text that names no group gets a neutral mention. The
+training loss adds ``COUNTERFACTUAL`` times the squared difference of the two margins, so
+that what group a text mentions moves its score as little as can be.
 
 Defined cases: null and blank texts score what the bias gives; no labelled rows, or
-labels of one kind only, give the same score to all; columns other than doc_id and
-text are never read.
+labels of one kind only, give the same score to all; a document that stands in several
+rows teaches once, and all its rows are scored; very long texts are scored whole; no
+documents give no rows; columns other than doc_id and text are never read.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilespark.llm.common import held_out
-from tilespark.llm.labelled import BITS, TRAINING_ROWS, FollowTheLeader, bucket, gather, sigmoid, training_texts
+from tilespark.llm.labelled import TRAINING_FEATURES, TRAINING_ROWS, FollowTheLeader, bucket, gather, sigmoid, training_texts
 
 THRESHOLD = 0.5
 EPOCHS = 5
@@ -90,9 +91,19 @@ def _featuriser() -> Callable[[str], list[np.ndarray]]:
     return features
 
 
+def _bounded(parts: list[np.ndarray]) -> list[np.ndarray]:
+    """At most ``TRAINING_FEATURES`` features of a training row, those with the smallest scrambled numbers."""
+    at = parts[0]
+    if len(at) <= TRAINING_FEATURES:
+        return parts
+    scrambled = (at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
+    kept = np.sort(at[np.argsort(scrambled, kind="stable")[:TRAINING_FEATURES]])
+    return [kept, np.intersect1d(parts[1], kept, True), parts[2][:TRAINING_FEATURES]]
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
     """Weights fitted to ``labels.toxic`` on at most ``rows`` documents that are not held out."""
-    sample = gather(training_texts(docs, labels, "toxic", rows), _featuriser(), ["int", "int", "int"])
+    sample = gather(training_texts(docs, labels, "toxic", rows), _featuriser(), ["int", "int", "int"], _bounded)
     if (found := {label for label, _ in sample}) != {0, 1}:
         return np.zeros(0, np.int64), np.zeros(0), {0: -4.0, 1: 4.0}.get(*found) if found else 0.0
     model = FollowTheLeader(alpha=0.4, l1=5.0, l2=1.0)
