@@ -137,8 +137,8 @@ def test_simhash(spark):
     assert sorted(r.doc_id for r in kept) == sorted(first.values())
 
 
-@pytest.mark.parametrize("cell", [2048, 8])
-def test_chains_and_dense_cells(spark, monkeypatch, cell):
+@pytest.mark.parametrize(("cell", "agree"), [(2048, None), (8, None), (2048, 3), (8, 5)])
+def test_chains_and_dense_cells(spark, monkeypatch, cell, agree):
     """Fingerprints a few bits apart, in chains and balls, with cells that must be split."""
     monkeypatch.setattr(simhash, "CELL", cell)
     rng = random.Random(3)
@@ -153,7 +153,7 @@ def test_chains_and_dense_cells(spark, monkeypatch, cell):
     prints |= {centre ^ (1 << i) ^ (1 << j) for i in range(12) for j in range(12)}
     ordered = sorted(prints)
     signed = [p - (1 << 64) if p >> 63 else p for p in ordered]
-    found = dict(simhash.near_components(spark.createDataFrame([(p,) for p in signed], "fp long")).collect())
+    found = dict(simhash.near_components(spark.createDataFrame([(p,) for p in signed], "fp long"), agree).collect())
     label = brute_components(ordered)
     groups = {}
     for p, x in zip(signed, label):
@@ -178,6 +178,10 @@ def test_simhash_of_odd_tables(spark):
     rows = docs(spark, [(None, "a b c", "s"), (None, "a b c", "s"), (4, "", "s"), (4, None, "s"), (9, "x y z", "s"), (9, "x y z", "s")]).withColumn("fp", F.lit(1))
     found = simhash.near_duplicates(rows)
     assert {(r.doc_id, r.component_id) for r in found.collect()} == {(None, None), (4, 4), (9, 9)}
+    assert [simhash.groups_that_agree(n) for n in (0, 1 << 22, (1 << 22) + 1, 1 << 27, 1 << 28)] == [2, 2, 3, 3, 4]
+    near = "a b c d e f g h i j k l m n o p q r s t u v w x y z " * 20
+    nameless = docs(spark, [(None, near, "s"), (None, near + "end", "s"), (None, "other", "s")])
+    assert simhash.one_of_each(nameless).count() == 2  # near copies without ids are one group too
     kept = simhash.one_of_each(rows)
     assert kept.columns == rows.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["4", "9", "None"]
 

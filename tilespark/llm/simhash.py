@@ -3,10 +3,12 @@
 A fingerprint is embedded as the bit counts of its 32 two-bit segments. The Manhattan
 distance of two such vectors is at most the Hamming distance of the fingerprints, so
 links of ``DISTANCE`` bits are found by a range join in the embedding. The grid of
-that join: the segments form ``DISTANCE + 2`` groups, and as two linked vectors differ
-in at most ``DISTANCE`` of them, they agree wholly in two groups at least. Each choice
-of two groups is a grid whose cells are the vectors over those groups. Within a cell
-only vectors within the Manhattan distance are compared bit by bit.
+that join: the segments form ``DISTANCE + k`` groups, and as two linked vectors differ
+in at most ``DISTANCE`` of them, they agree wholly in k groups at least. Each choice
+of k groups is a grid whose cells are the vectors over those groups. Within a cell
+only vectors within the Manhattan distance are compared bit by bit. The k grows with
+the number of distinct fingerprints, so that cells of unlike texts stay small; the links
+found are the same whatever k is.
 
 Texts with equal fingerprints are one node. What leaves a cell is a spanning forest of
 its links, not all of them, so a cell of near copies yields fewer links than nodes. A
@@ -15,12 +17,14 @@ pair of chunks is a task's work of its own: nothing is dropped at any size.
 
 Defined cases: a null or blank text has fingerprint zero and is linked like any other;
 rows with equal ids are rows of their own; a null id never names a component, and a
-component of nothing but null ids has none; no rows give no rows.
+component of nothing but null ids has none; very long texts are read whole; no rows give
+no rows; columns other than doc_id and text, whatever their names, are never read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -35,8 +39,7 @@ from tilespark.llm.components import components
 SHINGLE = 3
 SEED = 42
 DISTANCE = 3
-#: Segments (two bits each) of the five groups.
-GROUPS = ((0, 7), (7, 14), (14, 20), (20, 26), (26, 32))
+SEGMENTS = 32
 CELL = 2048
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -87,12 +90,20 @@ def manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(low).astype(np.int64) + 2 * np.bitwise_count(high & ~low)
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+def groups_that_agree(nodes: int) -> int:
+    """How many groups a grid takes: two up to four million fingerprints, one more for each 32 times as many."""
+    return min(12, 2 + max(0, ((max(nodes, 1) - 1).bit_length() - 22 + 4) // 5))
+
+
+def grids(agree: int) -> list[int]:
+    """The bits of each grid: of ``DISTANCE + agree`` groups of segments (two bits each) every choice of ``agree``."""
+    cuts = [round(SEGMENTS * i / (DISTANCE + agree)) for i in range(DISTANCE + agree + 1)]
+    return [sum(3 << (2 * s) for g in chosen for s in range(cuts[g], cuts[g + 1])) for chosen in combinations(range(DISTANCE + agree), agree)]
+
+
+def _cells(batches: Iterator[pa.RecordBatch], agree: int) -> Iterable[pa.RecordBatch]:
     """Each distinct fingerprint once for every grid, with its cell there."""
-    masks = []
-    for i, j in combinations(range(len(GROUPS)), 2):
-        bits = sum(3 << (2 * s) for g in (i, j) for s in range(*GROUPS[g]))
-        masks.append((np.uint64(bits), np.uint64(len(masks) * 0xC2B2AE3D27D4EB4F % (1 << 64))))
+    masks = [(np.uint64(bits), np.uint64(i * 0xC2B2AE3D27D4EB4F % (1 << 64))) for i, bits in enumerate(grids(agree))]
     for batch in batches:
         fp = batch.column("fp").to_numpy(zero_copy_only=False)
         counts = popcounts(fp.view(np.uint64) if fp.dtype == np.int64 else fp)
@@ -170,10 +181,11 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
     yield found(held)
 
 
-def near_components(prints: DataFrame) -> DataFrame:
+def near_components(prints: DataFrame, agree: int | None = None) -> DataFrame:
     """(fp, root) for every distinct fingerprint that has a link; ``prints`` has distinct fp."""
     spark = prints.sparkSession
-    cells = settle(prints.select("fp").mapInArrow(_cells, "cell long, fp long"))
+    agree = agree or groups_that_agree(prints.count())
+    cells = settle(prints.select("fp").mapInArrow(partial(_cells, agree=agree), "cell long, fp long"))
     hot = cells.groupBy("cell").count().where(F.col("count") > CELL).select("cell", F.ceil(2 * F.col("count") / CELL).cast("int").alias("chunks"))
     mine = F.pmod(F.xxhash64("fp"), F.coalesce("chunks", F.lit(1)).cast("long")).cast("int")
     others = F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))
@@ -191,31 +203,28 @@ def near_components(prints: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, fp and component_id (the smallest doc_id reachable) of every document."""
+    """doc_id, text_hash, fp, root (the same for a whole component) and component_id (the smallest doc_id reachable) of every document."""
     rows = settle(fingerprints(docs))
     classes = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = near_components(classes)
-    rooted = classes.join(roots, classes["fp"] == roots["node"]).select("fp", "root", "first_id")
+    rooted = settle(classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = roots.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    known = settle(classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id")))
-    discard(classes, roots)
-    return rows.join(known, "fp", "left").select("doc_id", "text_hash", "fp", "component_id")
+    known = settle(rooted.join(least, "root").select("fp", "root", "component_id"))
+    discard(classes, roots, rooted)
+    return rows.join(known, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, rows: DataFrame | None = None) -> DataFrame:
-    """The documents without near copies: of each component the row with its smallest id stays.
+    """The documents without near copies: of each component the row with its smallest id stays, nulls last.
 
-    ``rows`` has the columns of ``near_duplicates``, which finds them if none are given.
-    Of rows that share that id the one with the smallest text hash stays, and of
-    wholly equal ones any; where all ids are null, one row of each fingerprint stays.
+    ``rows`` has doc_id, text_hash and root as ``near_duplicates`` gives them, which finds
+    them if none are given. Of rows that share that id the one with the smallest text
+    hash stays, and of wholly equal ones any.
     """
     rows = near_duplicates(docs) if rows is None else rows
-    kept = settle(
-        rows.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .groupBy(F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp").cast("string"))).alias("component"))
-        .agg(F.min("doc_id").alias("kept doc_id"), F.min("text_hash").alias("kept text_hash"), F.count("*").alias("rows"))
-    )
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    kept = rows.groupBy("root").agg(F.min(first).alias("first"), F.count("*").alias("rows"))
+    kept = settle(kept.select(F.col("first.doc_id").alias("kept doc_id"), F.col("first.text_hash").alias("kept text_hash"), "rows"))
     keep = docs["doc_id"].cast("long").eqNullSafe(kept["kept doc_id"]) & (F.xxhash64(docs["text"]) == kept["kept text_hash"])
     found = docs.join(kept, keep, "left_semi")
     if kept.where("rows > 1").isEmpty():
