@@ -15,6 +15,7 @@ from tilespark.functions.hilbert import tile_id_to_zxy
 from tilespark.plans import convert, pyramid
 from tilespark.schema import HEADER_FIELDS
 from tilespark.sources import codec
+from tilespark.sources.archive import read_tiles
 from tilespark.sources.sink import write_archives
 
 
@@ -41,9 +42,14 @@ def test_round_trip(spark, tmp_path, layout, archives):
     assert entries.where("run_length > 0").agg(F.sum("run_length")).first()[0] == 30000
     if archives == 1:  # too many entries for a root directory
         assert entries.where("depth = 1").count() > 0
-        assert back.rdd.getNumPartitions() > 1
-    point = back.where("z = 7 AND x = 3 AND y = 5")
+    pruned = lambda **only: read_tiles(spark, str(tmp_path / "a"), **only)
+    point = pruned(z=7, x=3, y=5)
     assert point.count() == 1 and point.rdd.getNumPartitions() == 1
+    assert pruned(z=[2, 3]).count() == 80 and pruned(tile_id=[5, 29999, 40000]).count() == 2 and pruned(tile_id=[]).count() == 0
+    assert pruned(z=31).count() == 0 and pruned(z=3, x=99, y=0).count() == 0 and pruned(from_id=10, below_id=20).count() == 10
+    assert pruned(z=7, x=[3, 4]).count() == back.where("z = 7 AND x IN (3, 4)").count() == 256
+    # scans of one table do not disturb each other
+    assert back.where("tile_id < 10").union(back.where("tile_id >= 29990")).count() == 20 and back.count() == 30000
     assert back.where("z BETWEEN 2 AND 3").count() == 80 and back.where("tile_id IN (5, 29999, 40000)").count() == 2
     assert back.where("z > 30").count() == 0 and back.where("z = 3 AND x = 99 AND y = 0").count() == 0
 
@@ -245,3 +251,23 @@ def test_cli(spark, tmp_path, capsys):
     assert "addressed_tiles_count" in capsys.readouterr().out
     with pytest.raises(SystemExit):
         main(["convert", str(source), str(tmp_path / "out")])
+
+
+def test_leaves_are_packed_into_few_partitions(spark, tmp_path, monkeypatch):
+    """Many leaf directories of small tiles are read by few partitions, and what a filter leaves by one."""
+    from tilespark.sources import archive
+    from tilespark.sources.archive import ArchiveReader
+
+    tiles = spark.range(0, 400_000, 2).select(F.col("id").alias("tile_id"), F.xxhash64("id").cast("string").cast("binary").alias("data"))
+    write_archives(tiles, str(tmp_path / "a"), 1)
+    options = {"path": str(tmp_path / "a")}
+    parts = ArchiveReader(options, "tiles").partitions()
+    assert len(parts) == 1 and len(parts[0].entries) > 20
+    found = spark.read.format("tile_archive").option("path", options["path"]).load()
+    assert found.count() == 200_000 and found.where("tile_id = 199998").count() == 1
+    assert found.agg(F.sum("tile_id")).first()[0] == sum(range(0, 400_000, 2))
+    monkeypatch.setattr(archive, "PART_BYTES", 1 << 18)
+    parts = ArchiveReader(options, "tiles").partitions()
+    assert 5 < len(parts) < 30 and sum(len(list(b.to_pylist())) for p in parts for b in ArchiveReader(options, "tiles").read(p)) == 200_000
+    few = ArchiveReader({**options, "only": '{"tile_id": [399998]}'}, "tiles").partitions()
+    assert len(few) == 1 and len(few[0].entries) == 1

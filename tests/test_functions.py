@@ -66,7 +66,7 @@ def test_facts(spark):
     assert [r[0] for r in spark.range(6).select(facts.compression_name("id")).collect()] == ["unknown", "none", "gzip", "brotli", "zstd", "out of spec"]
     names = spark.createDataFrame([("pbf", None), ("jpg", None), ("mlt", "gzip"), ("?", None)], "f string, c string")
     assert [tuple(r) for r in names.select(facts.tile_type_of_format("f"), facts.compression_of_format("f", "c")).collect()] == [(1, 2), (3, 1), (6, 2), (0, 1)]
-    assert one(spark, facts.media_type(F.lit(1)), facts.media_type(F.lit(5), "edge"), facts.to_e7(F.lit(-1.10000009)), facts.format_bytes(F.lit(1536)))[:] == ("application/vnd.mapbox-vector-tile", None, -11000000, "1.5 KB")
+    assert one(spark, facts.media_type(F.lit(1)), facts.media_type(F.lit(5), "edge"), facts.to_e7(F.lit(-1.10000009)), facts.format_bytes(F.lit(1536)), facts.format_bytes(F.lit(0)), facts.format_bytes(F.lit(1152)), facts.format_bytes(F.lit(100 << 20)), facts.format_bytes(F.lit(1023)))[:] == ("application/vnd.mapbox-vector-tile", None, -11000000, "1.5 KiB", "0 Bytes", "1.13 KiB", "100 MiB", "1023 Bytes")
     rows = spark.createDataFrame([('{"type":"overlay","version":"1.0.0","vector_layers":[]}', 1), ('{"type":"x","version":"1"}', 1), ("[1]", 2)], "json string, tile_type int")
     assert [r[0] for r in rows.select(facts.metadata_faults("json")).collect()] == [[], ["type", "version", "vector_layers"], ["not an object"]]
 
@@ -76,9 +76,9 @@ def test_paths(spark):
     assert tuple(rows[0]) == (True, "foo/bar", 3, 2, 1, "mvt") and tuple(rows[1]) == (True, "foo", None, None, None, "json")
     assert not rows[2].ok and not rows[3].ok
     name = F.lit("foo")
-    assert one(spark, paths.archive_path(name), paths.archive_path(F.lit("foo/bar"), "folder/{name}/file.pmtiles"), paths.archive_path(F.lit("slug"), "folder/{name}/{name}.pmtiles"))[:] == ("foo.pmtiles", "folder/foo/bar/file.pmtiles", "folder/slug/slug.pmtiles")
-    url = paths.parse_tile_url(F.lit(f"{paths.PROTOCOL}://https://x.y/z.pmtiles/3/2/1"))
-    assert tuple(one(spark, url)[0]) == ("https://x.y/z.pmtiles", 3, 2, 1) and one(spark, paths.parse_tile_url(F.lit("http://x")))[0] is None
+    assert one(spark, paths.archive_path(name, "{name}.tiles"), paths.archive_path(F.lit("foo/bar"), "folder/{name}/file.tiles"), paths.archive_path(F.lit("slug"), "folder/{name}/{name}.tiles"))[:] == ("foo.tiles", "folder/foo/bar/file.tiles", "folder/slug/slug.tiles")
+    url = paths.parse_tile_url(F.lit("tiles://https://x.y/z.tiles/3/2/1"), "tiles")
+    assert tuple(one(spark, url)[0]) == ("https://x.y/z.tiles", 3, 2, 1) and one(spark, paths.parse_tile_url(F.lit("http://x"), "tiles"))[0] is None
     ranges = spark.createDataFrame([("1..5",), ("..5",), ("1..",)], "r string").select(paths.parse_zoom_range("r", 0, 9).alias("z")).select("z.*").collect()
     assert [tuple(r) for r in ranges] == [(1, 5), (0, 5), (1, 9)]
     assert one(spark, paths.parse_hash(F.lit("#a=1&b=2")), paths.parse_zxy(F.lit("1/2/3")), paths.fill_template(F.lit("{z}/{x}/{y}.png"), F.lit(1), F.lit(2), F.lit(3)))[:] == ({"a": "1", "b": "2"}, (1, 2, 3), "1/2/3.png")

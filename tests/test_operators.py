@@ -168,6 +168,9 @@ def test_serving(spark):
     there = {r.i: r for r in serve.serve(edge, _archives(spark), "h", "edge", "http://a,http://b").collect()}
     assert (there[3].status, there[4].status, there[0].allow_origin) == (404, 404, "http://b")
     assert serve.serve(edge.withColumn("method", F.lit("POST")), _archives(spark), "h", "edge").where("status = 405").count() == len(ASKED)
+    for method in ("HEAD", "OPTIONS", "PUT"):
+        assert {r.i: r.status for r in serve.serve(edge.withColumn("method", F.lit(method)), _archives(spark), "h", "edge").collect()} == {i: r.status for i, r in there.items()}
+    assert there[0].vary == there[2].vary == "Origin" and there[2].cache_control and there[4].vary is None and found[5].cache_control is None and found[0].vary is None
     tiles = spark.createDataFrame([("/view", 21 + 2, b"x")], "archive string, tile_id long, data binary")
     full = {r.i: r for r in serve.with_tiles(serve.serve(requests, _archives(spark), "h"), tiles).collect()}
     assert full[0].status == 200 and bytes(full[0].data) == b"x" and full[0].etag.startswith('"') and full[7].status == 204 and full[4].status == 400
@@ -176,12 +179,10 @@ def test_serving(spark):
 
 
 def test_protocol(spark):
-    from tilespark.functions.paths import PROTOCOL
-
-    urls = spark.createDataFrame([(f"{PROTOCOL}://view/3/1/1",), (f"{PROTOCOL}://view/30/1/1",), ("x",), (f"{PROTOCOL}://search/0/0/0",)], "url string")
-    rows = serve.protocol(urls, _archives(spark)).collect()
+    urls = spark.createDataFrame([("tiles://view/3/1/1",), ("tiles://view/30/1/1",), ("x",), ("tiles://search/0/0/0",)], "url string")
+    rows = serve.protocol(urls, _archives(spark), "tiles").collect()
     assert {(r.state, r.missing) for r in rows} == {("FOUND", "empty"), ("OUTSIDE", "empty"), ("INVALID", "null"), ("FOUND", "null")}
-    assert serve.protocol(urls, _archives(spark), error_on_missing=True).where("missing = 'error'").count() == 2
+    assert serve.protocol(urls, _archives(spark), "tiles", error_on_missing=True).where("missing = 'error'").count() == 2
 
 
 def test_streams(spark, tmp_path):
@@ -195,3 +196,20 @@ def test_streams(spark, tmp_path):
         running.stop()
     assert spark.table("answers").count() == 7
     assert {(r.status, r.answers) for r in spark.table("counts").collect()} == {(200, 3), (400, 2), (404, 1), (403, 1)}
+
+
+def test_find_in_a_directory_with_pointers(spark):
+    """A pointer to a leaf directory (run 0) answers for all ids up to the next entry."""
+    table = spark.createDataFrame([(0, 1, 1, 2), (100, 7, 9, 0), (200, 8, 9, 0)], "tile_id long, offset long, length long, run_length long")
+    asked = spark.createDataFrame([(1,), (2,), (100,), (150,), (199,), (5000,)], "tile_id long")
+    found = {r.tile_id: r.offset for r in lookup.lookup(asked, table, pointers=True).collect()}
+    assert found == {1: 1, 2: None, 100: 7, 150: 7, 199: 7, 5000: 8}
+    assert {r.tile_id: r.offset for r in lookup.lookup(asked, table).collect()} == {1: 1, 2: None, 100: None, 150: None, 199: None, 5000: None}
+
+
+def test_long_runs_are_drawn_whole(spark):
+    from tilespark.operators import navigate
+
+    runs = spark.createDataFrame([(0, 1), (21845, 5000)], "tile_id long, run_length long")
+    lines = navigate.entry_lines(runs, 1024).collect()
+    assert sorted((r.tile_id, r.part, len(r.line or [])) for r in lines) == [(0, 0, 0), *[(21845, i, 1024) for i in range(4)], (21845, 4, 904)]

@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 
 from tilespark.plans.convert import archive_to_database, archive_to_tree, database_to_archive, tree_to_archive
 from tilespark.session import register
+from tilespark.sources.archive import read_tiles
 
 DATABASE = ".mbtiles"  # fixed value: what tile databases are called
 
@@ -22,7 +23,7 @@ def main(args: list[str] | None = None) -> None:
     convert.add_argument("--maxzoom")
     convert.add_argument("--format")
     convert.add_argument("--scheme", default="zxy", choices=["zxy", "tms", "zyx", "ags", "gwc"])
-    convert.add_argument("--archives", type=int, default=1)
+    convert.add_argument("--archives", type=int, help="how many; as many as the tiles fill if left out")
     convert.add_argument("--overwrite", action="store_true")
     show = commands.add_parser("show", help="header and metadata, or the bytes of one tile")
     show.add_argument("source")
@@ -33,7 +34,7 @@ def main(args: list[str] | None = None) -> None:
         read = spark.read.format("tile_archive").option("path", given.source)
         if given.address:
             z, x, y = given.address
-            read.load().where(f"z = {z} AND x = {x} AND y = {y}").show(vertical=True, truncate=False)
+            read_tiles(spark, given.source, z=z, x=x, y=y).show(vertical=True, truncate=False)
         else:
             for table in ("header", "metadata"):
                 read.option("table", table).load().show(vertical=True, truncate=False)

@@ -14,6 +14,7 @@ EDGE_MEDIA_TYPES = {1: "application/x-protobuf", 2: "image/png", 3: "image/jpeg"
 PROTOCOL_MEDIA_TYPES = {2: "image/png", 3: "image/jpeg", 4: "image/webp", 5: "image/avif"}
 FORMATS = {"pbf": 1, "png": 2, "jpeg": 3, "jpg": 3, "webp": 4, "avif": 5, "mlt": 6}
 REQUEST_EXTENSIONS = {"mvt": 1, "pbf": 1, "png": 2, "jpg": 3, "webp": 4, "avif": 5, "mlt": 6}
+SIZE_UNITS = ("Bytes", "KiB", "MiB", "GiB", "TiB", "PiB", "EiB")
 WORLD = (-180.0, -85.05112878, 180.0, 85.05112878)
 
 
@@ -85,11 +86,14 @@ def entity_tag(data: Column | str) -> Column:
 
 
 def format_bytes(size: Column | str) -> Column:
-    """A size in units of 1024 bytes, one decimal from the first unit on."""
+    """A size in units of 1024 bytes, with two decimals at most and no zeros at their end."""
     size = _col(size)
-    out = F.concat(size.cast("string"), F.lit(" B"))
-    for power, unit in ((1, "KB"), (2, "MB"), (3, "GB"), (4, "TB")):
-        out = F.when(size >= 1024**power, F.concat(F.format_number(size / 1024**power, 1), F.lit(f" {unit}"))).otherwise(out)
+    out = F.concat(size.cast("string"), F.lit(f" {SIZE_UNITS[0]}"))
+    for power, unit in enumerate(SIZE_UNITS[1:], 1):
+        # halves are rounded up
+        value = F.format_string("%.2f", F.floor(size / 1024**power * 100 + 0.5) / 100)
+        plain = F.regexp_replace(F.regexp_replace(value, "0+$", ""), r"\.$", "")
+        out = F.when(size >= 1024**power, F.concat(plain, F.lit(f" {unit}"))).otherwise(out)
     return F.when(size.isNotNull(), out)
 
 

@@ -4,12 +4,15 @@ A tile id counts all tiles of the lower zooms and then the position along the Hi
 curve of its own zoom. Read from the top bit down, each level gives one base-4 digit of
 the position; what orientation the curve has below is two flags, swapped axes and
 inverted axes, that the bits so far decide. ``zxy_to_tile_id`` and its inverse fold over
-the levels as plain columns; ``bulk_tile_id`` and ``bulk_zxy`` do the same levels on
-Arrow batches, several times faster where Python workers are at hand.
+the levels as plain columns: the position so far and the two flags are one number, and a
+level is one look-up in a table of sixteen; ``bulk_tile_id`` and ``bulk_zxy`` do the same
+levels on Arrow batches.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -52,24 +55,51 @@ def _levels(z: Column) -> Column:
     return F.when(z > 0, F.sequence(z - 1, F.lit(0), F.lit(-1))).otherwise(F.array().cast("array<int>"))
 
 
-def _shift(value: Column, by: Column, left: bool = False) -> Column:
-    return F.call_function("shiftleft" if left else "shiftright", value, by)
+def _shift(value: Column, by: Column, left: bool = False, unsigned: bool = False) -> Column:
+    return F.call_function("shiftleft" if left else "shiftrightunsigned" if unsigned else "shiftright", value, by)
+
+
+def _turns() -> list[tuple[int, int, int, int]]:
+    """By flags (swap, flip) and bits of column and row, as one number: the digit, the bits back from it, and the next flags."""
+    out = []
+    for state in range(4):
+        swap, flip = state >> 1, state & 1
+        for bits in range(4):
+            a, b = (bits >> 1) ^ flip, (bits & 1) ^ flip
+            a, b = (b, a) if swap else (a, b)
+            turned = 1 - b
+            out.append((state, bits, (3 * a) ^ b, (swap ^ turned) << 1 | (flip ^ (turned & a))))
+    return out
+
+
+#: By flags and bits: digit and next flags. By flags and digit: bits, parted as columns and rows are kept, and next flags.
+_ENCODE = [digit << 2 | after for _, _, digit, after in _turns()]
+_DECODE = [(bits >> 1) << 33 | (bits & 1) << 2 | after for _, _, bits, after in sorted((state, digit, bits, after) for state, bits, digit, after in _turns())]
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _looked_up(table: list[int], flags: Column, two_bits: Column) -> Column:
+    return F.get(F.array(*[_long(v) for v in table]), (_shift(flags.bitwiseAND(_long(3)), F.lit(2), True).bitwiseOR(two_bits)).cast("int"))
 
 
 def try_tile_id(z: Column | str, x: Column | str, y: Column | str) -> Column:
     """The id of an address, null where there is none."""
     z, x, y = _col(z).cast("int"), _col(x).cast("long"), _col(y).cast("long")
-    zero = F.struct(_long(0).alias("d"), _long(0).alias("swap"), _long(0).alias("flip"))
 
-    def step(state: Column, level: Column) -> Column:
-        bx = _shift(x, level).bitwiseAND(F.lit(1)).bitwiseXOR(state["flip"])
-        by = _shift(y, level).bitwiseAND(F.lit(1)).bitwiseXOR(state["flip"])
-        diff = bx.bitwiseXOR(by).bitwiseAND(-state["swap"])
-        bx, by = bx.bitwiseXOR(diff), by.bitwiseXOR(diff)
-        turned = F.lit(1) - by
-        return F.struct((state["d"] * 4 + (bx * 3).bitwiseXOR(by)).alias("d"), state["swap"].bitwiseXOR(turned).alias("swap"), state["flip"].bitwiseXOR(turned * bx).alias("flip"))
+    def encode(at: Column) -> Column:
+        def step(kept: Column, level: Column) -> Column:
+            bits = _shift(_shift(at["x"], level).bitwiseAND(_long(1)), F.lit(1), True).bitwiseOR(_shift(at["y"], level).bitwiseAND(_long(1)))
+            return _shift(kept.bitwiseAND(_long(-4)), F.lit(2), True).bitwiseOR(_looked_up(_ENCODE, kept, bits))
+
+        # 62 bits of the position and two flags fill a long
+        return _shift(F.aggregate(_levels(at["z"]), _long(0), step), F.lit(2), unsigned=True)
 
-    return F.when(is_address(z, x, y), level_start(z) + F.aggregate(_levels(z), zero, step)["d"])
+    at = F.struct(z.alias("z"), x.alias("x"), y.alias("y"))
+    return F.when(is_address(z, x, y), level_start(z) + _let(at, encode))
 
 
 def zxy_to_tile_id(z: Column | str, x: Column | str, y: Column | str) -> Column:
@@ -83,21 +113,18 @@ def zxy_to_tile_id(z: Column | str, x: Column | str, y: Column | str) -> Column:
 def try_zxy(tile_id: Column | str) -> Column:
     """struct(z int, x long, y long) of an id, null where there is none."""
     tile_id = _col(tile_id).cast("long")
-    z = zoom_of(tile_id)
-    rest = tile_id - level_start(z)
-    zero = F.struct(_long(0).alias("x"), _long(0).alias("y"), _long(0).alias("swap"), _long(0).alias("flip"))
-
-    def step(state: Column, level: Column) -> Column:
-        digit = _shift(rest, level * 2).bitwiseAND(F.lit(3))
-        bx = _shift(digit, F.lit(1))
-        by = digit.bitwiseXOR(bx).bitwiseAND(F.lit(1))
-        turned = F.lit(1) - by
-        diff = bx.bitwiseXOR(by).bitwiseAND(-state["swap"])
-        out_x, out_y = bx.bitwiseXOR(diff).bitwiseXOR(state["flip"]), by.bitwiseXOR(diff).bitwiseXOR(state["flip"])
-        return F.struct((state["x"] * 2 + out_x).alias("x"), (state["y"] * 2 + out_y).alias("y"), state["swap"].bitwiseXOR(turned).alias("swap"), state["flip"].bitwiseXOR(turned * bx).alias("flip"))
-
-    at = F.aggregate(_levels(z), zero, step)
-    return F.when(z.isNotNull(), F.struct(z.alias("z"), at["x"].alias("x"), at["y"].alias("y")))
+
+    def decode(at: Column) -> Column:
+        def step(kept: Column, level: Column) -> Column:
+            digit = _shift(at["rest"], _shift(level, F.lit(1), True)).bitwiseAND(_long(3))
+            return _shift(kept.bitwiseAND(_long(-4)), F.lit(1), True).bitwiseOR(_looked_up(_DECODE, kept, digit))
+
+        # column and row, 31 bits each, and two flags fill a long
+        both = F.aggregate(_levels(at["z"]), _long(0), step)
+        return _let(both, lambda v: F.struct(at["z"].alias("z"), _shift(v, F.lit(33), unsigned=True).alias("x"), _shift(v, F.lit(2)).bitwiseAND(_long((1 << 31) - 1)).alias("y")))
+
+    rest = lambda z: F.struct(z.alias("z"), (tile_id - level_start(z)).alias("rest"))
+    return F.when((tile_id >= 0) & (tile_id < _long(END)), _let(_let(zoom_of(tile_id), rest), decode))
 
 
 def tile_id_to_zxy(tile_id: Column | str) -> Column:

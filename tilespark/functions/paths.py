@@ -10,8 +10,6 @@ from tilespark.functions.hilbert import _col
 # The paths that tile servers answer (one character parts row and extension).
 TILE_PATH = r"^/([0-9a-zA-Z/!\-_.*'()]+)/(\d+)/(\d+)/(\d+).([a-z]+)$"
 TILESET_PATH = r"^/([0-9a-zA-Z/!\-_.*'()]+).json$"
-ARCHIVE_SUFFIX = ".pmtiles"
-PROTOCOL = "pmtiles"
 
 
 def _part(text: Column, pattern: str, group: int) -> Column:
@@ -31,13 +29,12 @@ def parse_request(path: Column | str) -> Column:
     )
 
 
-def archive_path(name: Column | str, template: str | None = None) -> Column:
-    """Where the archive of a name lies: every ``{name}`` of a template, or the name and the suffix."""
-    name = _col(name)
-    return F.replace(F.lit(template), F.lit("{name}"), name) if template else F.concat(name, F.lit(ARCHIVE_SUFFIX))
+def archive_path(name: Column | str, template: str) -> Column:
+    """Where the archive of a name lies: a template such as ``{name}.tiles``, every ``{name}`` of it put in."""
+    return F.replace(F.lit(template), F.lit("{name}"), _col(name))
 
 
-def parse_tile_url(url: Column | str, scheme: str = PROTOCOL) -> Column:
+def parse_tile_url(url: Column | str, scheme: str) -> Column:
     """struct(url, z, x, y) of ``scheme://url/z/x/y``; null if it is none."""
     url = _col(url)
     pattern = rf"{scheme}://(.+)/(\d+)/(\d+)/(\d+)"

@@ -22,19 +22,22 @@ _HIT = "struct<tile_id:bigint,offset:bigint,length:bigint,run_length:bigint>"
 
 
 def _answer(joined: DataFrame, requests: DataFrame) -> DataFrame:
-    inside = (F.col("run_length") > 0) & (requests["tile_id"] < F.col("entry_id") + F.col("run_length"))
+    inside = (F.col("run_length") == 0) | (requests["tile_id"] < F.col("entry_id") + F.col("run_length"))
     hit = F.coalesce(inside, F.lit(False))
     return joined.select(*[requests[c] for c in requests.columns], F.when(hit, F.col("entry_id")).alias("entry_id"), F.when(hit, F.col("offset")).alias("offset"), F.when(hit, F.col("length")).alias("length"))
 
 
-def lookup(requests: DataFrame, entries: DataFrame) -> DataFrame:
+def lookup(requests: DataFrame, entries: DataFrame, pointers: bool = False) -> DataFrame:
     """``requests`` (with tile_id) and entry_id, offset, length of the tile; null where there is none.
 
+    Pointers to leaf directories (run 0) are left out, for entries of all directories
+    together. With ``pointers``, for the entries of one directory, a pointer answers for
+    all ids up to the next entry.
     Ids are made distinct before the merge, so an id that a third of all requests ask
     for is one row there; the join back is one that Spark can split.
     """
     ids = requests.select("tile_id").distinct().select("tile_id", F.lit(1).alias("kind"), F.lit(None).cast(_HIT).alias("entry"))
-    known = entries.where("run_length > 0").select("tile_id", F.lit(0).alias("kind"), F.struct("tile_id", "offset", "length", "run_length").alias("entry"))
+    known = (entries if pointers else entries.where("run_length > 0")).select("tile_id", F.lit(0).alias("kind"), F.struct("tile_id", "offset", "length", "run_length").alias("entry"))
     merged = into_ranges(known.unionByName(ids), "tile_id")
     found = last_known(merged, "entry", "found", "tile_id", ("kind",)).where("kind = 1").drop(RANGE)
     found = found.select(F.col("tile_id").alias("asked"), F.col("found.tile_id").alias("entry_id"), "found.offset", "found.length", "found.run_length")

@@ -108,8 +108,16 @@ def _world(point: Column) -> Column:
     return F.struct(((F.get(point, 0) + 180) / 360).alias("x"), (0.5 - F.log((1 + sine) / (1 - sine)) / (4 * math.pi)).alias("y"))
 
 
-def entry_lines(entries: DataFrame) -> DataFrame:
-    """Outlines of entries: the box of a single tile; for a run, its tiles' middles in order, at most 1,000 of them."""
-    at = try_zxy("tile_id")
-    middles = F.transform(F.sequence(F.col("tile_id"), F.col("tile_id") + F.least("run_length", F.lit(1000)) - 1), lambda i: tile_centre(try_zxy(i)["z"], try_zxy(i)["x"], try_zxy(i)["y"]))
-    return entries.withColumn("_at", at).select("*", F.when(F.col("run_length") == 1, tile_bounds("_at.z", "_at.x", "_at.y")).alias("box"), F.when(F.col("run_length") > 1, middles).alias("line")).drop("_at")
+def entry_lines(entries: DataFrame, stretch: int = 1024) -> DataFrame:
+    """Outlines of entries: the box of a single tile; for a run, a line through its tiles' middles in order.
+
+    A long run is several rows, ``stretch`` tiles each, numbered by ``part``, which are dealt out.
+    """
+    parts = F.when(F.col("run_length") > 0, F.sequence(F.lit(0), F.floor((F.col("run_length") - 1) / stretch).cast("int"))).otherwise(F.array(F.lit(0)))
+    rows = entries.withColumn("part", F.explode(parts)).repartition("tile_id", "part")
+    first = F.col("tile_id") + F.col("part").cast("long") * stretch
+    count = F.least(F.col("run_length") - F.col("part").cast("long") * stretch, F.lit(stretch).cast("long"))
+    middle = lambda i: F.get(F.transform(F.array(try_zxy(i)), lambda t: tile_centre(t["z"], t["x"], t["y"])), 0)
+    middles = F.transform(F.sequence(first, first + count - 1), middle)
+    box = F.get(F.transform(F.array(try_zxy("tile_id")), lambda t: tile_bounds(t["z"], t["x"], t["y"])), 0)
+    return rows.select("*", F.when(F.col("run_length") == 1, box).alias("box"), F.when(F.col("run_length") > 1, middles).alias("line"))

@@ -64,7 +64,7 @@ def metadata_rows(header: DataFrame, metadata: DataFrame) -> DataFrame:
     return rows.select("archive", F.explode(F.map_concat(given, absent, extra)).alias("name", "value"))
 
 
-def _write(spark: SparkSession, tiles: DataFrame, facts, metadata: dict, out: str, archives: int, mode: str) -> None:
+def _write(spark: SparkSession, tiles: DataFrame, facts, metadata: dict, out: str, archives: int | None, mode: str) -> None:
     """``tiles`` (z, x, y, data) as archives, with the header columns of ``facts``."""
     data = gzipped(F.col("data")) if facts.tile_type == 1 else F.col("data")
     rows = tiles.select(zxy_to_tile_id("z", "x", "y").alias("tile_id"), data.alias("data"))
@@ -75,7 +75,7 @@ def _write(spark: SparkSession, tiles: DataFrame, facts, metadata: dict, out: st
     )
 
 
-def database_to_archive(spark: SparkSession, source: str, out: str, max_zoom: int | None = None, archives: int = 1, mode: str = "errorifexists") -> None:
+def database_to_archive(spark: SparkSession, source: str, out: str, max_zoom: int | None = None, archives: int | None = None, mode: str = "errorifexists") -> None:
     read = register(spark).read.format("tile_database").option("path", source)
     pairs = read.option("table", "metadata").load()
     facts = header_facts(pairs).first()
@@ -97,7 +97,7 @@ def archive_to_tree(spark: SparkSession, source: str, out: str, extension: str =
     write_tree(read.option("table", "tiles").load(), out, extension, first["json"] if first else "{}")
 
 
-def tree_to_archive(spark: SparkSession, source: str, out: str, scheme: str = "zxy", tile_format: str | None = None, max_zoom: int | str | None = None, archives: int = 1, mode: str = "errorifexists") -> None:
+def tree_to_archive(spark: SparkSession, source: str, out: str, scheme: str = "zxy", tile_format: str | None = None, max_zoom: int | str | None = None, archives: int | None = None, mode: str = "errorifexists") -> None:
     """``max_zoom`` None takes what the metadata says (else all); ``auto`` takes all and says so in the header."""
     local = source.removeprefix("file://")
     if not os.path.exists(f"{local}/metadata.json"):

@@ -8,14 +8,25 @@ requests works as well (a stream-static join).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilespark.functions.facts import REQUEST_EXTENSIONS, bounds_are_valid, choose, entity_tag, media_type, tile_extension, tile_json
 from tilespark.functions.hilbert import try_tile_id
 from tilespark.functions.paths import allowed_origin, parse_request, parse_tile_url
+from tilespark.sources.codec import compress, decompress
 
+# What the two servers answer, by the reason for it.
 CACHE_CONTROL = "public, max-age=86400"
+SAYS = {
+    "lambda": {"no path": (500, "Invalid event configuration"), "bad path": (400, "Invalid tile URL"), "no archive": (403, "Bucket access unauthorized")},
+    "edge": {"no path": (404, "Invalid URL"), "bad path": (404, "Invalid URL"), "no archive": (404, "Archive not found")},
+}
+NO_HOST = (501, "PUBLIC_HOSTNAME must be set for TileJSON")
+WRONG_TYPE = "Bad request: requested .%s but archive has type %s"
 
 
 def _wrong_type(flavor_types: dict[str, int]) -> Column:
@@ -29,8 +40,9 @@ def serve(requests: DataFrame, archives: DataFrame, hostname: str | None = None,
     status, message, content_type, cache_control, allow_origin, and name, z, x, y, ext,
     tile_id and archive. Tiles that may exist have status 200 until ``with_tiles`` has
     looked; TileJSON is the message of its request. ``lambda`` and ``edge`` differ in
-    what they do for unknown paths (400, 404), other methods than GET (405 at the edge),
-    unknown archives (404 at the edge, 403 else) and media types.
+    what they do for unknown paths (400, 404), the method POST (405 at the edge),
+    unknown archives (404 at the edge, 403 else) and media types. At the edge all answers
+    to paths that it knows can be cached and vary by origin; else only tiles can be cached.
     """
     edge = flavor == "edge"
     parsed = requests.withColumn("_r", parse_request("path"))
@@ -39,13 +51,15 @@ def serve(requests: DataFrame, archives: DataFrame, hostname: str | None = None,
     rows = parsed.join(known.withColumnRenamed("name", "_name"), F.col("name") == F.col("_name"), "left").drop("_name")
     tileset = F.col("ok") & F.col("z").isNull()
     extension = tile_extension("tile_type")
-    wrong = F.concat(F.lit("Bad request: requested ."), F.col("ext"), F.lit(" but archive has type "), extension)
+    wrong = F.format_string(WRONG_TYPE, "ext", extension)
+    said = lambda why: (SAYS[flavor][why][0], F.lit(SAYS[flavor][why][1]))
+    posted = F.upper("method") == "POST" if edge and "method" in requests.columns else F.lit(False)
     rules = [
-        *([(F.col("method") != "GET", 405, F.lit("Method Not Allowed"))] if edge and "method" in requests.columns else []),
-        (F.col("path").isNull(), 500, F.lit("Invalid event configuration")),
-        (~F.col("ok"), 404 if edge else 400, F.lit("Invalid URL" if edge else "Invalid tile URL")),
-        (F.col("archive").isNull(), 404 if edge else 403, F.lit("Archive not found" if edge else "Bucket access unauthorized")),
-        *([(tileset & F.lit(not hostname), 501, F.lit("PUBLIC_HOSTNAME must be set for TileJSON"))]),
+        (posted, 405, F.lit("")),
+        (F.col("path").isNull(), *said("no path")),
+        (~F.col("ok"), *said("bad path")),
+        (F.col("archive").isNull(), *said("no archive")),
+        *([] if hostname else [(tileset, NO_HOST[0], F.lit(NO_HOST[1]))]),
         (tileset, 200, tile_json(F.concat(F.lit(f"https://{hostname or ''}/"), F.col("name")), "json")),
         ((F.col("z") < F.col("min_zoom")) | (F.col("z") > F.col("max_zoom")), 404, F.lit("")),
         (_wrong_type(REQUEST_EXTENSIONS), 400, wrong),
@@ -55,6 +69,7 @@ def serve(requests: DataFrame, archives: DataFrame, hostname: str | None = None,
         status = F.when(condition, code) if status is None else status.when(condition, code)
         message = F.when(condition, text) if message is None else message.when(condition, text)
     rows = rows.withColumn("status", status.otherwise(200)).withColumn("message", message.otherwise(""))
+    cached = F.coalesce(F.col("ok"), F.lit(False)) & ~F.coalesce(posted, F.lit(False))
     is_tile = (F.col("status") == 200) & F.col("z").isNotNull()
     if origins and "origin" in requests.columns:
         allow = allowed_origin(F.lit(origins), "origin")
@@ -63,27 +78,59 @@ def serve(requests: DataFrame, archives: DataFrame, hostname: str | None = None,
     return rows.select(
         *requests.columns, "name", "z", "x", "y", "ext", F.when(is_tile, try_tile_id("z", "x", "y")).alias("tile_id"), F.when(is_tile, F.col("archive")).alias("archive"), "status", "message",
         F.when(is_tile, media_type("tile_type", flavor)).when((F.col("status") == 200), F.lit("application/json")).alias("content_type"),
-        F.when(F.col("status") == 200, F.lit(CACHE_CONTROL)).alias("cache_control"), allow.alias("allow_origin"),
+        F.when(cached if edge else is_tile, F.lit(CACHE_CONTROL)).alias("cache_control"), allow.alias("allow_origin"),
+        F.when(cached & F.lit(edge), F.lit("Origin")).alias("vary"),
     )
 
 
-def with_tiles(answers: DataFrame, tiles: DataFrame) -> DataFrame:
+def with_tiles(answers: DataFrame, tiles: DataFrame, archives: DataFrame | None = None, postprocess: Callable[[bytes, int], bytes] | None = None, gateway: bool = False, flavor: str = "lambda") -> DataFrame:
     """Answers with data and etag of their tiles (archive, tile_id, data); 204 where there is none.
 
-    At the edge an empty answer keeps its media type; else it has none.
+    What is sent is decompressed: ``archives`` (headers) says how ``tiles`` are compressed;
+    without it they must have been read with ``decompress``. ``postprocess`` gets the
+    decompressed bytes and the tile type (which needs ``archives``). The tag is of the bytes
+    after that. Behind a ``gateway`` they are sent as gzip, with ``content_encoding``. At
+    the edge an empty answer keeps its headers; else it has none.
     """
+    if postprocess is not None and archives is None:
+        raise ValueError("what is done to tiles depends on their archives' headers")
     found = tiles.select("archive", "tile_id", "data")
+    if archives is not None:
+        codes = archives.select("archive", F.col("tile_compression").cast("int").alias("_code"), F.col("tile_type").cast("int").alias("_type"))
+        found = found.join(codes, "archive").select("archive", "tile_id", _prepared(postprocess)("data", "_code", "_type").alias("data"))
     rows = answers.join(found, ["archive", "tile_id"], "left")
     asked = F.col("archive").isNotNull()
     gone = asked & F.col("data").isNull()
+    kept = ~gone | F.lit(flavor == "edge")
+    sent = asked & ~gone
     return rows.select(
         *[c for c in answers.columns if c not in ("status", "content_type", "cache_control")], F.when(gone, 204).otherwise(F.col("status")).alias("status"),
-        F.when(~gone, F.col("content_type")).alias("content_type"), F.when(~gone, F.col("cache_control")).alias("cache_control"),
-        "data", F.when(asked & ~gone, entity_tag("data")).alias("etag"),
+        F.when(kept, F.col("content_type")).alias("content_type"), F.when(kept, F.col("cache_control")).alias("cache_control"),
+        F.when(sent & F.lit(gateway), F.lit("gzip")).alias("content_encoding"), (_gzipped()("data") if gateway else F.col("data")).alias("data"),
+        F.when(sent, entity_tag("data")).alias("etag"),
     )
 
 
-def protocol(requests: DataFrame, archives: DataFrame, error_on_missing: bool = False) -> DataFrame:
+def _prepared(postprocess: Callable[[bytes, int], bytes] | None):
+    """Decompressed bytes by compression, and what ``postprocess`` makes of them by tile type."""
+
+    @F.pandas_udf("binary")
+    def prepare(data: pd.Series, code: pd.Series, kind: pd.Series) -> pd.Series:
+        plain = [None if d is None else decompress(d, int(c)) for d, c in zip(data, code)]
+        return pd.Series([d if d is None or postprocess is None else postprocess(d, int(k)) for d, k in zip(plain, kind)], dtype=object)
+
+    return prepare
+
+
+def _gzipped():
+    @F.pandas_udf("binary")
+    def pack(data: pd.Series) -> pd.Series:
+        return data.map(lambda d: None if d is None else compress(d, 2))
+
+    return pack
+
+
+def protocol(requests: DataFrame, archives: DataFrame, scheme: str, error_on_missing: bool = False) -> DataFrame:
     """Requests of map clients (url ``scheme://archive/z/x/y``) with state and address.
 
     state: INVALID (no such URL), OUTSIDE (beyond the zooms) or FOUND (to be looked up);
@@ -91,7 +138,7 @@ def protocol(requests: DataFrame, archives: DataFrame, error_on_missing: bool =
     ``missing`` is what the client gets: empty bytes or an error for vector tiles,
     nothing for pictures.
     """
-    rows = requests.withColumn("_u", parse_tile_url("url"))
+    rows = requests.withColumn("_u", parse_tile_url("url", scheme))
     rows = rows.select(*requests.columns, F.col("_u.url").alias("name"), "_u.z", "_u.x", "_u.y")
     known = archives.withColumn("bounds_valid", bounds_are_valid()).select(F.col("name").alias("_name"), "archive", "tile_type", "min_zoom", "max_zoom", "bounds_valid")
     rows = rows.join(known, F.col("name") == F.col("_name"), "left").drop("_name")

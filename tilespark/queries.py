@@ -6,7 +6,6 @@ import json
 import math
 import os
 import struct
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -18,6 +17,8 @@ from tilespark.operators import build, inspect, lookup, navigate
 from tilespark.plans import convert, serve
 from tilespark.session import register
 from tilespark.shared import shared_dir
+from tilespark.sources.archive import read_archives, read_tiles
+from tilespark.sources.codec import compress, decompress
 from tilespark.sources.database import read_tree, write_tree
 from tilespark.sources.sink import write_archives
 
@@ -36,9 +37,11 @@ def query(sql: str | None = None):
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder for files that Python writes: in the shared folder if that is a mounted one."""
+    """A new folder for files that Python writes, in the shared folder, which must be a mounted one."""
     base = shared_dir(spark).removeprefix("file://")
-    return f"{base if base.startswith('/') else tempfile.gettempdir()}/tilespark-{uuid.uuid4().hex}"
+    if not base.startswith("/"):
+        raise ValueError(f"{base} is not a mounted folder: archives cannot be written there")
+    return f"{base}/tilespark-{uuid.uuid4().hex}"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,8 +76,8 @@ def event_points(spark, d):
 
 
 def requests(spark, d):
-    most = _table(spark, d, "events").agg(F.max("event_id").alias("m"))
-    return _table(spark, d, "events").join(F.broadcast(most)).select(F.col("event_id").alias("request_id"), F.expr("(event_id * 31) % (m * 2)").alias("tile_id"))
+    most = _table(spark, d, "events").agg(F.max("event_id")).scalar()
+    return _table(spark, d, "events").select(F.col("event_id").alias("request_id"), ((F.col("event_id") * 31) % (most * 2)).alias("tile_id"))
 
 
 def event_runs(spark, d):
@@ -83,8 +86,8 @@ def event_runs(spark, d):
 
 ADDRESSES = """addr AS (SELECT DISTINCT z, (n * 7919) % (1::BIGINT << z) AS x, (n * 104729) % (1::BIGINT << z) AS y
   FROM (SELECT n, CAST(n % 15 AS INTEGER) AS z FROM (SELECT l_orderkey * 8 + l_linenumber AS n FROM lineitem)))"""
-WALK = f"""WITH RECURSIVE {ADDRESSES},
-walk(z, x, y, level, d, s, f) AS (
+GRID = "addr AS (SELECT z, x, y FROM range(0, 10) a(z), range(0, 512) b(x), range(0, 512) c(y) WHERE x < (1 << z) AND y < (1 << z))"
+STEPS = """walk(z, x, y, level, d, s, f) AS (
   SELECT z, x, y, z, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM addr
   UNION ALL
   SELECT z, x, y, level - 1, d * 4 + xor(3 * p, q), xor(s, 1 - q), xor(f, (1 - q) * p) FROM (
@@ -92,6 +95,7 @@ walk(z, x, y, level, d, s, f) AS (
       SELECT *, xor((x >> (level - 1)) & 1, f) AS a, xor((y >> (level - 1)) & 1, f) AS b FROM walk WHERE level > 0))),
 ids AS (SELECT z, x, y, ((1::BIGINT << (2 * z)) - 1) // 3 + d AS tile_id FROM walk WHERE level = 0)
 """
+WALK = f"WITH RECURSIVE {ADDRESSES},\n{STEPS}"
 
 
 @query(WALK + "SELECT z, x, y, tile_id FROM ids")
@@ -273,17 +277,20 @@ def tile_bbox(spark, d):
     return rows.select("z", "x", "y", *[F.round(f"b.{n}", 6).alias(n) for n in ("west", "south", "east", "north")])
 
 
-BOXES = "boxes AS (SELECT event_id, lon AS west, greatest(lat, -80) - 0.3 AS south, least(lon + 0.7, 179.9) AS east, least(lat, 80) AS north FROM points WHERE lon < 179)"
+BOXES = """box AS (SELECT event_id, lon AS west, greatest(lat, -80) - 0.3 AS south, lon + 0.7 AS east, least(lat, 80) AS north FROM points),
+boxes AS (SELECT event_id, west, south, least(east, 180) AS east, north FROM box UNION ALL SELECT event_id, -180, south, east - 360, north FROM box WHERE east > 180)"""
 COVER = f"""{POINTS}, {BOXES},
-corners AS (SELECT event_id, z, CAST(floor((west + 180) / 360 * (1 << z)) AS BIGINT) AS x0, CAST(floor((east + 180) / 360 * (1 << z)) AS BIGINT) AS x1,
+corners AS (SELECT event_id, z, CAST(floor((west + 180) / 360 * (1 << z)) AS BIGINT) AS x0, CAST(floor((east - 1e-11 + 180) / 360 * (1 << z)) AS BIGINT) AS x1,
   CAST(floor((0.5 - ln((1 + sin(radians(north))) / (1 - sin(radians(north)))) / (4 * pi())) * (1 << z)) AS BIGINT) AS y0,
   CAST(floor((0.5 - ln((1 + sin(radians(south))) / (1 - sin(radians(south)))) / (4 * pi())) * (1 << z)) AS BIGINT) AS y1
   FROM boxes, (VALUES (4), (5), (6), (7), (8)) t(z) WHERE south < north),
-cover AS (SELECT event_id, z, x, unnest(range(y0, y1 + 1)) AS y FROM (SELECT *, unnest(range(x0, x1 + 1)) AS x FROM corners))"""
+cover AS (SELECT DISTINCT event_id, z, x, unnest(range(y0, y1 + 1)) AS y FROM (SELECT *, unnest(range(x0, x1 + 1)) AS x FROM corners))"""
 
 
 def _boxes(spark, d):
-    rows = event_points(spark, d).where("lon < 179").select("event_id", F.col("lon").alias("west"), (F.greatest("lat", F.lit(-80.0)) - 0.3).alias("south"), F.least(F.col("lon") + 0.7, F.lit(179.9)).alias("east"), F.least("lat", F.lit(80.0)).alias("north"))
+    """A box at every point; those over the antimeridian have their east west of their west."""
+    east = F.when(F.col("lon") + 0.7 > 180, F.col("lon") + 0.7 - 360).otherwise(F.col("lon") + 0.7)
+    rows = event_points(spark, d).select("event_id", F.col("lon").alias("west"), (F.greatest("lat", F.lit(-80.0)) - 0.3).alias("south"), east.alias("east"), F.least("lat", F.lit(80.0)).alias("north"))
     return rows.where("south < north")
 
 
@@ -312,7 +319,9 @@ def archive_scan(spark, d):
 
 @query("SELECT doc_id AS tile_id, sha256(text) AS hash FROM documents WHERE doc_id IN (0, 1, 17, 84, 199)")
 def archive_point_get(spark, d):
-    return _doc_archive(spark, d).load().where("tile_id IN (0, 1, 17, 84, 199)").select("tile_id", F.sha2("data", 256).alias("hash"))
+    out = scratch(spark)
+    write_archives(doc_tiles(spark, d).where("octet_length(data) > 0").select("tile_id", "data"), out, 2)
+    return read_tiles(spark, out, tile_id=[0, 1, 17, 84, 199]).select("tile_id", F.sha2("data", 256).alias("hash"))
 
 
 @query("SELECT count(*) AS addressed, count(DISTINCT text) AS contents, CAST(n AS BIGINT) AS bytes FROM documents, (SELECT sum(octet_length(encode(text))) AS n FROM (SELECT DISTINCT text FROM documents)) GROUP BY n")
@@ -354,7 +363,7 @@ def tile_paths(spark, d):
     )
 
 
-ROUTE = r"^/([0-9a-zA-Z/!\-_.*''()]+)/(\d+)/(\d+)/(\d+).([a-z]+)$"
+ROUTE = paths.TILE_PATH.replace("'", "''")
 
 
 @query(f"""WITH {PATHS} SELECT event_id, tile OR tileset AS ok, CASE WHEN tile THEN regexp_extract(path, '{ROUTE}', 1) WHEN tileset THEN path[2:-6] ELSE '' END AS name,
@@ -376,8 +385,8 @@ def serve_status(spark, d):
 @query(f"""WITH {KINDS} SELECT event_id, coalesce(name, '') AS name, coalesce(z, -1) AS z, CASE WHEN event_id % 11 = 9 THEN 'INVALID' WHEN max_zoom IS NULL OR z > max_zoom THEN 'OUTSIDE' ELSE 'FOUND' END AS state
 FROM (SELECT event_id, CASE WHEN event_id % 11 <> 9 THEN event_type END AS name, CASE WHEN event_id % 11 <> 9 THEN event_id % 13 END AS z FROM events) LEFT JOIN archives USING (name)""")
 def protocol_parse(spark, d):
-    url = F.expr(f"CASE WHEN event_id % 11 = 9 THEN 'http://x' ELSE '{paths.PROTOCOL}://' || event_type || '/' || (event_id % 13) || '/0/0' END")
-    return serve.protocol(_table(spark, d, "events").select("event_id", url.alias("url")), _archives(spark)).select("event_id", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("z", F.lit(-1)).alias("z"), "state")
+    url = F.expr("CASE WHEN event_id % 11 = 9 THEN 'http://x' ELSE 'tiles://' || event_type || '/' || (event_id % 13) || '/0/0' END")
+    return serve.protocol(_table(spark, d, "events").select("event_id", url.alias("url")), _archives(spark), "tiles").select("event_id", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("z", F.lit(-1)).alias("z"), "state")
 
 
 @query("""SELECT i, CAST(trunc(w * 1e7) AS INTEGER) AS min_lon_e7, CAST(trunc(s * 1e7) AS INTEGER) AS min_lat_e7, CAST(trunc(e * 1e7) AS INTEGER) AS max_lon_e7, CAST(trunc(n * 1e7) AS INTEGER) AS max_lat_e7, clon AS center_lon_e7, clat AS center_lat_e7, czoom AS center_zoom
@@ -394,9 +403,11 @@ def metadata_rows(spark, d):
     return convert.metadata_rows(rows.drop("json", "name"), rows.select("archive", "json")).select("name", "value")
 
 
-@query("""SELECT event_id, '"' || sha256(event_type) || '"' AS etag, CASE WHEN event_id < 1024 THEN event_id || ' B' ELSE printf('%.1f', event_id / 1024) || ' KB' END AS size FROM events WHERE event_id < 1000000""")
+@query("""SELECT event_id, '"' || sha256(event_type) || '"' AS etag, CASE WHEN i = 0 THEN size || ' Bytes' ELSE
+  rtrim(rtrim(printf('%.2f', floor(size / power(1024, i) * 100 + 0.5) / 100), '0'), '.') || ' ' || ['KiB', 'MiB', 'GiB', 'TiB'][i] END AS size
+FROM (SELECT *, CASE WHEN size < 1024 THEN 0 WHEN size < 1048576 THEN 1 WHEN size < 1073741824 THEN 2 WHEN size < 1099511627776 THEN 3 ELSE 4 END AS i FROM (SELECT *, event_id * event_id * 41 AS size FROM events))""")
 def tags_and_sizes(spark, d):
-    return _table(spark, d, "events").where("event_id < 1000000").select("event_id", facts.entity_tag(F.col("event_type").cast("binary")).alias("etag"), facts.format_bytes("event_id").alias("size"))
+    return _table(spark, d, "events").select("event_id", facts.entity_tag(F.col("event_type").cast("binary")).alias("etag"), facts.format_bytes(F.expr("event_id * event_id * 41")).alias("size"))
 
 
 @query("SELECT * FROM (VALUES (256, 0), (512, 1), (16384, 6), (21600, 7)) t(width, zoom)")
@@ -482,12 +493,13 @@ def terrain_elevation(spark, d):
     return _table(spark, d, "orders").select("o_orderkey", mercator.elevation(F.expr("o_orderkey % 256"), F.expr("o_custkey % 256"), F.expr("o_orderkey % 64")).alias("metres"))
 
 
-@query("""SELECT p_partkey, (SELECT max(f) FROM (VALUES (2), (4), (8), (16)) t(f) WHERE f <= power(2, 9 - p_size % 10) / 4) AS factor,
-  (SELECT max(i) FROM (VALUES (2, 0), (4, 1), (8, 2), (16, 3)) t(f, i) WHERE f <= power(2, 9 - p_size % 10) / 4) AS level FROM part WHERE p_size % 10 < 7""")
+@query("""SELECT p_partkey, coalesce((SELECT max(f) FROM (VALUES (2), (4), (8), (16)) t(f) WHERE f <= power(2, 9 - p_size % 10) / 4), -1) AS factor,
+  coalesce((SELECT max(i) FROM (VALUES (2, 0), (4, 1), (8, 2), (16, 3)) t(f, i) WHERE f <= power(2, 9 - p_size % 10) / 4), -1) AS level FROM part""")
 def overview_choice(spark, d):
+    """-1 where no overview fits, so that the full picture is read."""
     factors = F.array(*[F.lit(f) for f in (2, 4, 8, 16)])
-    rows = _table(spark, d, "part").where("p_size % 10 < 7")
-    return rows.select("p_partkey", mercator.best_overview(factors, F.expr("p_size % 10"), F.lit(9)).alias("level")).withColumn("factor", F.get(factors, "level")).select("p_partkey", "factor", "level")
+    rows = _table(spark, d, "part").select("p_partkey", mercator.best_overview(factors, F.expr("p_size % 10"), F.lit(9)).alias("level"))
+    return rows.select("p_partkey", F.coalesce(F.get(factors, "level"), F.lit(-1)).alias("factor"), F.coalesce("level", F.lit(-1)).alias("level"))
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE c_custkey % 5 END AS min_zoom, CASE WHEN c_custkey % 4 = 0 THEN 31 ELSE c_custkey % 5 + 7 END AS max_zoom FROM customer""")
@@ -529,14 +541,20 @@ def metadata_validation(spark, d):
     return _table(spark, d, "nation").withColumn("tile_type", F.lit(1)).select("n_nationkey", F.array_join(facts.metadata_faults(json_), ",").alias("faults"))
 
 
-@query(f"""WITH {PATHS}, {KINDS}
-SELECT event_id, CASE WHEN event_id % 6 = 0 THEN 405 WHEN path = 'junk' OR archive IS NULL THEN 404 WHEN path LIKE '%.json' THEN 200 WHEN z > max_zoom THEN 404
+@query(f"""WITH {PATHS}, {KINDS},
+answers AS (SELECT event_id, event_id % 6 = 0 AS posted, path, tile_type, CASE WHEN event_id % 6 = 0 THEN 405 WHEN path = 'junk' OR archive IS NULL THEN 404 WHEN path LIKE '%.json' THEN 200 WHEN z > max_zoom THEN 404
   WHEN tile_type <> 0 AND tile_type <> CASE ext WHEN 'mvt' THEN 1 WHEN 'png' THEN 2 WHEN 'jpg' THEN 3 ELSE 4 END THEN 400 ELSE 200 END AS status
 FROM (SELECT p.event_id, path, a.name AS archive, a.tile_type, a.max_zoom, try_cast(split_part(path, '/', 3) AS BIGINT) AS z, split_part(path, '.', 2) AS ext
-  FROM paths p LEFT JOIN archives a ON split_part(split_part(path, '/', 2), '.', 1) = a.name)""")
+  FROM paths p LEFT JOIN archives a ON split_part(split_part(path, '/', 2), '.', 1) = a.name))
+SELECT event_id, status, CASE WHEN posted OR path = 'junk' THEN '' ELSE 'public, max-age=86400' END AS cache_control, CASE WHEN posted OR path = 'junk' THEN '' ELSE 'Origin' END AS vary,
+  CASE WHEN event_id % 5 = 0 THEN 'http://a' ELSE '' END AS allow_origin,
+  CASE WHEN status <> 200 THEN '' WHEN path LIKE '%.json' THEN 'application/json' ELSE ['', 'application/x-protobuf', 'image/png', 'image/jpeg', 'image/webp'][tile_type + 1] END AS content_type FROM answers""")
 def edge_status(spark, d):
-    asked = tile_paths(spark, d).withColumn("method", F.expr("CASE WHEN event_id % 6 = 0 THEN 'POST' ELSE 'GET' END"))
-    return serve.serve(asked, _archives(spark), "example.com", "edge").select("event_id", "status")
+    """Requests of all methods, some of an origin that is let in."""
+    asked = tile_paths(spark, d).withColumn("method", F.expr("element_at(array('POST', 'GET', 'HEAD', 'OPTIONS', 'PUT', 'get'), cast(event_id % 6 AS int) + 1)"))
+    asked = asked.withColumn("origin", F.expr("CASE WHEN event_id % 5 = 0 THEN 'http://a' ELSE 'http://c' END"))
+    answers = serve.serve(asked, _archives(spark), "example.com", "edge", "http://a,http://b")
+    return answers.select("event_id", "status", *[F.coalesce(c, F.lit("")).alias(c) for c in ("cache_control", "vary", "allow_origin", "content_type")])
 
 
 @query("SELECT CAST(n_nationkey AS BIGINT) AS tile_id, n_name AS text, CASE WHEN n_regionkey = 0 AND n_nationkey = 0 THEN 404 WHEN n_regionkey = 0 THEN 204 ELSE 200 END AS status FROM nation")
@@ -572,14 +590,117 @@ def layer_visibility(spark, d):
     return shown.groupBy(F.col("layer").alias("id")).agg(F.count("*").cast("int").alias("features"))
 
 
-@query("SELECT count(*) AS tiles, CAST(round(sum(west) , 3) AS DOUBLE) AS west FROM (SELECT event_id / 1.0 * 0 - 180 AS west FROM events WHERE event_id = 0)")
+@query(f"""WITH RECURSIVE {GRID}, {STEPS},
+{DAY_TILES}, {DEDUPE}, {RUNS},
+tiles_of AS (SELECT tile_id AS entry, run_length, unnest(range(tile_id, tile_id + run_length)) AS i FROM runs)
+SELECT entry AS tile_id, CAST((i - entry) // 64 AS INTEGER) AS part, count(*) AS points, round(sum((x + 0.5) / (1::BIGINT << z) * 360 - 180), 4) AS lon,
+  round(sum(degrees(atan(sinh(pi() * (1 - 2 * (y + 0.5) / (1::BIGINT << z)))))), 4) AS lat
+FROM tiles_of JOIN ids ON i = ids.tile_id WHERE run_length > 1 GROUP BY entry, (i - entry) // 64
+UNION ALL SELECT entry, 0, 1, round(x / (1::BIGINT << z) * 360 - 180, 4), round(degrees(atan(sinh(pi() * (1 - 2 * (y + 1) / (1::BIGINT << z))))), 4) FROM tiles_of JOIN ids ON i = ids.tile_id WHERE run_length = 1""")
 def entry_outlines(spark, d):
-    """The outline of the entry that holds the whole world's tile."""
-    entries = spark.createDataFrame([(0, 1), (1, 4)], "tile_id long, run_length long")
-    lines = navigate.entry_lines(entries)
-    return lines.where("run_length = 1").agg(F.count("*").alias("tiles"), F.round(F.sum("box.west"), 3).alias("west"))
+    """Outlines of all entries: lines of runs in parts of 64 tiles, by their number of points and the sums of these; boxes by a corner."""
+    lines = navigate.entry_lines(event_runs(spark, d), 64)
+    total = lambda n: F.aggregate("line", F.lit(0.0), lambda a, p: a + p[n])
+    single = F.col("box").isNotNull()
+    return lines.select(
+        "tile_id", "part", F.when(single, 1).otherwise(F.size("line")).cast("long").alias("points"),
+        F.round(F.when(single, F.col("box.west")).otherwise(total("lon")), 4).alias("lon"), F.round(F.when(single, F.col("box.south")).otherwise(total("lat")), 4).alias("lat"),
+    )
+
+
+@query(f'WITH {DOC_TILES}, {DEDUPE}, {RUNS} SELECT tile_id, "offset", length, run_length, 0 AS past FROM runs')
+def archive_entries(spark, d):
+    """The directory of one archive, with places in the file: all tile data lie side by side behind the first."""
+    entries = _doc_archive(spark, d, 1).option("table", "entries").load().where("run_length > 0")
+    first = entries.agg(F.min("abs_offset")).scalar()
+    return entries.select("tile_id", "offset", "length", "run_length", (F.col("abs_offset") - F.col("offset") - first).cast("int").alias("past"))
+
+
+@query(f"""WITH RECURSIVE {GRID}, {STEPS},
+{DOC_TILES}, {DEDUPE}, {RUNS} SELECT runs.tile_id, z, x, y, "offset", length FROM runs JOIN ids USING (tile_id) ORDER BY z, x, y DESC LIMIT 500""")
+def archive_tms_order(spark, d):
+    """Entries of an archive in the order of tile databases."""
+    entries = _doc_archive(spark, d, 1).option("table", "entries").load().where("run_length > 0")
+    t = entries.withColumn("t", hilbert.try_zxy("tile_id")).select("tile_id", F.col("t.z").cast("long").alias("z"), "t.x", "t.y", "offset", "length")
+    return inspect.tms_order(t).limit(500)
+
+
+@query("SELECT 'documents' AS name, '1.0.0' AS version, CAST(count(*) AS BIGINT) AS archives FROM range(2)")
+def archive_metadata(spark, d):
+    rows = _doc_archive(spark, d).option("table", "metadata").load()
+    return rows.groupBy(facts.metadata_value("json", "name").alias("name"), facts.metadata_value("json", "version").alias("version")).agg(F.count("*").alias("archives"))
+
+
+@query("SELECT doc_id AS tile_id, sha256(text) AS hash FROM documents WHERE octet_length(encode(text)) > 0")
+def archive_in_memory(spark, d):
+    """Archives that are values of a BINARY column."""
+    out = scratch(spark)
+    write_archives(doc_tiles(spark, d).where("octet_length(data) > 0").select("tile_id", "data"), out, 4)
+    files = spark.read.format("binaryFile").load(f"file://{out}").select(F.col("path").alias("archive"), F.col("content").alias("data"))
+    return read_archives(files).select("tile_id", F.sha2("data", 256).alias("hash"))
+
+
+@query("SELECT doc_id AS tile_id, sha256(text) AS hash FROM documents WHERE octet_length(encode(text)) > 0 AND (doc_id = 5 OR doc_id >= 85)")
+def archive_pruned_scans(spark, d):
+    """Three scans of the same archives for different tiles: one address, a range of ids, and a zoom."""
+    out = scratch(spark)
+    write_archives(doc_tiles(spark, d).where("octet_length(data) > 0").select("tile_id", "data"), out, 2)
+    one, range_, zoom = read_tiles(spark, out, z=2, x=0, y=0), read_tiles(spark, out, from_id=341), read_tiles(spark, out, z=4)
+    return one.unionAll(range_).unionAll(zoom).select("tile_id", F.sha2("data", 256).alias("hash"))
 
 
+@query("""SELECT p_partkey, ['', 'application/vnd.mapbox-vector-tile', 'image/png', 'image/jpeg', 'image/webp', 'image/avif', '', ''][k + 1] AS lambda,
+  ['', 'application/x-protobuf', 'image/png', 'image/jpeg', 'image/webp', '', '', ''][k + 1] AS edge, ['', '', 'image/png', 'image/jpeg', 'image/webp', 'image/avif', '', ''][k + 1] AS protocol,
+  ['unknown', 'none', 'gzip', 'brotli', 'zstd', 'out of spec', 'out of spec', 'out of spec'][k + 1] AS compression FROM (SELECT p_partkey, CAST(p_partkey % 8 AS INTEGER) AS k FROM part)""")
+def media_types(spark, d):
+    k = F.expr("p_partkey % 8")
+    return _table(spark, d, "part").select("p_partkey", *[F.coalesce(facts.media_type(k, flavor), F.lit("")).alias(flavor) for flavor in ("lambda", "edge", "protocol")], facts.compression_name(k).alias("compression"))
+
+
+@query(f"""WITH {DAY_TILES}, {DEDUPE}, {RUNS},
+leaf AS (SELECT min(tile_id) AS tile_id FROM (SELECT tile_id, (row_number() OVER (ORDER BY tile_id) - 1) // 4 AS leaf FROM runs) GROUP BY leaf),
+span AS (SELECT tile_id, coalesce(lead(tile_id) OVER (ORDER BY tile_id), 9223372036854775807) AS after FROM leaf)
+SELECT event_id * 31 AS tile_id, coalesce(s.tile_id, -1) AS entry_id FROM events LEFT JOIN span s ON event_id * 31 >= s.tile_id AND event_id * 31 < s.after""")
+def leaf_of_tile(spark, d):
+    """Which leaf directory to read for each id: look-ups in a root of pointers."""
+    root = build.leaves(event_runs(spark, d), 4).select(F.col("first_id").alias("tile_id"), F.lit(0).cast("long").alias("offset"), F.lit(1).cast("long").alias("length"), F.lit(0).cast("long").alias("run_length"))
+    asked = _table(spark, d, "events").select((F.col("event_id") * 31).alias("tile_id"))
+    return lookup.lookup(asked, root, pointers=True).select("tile_id", F.coalesce("entry_id", F.lit(-1)).alias("entry_id"))
+
+
+@query("""SELECT CAST(n_nationkey AS BIGINT) AS tile_id, '"' || sha256('new ' || n_name) || '"' AS etag, 'gzip' AS content_encoding, sha256('new ' || n_name) AS hash, 200 AS status FROM nation""")
+def gateway_tiles(spark, d):
+    """Tiles that are stored as zstd, changed on their way, and sent as gzip: tag and bytes are of what the client unpacks."""
+    out = scratch(spark)
+    nations = _table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("tile_id"), "n_name")
+    packed = _recompressed(1, 4)(F.col("n_name").cast("binary"))
+    write_archives(nations.select("tile_id", packed.alias("data")), out, 1, tile_compression="4", tile_type="1")
+    read = register(spark).read.format("tile_archive").option("path", out)
+    archives = read.option("table", "header").load().withColumn("name", F.lit("n")).withColumn("json", F.lit("{}"))
+    t = hilbert.tile_id_to_zxy("tile_id")
+    asked = nations.withColumn("t", t).select(F.col("tile_id").alias("asked"), F.format_string("/n/%d/%d/%d.mvt", "t.z", "t.x", "t.y").alias("path"))
+    answers = serve.with_tiles(serve.serve(asked, archives), read.option("table", "tiles").load(), archives, lambda data, kind: b"new " + data if kind == 1 else data, gateway=True)
+    return answers.select(F.col("asked").alias("tile_id"), "etag", "content_encoding", F.sha2(_recompressed(2, 1)("data"), 256).alias("hash"), "status")
+
+
+def _recompressed(old: int, new: int):
+    @F.pandas_udf("binary")
+    def pack(values):
+        return values.map(lambda data: compress(decompress(data, old), new))
+
+    return pack
+
+
+@query("SELECT doc_id AS tile_id, sha256(text) AS hash FROM documents WHERE octet_length(encode(text)) > 0 AND doc_id < 85")
+def database_max_zoom(spark, d):
+    """A tile database converted up to zoom 3: ids below 85. Its vector tiles come out as gzip."""
+    register(spark)
+    out, back = f"{scratch(spark)}/set.mbtiles", scratch(spark)
+    tiles = doc_tiles(spark, d).where("octet_length(data) > 0").withColumn("t", hilbert.tile_id_to_zxy("tile_id")).select("t.z", "t.x", "t.y", "data")
+    tiles.coalesce(1).write.format("tile_database").mode("append").options(path=out, metadata='{"format":"pbf","minzoom":"0","maxzoom":"9"}').save()
+    convert.database_to_archive(spark, out, back, max_zoom=3)
+    return spark.read.format("tile_archive").option("path", back).load().select("tile_id", F.sha2(_recompressed(2, 1)("data"), 256).alias("hash"))
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)

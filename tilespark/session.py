@@ -6,12 +6,11 @@ from pyspark.sql import SparkSession
 
 
 def register(spark: SparkSession) -> SparkSession:
-    """Make the formats known and let filters reach them. Safe to call again."""
+    """Make the formats known. Safe to call again."""
     from tilespark.sources.archive import TileArchive
     from tilespark.sources.archive_v2 import TileArchiveV2
     from tilespark.sources.database import TileDatabase
 
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for source in (TileArchive, TileArchiveV2, TileDatabase):
         spark.dataSource.register(source)
     return spark

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+import re
 import tempfile
 import uuid
 from typing import Any
@@ -14,12 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the session names none (tests, a single machine) is a local folder
-    set, and the session keeps it, so that later calls use the same one.
+    Only where the session names none and runs on one machine (tests) is a local folder
+    set, and the session keeps it, so that later calls use the same one; a cluster whose
+    session names none is an error, as each machine would write to its own disk.
     """
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tilespark-')}")
         found = context.getCheckpointDir()
     return found.rstrip("/")

@@ -1,16 +1,17 @@
 """``spark.read.format("tile_archive")``: headers, metadata, entries and tiles of archives.
 
-Planning reads each archive's header and root directory once (one read of 16 KiB).
-Each leaf directory, and each stretch of root entries, is a partition, so an archive
-spreads over the cluster, and filters on archive, tile_id, z, x and y leave out the
-leaves, and inside them the entries, that cannot match. Tiles are read in order of
+Planning reads each archive's header and root directory once (one read of 16 KiB), those
+of many archives side by side. Neighbouring leaf directories, as many as stand for about
+128 MiB of tiles, and each stretch of root entries are a partition, so an archive spreads
+over the cluster; what ``read_tiles`` is asked for (archive, tile_id, z, x, y) leaves out
+the leaves, and inside them the entries, that cannot match. Tiles are read in order of
 their place, neighbouring ones in one read.
 
 Options: ``path`` (a file, a folder, or several parted by commas; folders are searched
 for archives), ``table`` (tiles, entries, header, metadata), ``version`` (2 for old
 archives), ``mode`` (FAILFAST or PERMISSIVE: unreadable archives give no rows),
 ``decompress`` (tile bytes are decompressed), ``strict_zoom`` (tiles outside the
-header's zooms are left out; default true).
+header's zooms are left out; default true), ``only`` (what ``read_tiles`` asks for).
 """
 
 from __future__ import annotations
@@ -18,22 +19,30 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from tilespark.functions.hilbert import END, LEVEL_STARTS, MAX_ZOOM, _decode, _encode
 from tilespark.schema import ENTRIES, FIRST_READ_BYTES, HEADER, MAX_DEPTH, METADATA, TILES
 from tilespark.sources.codec import ArchiveError, ChangedError, DirectoryError, decode_directory, decode_header, decompress
-from tilespark.sources.ranges import open_ranges
+from tilespark.sources.ranges import BytesRanges, Kept, open_ranges
 from tilespark.sources.sink import ArchiveWriter
 
+#: Headers and root directories that this process has decoded, by path and version.
+ROOTS = Kept(100)
+#: Archives whose headers are read at the same time.
+HEADER_READS = 32
 TABLES = {"tiles": TILES, "entries": ENTRIES, "header": HEADER, "metadata": METADATA}
 #: Addressed tiles of one partition, tiles of one batch, bytes of one read.
 PART_TILES, BATCH_TILES, READ_BYTES = 1 << 16, 1 << 12, 1 << 23
+#: About so many bytes of tiles stand below the leaves of one partition.
+PART_BYTES = 1 << 27
 
 
 def archives_in(path: str) -> list[str]:
@@ -49,7 +58,7 @@ def archives_in(path: str) -> list[str]:
 
 @dataclass
 class Part(InputPartition):
-    """Entries of one archive: some of the root's, or one leaf (and what is below it)."""
+    """Entries of one archive: some of the root's, or neighbouring leaves (and what is below them)."""
 
     archive: str
     version: str | None
@@ -61,49 +70,32 @@ class Part(InputPartition):
 
 
 class Ranges:
-    """Bounds on tile ids and sets of archives, zooms, columns and rows that filters leave."""
-
-    def __init__(self) -> None:
-        self.low, self.high = 0, END
-        self.only: dict[str, set] = {}
-        self.between: dict[str, list[int]] = {"z": [0, MAX_ZOOM]}
-
-    def take(self, f: Filter) -> bool:
-        """Whether the filter is used up; filters on x and y are used and asked again."""
-        name = f.attribute[0] if len(f.attribute) == 1 else ""
-        if name not in ("archive", "tile_id", "z", "x", "y"):
-            return False
-        if isinstance(f, (EqualTo, In)):
-            values = {f.value} if isinstance(f, EqualTo) else set(f.value)
-            self.only[name] = self.only[name] & values if name in self.only else values
-            return name in ("archive", "tile_id", "z")
-        step = {GreaterThan: (0, 1), GreaterThanOrEqual: (0, 0), LessThan: (1, -1), LessThanOrEqual: (1, 0)}.get(type(f))
-        if step is None or name not in ("tile_id", "z"):
-            return False
-        side, shift = step
-        if name == "tile_id":
-            if side:
-                self.high = min(self.high, f.value + shift + 1)
-            else:
-                self.low = max(self.low, f.value + shift)
-        else:
-            bound = self.between["z"]
-            bound[side] = (min if side else max)(bound[side], f.value + shift)
-        return True
+    """What a scan is asked for: sets of archives, ids, zooms, columns and rows, and bounds on ids; from the option ``only``.
+
+    It is an option of the scan, and not a filter that Spark pushes down, because scans of one
+    table share what was pushed down last: two filters on it would both read the same part.
+    """
+
+    def __init__(self, only: str | None = None) -> None:
+        asked = json.loads(only or "{}")
+        self.low, self.high = asked.pop("from_id", 0), asked.pop("below_id", END)
+        self.only: dict[str, set] = {name: set(values) for name, values in asked.items()}
+        if unknown := self.only.keys() - {"archive", "tile_id", "z", "x", "y"}:
+            raise ArchiveError(f"a scan cannot be asked for {', '.join(sorted(unknown))}")
 
     def bounds(self, header: dict, strict: bool) -> tuple[int, int]:
         """Ids that can match in an archive with this header."""
-        first, last = self.between["z"]
+        first, last = 0, MAX_ZOOM
         if strict:
             first, last = max(first, header["min_zoom"]), min(last, header["max_zoom"])
-        if zooms := self.only.get("z"):
-            first, last = max(first, min(zooms)), min(last, max(zooms))
+        if "z" in self.only:
+            first, last = max(first, min(self.only["z"], default=1)), min(last, max(self.only["z"], default=0))
         first, last = max(first, 0), min(last, MAX_ZOOM)
         if first > last:
             return 0, 0
         low, high = max(self.low, LEVEL_STARTS[first]), min(self.high, LEVEL_STARTS[last] + 4**last)
-        if ids := self.only.get("tile_id"):
-            low, high = max(low, min(ids)), min(high, max(ids) + 1)
+        if "tile_id" in self.only:
+            low, high = max(low, min(self.only["tile_id"], default=1)), min(high, max(self.only["tile_id"], default=-1) + 1)
         point = [self.only.get(n) for n in ("z", "x", "y")]
         if all(p and len(p) == 1 for p in point):
             z, x, y = (next(iter(p)) for p in point)
@@ -115,58 +107,60 @@ class Ranges:
 
     def keeps(self, ids: np.ndarray) -> np.ndarray:
         keep = np.ones(len(ids), bool)
-        if "tile_id" in self.only:
-            keep &= np.isin(ids, list(self.only["tile_id"]))
-        if "z" in self.only:
-            keep &= np.isin(np.searchsorted(np.array(LEVEL_STARTS, np.int64), ids, "right") - 1, list(self.only["z"]))
+        for name, values in zip(("tile_id", "z", "x", "y"), (ids, *_decode(ids))):
+            if name in self.only:
+                keep &= np.isin(values, list(self.only[name]))
         return keep
 
 
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict, table: str) -> None:
-        self.options, self.table, self.filters = options, table, Ranges()
+        self.options, self.table, self.filters, self.open = options, table, Ranges(options.get("only")), open_ranges
         self.permissive = options.get("mode", "FAILFAST").upper() == "PERMISSIVE"
         self.strict = options.get("strict_zoom", "true").lower() == "true"
 
-    def pushFilters(self, filters: list[Filter]):
-        usable = self.table in ("tiles", "entries")
-        for f in filters:
-            # an entry stands for a run of ids, so only its archive can be asked for here
-            if self.table == "entries" and f.attribute != ("archive",):
-                yield f
-            elif not usable or not self.filters.take(f):
-                yield f
-
-    def _header(self, path: str) -> tuple[dict, bytes, str | None]:
-        source = open_ranges(path)
+    def _root(self, path: str) -> tuple[dict, str | None, np.ndarray]:
+        """Header, version and root directory of an archive; what was decoded before is not decoded again."""
+        source = self.open(path)
         version = source.version()
-        first = source.read(0, FIRST_READ_BYTES)
-        return decode_header(first), first, version
+
+        def load() -> tuple[dict, np.ndarray]:
+            first = source.read(0, FIRST_READ_BYTES)
+            header = decode_header(first)
+            start, length = header["root_offset"], header["root_length"]
+            raw = first[start : start + length] if start + length <= len(first) else source.read(start, length)
+            return header, decode_directory(decompress(raw, header["internal_compression"]))
+
+        header, root = load() if version is None else ROOTS.get((path, version), load)
+        return header, version, root
 
     def partitions(self) -> list[Part]:
         if "path" not in self.options:
             raise ArchiveError("the option path names the archives")
-        parts = []
         wanted = self.filters.only.get("archive")
-        for path in archives_in(self.options["path"]):
-            if wanted is not None and path not in wanted:
-                continue
+        paths = [p for p in archives_in(self.options["path"]) if wanted is None or p in wanted]
+
+        def planned(path: str) -> list[Part]:
             try:
-                parts += self._parts(path)
+                return self._parts(path)
             except ArchiveError:
                 if not self.permissive:
                     raise
-        return parts
+                return []
+
+        with ThreadPoolExecutor(HEADER_READS) as pool:
+            return [part for parts in pool.map(planned, paths) for part in parts]
 
     def _parts(self, path: str) -> list[Part]:
-        header, first, version = self._header(path)
+        header, version, root = self._root(path)
         whole = Part(path, version, header, [])
         if self.table in ("header", "metadata"):
             return [whole]
         low, high = self.filters.bounds(header, self.strict) if self.table == "tiles" else (0, END)
-        start, length = header["root_offset"], header["root_length"]
-        raw = first[start : start + length] if start + length <= len(first) else open_ranges(path).read(start, length)
-        root = decode_directory(decompress(raw, header["internal_compression"]))
+        leaves = int((root[:, 3] == 0).sum())
+        together = max(1, PART_BYTES * leaves // max(header["tile_data_length"], 1))
+        held: list[tuple[int, int, int, int]] = []
+        held_to = 0
         parts, own, size = [], [], 0
         for number, entry in enumerate(root.tolist()):
             tile_id, _, _, run = entry
@@ -177,7 +171,11 @@ class ArchiveReader(DataSourceReader):
             if after <= low or tile_id >= high:
                 continue
             if run == 0:
-                parts.append(replace(whole, entries=[tuple(entry)], low=low, high=min(high, after), depth=1))
+                held.append(tuple(entry))
+                held_to = min(high, after)
+                if len(held) >= together:
+                    parts.append(replace(whole, entries=held, low=low, high=held_to, depth=1))
+                    held = []
                 if self.table == "entries":
                     own.append(tuple(entry))
                 continue
@@ -190,6 +188,8 @@ class ArchiveReader(DataSourceReader):
                 elif size >= PART_TILES:
                     parts.append(replace(whole, entries=own, low=low, high=high))
                     own, size = [], 0
+        if held:
+            parts.append(replace(whole, entries=held, low=low, high=held_to, depth=1))
         if own:
             parts.append(replace(whole, entries=own, low=low, high=high))
         return parts
@@ -197,7 +197,7 @@ class ArchiveReader(DataSourceReader):
     def read(self, part: Part | None) -> Iterator[pa.RecordBatch]:
         if part is None:  # there are no partitions
             return
-        source = open_ranges(part.archive)
+        source = self.open(part.archive)
         if part.version and source.version() != part.version:
             raise ChangedError(f"{part.archive} changed while it was read")
         if self.table == "header":
@@ -261,6 +261,37 @@ class ArchiveReader(DataSourceReader):
             at = upto
 
 
+def read_tiles(spark: SparkSession, path: str, from_id: int | None = None, below_id: int | None = None, options: dict[str, str] | None = None, **only: int | str | list) -> DataFrame:
+    """Tiles of archives, of which only those asked for are read: by ``archive``, ``tile_id``, ``z``, ``x``, ``y`` (a value or a list) and bounds on the id.
+
+    Leaf directories, and byte ranges, that hold none of them are not read.
+    """
+    from tilespark.session import register
+
+    asked: dict = {name: values if isinstance(values, list) else [values] for name, values in only.items()}
+    asked |= {name: value for name, value in (("from_id", from_id), ("below_id", below_id)) if value is not None}
+    return register(spark).read.format("tile_archive").options(path=path, only=json.dumps(asked), **(options or {})).load()
+
+
+def read_archives(archives: DataFrame, table: str = "tiles", **options: str) -> DataFrame:
+    """The ``table`` of archives that are values of a BINARY column: ``archives`` has archive (a name) and data."""
+    schema = TABLES[table]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data in zip(batch.column("archive").to_pylist(), batch.column("data")):
+                reader = ArchiveReader({**options, "path": name}, table)
+                reader.open = lambda _, own=data: BytesRanges(own.as_py())
+                try:
+                    for part in reader._parts(name):
+                        yield from reader.read(part)
+                except ArchiveError:
+                    if not reader.permissive:
+                        raise
+
+    return archives.select("archive", "data").mapInArrow(read, schema)
+
+
 def _blobs(source, base: int, entries: np.ndarray) -> list[bytes]:
     """Bytes of entries; neighbours are read together."""
     out: list[bytes] = [b""] * len(entries)

@@ -7,6 +7,7 @@ import urllib.error
 import urllib.request
 from collections import OrderedDict
 from collections.abc import Callable
+from typing import BinaryIO
 
 from tilespark.sources.codec import ArchiveError, ChangedError
 
@@ -18,15 +19,30 @@ class FileRanges:
         self.path = path.removeprefix("file://")
         if not os.path.exists(self.path):
             raise FileNotFoundError(path)
+        self.file: BinaryIO | None = None
 
     def version(self) -> str:
         found = os.stat(self.path)
         return f"{found.st_mtime_ns}-{found.st_size}"
 
     def read(self, offset: int, length: int) -> bytes:
-        with open(self.path, "rb") as file:
-            file.seek(offset)
-            return file.read(length)
+        if self.file is None:  # kept open: a task reads many ranges of one archive
+            self.file = open(self.path, "rb")  # noqa: SIM115
+        self.file.seek(offset)
+        return self.file.read(length)
+
+
+class BytesRanges:
+    """An archive in memory, such as a value of a BINARY column."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data = data
+
+    def version(self) -> None:
+        return None
+
+    def read(self, offset: int, length: int) -> bytes:
+        return self.data[offset : offset + length]
 
 
 class WebRanges:
@@ -77,9 +93,12 @@ class Kept:
         self.most, self.held = most, OrderedDict()
 
     def get(self, key, make: Callable):
-        if key not in self.held:
-            self.held[key] = make()
-            if len(self.held) > self.most:
-                self.held.popitem(last=False)
-        self.held.move_to_end(key)
-        return self.held[key]
+        """The value of ``key``; threads that miss it at the same time may both make it."""
+        value = self.held.pop(key, None)
+        self.held[key] = value = make() if value is None else value
+        while len(self.held) > self.most:
+            self.held.popitem(last=False)
+        return value
+
+    def __reduce__(self):
+        return Kept, (self.most,)  # what one process holds stays there

@@ -2,7 +2,9 @@
 
 A 100 TB tile set is a folder of archives, each over a range of tile ids, written side
 by side by the tasks; nothing passes through the driver but the names of the files. One
-partition gives one archive file. ``write_archives`` deals the rows out that way.
+partition gives one archive file. ``write_archives`` deals the rows out that way, over as
+many archives as their bytes ask for, so what a task holds (a digest of each content and
+the entries of its archive) does not grow with the tile set.
 
 In a task, equal contents are stored once (by SHA-256), neighbouring ids with equal
 contents become one entry, and the entries are packed into a root directory of at most
@@ -12,7 +14,7 @@ renamed when the job commits, so the rows of failed or repeated attempts never s
 Options: ``path``, ``metadata`` (a JSON object), ``tile_type``, ``tile_compression``,
 ``internal_compression`` (numbers as in the format), ``bounds`` and ``center``
 (degrees, parted by commas), ``layout`` (header_first or data_first), ``on_duplicate``
-(error or first), ``allow_empty``.
+(error or first), ``allow_empty``, ``suffix`` (of the file names, such as ``.tiles``).
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -37,7 +40,10 @@ from tilespark.functions.hilbert import END, LEVEL_STARTS
 from tilespark.schema import FIRST_READ_BYTES, HEADER_BYTES, LEAF_ENTRIES, MAX_ROOT_BYTES
 from tilespark.sources.codec import ArchiveError, compress, encode_directory, encode_header
 
-SUFFIX = ".pmtiles"  # fixed value: what archive files are called
+#: Bytes and tiles of an archive where no number of archives is asked for.
+ARCHIVE_BYTES, ARCHIVE_TILES = 1 << 30, 1 << 22
+#: What this sink calls its files, before the suffix that a user may ask for.
+OWN_FILE = re.compile(r"part-\d{5}-[0-9a-f]{8}(\.\w+)?")
 
 
 def pack_directories(entries: np.ndarray, compression: int = 2, most: int = MAX_ROOT_BYTES, leaf_entries: int = LEAF_ENTRIES, allow_empty: bool = False) -> tuple[bytes, bytes]:
@@ -180,10 +186,10 @@ class ArchiveWriter(DataSourceArrowWriter):
                 os.remove(staged)
             return Staged("", "")
         build.finish()
-        return Staged(staged, f"part-{number:05d}-{self.job[:8]}{SUFFIX}")
+        return Staged(staged, f"part-{number:05d}-{self.job[:8]}{self.options.get('suffix', '')}")
 
     def commit(self, messages: list[Staged | None]) -> None:
-        old = [f for f in os.listdir(self.folder) if f.endswith(SUFFIX)] if os.path.isdir(self.folder) else []
+        old = [f for f in os.listdir(self.folder) if OWN_FILE.fullmatch(f)] if os.path.isdir(self.folder) else []
         kept = [m for m in messages if m and m.staged]
         for m in kept:
             os.replace(m.staged, f"{self.folder}/{m.name}")
@@ -203,8 +209,14 @@ class ArchiveWriter(DataSourceArrowWriter):
                 os.remove(f"{self.folder}/{f}")
 
 
-def write_archives(tiles: DataFrame, path: str, archives: int = 1, mode: str = "errorifexists", order: str | None = "tile_id", **options: str) -> None:
-    """Write (tile_id, data) as ``archives`` archives over ranges of ids, each sorted.
+def _archives_for(rows: DataFrame) -> int:
+    """How many archives of about ``ARCHIVE_BYTES``, and at most ``ARCHIVE_TILES`` tiles, the rows fill."""
+    size, count = rows.agg(F.sum(F.octet_length("data")), F.count("*")).first()
+    return max(1, -(-(size or 0) // ARCHIVE_BYTES), -(-count // ARCHIVE_TILES))
+
+
+def write_archives(tiles: DataFrame, path: str, archives: int | None = None, mode: str = "errorifexists", order: str | None = "tile_id", **options: str) -> None:
+    """Write (tile_id, data) as ``archives`` archives over ranges of ids, each sorted; None: as many as they fill.
 
     ``order`` None keeps the order in which rows arrive, which need not be that of the ids.
     """
@@ -212,6 +224,7 @@ def write_archives(tiles: DataFrame, path: str, archives: int = 1, mode: str = "
 
     register(tiles.sparkSession)
     rows = tiles.select("tile_id", F.col("data").cast("binary").alias("data"), *([order] if order and order not in ("tile_id", "data") else []))
+    archives = archives or _archives_for(rows)
     if order:
         rows = (rows.repartitionByRange(archives, "tile_id") if archives > 1 else rows.coalesce(1)).sortWithinPartitions(order).select("tile_id", "data")
     overwrite = {"overwrite": "overwrite", "errorifexists": "append", "append": "append"}[mode]
