@@ -317,8 +317,9 @@ def test_escaping(text):
         assert control not in hidden
 
 
-@pytest.mark.parametrize(("budget", "history"), [(1024, 128), (30, 12), (1, 0)])
-def test_chat_windows(spark, budget, history):
+@pytest.mark.parametrize(("budget", "history", "turns"), [(1024, 128, 256), (30, 12, 256), (1, 0, 256), (60, 12, 3), (1024, 128, 5)])
+def test_chat_windows(spark, monkeypatch, budget, history, turns):
+    monkeypatch.setattr(chat, "TURNS", turns)
     rng = random.Random(5)
     rows = []
     for conv in [*range(30), None]:
@@ -334,21 +335,26 @@ def test_chat_windows(spark, budget, history):
         turns = "".join(f"{role}\n{text}\n" for _, _, role, text in own)
         loss = "".join(text for _, _, role, text in own if role == "assistant")
         assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(own), hashlib.sha256(turns.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    said = {r[0] for r in rows if r[2] == "system" and r[1] == 0}
     for w in made.collect():
         turns = chat._TURN.findall(w.formatted)
         assert "".join(f"<|turn {n} {r}|>{t}<|end|>\n" for n, r, t in turns) == w.formatted  # whole turns only
         size = sum(chat.tokens(chat.unescape(t)) for _, _, t in turns)
         system = turns[0][1] == "system" and turns[0][0] == "0"
+        assert system == (w.conv_id in said)
         assert size <= budget or len(turns) == 1 + (system and len(turns) > 1)  # over it only by one turn beside the system turn
     assert chat.formatted(table.limit(0)).count() == 0
 
 
 def test_chat_history_gives_way_to_the_budget():
-    rows = [(1, "system", "w " * 20), (1, "user", "w " * 800), (1, "assistant", "w " * 80), (1, "user", "w " * 950)]
-    found = [[int(n) for n, _, _ in chat._TURN.findall(w[2])] for w in chat.windows(iter(rows), 1024, 128)]
-    assert found == [[0, 1, 2], [0, 3]]
-    rows[3] = (1, "user", "w " * 900)
-    assert [[int(n) for n, _, _ in chat._TURN.findall(w[2])] for w in chat.windows(iter(rows), 1024, 128)] == [[0, 1, 2], [0, 2, 3]]
+    turn = lambda role, n: (1, 0, 2, None, role, "w " * n)
+    rows = [turn("system", 20), turn("user", 800), turn("assistant", 80), turn("user", 950)]
+    cut = lambda rows: [[int(n) for n, _, _ in chat._TURN.findall(w[2])] for w in chat.windows(iter(rows), 1024, 128)]
+    assert cut(rows) == [[0, 1, 2], [0, 3]]
+    rows[3] = turn("user", 900)
+    assert cut(rows) == [[0, 1, 2], [0, 2, 3]]
+    # a later stretch: 40 turns before it, and a copy of the system turn
+    assert cut([(1, 9, 0, 40, None, None), (1, 9, 1, None, "system", "w " * 20), (1, 9, 2, None, "user", "a"), (1, 9, 2, None, "assistant", "w " * 1000)]) == [[0, 40], [0, 41]]
 
 
 def test_quality_values_are_shares():

@@ -14,13 +14,18 @@ inside texts (these marks, and the common ``<s>``, ``</s>``, ``[INST]``, ``[/INS
 backslashes already stand there, so undoing it gives the text back exactly. Roles are
 percent-encoded.
 
-Rows are sorted by Spark and streamed: a task holds one window at a time, however long
-a conversation is.
+A conversation is cut into stretches of ``TURNS`` turn numbers, and the stretches are dealt
+out, so one that holds a third of all rows is many tasks' work. Each stretch is sent how
+many turns stand before it, from a count of the keys alone, and a copy of the system turn;
+history is not repeated over its start. Rows are sorted by Spark and streamed: a task holds
+one window at a time, however long a stretch is. ``read_back``, which digests conversations
+whole, streams the windows of one through one task, as a digest must.
 
 Defined cases: null text and null role are empty; turns are numbered by their place,
 so gaps, ties (broken by role and text) and null turns (first) do no harm; only a
 ``system`` row that comes first is the system turn; rows with a null conversation are one
-conversation; an empty table gives no windows.
+conversation; very long texts are windows of their own, whole; repeated rows are turns of
+their own; an empty table gives no windows; columns that are not named here are ignored.
 """
 
 from __future__ import annotations
@@ -31,13 +36,15 @@ from collections.abc import Iterable, Iterator
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilespark.llm.common import partitions
+from tilespark.llm.common import partitions, settle
 
 #: Tokens of a window, and of the history that it repeats (words, and four for a turn's marks).
 BUDGET, HISTORY = 1024, 128
+#: Turn numbers of one stretch.
+TURNS = 256
 _CONTROL = r"(?=\||/?s>|<SYS>>|</SYS>>|/?INST\])"
 _ESCAPE = re.compile(r"([<\[])(\\*)" + _CONTROL)
 _UNESCAPE = re.compile(r"([<\[])\\(\\*)" + _CONTROL)
@@ -57,6 +64,10 @@ def tokens(text: str) -> int:
     return 4 + len(text.split())
 
 
+#: Kinds of rows that a stretch is sent, in their order: the turns before it, the system turn's copy, turns.
+_BEFORE, _SYSTEM, _TURN_ROW = 0, 1, 2
+
+
 def render(turns: list[tuple[int, str, str]], first_new: int) -> tuple[str, list[int], list[int]]:
     """The formatted window and the starts and ends of its loss; turns before ``first_new`` are masked."""
     parts, starts, ends, size = [], [], [], 0
@@ -70,9 +81,12 @@ def render(turns: list[tuple[int, str, str]], first_new: int) -> tuple[str, list
     return "".join(parts), starts, ends
 
 
-def windows(rows: Iterable[tuple[int | None, str, str]], budget: int, history: int) -> Iterator[tuple]:
-    """Windows of rows (conversation, role, text) that come conversation by conversation."""
-    conv, number, window = object(), 0, 0
+def windows(rows: Iterable[tuple], budget: int, history: int) -> Iterator[tuple]:
+    """Windows of rows (conversation, stretch, kind, turns before, role, text) that come stretch by stretch.
+
+    A window is numbered by the first turn that is new in it.
+    """
+    at, number = None, 0
     system: tuple | None = None
     before: list[tuple] = []
     span: list[tuple] = []
@@ -80,19 +94,25 @@ def windows(rows: Iterable[tuple[int | None, str, str]], budget: int, history: i
 
     def made() -> tuple:
         turns = ([system] if system and system not in span else []) + before + span
-        return (conv, window, *render(turns, span[0][0]))
+        return (at[0], span[0][0], *render(turns, span[0][0]))
 
-    for own, role, text in rows:
-        if conv != own:
+    for conv, stretch, kind, count, role, text in rows:
+        if at != (conv, stretch):
             if span:
                 yield made()
-            conv, number, window, system, before, span, used = own, 0, 0, None, [], [], 0
+            at, number, system, before, span, used = (conv, stretch), 0, None, [], [], 0
+        if kind == _BEFORE:
+            number = count
+            continue
+        if kind == _SYSTEM:
+            system = (0, role, text)
+            used = tokens(text)
+            continue
         turn = (number, role, text)
         if number == 0 and role == "system":
             system = turn
         if span and used + tokens(text) > budget:
             yield made()
-            window += 1
             kept = tokens(system[2]) if system else 0
             # history goes before the budget does
             tail, left = [], min(history, budget - kept - tokens(text))
@@ -110,11 +130,27 @@ def windows(rows: Iterable[tuple[int | None, str, str]], budget: int, history: i
         yield made()
 
 
+def _dealt(conversations: DataFrame) -> DataFrame:
+    """Rows of stretches: conv_id, stretch, kind, turn, n, role, text."""
+    turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    turns = turns.withColumn("stretch", F.coalesce(F.floor(F.col("turn") / TURNS), F.lit(-(1 << 63))))
+    earlier = Window.partitionBy("conv_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    places = turns.groupBy("conv_id", "stretch").count().withColumn("n", F.sum("count").over(earlier))
+    later = settle(places.where("n > 0").select("conv_id", "stretch", "n"))
+    long = later.select("conv_id").distinct()
+    first = turns.join(long, turns["conv_id"].eqNullSafe(long["conv_id"]), "left_semi").groupBy("conv_id").agg(F.min(F.struct(F.col("turn").isNotNull().alias("numbered"), "turn", "role", "text")).alias("first"))
+    first = first.where("first.role = 'system'").select(F.col("conv_id").alias("of"), "first.role", "first.text")
+    none = lambda kind: F.lit(None).cast(kind)
+    before = later.select("conv_id", "stretch", F.lit(_BEFORE).alias("kind"), none("long").alias("turn"), "n", none("string").alias("role"), none("string").alias("text"))
+    copies = later.join(first, later["conv_id"].eqNullSafe(first["of"])).select("conv_id", "stretch", F.lit(_SYSTEM).alias("kind"), none("long").alias("turn"), none("long").alias("n"), "role", "text")
+    return turns.select("conv_id", "stretch", F.lit(_TURN_ROW).alias("kind"), "turn", none("long").alias("n"), "role", "text").unionAll(before).unionAll(copies)
+
+
 def formatted(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """One row a window: conv_id, window, formatted, loss_starts and loss_ends (code points)."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text"))))
+        rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "stretch", "kind", "n", "role", "text"))))
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         names, out, size = ["conv_id", "window", "formatted", "loss_starts", "loss_ends"], [], 0
         for row in windows(rows, budget, history):
@@ -126,12 +162,12 @@ def formatted(conversations: DataFrame, budget: int = BUDGET, history: int = HIS
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.repartition(partitions(conversations.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(made, WINDOWS)
+    rows = _dealt(conversations).repartition(partitions(conversations.sparkSession), "conv_id", "stretch")
+    return rows.sortWithinPartitions("conv_id", "stretch", "kind", "turn", "role", "text").mapInArrow(made, WINDOWS)
 
 
 def read_back(formatted_windows: DataFrame) -> DataFrame:
-    """Digests of turns and loss, parsed from windows that stand together by conversation, in order."""
+    """Digests of turns and loss of every conversation, parsed from its windows in their order."""
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         out: list[tuple] = []
@@ -166,4 +202,5 @@ def read_back(formatted_windows: DataFrame) -> DataFrame:
         close()
         yield flush()
 
-    return formatted_windows.mapInArrow(digested, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    ordered = formatted_windows.repartition(partitions(formatted_windows.sparkSession), "conv_id").sortWithinPartitions("conv_id", "window")
+    return ordered.mapInArrow(digested, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
