@@ -64,9 +64,10 @@ def lookup_archives(requests: DataFrame, entries: DataFrame) -> DataFrame:
 
 def lookup_small(requests: DataFrame, entries: DataFrame, most: int = BROADCAST_ENTRIES) -> DataFrame:
     """The same answers, by binary search in broadcast entries if there are at most ``most`` of them."""
-    own = entries.where("run_length > 0").select("tile_id", "offset", "length", "run_length")
+    # settled, as it is counted and then read again
+    own = settle(entries.where("run_length > 0").select("tile_id", "offset", "length", "run_length"))
     if own.count() > most:
-        return lookup(requests, entries)
+        return lookup(requests, own)
     table = own.orderBy("tile_id").toPandas().to_numpy(np.int64)
     sent = send(requests.sparkSession, table)
 

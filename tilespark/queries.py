@@ -343,12 +343,16 @@ def _archives(spark):
 KINDS = "archives(name, tile_type, max_zoom) AS (VALUES ('click', 0, 3), ('view', 1, 5), ('purchase', 2, 7), ('signup', 3, 9), ('search', 4, 11))"
 
 
-@query("""SELECT name, '3.0.0' AS tilejson, 'https://example.com/' || name || '/{z}/{x}/{y}' || ext AS tiles, max_zoom AS maxzoom, version FROM
-(VALUES ('click', '', 3, NULL), ('view', '.mvt', 5, '2'), ('purchase', '.png', 7, NULL), ('signup', '.jpg', 9, NULL), ('search', '.webp', 11, NULL)) t(name, ext, max_zoom, version)""")
+@query("""SELECT name, '3.0.0' AS tilejson, 'https://example.com/' || name || '/{z}/{x}/{y}' || ext AS tiles, max_zoom AS maxzoom, version, 'xyz' AS scheme, name AS own_name, attribution,
+  '[-180.0,-85.0511287,180.0,85.0511287]' AS bounds, '[1.0,-2.5,1.0]' AS center, layers AS vector_layers FROM
+(VALUES ('click', '', 3, '', 'all', ''), ('view', '.mvt', 5, '2', '', '[{"id":"roads"}]'), ('purchase', '.png', 7, '', 'all', ''), ('signup', '.jpg', 9, '', 'all', ''), ('search', '.webp', 11, '', 'all', '')) t(name, ext, max_zoom, version, attribution, layers)""")
 def tilejson(spark, d):
     text = facts.tile_json(F.concat(F.lit("https://example.com/"), "name"), "json")
-    get = lambda n: F.get_json_object(text, f"$.{n}")
-    return _archives(spark).select("name", get("tilejson").alias("tilejson"), get("tiles[0]").alias("tiles"), get("maxzoom").cast("int").alias("maxzoom"), get("version").alias("version"))
+    get = lambda n: F.coalesce(F.get_json_object(text, f"$.{n}"), F.lit(""))
+    return _archives(spark).select(
+        "name", get("tilejson").alias("tilejson"), get("tiles[0]").alias("tiles"), get("maxzoom").cast("int").alias("maxzoom"), get("name").alias("own_name"),
+        *[get(n).alias(n) for n in ("version", "scheme", "attribution", "bounds", "center", "vector_layers")],
+    )
 
 
 PATHS = """paths AS (SELECT event_id, CASE event_id % 11 WHEN 10 THEN '/' || event_type || '.json' WHEN 9 THEN 'junk' ELSE
@@ -382,11 +386,25 @@ def serve_status(spark, d):
     return serve.serve(tile_paths(spark, d), _archives(spark), "example.com").select("event_id", "status")
 
 
-@query(f"""WITH {KINDS} SELECT event_id, coalesce(name, '') AS name, coalesce(z, -1) AS z, CASE WHEN event_id % 11 = 9 THEN 'INVALID' WHEN max_zoom IS NULL OR z > max_zoom THEN 'OUTSIDE' ELSE 'FOUND' END AS state
+@query(f"""WITH {KINDS} SELECT event_id, coalesce(name, '') AS name, coalesce(z, -1) AS z, CASE WHEN event_id % 11 = 9 THEN 'INVALID' WHEN max_zoom IS NULL OR z > max_zoom THEN 'OUTSIDE' ELSE 'FOUND' END AS state,
+  CASE WHEN tile_type IN (1, 6) THEN 'empty' ELSE 'null' END AS missing
 FROM (SELECT event_id, CASE WHEN event_id % 11 <> 9 THEN event_type END AS name, CASE WHEN event_id % 11 <> 9 THEN event_id % 13 END AS z FROM events) LEFT JOIN archives USING (name)""")
 def protocol_parse(spark, d):
     url = F.expr("CASE WHEN event_id % 11 = 9 THEN 'http://x' ELSE 'tiles://' || event_type || '/' || (event_id % 13) || '/0/0' END")
-    return serve.protocol(_table(spark, d, "events").select("event_id", url.alias("url")), _archives(spark), "tiles").select("event_id", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("z", F.lit(-1)).alias("z"), "state")
+    return serve.protocol(_table(spark, d, "events").select("event_id", url.alias("url")), _archives(spark), "tiles").select("event_id", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("z", F.lit(-1)).alias("z"), "state", "missing")
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'ERROR' WHEN 1 THEN 'LOADED' WHEN 2 THEN 'EMPTY' ELSE 'ERROR' END AS state FROM events")
+def layer_states(spark, d):
+    """What a map layer makes of answers: none, 200, 204, 404 and 500."""
+    status = F.expr("CASE event_id % 5 WHEN 1 THEN 200 WHEN 2 THEN 204 WHEN 3 THEN 404 WHEN 4 THEN 500 END")
+    return serve.loaded_state(_table(spark, d, "events").select("event_id", status.alias("status"))).select("event_id", "state")
+
+
+@query("SELECT p_partkey AS id, CAST(p_size % 3 + 1 AS INTEGER) AS geom_type, p_brand AS layer FROM part ORDER BY geom_type DESC, layer, id LIMIT 500")
+def drawing_order(spark, d):
+    found = _table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.expr("cast(p_size % 3 + 1 as int)").alias("geom_type"), F.col("p_brand").alias("layer"))
+    return inspect.drawing_order(found).limit(500)
 
 
 @query("""SELECT i, CAST(trunc(w * 1e7) AS INTEGER) AS min_lon_e7, CAST(trunc(s * 1e7) AS INTEGER) AS min_lat_e7, CAST(trunc(e * 1e7) AS INTEGER) AS max_lon_e7, CAST(trunc(n * 1e7) AS INTEGER) AS max_lat_e7, clon AS center_lon_e7, clat AS center_lat_e7, czoom AS center_zoom
@@ -691,6 +709,16 @@ def _recompressed(old: int, new: int):
     return pack
 
 
+@query("SELECT doc_id AS tile_id, sha256(text) AS hash FROM documents WHERE octet_length(encode(text)) > 0 AND doc_id BETWEEN 5 AND 84")
+def tree_zoom_window(spark, d):
+    """A folder of tiles whose metadata begins at zoom 2, converted up to zoom 3: ids from 5 to 84."""
+    out, back = scratch(spark), scratch(spark)
+    tiles = doc_tiles(spark, d).where("octet_length(data) > 0").withColumn("t", hilbert.tile_id_to_zxy("tile_id")).select("t.z", "t.x", "t.y", "data")
+    write_tree(tiles, out, ".png", '{"format":"png","minzoom":2}')
+    convert.tree_to_archive(spark, f"file://{out}", back, max_zoom=3)
+    return spark.read.format("tile_archive").option("path", back).load().select("tile_id", F.sha2("data", 256).alias("hash"))
+
+
 @query("SELECT doc_id AS tile_id, sha256(text) AS hash FROM documents WHERE octet_length(encode(text)) > 0 AND doc_id < 85")
 def database_max_zoom(spark, d):
     """A tile database converted up to zoom 3: ids below 85. Its vector tiles come out as gzip."""
