@@ -62,18 +62,34 @@ def test_walk_survives_insertions():
         assert edit_embedding.likeness(mark(text), mark(other)) < 0.3
 
 
-def test_candidate_pairs(spark):
+@pytest.mark.parametrize("cell", [2048, 3])
+def test_candidate_pairs(spark, monkeypatch, cell):
+    """Links of classes against all pairs, and how many pairs of few edits are found; band keys whole and split."""
+    monkeypatch.setattr(edit_embedding, "CELL", cell)
     rng = random.Random(3)
-    texts = ["".join(rng.choice("abcdefghijklmnop ") for _ in range(2000)) for _ in range(20)]
-    texts += [t[:700] + "!" + t[700:] for t in texts[:6]] + texts[:3]
-    prints = edit_embedding.edit_fingerprints(docs(spark, texts)).select("doc_id", "fingerprint")
-    members, pairs = edit_embedding.candidate_pairs(prints)
+    base = ["".join(rng.choice("abcdefghijklmnop ") for _ in range(2000)) for _ in range(20)]
+    texts = list(base)
+    for t in base:
+        for _ in range(4):
+            own = list(t)
+            for _ in range(rng.randrange(1, 13)):
+                at = rng.randrange(len(own))
+                own[at : at + rng.randrange(2)] = rng.choice(["", "!", "?"])
+            texts.append("".join(own))
+    texts += base[:3] + ["", "", None]
+    prints = edit_embedding.edit_fingerprints(docs(spark, texts)).select("doc_id", "fingerprint").cache()
+    # twelve edits in 2,000 characters come to a likeness of about 0.7
+    found = {r.doc_id: (r.class_id, r.n_links) for r in edit_embedding.candidate_pairs(prints, 0.65).collect()}
     rows = {r.doc_id: r.fingerprint for r in prints.collect()}
-    want = {(i, j) for i in range(26) for j in range(i + 1, 26) if rows[i] != rows[j] and edit_embedding.likeness(rows[i], rows[j]) >= 0.8}
-    found = {(r.class_a, r.class_b) for r in pairs.collect()}
-    assert len(want) >= 2 and len(found & want) >= 0.9 * len(want) and found <= want
-    classes = {r.doc_id: r.class_id for r in members.collect()}
-    assert [classes[i] for i in (26, 27, 28)] == [0, 1, 2]
+    classes: dict = {}
+    for i in sorted(rows):
+        classes.setdefault(rows[i], i)
+    linked = lambda a, b: edit_embedding.share_band(a, b) and edit_embedding.likeness(a, b) >= 0.65
+    assert found == {i: (classes[p], sum(p != q and linked(p, q) for q in classes)) for i, p in rows.items()}
+    planted = [(i, 20 + 4 * i + k) for i in range(20) for k in range(4)]
+    assert sum(rows[a] == rows[b] or linked(rows[a], rows[b]) for a, b in planted) >= 0.9 * len(planted)
+    assert all(i // 4 == j // 4 for i in range(80) for j in range(i) if linked(rows[20 + i], rows[20 + j]))  # unlike texts have no link
+    assert edit_embedding.candidate_pairs(prints.limit(0)).count() == 0
 
 
 def labelled(spark, n=300):

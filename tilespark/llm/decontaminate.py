@@ -14,7 +14,9 @@ exactly by document.
 
 Defined cases: null and blank texts have no words and are not contaminated; items
 without words have no windows; null item ids are left out of the digest's list but
-counted; rows with equal ids are rows of their own; an empty benchmark hits nothing.
+counted; rows with equal ids are rows of their own; an empty benchmark hits nothing; an
+item longer than a slice is a slice of its own; very long texts are read whole; columns
+other than those named, whatever their names, are kept as they are.
 """
 
 from __future__ import annotations
@@ -234,9 +236,12 @@ def clean(docs: DataFrame, benchmark: DataFrame, slice_words: int = SLICE_WORDS)
     """The documents that the rule does not call contaminated, with their columns as they were."""
     first, slices = _one_slice(_slices(benchmark, slice_words))
     if slices is not None:
-        rows = settle(docs.withColumn("row number", F.monotonically_increasing_id()))
-        bad = contamination(rows.withColumn("doc_id", F.col("row number")), benchmark, slice_words).where("contaminated")
-        return rows.join(bad.select(F.col("doc_id").alias("row number")), "row number", "left_anti").select(*docs.columns)
+        number = "row number"
+        while number in {c.lower() for c in docs.columns}:
+            number += "_"
+        rows = settle(docs.withColumn(number, F.monotonically_increasing_id()))
+        bad = contamination(rows.select(F.col(number).alias("doc_id"), "text"), benchmark, slice_words).where("contaminated")
+        return rows.join(bad.select(F.col("doc_id").alias(number)), number, "left_anti").select(*[rows[f"`{c}`"] for c in docs.columns])
     sent, names = _prepared(docs, first), docs.columns
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:

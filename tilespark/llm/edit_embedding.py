@@ -15,11 +15,14 @@ same step in two walks of lengths ``a < b`` with probability ``a / b``. Likeness
 the share of equal digits, less what chance gives.
 
 ``candidate_pairs`` bands sampled digits into keys and verifies the pairs that
-share one by likeness.
+share one by likeness. Of texts of 2,000 characters that differ by at most 12 edits, which
+come to a likeness of 0.65 or more, a test finds more than nine pairs in ten that way.
 
 Defined cases: null text is empty; the empty text has a fingerprint of its own, and
 two equal texts, empty ones included, have likeness 1; rows with equal or null ids
-are rows of their own, nulls first, ties by text; a single row is its own successor.
+are rows of their own, nulls first, ties by text; a single row is its own successor; very
+long texts are walked whole; no documents give no rows; columns other than doc_id and
+text, whatever their names, are never read.
 """
 
 from __future__ import annotations
@@ -27,16 +30,20 @@ from __future__ import annotations
 import bisect
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import partial
 from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilespark.llm.common import partitions, settle
 
 SLOTS = 128
+#: Classes of a band key that meet in one run of a task.
+CELL = 2048
 GRAM = 4
 PERIOD = 4096
 CLASSES = 64
@@ -195,22 +202,76 @@ def edit_fingerprints(docs: DataFrame) -> DataFrame:
     )
 
 
-def candidate_pairs(prints: DataFrame, at_least: float = 0.8, bands: int = 16, digits: int = 6, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """Near pairs of distinct fingerprints, and the class of each document.
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    """Each class once for every band, with its key there."""
+    for batch in batches:
+        prints, ids = batch.column("fingerprint").to_pylist(), batch.column("class_id")
+        keys = [xxhash.xxh64_intdigest(f"{b}:{''.join(pick(p))}", SEED) - (1 << 63) for b, pick in enumerate(_PICKS) for p in prints]
+        bands = np.repeat(np.arange(len(_PICKS), dtype=np.int32), len(prints))
+        tiled = pa.concat_arrays([ids] * len(_PICKS)), pa.array(prints * len(_PICKS), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(bands), *tiled], ["cell", "band", "class_id", "fingerprint"])
+
+
+def degrees(prints: list[str], band: int, side: np.ndarray, at_least: float) -> np.ndarray:
+    """How many of the others each fingerprint of a band key is like, without pairs that share an earlier band too; with sides, of the other side only."""
+    digits = np.frombuffer("".join(prints).encode(), np.uint8).reshape(len(prints), SLOTS)
+    out, bands = np.zeros(len(prints), np.int64), np.array(_bands())
+    for x in range(len(prints) - 1):
+        same = digits[x + 1 :] == digits[x]
+        alike = (same.sum(axis=1) / SLOTS - 1 / 16) * 16 / 15 >= at_least - 1e-12
+        if side[x] >= 0:
+            alike &= side[x + 1 :] != side[x]
+        at = np.flatnonzero(alike)
+        at = at[same[at][:, bands].all(axis=2).argmax(axis=1) == band]
+        out[x] += len(at)
+        out[at + x + 1] += 1
+    return out
+
+
+def _degrees(batches: Iterator[pa.RecordBatch], at_least: float) -> Iterable[pa.RecordBatch]:
+    """``degrees`` of runs of equal (cell, pair), which arrive one after the other; one run is held at a time."""
+    run: tuple | None = None
+    held: list[tuple] = []
 
-    ``prints`` has doc_id and fingerprint. Returns (membership, pairs): membership has
-    doc_id and class_id, the smallest doc_id of its fingerprint; pairs has one row for
-    two classes that share a band of sampled digits and are at least so alike. Equal
-    fingerprints were made one class before, so a group of copies is one row of the
-    join, and a band key that many classes share is split by Spark's skewed join.
+    def made() -> pa.RecordBatch:
+        ids, prints, bands, sides = zip(*held) if held else ((),) * 4
+        found = degrees(list(prints), bands[0], np.array(sides), at_least) if len(held) > 1 else np.zeros(len(held), np.int64)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found)], ["class_id", "n"])
+
+    for batch in batches:
+        for cell, pair, *row in zip(*(batch.column(c).to_pylist() for c in ("cell", "pair", "class_id", "fingerprint", "band", "side"))):
+            if run != (cell, pair):
+                yield made()
+                run = (cell, pair)
+            held.append(tuple(row))
+    yield made()
+
+
+def candidate_pairs(prints: DataFrame, at_least: float = 0.8) -> DataFrame:
+    """doc_id, class_id and n_links of every document.
+
+    ``prints`` has doc_id and fingerprint; a class is a distinct fingerprint, named by its
+    smallest doc_id, and links to the other classes that share a band of sampled digits
+    with it and are at least so alike. Band keys meet in tasks, which give counts and no
+    pairs; a key of more than ``CELL`` classes is split into chunks by a hash of the class,
+    and each pair of chunks is a task's work of its own. Rows without id are a class like
+    others, whose class_id is null if it has nothing else.
     """
-    prints = settle(prints.select("doc_id", "fingerprint"))
+    spark = prints.sparkSession
+    prints = settle(prints.select(F.col("doc_id").cast("long").alias("doc_id"), "fingerprint"))
     classes = settle(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id")))
-    membership = prints.join(classes, "fingerprint").select("doc_id", "class_id")
-    keys = F.array(*[F.concat(F.lit(f"{b}:"), *[F.substring("fingerprint", i + 1, 1) for i in pick]) for b, pick in enumerate(_bands(bands, digits, seed))])
-    banded = settle(classes.select("class_id", "fingerprint", F.explode(keys).alias("band")))
-    a, b = banded.alias("a"), banded.alias("b")
-    same = F.aggregate(F.sequence(F.lit(1), F.lit(SLOTS)), F.lit(0), lambda n, i: n + (F.substr(F.col("a.fingerprint"), i, F.lit(1)) == F.substr(F.col("b.fingerprint"), i, F.lit(1))).cast("int"))
-    alike = (same / SLOTS - 1 / 16) * 16 / 15
-    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.class_id") < F.col("b.class_id")) & (alike >= at_least)).select(F.col("a.class_id").alias("class_a"), F.col("b.class_id").alias("class_b"), alike.alias("likeness")).distinct()
-    return membership, pairs
+    keyed = settle(classes.select(F.xxhash64("fingerprint").alias("class_id"), "fingerprint").mapInArrow(_banded, "cell long, band int, class_id long, fingerprint string"))
+    shared = keyed.groupBy("cell").count().where("count > 1").select("cell", F.when(F.col("count") > CELL, F.ceil(2 * F.col("count") / CELL)).otherwise(1).cast("int").alias("chunks"))
+    mine = F.pmod("class_id", F.col("chunks").cast("long")).cast("int")
+    lower, upper = F.least("mine", "their"), F.greatest("mine", "their")
+    dealt = (
+        keyed.join(shared, "cell")
+        .withColumn("mine", mine)
+        .withColumn("their", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .select("cell", (lower * F.lit(1 << 24) + upper).cast("long").alias("pair"), "class_id", "fingerprint", "band", F.when(lower == upper, F.lit(-1)).otherwise(F.col("mine")).cast("long").alias("side"))
+    )
+    counted = dealt.repartition(partitions(spark), "cell", "pair").sortWithinPartitions("cell", "pair").mapInArrow(partial(_degrees, at_least=at_least), "class_id long, n long")
+    linked = counted.groupBy("class_id").agg(F.sum("n").alias("n")).withColumnRenamed("class_id", "hash")
+    named = classes.withColumn("hash", F.xxhash64("fingerprint")).join(linked, "hash", "left").select("fingerprint", "class_id", F.coalesce("n", F.lit(0)).alias("n_links"))
+    return prints.join(named, "fingerprint").select("doc_id", "class_id", "n_links")
