@@ -295,7 +295,9 @@ def test_contamination_of_odd_tables(spark):
     assert decontaminate.contamination(table, none).where("NOT contaminated AND n_items = 0").count() == 3
     assert decontaminate.clean(table, none).count() == 3
     one = spark.createDataFrame([(None, "a b"), (7, "c")], "item_id long, text string")
-    assert decontaminate.contamination(table, one, 1).where("contaminated").count() == 3
+    assert decontaminate.contamination(table, one, 1).where("contaminated AND n_items = 1").count() == 3
+    long = spark.createDataFrame([(3, "x " * 3000 + "a b"), (4, "a b"), (4, "a b")], "item_id long, text string")
+    assert sorted(r.n_items for r in decontaminate.contamination(table, long, 1).collect()) == [0, 2, 2]
     assert decontaminate.contamination(table.limit(0), one).count() == 0
 
 
