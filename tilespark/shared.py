@@ -29,15 +29,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def settle(df: DataFrame) -> DataFrame:
+#: Whether Spark deletes an execution's shuffle files when it ends, not when the driver collects garbage.
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def settle(df: DataFrame, free: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there.
 
     Unlike a cached or locally checkpointed table, the files outlive the executors
-    that wrote them, and later reads take only the columns that they need.
+    that wrote them, and later reads take only the columns that they need. With ``free``
+    the shuffle files of the write go as soon as it is done, and the session's setting
+    is as before afterwards.
     """
-    path = f"{shared_dir(df.sparkSession)}/tilespark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tilespark-{uuid.uuid4().hex}"
+    before = spark.conf.get(FREE)
+    try:
+        spark.conf.set(FREE, str(free or before == "true").lower())
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREE, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out._settled_at = path
     return out
 
