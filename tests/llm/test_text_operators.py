@@ -92,6 +92,23 @@ def test_candidate_pairs(spark, monkeypatch, cell):
     assert edit_embedding.candidate_pairs(prints.limit(0)).count() == 0
 
 
+def test_near_texts_of_odd_tables(spark):
+    """Rows as they were, with classes; null and repeated ids, long texts, clashing columns, no rows."""
+    long = "one long text after another. " * 2000
+    rows = docs(spark, ["aa", None, "", long, long + "x", "aa", long], [None, 7, 7, 1, 2, None, 9]).withColumn("class_id", F.lit("clash")).withColumn("Fingerprint", F.lit(1))
+    found = edit_embedding.near_texts(rows)
+    plain = edit_embedding.edit_fingerprints(rows)
+    assert sorted(map(str, found.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
+    rows_of: dict = {}
+    for r in plain.collect():
+        rows_of.setdefault(r.fingerprint, []).append(r.doc_id)
+    linked = lambda a, b: a != b and edit_embedding.share_band(a, b) and edit_embedding.likeness(a, b) >= 0.8
+    for r in found.collect():
+        same = [i for i in rows_of[r.fingerprint] if i is not None]
+        assert (r.class_id, r.n_links) == (min(same, default=None), sum(linked(r.fingerprint, p) for p in rows_of))
+    assert edit_embedding.near_texts(rows.limit(0)).count() == 0
+
+
 def labelled(spark, n=300):
     rng = random.Random(4)
     words = ["river", "stone", "lamp", "green", "walks", "under", "seven", "paper", "cloud", "quiet"]

@@ -14,8 +14,8 @@ of record times before the walk's end, which is uniform over the whole walk, and
 same step in two walks of lengths ``a < b`` with probability ``a / b``. Likeness is
 the share of equal digits, less what chance gives.
 
-``candidate_pairs`` bands sampled digits into keys and verifies the pairs that
-share one by likeness. Of texts of 2,000 characters that differ by at most 12 edits, which
+``classes`` bands sampled digits of all fingerprints into keys and verifies the pairs that
+share one by likeness; ``near_texts`` gives every document its class and links. Of texts of 2,000 characters that differ by at most 12 edits, which
 come to a likeness of 0.65 or more, a test finds more than nine pairs in ten that way.
 
 Defined cases: null text is empty; the empty text has a fingerprint of its own, and
@@ -248,21 +248,21 @@ def _degrees(batches: Iterator[pa.RecordBatch], at_least: float) -> Iterable[pa.
     yield made()
 
 
-def candidate_pairs(prints: DataFrame, at_least: float = 0.8) -> DataFrame:
-    """doc_id, class_id and n_links of every document.
+def classes(prints: DataFrame, at_least: float = 0.8) -> DataFrame:
+    """fingerprint, class_id and n_links of every distinct fingerprint of ``prints`` (doc_id, fingerprint).
 
-    ``prints`` has doc_id and fingerprint; a class is a distinct fingerprint, named by its
-    smallest doc_id, and links to the other classes that share a band of sampled digits
-    with it and are at least so alike. Band keys meet in tasks, which give counts and no
+    A class is a distinct fingerprint, named by its smallest doc_id, and links to the other
+    classes that share a band of sampled digits with it and are at least so alike. Band keys
+    are counted first; those of several classes meet in tasks, which give counts and no
     pairs; a key of more than ``CELL`` classes is split into chunks by a hash of the class,
     and each pair of chunks is a task's work of its own. Rows without id are a class like
     others, whose class_id is null if it has nothing else.
     """
     spark = prints.sparkSession
-    prints = settle(prints.select(F.col("doc_id").cast("long").alias("doc_id"), "fingerprint"))
-    classes = settle(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id")))
-    keyed = settle(classes.select(F.xxhash64("fingerprint").alias("class_id"), "fingerprint").mapInArrow(_banded, "cell long, band int, class_id long, fingerprint string"))
-    shared = keyed.groupBy("cell").count().where("count > 1").select("cell", F.when(F.col("count") > CELL, F.ceil(2 * F.col("count") / CELL)).otherwise(1).cast("int").alias("chunks"))
+    named = settle(prints.groupBy("fingerprint").agg(F.min(F.col("doc_id").cast("long")).alias("class_id")), free=True)
+    keyed = named.select(F.xxhash64("fingerprint").alias("class_id"), "fingerprint").mapInArrow(_banded, "cell long, band int, class_id long, fingerprint string")
+    chunks = F.when(F.col("count") > CELL, F.ceil(2 * F.col("count") / CELL)).otherwise(1).cast("int")
+    shared = settle(keyed.groupBy("cell").count().where("count > 1").select("cell", chunks.alias("chunks")), free=True)
     mine = F.pmod("class_id", F.col("chunks").cast("long")).cast("int")
     lower, upper = F.least("mine", "their"), F.greatest("mine", "their")
     dealt = (
@@ -273,5 +273,17 @@ def candidate_pairs(prints: DataFrame, at_least: float = 0.8) -> DataFrame:
     )
     counted = dealt.repartition(partitions(spark), "cell", "pair").sortWithinPartitions("cell", "pair").mapInArrow(partial(_degrees, at_least=at_least), "class_id long, n long")
     linked = counted.groupBy("class_id").agg(F.sum("n").alias("n")).withColumnRenamed("class_id", "hash")
-    named = classes.withColumn("hash", F.xxhash64("fingerprint")).join(linked, "hash", "left").select("fingerprint", "class_id", F.coalesce("n", F.lit(0)).alias("n_links"))
-    return prints.join(named, "fingerprint").select("doc_id", "class_id", "n_links")
+    return named.withColumn("hash", F.xxhash64("fingerprint")).join(linked, "hash", "left").select("fingerprint", "class_id", F.coalesce("n", F.lit(0)).alias("n_links"))
+
+
+def candidate_pairs(prints: DataFrame, at_least: float = 0.8) -> DataFrame:
+    """doc_id, class_id and n_links of every document of ``prints`` (doc_id, fingerprint); see ``classes``."""
+    prints = prints.select(F.col("doc_id").cast("long").alias("doc_id"), "fingerprint")
+    prints = settle(prints, free=True)
+    return prints.join(classes(prints, at_least), "fingerprint").select("doc_id", "class_id", "n_links")
+
+
+def near_texts(docs: DataFrame, at_least: float = 0.8) -> DataFrame:
+    """``edit_fingerprints`` of all documents, with the class_id and n_links of each one's fingerprint."""
+    found = settle(edit_fingerprints(docs), free=True)
+    return found.join(classes(found, at_least), "fingerprint").select(*found.columns, "class_id", "n_links")

@@ -20,7 +20,7 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edit_embedding.edit_fingerprints(table(spark, sf_dir, "documents"))
+    return edit_embedding.near_texts(table(spark, sf_dir, "documents"))
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
