@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilespark.llm import chat, decontaminate, edit_embedding, license_scan, mixing, pii, quality, simhash, token_rollup, toxicity
+from tilespark.llm import chat, decontaminate, edit_embedding, hard_negatives, license_scan, mixing, packing, pii, prefix_trie, quality, simhash, token_rollup, toxicity
 from tilespark.llm.common import discard, settle, shared_dir, table
 
 #: Documents of fewer words go in the last batch of the rollup.
@@ -90,6 +90,24 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.formatted(rows.unionByName(probe)))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.quantised(vectors, F.col("vec_id"), F.col("embedding"), label)
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.branched(prefix_trie.turn_arrays(table(spark, sf_dir, "conversations"))))
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    return packing.packed(packing.tokenised(table(spark, sf_dir, "documents"), vocabulary))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -99,7 +117,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         op1_source_mixing, op2_edit_fingerprints, op3_simhash_near_dedup, op4_token_rollup, op5_toxicity, op6_quality,
-        op7_license_scan, op8_pii_pseudonyms, op9_decontamination, op10_chat_windows, pipeline,
+        op7_license_scan, op8_pii_pseudonyms, op9_decontamination, op10_chat_windows, op11_hard_negatives, op12_prefix_trie,
+        op13_best_fit_packing, pipeline,
     ]
     return {q.__name__: q for q in named}
 
@@ -146,5 +165,57 @@ FROM doc LEFT JOIN places USING (r) LEFT JOIN items USING (r)
 """
 
 
+OP11_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pair AS (
+  SELECT a.r AS anchor, a.vec_id AS anchor_id, b.r, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON len(a.q) = len(b.q) WHERE a.vec_id % 100 = 0 AND a.r <> b.r),
+positive AS (
+  SELECT * FROM pair WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST, r) <= 5),
+negative AS (
+  SELECT p.anchor, p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor, p.r ORDER BY n.score DESC, n.vec_id NULLS LAST) AS rank
+  FROM positive p JOIN pair n ON p.anchor = n.anchor AND NOT n.same
+   AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM negative WHERE rank <= 10
+"""
+
+#: Unsigned crc32 of an id's decimal digits, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(c) + 1), lambda i: CAST(ascii(c[i]) AS BIGINT))),
+    lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, _: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+OP12_SQL = f"""
+WITH own AS (
+  SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+cut AS (
+  SELECT conv_id, turns, CAST({_CRC} % 6 AS BIGINT) AS h FROM (SELECT *, CAST(conv_id AS VARCHAR) AS c FROM own)),
+rebuilt AS (
+  SELECT a.conv_id, list_concat(coalesce(b.turns[1:a.h], []), a.turns[a.h + 1:]) AS turns
+  FROM cut a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 100),
+member AS (
+  SELECT conv_id, len(turns) AS n, unnest(range(0, len(turns) + 1)) AS depth, turns FROM rebuilt),
+node AS (
+  SELECT turns[1:depth] AS path, min(conv_id) AS conv_id, any_value(depth) AS depth, count(*) AS n_convs,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256
+  FROM member GROUP BY path),
+named AS (
+  SELECT *, row_number() OVER () AS k, CASE WHEN depth > 0 THEN (n_convs - 1) * length(path[depth].text) ELSE 0 END AS saved FROM node),
+child AS (
+  SELECT b.k, p.k AS above, p.conv_id AS parent_conv_id FROM named b JOIN named p ON b.depth = p.depth + 1 AND b.path[1:p.depth] = p.path),
+kids AS (SELECT above, count(*) AS n FROM child GROUP BY above),
+under AS (
+  SELECT top.k, count(*) FILTER (kids.n IS NULL) AS n_leaves, sum(low.saved) AS saved_tokens
+  FROM named low JOIN named top ON top.depth <= low.depth AND low.path[1:top.depth] = top.path LEFT JOIN kids ON kids.above = low.k GROUP BY top.k)
+SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, CAST(n_convs AS BIGINT) AS n_convs, CAST(coalesce(kids.n, 0) AS BIGINT) AS n_children,
+       CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+FROM named LEFT JOIN child USING (k) LEFT JOIN kids ON kids.above = named.k JOIN under USING (k)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_token_rollup": OP4_SQL, "op9_decontamination": OP9_SQL}
+    return {"op4_token_rollup": OP4_SQL, "op9_decontamination": OP9_SQL, "op11_hard_negatives": OP11_SQL, "op12_prefix_trie": OP12_SQL}
