@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tilespark.operators import build, inspect, lookup, navigate, ordered
+from tilespark.operators import build, cover, cutlines, inspect, lookup, navigate, ordered
 from tilespark.plans import serve
 from tilespark.queries import _archives, _vector_tile
 from tilespark.streaming import serve_stream, status_counts
@@ -110,7 +110,8 @@ def test_boxes(spark):
     assert navigate.bbox_cover(box(-180.0, -90.0, 180.0, 90.0), 0, 3).count() == 85
     over = navigate.bbox_cover(box(170.0, -10.0, -170.0, 10.0), 2, 2).select("x").distinct().collect()
     assert {r.x for r in over} == {0, 3}
-    assert navigate.cover_union(navigate.bbox_cover(box(0.0, 0.0, 1.0, 1.0), 0, 2), navigate.bbox_cover(box(0.0, 0.0, 1.0, 1.0), 1, 3)).count() == 4
+    union = cover.interval_union(cover.box_intervals(box(0.0, 0.0, 1.0, 1.0), 0, 2), cover.box_intervals(box(0.0, 0.0, 1.0, 1.0), 1, 3))
+    assert sorted(r.z for r in cover.tiles_of(union).collect()) == [0, 1, 2, 3]
     assert navigate.bbox_cover(box(0.5, 0.5, 0.6, 0.6), 3, 3, most=1).count() == 1
 
 
@@ -118,13 +119,13 @@ def test_cutlines(spark, tmp_path):
     triangle = '{"type":"Polygon","coordinates":[[[-90,0],[90,0],[0,80],[-90,0]]]}'
     path = tmp_path / "c.geojson"
     path.write_text('{"type":"FeatureCollection","features":[{"geometry":%s}]}' % triangle)
-    cover = navigate.cutline_cover(navigate.read_cutlines(spark, f"file://{path}"), 0, 4).collect()
-    assert {(0, 0), (1, 0)} <= {(r.x, r.y) for r in cover if r.z == 1}
-    deep = {(r.x, r.y) for r in cover if r.z == 4}
+    found = cutlines.cutline_cover(cutlines.read_cutlines(spark, f"file://{path}"), 0, 4).collect()
+    assert {(0, 0), (1, 0)} <= {(r.x, r.y) for r in found if r.z == 1}
+    deep = {(r.x, r.y) for r in found if r.z == 4}
     assert (7, 6) in deep and (8, 3) in deep and (1, 1) not in deep and (4, 2) not in deep
     path.write_text('{"features":[{"geometry":{"type":"Point","coordinates":[0,0]}}]}')
     with pytest.raises(Exception, match="polygons"):
-        navigate.read_cutlines(spark, f"file://{path}").collect()
+        cutlines.read_cutlines(spark, f"file://{path}").collect()
 
 
 def test_vector_tiles(spark):

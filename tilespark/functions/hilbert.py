@@ -59,7 +59,7 @@ def _shift(value: Column, by: Column, left: bool = False, unsigned: bool = False
     return F.call_function("shiftleft" if left else "shiftrightunsigned" if unsigned else "shiftright", value, by)
 
 
-def _turns() -> list[tuple[int, int, int, int]]:
+def turns() -> list[tuple[int, int, int, int]]:
     """By flags (swap, flip) and bits of column and row, as one number: the digit, the bits back from it, and the next flags."""
     out = []
     for state in range(4):
@@ -73,8 +73,8 @@ def _turns() -> list[tuple[int, int, int, int]]:
 
 
 #: By flags and bits: digit and next flags. By flags and digit: bits, parted as columns and rows are kept, and next flags.
-_ENCODE = [digit << 2 | after for _, _, digit, after in _turns()]
-_DECODE = [(bits >> 1) << 33 | (bits & 1) << 2 | after for _, _, bits, after in sorted((state, digit, bits, after) for state, bits, digit, after in _turns())]
+_ENCODE = [digit << 2 | after for _, _, digit, after in turns()]
+_DECODE = [(bits >> 1) << 33 | (bits & 1) << 2 | after for _, _, bits, after in sorted((state, digit, bits, after) for state, bits, digit, after in turns())]
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:

@@ -1,14 +1,13 @@
-"""Parents, children, neighbours and covers of tiles."""
+"""Parents, children, neighbours, boxes and outlines of tiles."""
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilespark.functions.hilbert import MAX_ZOOM, is_address, try_tile_id, try_zxy
-from tilespark.functions.mercator import MAX_LAT, clamp_bounds, lonlat_to_tile, tile_bounds, tile_centre
+from tilespark.functions.hilbert import MAX_ZOOM, is_address, try_zxy
+from tilespark.functions.mercator import tile_bounds, tile_centre
+from tilespark.operators.cover import tile_rectangles
 
 
 def parent(tiles: DataFrame) -> DataFrame:
@@ -30,82 +29,15 @@ def neighbours(tiles: DataFrame) -> DataFrame:
 
 
 def bbox_cover(boxes: DataFrame, min_zoom: int, max_zoom: int, most: int = 1 << 14) -> DataFrame:
-    """``boxes`` (west, south, east, north) and the tiles (z, x, y) that each covers at each zoom.
+    """``boxes`` (west, south, east, north) and the tiles (z, x, y) that each covers at each zoom, one row a tile.
 
-    A box whose east is west of its west crosses the antimeridian and is two boxes.
     Columns of tiles are made first and dealt out, in stretches of at most ``most``
-    rows, so that a world at a deep zoom is many tasks' work.
+    rows, so that a world at a deep zoom is many tasks' work. ``cover.box_intervals`` gives the same tiles
+    as intervals.
     """
-    edge = 1e-11
-    halves = F.when(F.col("east") < F.col("west"), F.array(F.struct(F.lit(-180.0).alias("w"), F.col("east").alias("e")), F.struct(F.col("west").alias("w"), F.lit(180.0).alias("e"))))
-    halves = halves.otherwise(F.array(F.struct(F.col("west").alias("w"), F.col("east").alias("e"))))
-    split = boxes.withColumn("_half", F.explode(halves))
-    zooms = split.withColumn("z", F.explode(F.sequence(F.lit(min_zoom), F.lit(max_zoom))))
-    inside = clamp_bounds(F.col("_half.w"), "south", F.col("_half.e"), "north")
-    zooms = zooms.withColumn("_in", inside)
-    first = lonlat_to_tile(F.col("_in.west"), F.col("_in.north"), "z")
-    last = lonlat_to_tile(F.col("_in.east") - edge, F.col("_in.south") + edge, "z")
-    corners = zooms.withColumn("_a", first).withColumn("_b", last).where("_a.x <= _b.x AND _a.y <= _b.y")
-    columns = corners.withColumn("x", F.explode(F.sequence("_a.x", "_b.x"))).withColumn("_y", F.explode(F.sequence(F.col("_a.y"), F.col("_b.y"), F.lit(most).cast("long"))))
-    rows = columns.repartition("z", "x", "_y").withColumn("y", F.explode(F.sequence(F.col("_y"), F.least(F.col("_y") + most - 1, F.col("_b.y")))))
-    return rows.select(*boxes.columns, "z", "x", "y").distinct()
-
-
-def cover_union(*covers: DataFrame) -> DataFrame:
-    """Distinct (tile_id, z, x, y) of several covers."""
-    rows = covers[0].select("z", "x", "y")
-    for c in covers[1:]:
-        rows = rows.unionByName(c.select("z", "x", "y"))
-    return rows.distinct().select(try_tile_id("z", "x", "y").alias("tile_id"), "z", "x", "y")
-
-
-def read_cutlines(spark, path: str) -> DataFrame:
-    """Rings of polygon features of a GeoJSON file: feature, ring, lon/lat points. Other geometry is an error."""
-    rings = "array<array<array<double>>>"
-    geometry = "struct<type: string, coordinates: string>"
-    text = spark.read.text(path, wholetext=True)
-    features = text.select(F.posexplode(F.from_json(F.get_json_object("value", "$.features"), f"array<struct<geometry: {geometry}>>")).alias("feature", "f"))
-    kind, raw = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
-    polygons = F.when(kind == "Polygon", F.array(F.from_json(raw, rings))).when(kind == "MultiPolygon", F.from_json(raw, f"array<{rings}>"))
-    polygons = polygons.otherwise(F.raise_error(F.lit("a cutline must be polygons")).cast(f"array<{rings}>"))
-    return features.select("feature", F.explode(polygons).alias("rings")).select(F.xxhash64("feature", F.to_json("rings")).alias("polygon"), F.explode("rings").alias("ring"))
-
-
-def cutline_cover(cutlines: DataFrame, min_zoom: int, max_zoom: int) -> DataFrame:
-    """Distinct tiles (z, x, y) that touch a polygon of ``read_cutlines``.
-
-    Candidates are the tiles of each polygon's box. One stays if an edge of a ring
-    passes through it, or if its middle is inside by the even-odd count of edges to its
-    right. Edges are dealt to the rows of tiles that they pass, so a tile meets only the
-    edges of its own row.
-    """
-    points = cutlines.select("polygon", F.xxhash64("ring").alias("ring_id"), "ring")
-    box = points.select("polygon", F.explode("ring").alias("p")).groupBy("polygon").agg(*[f(F.get("p", i)).alias(n) for f, i, n in ((F.min, 0, "west"), (F.min, 1, "south"), (F.max, 0, "east"), (F.max, 1, "north"))])
-    tiles = bbox_cover(box, min_zoom, max_zoom).select("polygon", "z", "x", "y")
-    pairs = F.transform(F.sequence(F.lit(0), F.size("ring") - 2), lambda i: F.struct(F.get("ring", i).alias("a"), F.get("ring", i + 1).alias("b")))
-    edges = points.where("size(ring) > 1").select("polygon", F.inline(pairs))
-    edges = edges.select("polygon", *[_world(F.col(e)).alias(e) for e in ("a", "b")]).select("polygon", F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"))
-    n = F.pow(F.lit(2.0), "z")
-    zooms = edges.withColumn("z", F.explode(F.sequence(F.lit(min_zoom), F.lit(max_zoom))))
-    row = lambda v: F.least(F.greatest(F.floor(v * n), F.lit(0)), (n - 1).cast("long"))
-    edges = zooms.withColumn("y", F.explode(F.sequence(row(F.least("ay", "by")), row(F.greatest("ay", "by")))))
-    west, north, size = F.col("x") / n, F.col("y") / n, 1 / n
-    # the edge's box meets the tile, and the tile's corners are not all on one side of it
-    meets = (F.least("ax", "bx") <= west + size) & (F.greatest("ax", "bx") >= west) & (F.least("ay", "by") <= north + size) & (F.greatest("ay", "by") >= north)
-    side = lambda px, py: (F.col("bx") - F.col("ax")) * (py - F.col("ay")) - (F.col("by") - F.col("ay")) * (px - F.col("ax"))
-    sides = [side(west + i * size, north + j * size) for i in (0, 1) for j in (0, 1)]
-    touches = meets & ~((F.least(*sides) > 0) | (F.greatest(*sides) < 0))
-    middle_x, middle_y = west + size / 2, north + size / 2
-    spans = (F.col("ay") > middle_y) != (F.col("by") > middle_y)
-    right = spans & (middle_x < F.col("ax") + (middle_y - F.col("ay")) * (F.col("bx") - F.col("ax")) / (F.col("by") - F.col("ay")))
-    judged = tiles.join(edges, ["polygon", "z", "y"]).groupBy("polygon", "z", "x", "y").agg(F.bool_or(touches).alias("touched"), (F.count(F.when(right, 1)) % 2 == 1).alias("inside"))
-    return judged.where("touched OR inside").select("z", "x", "y").distinct()
-
-
-def _world(point: Column) -> Column:
-    """Projected place of a point, 0 to 1 each way."""
-    sine = F.sin(F.radians(F.least(F.greatest(F.get(point, 1), F.lit(-MAX_LAT)), F.lit(MAX_LAT))))
-    return F.struct(((F.get(point, 0) + 180) / 360).alias("x"), (0.5 - F.log((1 + sine) / (1 - sine)) / (4 * math.pi)).alias("y"))
+    columns = tile_rectangles(boxes, min_zoom, max_zoom).withColumn("x", F.explode(F.sequence("x0", "x1"))).withColumn("_y", F.explode(F.sequence(F.col("y0"), F.col("y1"), F.lit(most).cast("long"))))
+    rows = columns.repartition("z", "x", "_y").withColumn("y", F.explode(F.sequence(F.col("_y"), F.least(F.col("_y") + most - 1, F.col("y1")))))
+    return rows.select(*boxes.columns, "z", "x", "y")
 
 
 def entry_lines(entries: DataFrame, stretch: int = 1024) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilespark.functions.hilbert import zxy_to_tile_id
-from tilespark.operators.navigate import bbox_cover, cutline_cover, read_cutlines
+from tilespark.operators.cutlines import cutline_cover, read_cutlines
+from tilespark.operators.navigate import bbox_cover
 from tilespark.session import register
 from tilespark.sources.codec import ArchiveError
 from tilespark.sources.sink import write_archives

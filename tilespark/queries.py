@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilespark.functions import facts, hilbert, mercator, paths
-from tilespark.operators import build, inspect, lookup, navigate
+from tilespark.operators import build, cover, cutlines, inspect, lookup, navigate
 from tilespark.plans import convert, serve
 from tilespark.session import register
 from tilespark.shared import shared_dir
@@ -277,32 +277,49 @@ def tile_bbox(spark, d):
     return rows.select("z", "x", "y", *[F.round(f"b.{n}", 6).alias(n) for n in ("west", "south", "east", "north")])
 
 
-BOXES = """box AS (SELECT event_id, lon AS west, greatest(lat, -80) - 0.3 AS south, lon + 0.7 AS east, least(lat, 80) AS north FROM points),
+BOXES = """box AS (SELECT event_id, lon AS west, lat - 0.3 AS south, lon + 0.7 AS east, lat AS north FROM points),
 boxes AS (SELECT event_id, west, south, least(east, 180) AS east, north FROM box UNION ALL SELECT event_id, -180, south, east - 360, north FROM box WHERE east > 180)"""
-COVER = f"""{POINTS}, {BOXES},
+
+
+def _cover_sql(zooms: str) -> str:
+    row = lambda lat, shift: f"greatest(0, least((1 << z) - 1, CAST(floor((0.5 - ln((1 + sin(radians(lat))) / (1 - sin(radians(lat)))) / (4 * pi())) * (1 << z)) AS BIGINT)))".replace("lat", f"(greatest({lat}, -85.051129){shift})")
+    return f"""{POINTS}, {BOXES},
 corners AS (SELECT event_id, z, CAST(floor((west + 180) / 360 * (1 << z)) AS BIGINT) AS x0, CAST(floor((east - 1e-11 + 180) / 360 * (1 << z)) AS BIGINT) AS x1,
-  CAST(floor((0.5 - ln((1 + sin(radians(north))) / (1 - sin(radians(north)))) / (4 * pi())) * (1 << z)) AS BIGINT) AS y0,
-  CAST(floor((0.5 - ln((1 + sin(radians(south))) / (1 - sin(radians(south)))) / (4 * pi())) * (1 << z)) AS BIGINT) AS y1
-  FROM boxes, (VALUES (4), (5), (6), (7), (8)) t(z) WHERE south < north),
+  {row("north", "")} AS y0, {row("south", " + 1e-11")} AS y1 FROM boxes, range({zooms}) t(z)),
 cover AS (SELECT DISTINCT event_id, z, x, unnest(range(y0, y1 + 1)) AS y FROM (SELECT *, unnest(range(x0, x1 + 1)) AS x FROM corners))"""
 
 
 def _boxes(spark, d):
     """A box at every point; those over the antimeridian have their east west of their west."""
     east = F.when(F.col("lon") + 0.7 > 180, F.col("lon") + 0.7 - 360).otherwise(F.col("lon") + 0.7)
-    rows = event_points(spark, d).select("event_id", F.col("lon").alias("west"), (F.greatest("lat", F.lit(-80.0)) - 0.3).alias("south"), east.alias("east"), F.least("lat", F.lit(80.0)).alias("north"))
-    return rows.where("south < north")
+    return event_points(spark, d).select("event_id", F.col("lon").alias("west"), (F.col("lat") - 0.3).alias("south"), east.alias("east"), F.col("lat").alias("north"))
 
 
-@query(f"WITH {COVER} SELECT event_id, z, x, y FROM cover")
+@query(f"WITH {_cover_sql('4, 9')} SELECT event_id, z, x, y FROM cover")
 def bbox_cover(spark, d):
     return navigate.bbox_cover(_boxes(spark, d), 4, 8).select("event_id", "z", "x", "y")
 
 
-@query(f"WITH {COVER} SELECT z, count(DISTINCT x * 1000 + y) AS tiles FROM cover GROUP BY z")
+@query(f"WITH {_cover_sql('4, 9')} SELECT event_id, z, count(*) AS tiles FROM cover GROUP BY event_id, z")
+def box_tile_counts(spark, d):
+    """The tiles of every box, counted from its intervals."""
+    found = cover.box_intervals(_boxes(spark, d), 4, 8)
+    return found.groupBy("event_id", "z").agg(F.sum(F.col("end_id") - F.col("first_id")).alias("tiles"))
+
+
+@query(f"WITH {_cover_sql('4, 9')} SELECT DISTINCT z, x, y FROM cover")
+def cover_tiles(spark, d):
+    """The union of all boxes' intervals, as tiles: no tile twice, none missing."""
+    boxes = _boxes(spark, d)
+    union = cover.interval_union(cover.box_intervals(boxes, 4, 6), cover.box_intervals(boxes, 6, 8))
+    return cover.tiles_of(union).select("z", "x", "y")
+
+
+@query(f"WITH {_cover_sql('0, 15')} SELECT CAST(z AS INTEGER) AS z, count(DISTINCT x * 100000 + y) AS tiles FROM cover GROUP BY z")
 def cover_union(spark, d):
+    """How many tiles the boxes cover together, zooms 0 to 14; no tile is a row."""
     boxes = _boxes(spark, d)
-    return convert.found_by_zoom(navigate.cover_union(navigate.bbox_cover(boxes, 4, 6), navigate.bbox_cover(boxes, 6, 8)))
+    return cover.tile_counts(cover.interval_union(cover.box_intervals(boxes, 0, 7), cover.box_intervals(boxes, 5, 14)))
 
 
 def _doc_archive(spark, d, archives=2, **options):
@@ -492,19 +509,42 @@ def version_2_scan(spark, d):
     return spark.read.format("tile_archive_v2").option("path", f"{path}/old").load().select("x", "y", F.sha2("data", 256).alias("hash"))
 
 
-@query("SELECT 6 AS z, x, y FROM range(20, 31) a(x), range(20, 26) b(y)")
+#: A quadrangle with a hole around a point for every customer, and another one beside it for some: polygon, ring, and its points in order.
+RINGS = """places AS (SELECT c_custkey AS k, (c_custkey * 7919) % 3400 / 10.0::DOUBLE - 170 AS lon, (c_custkey * 104729) % 1600 / 10.0::DOUBLE - 80 AS lat, 0.37 + c_nationkey / 10.0::DOUBLE AS r FROM customer),
+rings AS (SELECT k, i, [[lon - r * f, lat + 0.013], [lon + 0.011, lat - r * f], [lon + r * f, lat + 0.017], [lon + 0.019, lat + r * f / 2], [lon - r * f, lat + 0.013]] AS ring FROM places, (VALUES (0, 1.0::DOUBLE), (1, 0.4::DOUBLE)) t(i, f)
+  UNION ALL SELECT k, 2, [[lon + 2 * r, lat], [lon + 3 * r, lat], [lon + 2.5 * r, lat + r], [lon + 2 * r, lat]] FROM places WHERE k % 7 = 0)"""
+
+
+def customer_rings(spark, d):
+    places = _table(spark, d, "customer").select(
+        F.col("c_custkey").alias("polygon"), (F.expr("(c_custkey * 7919) % 3400") / 10.0 - 170).alias("lon"), (F.expr("(c_custkey * 104729) % 1600") / 10.0 - 80).alias("lat"), (F.lit(0.37) + F.col("c_nationkey") / 10.0).alias("r")
+    )
+    point = lambda x, y: F.array(x, y)
+    lon, lat, r = F.col("lon"), F.col("lat"), F.col("r")
+
+    def quadrangle(f: float):
+        return F.array(point(lon - r * f, lat + 0.013), point(lon + 0.011, lat - r * f), point(lon + r * f, lat + 0.017), point(lon + 0.019, lat + r * f / 2), point(lon - r * f, lat + 0.013))
+
+    triangle = F.array(point(lon + 2 * r, lat), point(lon + 3 * r, lat), point(lon + 2.5 * r, lat + r), point(lon + 2 * r, lat))
+    beside = F.when(F.col("polygon") % 7 == 0, F.array(quadrangle(1.0), quadrangle(0.4), triangle)).otherwise(F.array(quadrangle(1.0), quadrangle(0.4)))
+    return places.select("polygon", F.explode(beside).alias("ring"))
+
+
+@query(f"""WITH {RINGS},
+side AS (SELECT k, unnest(ring[1:-2]) AS a, unnest(ring[2:]) AS b FROM rings),
+world AS (SELECT k, (a[1] + 180) / 360 AS a_x, 0.5 - ln((1 + sin(radians(a[2]))) / (1 - sin(radians(a[2])))) / (4 * pi()) AS a_y, (b[1] + 180) / 360 AS b_x, 0.5 - ln((1 + sin(radians(b[2]))) / (1 - sin(radians(b[2])))) / (4 * pi()) AS b_y FROM side),
+box AS (SELECT k, z, CAST(floor(min(least(a_x, b_x)) * (1 << z)) AS BIGINT) AS x0, CAST(floor(max(greatest(a_x, b_x)) * (1 << z)) AS BIGINT) AS x1, CAST(floor(min(least(a_y, b_y)) * (1 << z)) AS BIGINT) AS y0, CAST(floor(max(greatest(a_y, b_y)) * (1 << z)) AS BIGINT) AS y1
+  FROM world, range(3, 8) t(z) GROUP BY k, z),
+tile AS (SELECT k, z, x, unnest(range(y0, y1 + 1)) AS y, 1.0::DOUBLE / (1 << z) AS s FROM (SELECT *, unnest(range(x0, x1 + 1)) AS x FROM box)),
+meets AS (SELECT k, z, x, y, least(a_x, b_x) <= (x + 1) * s AND greatest(a_x, b_x) >= x * s AND least(a_y, b_y) <= (y + 1) * s AND greatest(a_y, b_y) >= y * s
+    AND least((b_x - a_x) * (y * s - a_y) - (b_y - a_y) * (x * s - a_x), (b_x - a_x) * (y * s - a_y) - (b_y - a_y) * ((x + 1) * s - a_x), (b_x - a_x) * ((y + 1) * s - a_y) - (b_y - a_y) * (x * s - a_x), (b_x - a_x) * ((y + 1) * s - a_y) - (b_y - a_y) * ((x + 1) * s - a_x)) <= 0
+    AND greatest((b_x - a_x) * (y * s - a_y) - (b_y - a_y) * (x * s - a_x), (b_x - a_x) * (y * s - a_y) - (b_y - a_y) * ((x + 1) * s - a_x), (b_x - a_x) * ((y + 1) * s - a_y) - (b_y - a_y) * (x * s - a_x), (b_x - a_x) * ((y + 1) * s - a_y) - (b_y - a_y) * ((x + 1) * s - a_x)) >= 0 AS touched,
+    (a_y > (y + 0.5) * s) <> (b_y > (y + 0.5) * s) AND (x + 0.5) * s < a_x + ((y + 0.5) * s - a_y) * (b_x - a_x) / (b_y - a_y) AS right_of FROM tile JOIN world USING (k))
+SELECT DISTINCT CAST(z AS INTEGER) AS z, x, y FROM (SELECT k, z, x, y FROM meets GROUP BY k, z, x, y HAVING bool_or(touched) OR count(*) FILTER (right_of) % 2 = 1)""")
 def cutline_cover(spark, d):
-    """A rectangle whose edges run through the middle of tiles 20 to 30 across and 20 to 25 down, as two polygons."""
-    n = 64
-    lon = lambda x: x / n * 360 - 180
-    lat = lambda y: math.degrees(math.atan(math.sinh(math.pi * (1 - 2 * y / n))))
-    ring = lambda a, b, c, e: [[lon(a), lat(b)], [lon(c), lat(b)], [lon(c), lat(e)], [lon(a), lat(e)], [lon(a), lat(b)]]
-    features = [{"type": "Feature", "geometry": {"type": "Polygon", "coordinates": [ring(20.5, 20.5, 26.5, 25.5)]}}, {"type": "Feature", "geometry": {"type": "MultiPolygon", "coordinates": [[ring(25.5, 20.5, 30.5, 25.5)]]}}]
-    path = scratch(spark)
-    os.makedirs(path)
-    with open(f"{path}/cutline.geojson", "w", encoding="utf-8") as out:
-        json.dump({"type": "FeatureCollection", "features": features}, out)
-    return navigate.cutline_cover(navigate.read_cutlines(spark, f"file://{path}/cutline.geojson"), 6, 6)
+    """The tiles that touch the polygons, with holes and several parts, around all customers."""
+    return cutlines.cutline_cover(customer_rings(spark, d), 3, 7)
+
 
 @query("SELECT o_orderkey, (o_orderkey % 256) * 256 + o_custkey % 256 + (o_orderkey % 64) / 256.0::DOUBLE - 32768 AS metres FROM orders")
 def terrain_elevation(spark, d):
