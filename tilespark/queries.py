@@ -20,6 +20,7 @@ from tilespark.shared import shared_dir
 from tilespark.sources.archive import read_archives, read_tiles
 from tilespark.sources.codec import compress, decompress
 from tilespark.sources.database import read_tree, write_tree
+from tilespark.sources.manifest import current, write_manifest
 from tilespark.sources.sink import write_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -341,6 +342,31 @@ def archive_point_get(spark, d):
     return read_tiles(spark, out, tile_id=[0, 1, 17, 84, 199]).select("tile_id", F.sha2("data", 256).alias("hash"))
 
 
+@query("SELECT doc_id AS tile_id, sha256(text) AS hash, CAST(doc_id % 2 AS INTEGER) AS round FROM documents WHERE octet_length(encode(text)) > 0")
+def overwritten_archive(spark, d):
+    """All documents, overwritten by the even ones (with their round), to which the odd ones are appended: what the last manifest names is read."""
+    out = scratch(spark)
+    tiles = doc_tiles(spark, d).where("octet_length(data) > 0")
+    write_archives(tiles.select("tile_id", F.concat(F.lit("old "), "data").alias("data")), out, 3)
+    for turn, mode in enumerate(("overwrite", "append")):
+        rows = tiles.where(F.col("tile_id") % 2 == turn).select("tile_id", F.concat(F.lit(f"{turn} "), "data").alias("data"))
+        write_archives(rows, out, 3, mode)
+    back = register(spark).read.format("tile_archive").option("path", out).load()
+    return back.select("tile_id", F.sha2(F.expr("substring(data, 3)"), 256).alias("hash"), F.expr("cast(cast(substring(data, 1, 1) AS string) AS int)").alias("round"))
+
+
+@query("SELECT doc_id AS tile_id, sha256(text) AS hash FROM documents WHERE octet_length(encode(text)) > 0 AND doc_id % 3 < 2")
+def manifest_scan(spark, d):
+    """Archives of documents by source, found by a manifest that tasks made; ids of one zoom at a time, archives that cannot hold them left out."""
+    out, made = scratch(spark), scratch(spark)
+    tiles = doc_tiles(spark, d).where("octet_length(data) > 0 AND tile_id % 3 < 2").select("tile_id", "data")
+    write_archives(tiles, out, 8)
+    write_manifest(register(spark), [f"{out}/{r['archive']}" for r in current(out)], made)
+    below = read_tiles(spark, below_id=1365, options={"manifest": made})
+    rest = read_tiles(spark, from_id=1365, options={"manifest": made})
+    return below.unionAll(rest).select("tile_id", F.sha2("data", 256).alias("hash"))
+
+
 @query("SELECT count(*) AS addressed, count(DISTINCT text) AS contents, CAST(n AS BIGINT) AS bytes FROM documents, (SELECT sum(octet_length(encode(text))) AS n FROM (SELECT DISTINCT text FROM documents)) GROUP BY n")
 def archive_stats(spark, d):
     header = _doc_archive(spark, d, 1, layout="data_first").option("table", "header").load()

@@ -7,20 +7,32 @@ over the cluster; what ``read_tiles`` is asked for (archive, tile_id, z, x, y) l
 the leaves, and inside them the entries, that cannot match. Tiles are read in order of
 their place, neighbouring ones in one read.
 
-Options: ``path`` (a file, a folder, or several parted by commas; folders are searched
-for archives), ``table`` (tiles, entries, header, metadata), ``version`` (2 for old
-archives), ``mode`` (FAILFAST or PERMISSIVE: unreadable archives give no rows),
+Where there is a manifest (``sources.manifest``: every folder that the sink wrote has one),
+archives whose ids or zooms cannot match are not opened at all. If more than ``PLANNED`` are left, planning
+opens none of them: a partition is a share of an archive's ids, and its task reads the root directory.
+
+A plan is pinned to the versions that it met. A task that finds another version fails with
+``ChangedError``, unless its partition is all that is asked of the archive and ``on_change`` is
+``replan``: then it plans anew, once, and reads the new version alone. ``planned_anew`` does so for whole queries.
+
+Options: ``path`` (a file, a folder, or several parted by commas or as a JSON list; folders are searched
+for archives), ``manifest`` (in place of a path), ``table`` (tiles, entries, header, metadata),
+``mode`` (FAILFAST or PERMISSIVE: unreadable archives give no rows),
 ``decompress`` (tile bytes are decompressed), ``strict_zoom`` (tiles outside the
-header's zooms are left out; default true), ``only`` (what ``read_tiles`` asks for).
+header's zooms are left out; default true), ``on_change`` (error or replan), ``only`` and ``pinned``
+(what ``read_tiles`` asks for, and has found out).
 """
 
 from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator
+import re
+import time
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +43,17 @@ from pyspark.sql.types import StructType
 from tilespark.functions.hilbert import END, LEVEL_STARTS, MAX_ZOOM, _decode, _encode
 from tilespark.schema import ENTRIES, FIRST_READ_BYTES, HEADER, MAX_DEPTH, METADATA, TILES
 from tilespark.sources.codec import ArchiveError, ChangedError, DirectoryError, decode_directory, decode_header, decompress
+from tilespark.sources.manifest import OWN_FILE, current, cuts_of, rows_of
 from tilespark.sources.ranges import BytesRanges, Kept, open_ranges
 from tilespark.sources.sink import ArchiveWriter
 
 #: Headers and root directories that this process has decoded, by path and version.
 ROOTS = Kept(100)
+#: What the session has found out about web archives, by address (and place, for leaves), for ``FRESH`` seconds.
+SESSION, FRESH = Kept(100), 60.0
+#: Archives that planning opens; beyond them tasks do. Ids and leaves that ``read_tiles`` looks up itself.
+PLANNED, LOOKED_UP = 64, 16
+T = TypeVar("T")
 #: Archives whose headers are read at the same time.
 HEADER_READS = 32
 TABLES = {"tiles": TILES, "entries": ENTRIES, "header": HEADER, "metadata": METADATA}
@@ -45,15 +63,26 @@ PART_TILES, BATCH_TILES, READ_BYTES = 1 << 16, 1 << 12, 1 << 23
 PART_BYTES = 1 << 27
 
 
-def archives_in(path: str) -> list[str]:
+def paths_in(path: str) -> list[str]:
+    """The paths of an option: a JSON list, or parted by commas where another path or address begins."""
+    if path.lstrip().startswith("["):
+        return list(json.loads(path))
+    return [one.strip() for one in re.split(r",(?=\s*(?:/|\w+://))", path)] if not os.path.exists(path) else [path]
+
+
+def archives_in(path: str, low: int | None = None, high: int | None = None) -> list[str]:
+    """Archives of files, folders and addresses; of those that a folder's manifest names, such as can hold ids from low to high."""
     found = []
-    for one in path.split(","):
-        local = one.strip().removeprefix("file://")
-        if os.path.isdir(local):
-            found += sorted(os.path.join(d, f) for d, _, names in os.walk(local) for f in names if not f.startswith(("_", ".")))
-        else:
-            found.append(one.strip())
-    return found
+    for one in paths_in(path):
+        local = one.removeprefix("file://")
+        if not os.path.isdir(local):
+            found.append(one)
+            continue
+        for d, _, names in os.walk(local):
+            named = current(d, low, high)
+            own = set(names) if named is None else {r["archive"] for r in named}
+            found += [os.path.join(d, f) for f in names if not f.startswith(("_", ".")) and (f in own or not OWN_FILE.fullmatch(f))]
+    return sorted(found)
 
 
 @dataclass
@@ -62,11 +91,12 @@ class Part(InputPartition):
 
     archive: str
     version: str | None
-    header: dict
-    entries: list[tuple[int, int, int, int]]
+    header: dict | None
+    entries: list[tuple[int, int, int, int]] | None  # None: the task reads the root directory
     low: int = 0
     high: int = END
     depth: int = 0
+    alone: bool = False  # it is all that is asked of the archive
 
 
 class Ranges:
@@ -117,6 +147,7 @@ class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict, table: str) -> None:
         self.options, self.table, self.filters, self.open = options, table, Ranges(options.get("only")), open_ranges
         self.permissive = options.get("mode", "FAILFAST").upper() == "PERMISSIVE"
+        self.replan = options.get("on_change", "error") == "replan"
         self.strict = options.get("strict_zoom", "true").lower() == "true"
 
     def _root(self, path: str) -> tuple[dict, str | None, np.ndarray]:
@@ -132,31 +163,78 @@ class ArchiveReader(DataSourceReader):
             return header, decode_directory(decompress(raw, header["internal_compression"]))
 
         header, root = load() if version is None else ROOTS.get((path, version), load)
-        return header, version, root
+        return header, source.version(), root
+
+    def facts(self, path: str) -> dict:
+        """An archive's row of a manifest; its last leaves are read for the end of its ids."""
+        header, version, root = self._root(path)
+        source, last = self.open(path), root[-1].tolist() if len(root) else [0, 0, 0, 0]
+        for _ in range(MAX_DEPTH):
+            if last[3] or not len(root):
+                break
+            last = decode_directory(decompress(source.read(header["leaf_directory_offset"] + last[1], last[2]), header["internal_compression"]))[-1].tolist()
+        leaves = root[root[:, 3] == 0]
+        share = np.full(len(leaves), header["tile_data_length"] // max(len(leaves), 1), np.int64)
+        return {
+            "archive": path, "version": version, "first_id": int(root[0, 0]) if len(root) else 0, "end_id": last[0] + last[3], "min_zoom": header["min_zoom"], "max_zoom": header["max_zoom"], "tiles": header["addressed_tiles_count"],
+            "entries": header["tile_entries_count"], "leaves": len(leaves), "bytes": header["tile_data_length"], "cuts": cuts_of(leaves[:, 0], share, PART_BYTES),
+        }
 
     def partitions(self) -> list[Part]:
-        if "path" not in self.options:
+        if "path" not in self.options and "manifest" not in self.options:
             raise ArchiveError("the option path names the archives")
         wanted = self.filters.only.get("archive")
-        paths = [p for p in archives_in(self.options["path"]) if wanted is None or p in wanted]
-
-        def planned(path: str) -> list[Part]:
+        low, high = self.filters.bounds({"min_zoom": 0, "max_zoom": MAX_ZOOM}, False) if self.table == "tiles" else (None, None)
+        pinned = json.loads(self.options.get("pinned", "{}"))
+        if "manifest" in self.options:
+            rows = rows_of(self.options["manifest"].removeprefix("file://"), low, high)
+        else:
+            rows = [{"archive": p} for p in archives_in(self.options["path"], low, high)]
+        rows = [r for r in rows if (wanted is None or r["archive"] in wanted) and self._may_match(r)]
+        if len(rows) > PLANNED and self.table == "tiles" and "manifest" not in self.options:
+            rows = self._with_facts(rows)
+
+        def planned(row: dict) -> list[Part]:
+            path = row["archive"]
+            if path in pinned:
+                found = pinned[path]
+                return [Part(path, found["version"], found["header"], [tuple(e) for e in found["entries"]], low, high, alone=True)] if found["entries"] else []
+            if len(rows) > PLANNED and row.get("version"):
+                ends = [max(low or 0, row["first_id"]), *(c for c in row["cuts"] or [] if (low or 0) < c < (high or END)), min(high or END, row["end_id"])] if self.table == "tiles" else [0, END]
+                return [Part(path, row["version"], None, None, a, b, alone=len(ends) == 2) for a, b in zip(ends, ends[1:]) if a < b]
             try:
-                return self._parts(path)
+                return self._parts(path, None if self.replan else row.get("version"))
             except ArchiveError:
                 if not self.permissive:
                     raise
                 return []
 
         with ThreadPoolExecutor(HEADER_READS) as pool:
-            return [part for parts in pool.map(planned, paths) for part in parts]
-
-    def _parts(self, path: str) -> list[Part]:
-        header, version, root = self._root(path)
-        whole = Part(path, version, header, [])
+            return [part for parts in pool.map(planned, rows) for part in parts]
+
+    def _may_match(self, row: dict) -> bool:
+        """Whether an archive can hold anything that is asked for, by its row of a manifest."""
+        if self.table != "tiles" or row.get("max_zoom") is None:
+            return True
+        low, high = self.filters.bounds(row, self.strict)
+        return low < high
+
+    def _with_facts(self, rows: list[dict]) -> list[dict]:
+        """Rows of archives in folders, with what the folders' manifests say."""
+        known = {f"{d}/{r['archive']}": r for d in {os.path.dirname(r["archive"]) for r in rows} if os.path.isdir(d) for r in current(d) or []}
+        found = [{**known.get(r["archive"], {}), **r} for r in rows]
+        return [r for r in found if self._may_match(r)]
+
+    def _parts(self, path: str, version: str | None = None, within: tuple[int, int] = (0, END)) -> list[Part]:
+        """The partitions of an archive, of ids within bounds; another version than the one that is asked for is an error."""
+        header, found, root = self._root(path)
+        if version and found and found != version:
+            raise ChangedError(f"{path} changed while it was read")
+        whole = Part(path, found, header, [])
         if self.table in ("header", "metadata"):
-            return [whole]
+            return [replace(whole, alone=True)]
         low, high = self.filters.bounds(header, self.strict) if self.table == "tiles" else (0, END)
+        low, high = max(low, within[0]), min(high, within[1])
         leaves = int((root[:, 3] == 0).sum())
         together = max(1, PART_BYTES * leaves // max(header["tile_data_length"], 1))
         held: list[tuple[int, int, int, int]] = []
@@ -192,14 +270,41 @@ class ArchiveReader(DataSourceReader):
             parts.append(replace(whole, entries=held, low=low, high=held_to, depth=1))
         if own:
             parts.append(replace(whole, entries=own, low=low, high=high))
-        return parts
+        return [replace(parts[0], alone=True)] if len(parts) == 1 else parts
 
     def read(self, part: Part | None) -> Iterator[pa.RecordBatch]:
         if part is None:  # there are no partitions
             return
-        source = self.open(part.archive)
-        if part.version and source.version() != part.version:
-            raise ChangedError(f"{part.archive} changed while it was read")
+        begun = False
+        try:
+            for batch in self._pinned(part):
+                yield batch
+                begun = True
+        except ChangedError:
+            if begun or not (self.replan and part.alone):
+                raise
+            for anew in self._parts(part.archive):
+                yield from self._read(anew)
+
+    def _pinned(self, part: Part) -> Iterator[pa.RecordBatch]:
+        if part.entries is not None or self.table in ("header", "metadata"):
+            yield from self._read(part)
+            return
+        try:
+            parts = self._parts(part.archive, part.version, (part.low, part.high))
+        except FileNotFoundError as e:
+            raise ChangedError(f"{part.archive} is gone") from e
+        for own in parts:
+            yield from self._read(own)
+
+    def _read(self, part: Part) -> Iterator[pa.RecordBatch]:
+        try:
+            source = self.open(part.archive)
+            source.expect(part.version)
+        except FileNotFoundError as e:
+            raise ChangedError(f"{part.archive} is gone") from e
+        if part.header is None:
+            part = replace(part, header=self._root(part.archive)[0])
         if self.table == "header":
             yield _batch(HEADER, [(part.archive, *part.header.values())])
         elif self.table == "metadata":
@@ -261,16 +366,94 @@ class ArchiveReader(DataSourceReader):
             at = upto
 
 
-def read_tiles(spark: SparkSession, path: str, from_id: int | None = None, below_id: int | None = None, options: dict[str, str] | None = None, **only: int | str | list) -> DataFrame:
+def _looked_up(path: str, ids: list[int], strict: bool) -> dict | None:
+    """Version, header and entries of a web archive for a few ids; None if they lie below too many leaves.
+
+    Headers, roots and leaves stay with the session for a while: a second question asks the server for tiles only.
+    """
+    reader = ArchiveReader({"path": path}, "tiles")
+
+    def kept(key: tuple, make: Callable):
+        held = SESSION.get(key, lambda: (time.monotonic(), make()))
+        if time.monotonic() - held[0] > FRESH:
+            SESSION.held.pop(key, None)
+            return kept(key, make)
+        return held[1]
+
+    header, version, root = kept((path,), lambda: reader._root(path))
+    if not version:  # without one nothing that is kept can be told from what has changed
+        SESSION.held.pop((path,), None)
+    ids = [i for i in ids if not strict or LEVEL_STARTS[header["min_zoom"]] <= i < LEVEL_STARTS[header["max_zoom"]] + 4 ** header["max_zoom"]]
+    found, directories, read = [], [(root, ids)], 0
+    for _ in range(MAX_DEPTH):
+        below: dict[tuple, list[int]] = {}
+        for entries, own in directories:
+            at = np.searchsorted(entries[:, 0], own, "right") - 1
+            for i, k in zip(own, at.tolist()):
+                entry = tuple(entries[k].tolist()) if k >= 0 else None
+                if entry and entry[3] == 0:
+                    below.setdefault(entry, []).append(i)
+                elif entry and i < entry[0] + entry[3]:
+                    found.append(entry)
+        read += len(below)
+        if read > LOOKED_UP:
+            return None
+        source = open_ranges(path)
+        source.expect(version)
+
+        def leaf(place: tuple, source=source) -> np.ndarray:
+            return decode_directory(decompress(source.read(header["leaf_directory_offset"] + place[1], place[2]), header["internal_compression"]))
+
+        directories = [(kept((path, version, *place), lambda place=place: leaf(place)) if version else leaf(place), own) for place, own in below.items()]
+        if not directories:
+            return {"version": version, "header": header, "entries": sorted(set(found))}
+    raise DirectoryError("directories are nested too deeply")
+
+
+def read_tiles(spark: SparkSession, path: str | None = None, from_id: int | None = None, below_id: int | None = None, options: dict[str, str] | None = None, **only: int | str | list) -> DataFrame:
     """Tiles of archives, of which only those asked for are read: by ``archive``, ``tile_id``, ``z``, ``x``, ``y`` (a value or a list) and bounds on the id.
 
-    Leaf directories, and byte ranges, that hold none of them are not read.
+    Leaf directories, and byte ranges, that hold none of them are not read. A few tiles of one web archive are looked up
+    here, in directories that the session keeps, so the scan asks the server for the tiles alone. If the archive is another one by
+    then, it is planned anew. ``manifest`` among the options stands for the path.
     """
     from tilespark.session import register
 
     asked: dict = {name: values if isinstance(values, list) else [values] for name, values in only.items()}
     asked |= {name: value for name, value in (("from_id", from_id), ("below_id", below_id)) if value is not None}
-    return register(spark).read.format("tile_archive").options(path=path, only=json.dumps(asked), **(options or {})).load()
+    options = {"on_change": "replan", **({"path": path} if path is not None else {}), **(options or {})}
+    one = paths_in(path) if path is not None else []
+    if len(one) == 1 and "://" in one[0] and not one[0].startswith("file://") and (ids := _few_ids(asked)) is not None:
+        try:
+            found = _looked_up(one[0], ids, options.get("strict_zoom", "true").lower() == "true")
+        except ChangedError:
+            SESSION.held.clear()
+            found = _looked_up(one[0], ids, options.get("strict_zoom", "true").lower() == "true")
+        if found is not None:
+            options["pinned"] = json.dumps({one[0]: found})
+    return register(spark).read.format("tile_archive").options(only=json.dumps(asked), **options).load()
+
+
+def _few_ids(asked: dict) -> list[int] | None:
+    """The ids that are asked for, if these are a few by id or one by address."""
+    if set(asked) == {"tile_id"} and len(asked["tile_id"]) <= LOOKED_UP:
+        return sorted(asked["tile_id"])
+    if set(asked) == {"z", "x", "y"} and all(len(v) == 1 for v in asked.values()):
+        z, x, y = (asked[n][0] for n in ("z", "x", "y"))
+        if 0 <= z <= MAX_ZOOM and 0 <= x < 1 << z and 0 <= y < 1 << z:
+            return _encode(*(np.array([v], np.int64) for v in (z, x, y))).tolist()
+    return None
+
+
+def planned_anew(query: Callable[[], T]) -> T:
+    """What ``query`` (which makes a scan and runs it) gives; run once more if an archive changed between its plan and its tasks."""
+    try:
+        return query()
+    except Exception as e:
+        if ChangedError.__name__ not in str(e):
+            raise
+        SESSION.held.clear()
+        return query()
 
 
 def read_archives(archives: DataFrame, table: str = "tiles", **options: str) -> DataFrame:

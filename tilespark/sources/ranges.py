@@ -13,7 +13,10 @@ from tilespark.sources.codec import ArchiveError, ChangedError
 
 
 class FileRanges:
-    """A file; its size and time of change stand for a version."""
+    """A file; its size and time of change stand for a version.
+
+    It is opened once and then read whatever takes its place, so a task reads one version.
+    """
 
     def __init__(self, path: str) -> None:
         self.path = path.removeprefix("file://")
@@ -21,14 +24,22 @@ class FileRanges:
             raise FileNotFoundError(path)
         self.file: BinaryIO | None = None
 
+    def _opened(self) -> BinaryIO:
+        if self.file is None:  # kept open: a task reads many ranges of one archive
+            self.file = open(self.path, "rb")  # noqa: SIM115
+        return self.file
+
     def version(self) -> str:
-        found = os.stat(self.path)
+        found = os.fstat(self._opened().fileno())
         return f"{found.st_mtime_ns}-{found.st_size}"
 
+    def expect(self, version: str | None) -> None:
+        """From now on another version is an error."""
+        if version and self.version() != version:
+            raise ChangedError(f"{self.path} changed while it was read")
+
     def read(self, offset: int, length: int) -> bytes:
-        if self.file is None:  # kept open: a task reads many ranges of one archive
-            self.file = open(self.path, "rb")  # noqa: SIM115
-        self.file.seek(offset)
+        self._opened().seek(offset)
         return self.file.read(length)
 
 
@@ -41,28 +52,44 @@ class BytesRanges:
     def version(self) -> None:
         return None
 
+    def expect(self, version: str | None) -> None:
+        pass
+
     def read(self, offset: int, length: int) -> bytes:
         return self.data[offset : offset + length]
 
 
 class WebRanges:
-    """A web address whose server answers range requests; strong entity tags stand for versions."""
+    """A web address whose server answers range requests; strong entity tags stand for versions.
+
+    The first answer says what the version is. Once it is known, requests are for that version only, and
+    a server that has another answers without a body (412), or is found out by its tag.
+    """
+
+    #: Seconds without a byte after which a server counts as silent.
+    TIMEOUT = 30.0
 
     def __init__(self, url: str, headers: dict[str, str] | None = None) -> None:
         self.url, self.headers = url, headers or {}
         self.tag: str | None = None
 
     def version(self) -> str | None:
-        self.read(0, 1)
+        """The version as far as it is known; no request of its own."""
         return self.tag
 
+    def expect(self, version: str | None) -> None:
+        self.tag = version
+
     def _ask(self, spec: str):
-        return urllib.request.urlopen(urllib.request.Request(self.url, headers={**self.headers, "Range": spec}))  # noqa: S310
+        only = {"If-Match": self.tag} if self.tag else {}
+        return urllib.request.urlopen(urllib.request.Request(self.url, headers={**self.headers, **only, "Range": spec}), timeout=self.TIMEOUT)  # noqa: S310
 
     def read(self, offset: int, length: int) -> bytes:
         try:
             answer = self._ask(f"bytes={offset}-{offset + length - 1}")
         except urllib.error.HTTPError as e:
+            if e.code == 412:
+                raise ChangedError(f"{self.url} changed while it was read") from e
             size = (e.headers.get("Content-Range") or "").removeprefix("bytes */")
             if e.code != 416 or offset or not size.isdigit():
                 raise ArchiveError(f"{self.url}: status {e.code}") from e

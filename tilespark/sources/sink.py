@@ -8,8 +8,9 @@ the entries of its archive) does not grow with the tile set.
 
 In a task, equal contents are stored once (by SHA-256), neighbouring ids with equal
 contents become one entry, and the entries are packed into a root directory of at most
-16,257 bytes, with leaf directories if need be. Files are staged under hidden names and
-renamed when the job commits, so the rows of failed or repeated attempts never show.
+16,257 bytes, with leaf directories if need be. Files are staged under hidden names, named when
+the job commits, and part of the folder when its manifest names them, all at once; what they
+replace is removed after that. A job that fails, wherever it stops, leaves the folder as it was.
 
 Options: ``path``, ``metadata`` (a JSON object), ``tile_type``, ``tile_compression``,
 ``internal_compression`` (numbers as in the format), ``bounds`` and ``center``
@@ -19,10 +20,10 @@ Options: ``path``, ``metadata`` (a JSON object), ``tile_type``, ``tile_compressi
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import json
 import os
-import re
 import shutil
 import tempfile
 import uuid
@@ -39,11 +40,13 @@ from pyspark.sql.types import StructType
 from tilespark.functions.hilbert import END, LEVEL_STARTS
 from tilespark.schema import FIRST_READ_BYTES, HEADER_BYTES, LEAF_ENTRIES, MAX_ROOT_BYTES
 from tilespark.sources.codec import ArchiveError, compress, encode_directory, encode_header
+from tilespark.sources.manifest import OWN_FILE, current, cuts_of, publish
+from tilespark.sources.ranges import FileRanges
 
 #: Bytes and tiles of an archive where no number of archives is asked for.
 ARCHIVE_BYTES, ARCHIVE_TILES = 1 << 30, 1 << 22
-#: What this sink calls its files, before the suffix that a user may ask for.
-OWN_FILE = re.compile(r"part-\d{5}-[0-9a-f]{8}(\.\w+)?")
+#: About so many bytes of tiles are one partition of a scan.
+SHARE_BYTES = 1 << 27
 
 
 def pack_directories(entries: np.ndarray, compression: int = 2, most: int = MAX_ROOT_BYTES, leaf_entries: int = LEAF_ENTRIES, allow_empty: bool = False) -> tuple[bytes, bytes]:
@@ -111,7 +114,8 @@ class Build:
             self.addressed = int(entries[:, 3].sum())
         return entries
 
-    def finish(self) -> None:
+    def finish(self) -> dict:
+        """Write what is not written yet; the archive's row of a manifest, without its name."""
         options = self.options
         entries = self._sorted()
         packing = int(options.get("internal_compression", 2))
@@ -150,12 +154,20 @@ class Build:
                 self.payload.seek(0)
                 shutil.copyfileobj(self.payload, out, 1 << 20)
         self.payload.close()
+        with open(self.path, "rb") as out:
+            os.fsync(out.fileno())
+        ends = (int(entries[0, 0]), int((entries[:, 0] + entries[:, 3]).max())) if len(entries) else (0, 0)
+        return {
+            "version": FileRanges(self.path).version(), "first_id": ends[0], "end_id": ends[1], "min_zoom": zooms[0], "max_zoom": zooms[1], "tiles": self.addressed,
+            "entries": len(entries), "leaves": -(-len(entries) // LEAF_ENTRIES) if leaves else 0, "bytes": self.size, "cuts": cuts_of(entries[:, 0], entries[:, 2], SHARE_BYTES),
+        }
 
 
 @dataclass
 class Staged(WriterCommitMessage):
     staged: str
     name: str
+    facts: dict | None = None
 
 
 class ArchiveWriter(DataSourceArrowWriter):
@@ -185,22 +197,31 @@ class ArchiveWriter(DataSourceArrowWriter):
             if os.path.exists(staged):
                 os.remove(staged)
             return Staged("", "")
-        build.finish()
-        return Staged(staged, f"part-{number:05d}-{self.job[:8]}{self.options.get('suffix', '')}")
+        facts = build.finish()
+        return Staged(staged, f"part-{number:05d}-{self.job[:8]}{self.options.get('suffix', '')}", facts)
 
     def commit(self, messages: list[Staged | None]) -> None:
-        old = [f for f in os.listdir(self.folder) if OWN_FILE.fullmatch(f)] if os.path.isdir(self.folder) else []
         kept = [m for m in messages if m and m.staged]
+        if not kept:
+            self._sweep()
+            raise ArchiveError("there are no tiles to write")
+        if current(self.folder) is None:
+            publish(self.folder, lambda rows: rows)  # from now on a file shows when it is named, and not before
         for m in kept:
             os.replace(m.staged, f"{self.folder}/{m.name}")
-        if self.overwrite:
-            for f in old:
-                os.remove(f"{self.folder}/{f}")
+        new = [{"archive": m.name, **(m.facts or {})} for m in kept]
+        old = publish(self.folder, lambda rows: new if self.overwrite else rows + new)
+        for row in old if self.overwrite else []:
+            with contextlib.suppress(FileNotFoundError):
+                os.remove(f"{self.folder}/{row['archive']}")
         self._sweep()
-        if not kept:
-            raise ArchiveError("there are no tiles to write")
 
     def abort(self, messages: list[Staged | None]) -> None:
+        if os.path.isdir(self.folder) and (rows := current(self.folder)) is not None:
+            named = {row["archive"] for row in rows}
+            for m in messages:
+                if m and m.name and m.name not in named and os.path.exists(f"{self.folder}/{m.name}"):
+                    os.remove(f"{self.folder}/{m.name}")
         self._sweep()
 
     def _sweep(self) -> None:
