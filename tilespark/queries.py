@@ -3,24 +3,26 @@
 from __future__ import annotations
 
 import json
-import math
 import os
 import struct
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilespark.functions import facts, hilbert, mercator, paths
-from tilespark.operators import build, cover, cutlines, inspect, lookup, navigate
-from tilespark.plans import convert, serve
+from tilespark.operators import build, cover, cutlines, inspect, lookup, navigate, ordered
+from tilespark.plans import convert, pyramid, serve
 from tilespark.session import register
 from tilespark.shared import shared_dir
 from tilespark.sources.archive import read_archives, read_tiles
+from tilespark.sources.archive_v2 import get_tiles
 from tilespark.sources.codec import compress, decompress
 from tilespark.sources.database import read_tree, write_tree
 from tilespark.sources.manifest import current, write_manifest
+from tilespark.sources.probe import kind_of, open_tiles
 from tilespark.sources.sink import write_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -383,18 +385,37 @@ def _archives(spark):
     return spark.createDataFrame(rows, names)
 
 
+def customer_headers(spark, d):
+    """A header and metadata for every customer: integers only, so that text and degrees are the same everywhere."""
+    k = F.col("c_custkey")
+    e7 = lambda expr: F.expr(f"cast({expr} as int)")
+    json_ = F.to_json(F.struct(F.col("c_name").alias("name"), F.when(k % 3 == 0, F.lit("2")).alias("version"), F.when(k % 2 == 0, F.col("c_mktsegment")).alias("attribution"), F.when(k % 5 == 0, F.array(F.struct(F.lit("roads").alias("id")))).alias("vector_layers")))
+    return _table(spark, d, "customer").select(
+        F.col("c_name").alias("name"), F.col("c_name").alias("archive"), (k % 7).cast("int").alias("tile_type"), (k % 3).cast("int").alias("min_zoom"), (k % 20 + 3).cast("int").alias("max_zoom"),
+        e7("(c_custkey % 90) * -20000000").alias("min_lon_e7"), e7("(c_custkey % 40) * -20000000 - 2500000").alias("min_lat_e7"), e7("(c_custkey % 80) * 20000000 + 5000000").alias("max_lon_e7"), e7("(c_custkey % 42) * 20000000").alias("max_lat_e7"),
+        (k % 15).cast("int").alias("center_zoom"), e7("(c_custkey % 70) * 10000000 + 2500000").alias("center_lon_e7"), e7("(c_custkey % 30) * -10000000 - 5000000").alias("center_lat_e7"), json_.alias("json"),
+    )
+
+
+#: The same in SQL, in degrees.
+HEADERS = """headers AS (SELECT c_name AS name, CAST(c_custkey % 7 AS INTEGER) AS tile_type, CAST(c_custkey % 3 AS INTEGER) AS min_zoom, CAST(c_custkey % 20 + 3 AS INTEGER) AS max_zoom, (c_custkey % 90) * -2.0::DOUBLE AS west, (c_custkey % 40) * -2.0::DOUBLE - 0.25 AS south,
+  (c_custkey % 80) * 2.0::DOUBLE + 0.5 AS east, (c_custkey % 42) * 2.0::DOUBLE AS north, CAST(c_custkey % 15 AS INTEGER) AS zoom, (c_custkey % 70) + 0.25::DOUBLE AS lon, (c_custkey % 30) * -1.0::DOUBLE - 0.5 AS lat,
+  CASE WHEN c_custkey % 3 = 0 THEN '2' END AS version, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS attribution, CASE WHEN c_custkey % 5 = 0 THEN '[{"id":"roads"}]' END AS layers FROM customer)"""
+
+
 KINDS = "archives(name, tile_type, max_zoom) AS (VALUES ('click', 0, 3), ('view', 1, 5), ('purchase', 2, 7), ('signup', 3, 9), ('search', 4, 11))"
 
 
-@query("""SELECT name, '3.0.0' AS tilejson, 'https://example.com/' || name || '/{z}/{x}/{y}' || ext AS tiles, max_zoom AS maxzoom, version, 'xyz' AS scheme, name AS own_name, attribution,
-  '[-180.0,-85.0511287,180.0,85.0511287]' AS bounds, '[1.0,-2.5,1.0]' AS center, layers AS vector_layers FROM
-(VALUES ('click', '', 3, '', 'all', ''), ('view', '.mvt', 5, '2', '', '[{"id":"roads"}]'), ('purchase', '.png', 7, '', 'all', ''), ('signup', '.jpg', 9, '', 'all', ''), ('search', '.webp', 11, '', 'all', '')) t(name, ext, max_zoom, version, attribution, layers)""")
+@query(f"""WITH {HEADERS} SELECT name, '3.0.0' AS tilejson, 'https://example.com/' || name || '/{{z}}/{{x}}/{{y}}' || ['', '.mvt', '.png', '.jpg', '.webp', '.avif', '.mlt'][tile_type + 1] AS tiles, min_zoom AS minzoom, max_zoom AS maxzoom, coalesce(version, '') AS version, 'xyz' AS scheme,
+  name AS own_name, coalesce(attribution, '') AS attribution, west + 0.0 AS west, south, east, north, lon, lat, CAST(zoom AS DOUBLE) AS center_zoom, coalesce(layers, '') AS vector_layers FROM headers""")
 def tilejson(spark, d):
     text = facts.tile_json(F.concat(F.lit("https://example.com/"), "name"), "json")
-    get = lambda n: F.coalesce(F.get_json_object(text, f"$.{n}"), F.lit(""))
-    return _archives(spark).select(
-        "name", get("tilejson").alias("tilejson"), get("tiles[0]").alias("tiles"), get("maxzoom").cast("int").alias("maxzoom"), get("name").alias("own_name"),
-        *[get(n).alias(n) for n in ("version", "scheme", "attribution", "bounds", "center", "vector_layers")],
+    rows = customer_headers(spark, d).select("name", text.alias("text"))
+    get = lambda n: F.coalesce(F.get_json_object("text", f"$.{n}"), F.lit(""))
+    degrees = lambda path, *names: [get(f"{path}[{i}]").cast("double").alias(n) for i, n in enumerate(names)]
+    return rows.select(
+        "name", get("tilejson").alias("tilejson"), get("tiles[0]").alias("tiles"), *[get(n).cast("int").alias(n) for n in ("minzoom", "maxzoom")], get("name").alias("own_name"),
+        *[get(n).alias(n) for n in ("version", "scheme", "attribution", "vector_layers")], *degrees("bounds", "west", "south", "east", "north"), *degrees("center", "lon", "lat", "center_zoom"),
     )
 
 
@@ -444,24 +465,37 @@ def layer_states(spark, d):
     return serve.loaded_state(_table(spark, d, "events").select("event_id", status.alias("status"))).select("event_id", "state")
 
 
-@query("SELECT p_partkey AS id, CAST(p_size % 3 + 1 AS INTEGER) AS geom_type, p_brand AS layer FROM part ORDER BY geom_type DESC, layer, id LIMIT 500")
+@query("SELECT id, geom_type, layer, row_number() OVER (ORDER BY geom_type DESC, layer, id) AS place FROM (SELECT p_partkey AS id, CAST(p_size % 3 + 1 AS INTEGER) AS geom_type, p_brand AS layer FROM part)")
 def drawing_order(spark, d):
+    """Every feature with its place in the order: sorted, then counted over the ranges of the sort."""
     found = _table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.expr("cast(p_size % 3 + 1 as int)").alias("geom_type"), F.col("p_brand").alias("layer"))
-    return inspect.drawing_order(found).limit(500)
+    sorted_ = inspect.drawing_order(found).withColumn("at", F.monotonically_increasing_id()).withColumn("one", F.lit(1).cast("long"))
+    return ordered.running_sum(ordered.into_ranges(sorted_, "at"), "one", "place", "at").select("id", "geom_type", "layer", "place")
 
 
-@query("""SELECT i, CAST(trunc(w * 1e7) AS INTEGER) AS min_lon_e7, CAST(trunc(s * 1e7) AS INTEGER) AS min_lat_e7, CAST(trunc(e * 1e7) AS INTEGER) AS max_lon_e7, CAST(trunc(n * 1e7) AS INTEGER) AS max_lat_e7, clon AS center_lon_e7, clat AS center_lat_e7, czoom AS center_zoom
-FROM (VALUES (0, -180.0::DOUBLE, -85.0::DOUBLE, 180.0::DOUBLE, 85.0::DOUBLE, -1221906000, 377599000, 11), (1, -180.0, -85.05112878, 180.0, 85.05112878, 0, 0, 1), (2, 1.5, 2.5, 3.25, 4.125, 23750000, 33125000, 1)) t(i, w, s, e, n, clon, clat, czoom)""")
+@query("""WITH t AS (SELECT c_custkey AS k, c_custkey % 4 = 3 AS junk, c_custkey % 5 = 4 AS nowhere, c_custkey % 170 AS a, c_custkey % 80 AS b FROM customer),
+e AS (SELECT k, nowhere, a, b, CASE WHEN junk THEN -1800000000 ELSE -a * 10000000 - 2500000 END AS min_lon_e7, CASE WHEN junk THEN -850511287 ELSE -b * 10000000 - 5000000 END AS min_lat_e7, CASE WHEN junk THEN 1800000000 ELSE a * 10000000 + 5000000 END AS max_lon_e7, CASE WHEN junk THEN 850511287 ELSE b * 10000000 END AS max_lat_e7 FROM t)
+SELECT k, CAST(min_lon_e7 AS INTEGER) AS min_lon_e7, CAST(min_lat_e7 AS INTEGER) AS min_lat_e7, CAST(max_lon_e7 AS INTEGER) AS max_lon_e7, CAST(max_lat_e7 AS INTEGER) AS max_lat_e7,
+  CAST(CASE WHEN nowhere THEN floor((min_lon_e7 + max_lon_e7) / 2) ELSE a * 10000000 + 1250000 END AS INTEGER) AS center_lon_e7, CAST(CASE WHEN nowhere THEN floor((min_lat_e7 + max_lat_e7) / 2) ELSE -b * 10000000 - 7500000 END AS INTEGER) AS center_lat_e7, CAST(CASE WHEN nowhere THEN 1 ELSE k % 15 END AS INTEGER) AS center_zoom,
+  CASE WHEN nowhere THEN -1.0::DOUBLE ELSE a + 0.125 END AS lon FROM e""")
 def bounds_parse(spark, d):
-    rows = spark.createDataFrame([(0, "-180.0,-85,180,85", "-122.1906,37.7599,11"), (1, None, None), (2, "1.5, 2.5,3.25,4.125", "junk")], "i int, bounds string, center string")
+    """Bounds and centres written as text for every customer, a fourth and a fifth of them unreadable."""
+    rows = _table(spark, d, "customer").selectExpr("c_custkey AS k", "c_custkey % 170 AS a", "c_custkey % 80 AS b").selectExpr(
+        "k", "CASE WHEN k % 4 < 3 THEN concat('-', a, '.25, -', b, '.5,', a, '.5,', b) WHEN k % 8 = 3 THEN '1,2,x,4' END AS bounds", "CASE WHEN k % 5 < 4 THEN concat(a, '.125,-', b, '.75, ', k % 15) WHEN k % 10 = 4 THEN 'junk' ELSE '1,2' END AS center"
+    )
     rows = rows.withColumn("b", facts.parse_bounds(F.coalesce("bounds", F.lit("")))).withColumn("c", facts.parse_center(F.coalesce("center", F.lit("")), F.col("b"), F.lit(1)))
-    return rows.select("i", "b.*", "c.center_lon_e7", "c.center_lat_e7", "c.center_zoom")
+    lon = F.when(F.col("k") % 5 == 4, F.lit(-1.0)).otherwise(facts.from_e7("c.center_lon_e7"))
+    return rows.select("k", "b.*", "c.center_lon_e7", "c.center_lat_e7", "c.center_zoom", lon.alias("lon"))
 
 
-@query("""SELECT * FROM (VALUES ('attribution', 'all'), ('bounds', '-180.0,-85.0511287,180.0,85.0511287'), ('center', '1.0,-2.5,1'), ('format', 'png'), ('maxzoom', '7'), ('minzoom', '0'), ('name', 'purchase')) t(name, value)""")
+@query(f"""WITH {HEADERS},
+filled AS (SELECT *, CAST(west + 0.0 AS VARCHAR) || ',' || CAST(south AS VARCHAR) || ',' || CAST(east AS VARCHAR) || ',' || CAST(north AS VARCHAR) AS bounds, CAST(lon AS VARCHAR) || ',' || CAST(lat AS VARCHAR) || ',' || zoom AS center,
+  [NULL, 'pbf', 'png', 'jpeg', 'webp', 'avif', 'mlt'][tile_type + 1] AS format FROM headers)
+SELECT archive, name, value FROM (SELECT name AS archive, unnest(['name', 'version', 'attribution', 'minzoom', 'maxzoom', 'bounds', 'center', 'format', 'json']) AS name,
+  unnest([name, version, attribution, CAST(min_zoom AS VARCHAR), CAST(max_zoom AS VARCHAR), bounds, center, format, '{{"vector_layers":' || layers || '}}']) AS value FROM filled) WHERE value IS NOT NULL""")
 def metadata_rows(spark, d):
-    rows = _archives(spark).where("name = 'purchase'")
-    return convert.metadata_rows(rows.drop("json", "name"), rows.select("archive", "json")).select("name", "value")
+    rows = customer_headers(spark, d)
+    return convert.metadata_rows(rows.drop("json", "name"), rows.select("archive", "json")).select("archive", "name", "value")
 
 
 @query("""SELECT event_id, '"' || sha256(event_type) || '"' AS etag, CASE WHEN i = 0 THEN size || ' Bytes' ELSE
@@ -471,25 +505,49 @@ def tags_and_sizes(spark, d):
     return _table(spark, d, "events").select("event_id", facts.entity_tag(F.col("event_type").cast("binary")).alias("etag"), facts.format_bytes(F.expr("event_id * event_id * 41")).alias("size"))
 
 
-@query("SELECT * FROM (VALUES (256, 0), (512, 1), (16384, 6), (21600, 7)) t(width, zoom)")
+@query("""SELECT p_partkey, CAST(greatest(0, ceil(round(log2(greatest(w / 360.0::DOUBLE, h / 360.0::DOUBLE) * 360 / 256), 9))) AS INTEGER) AS zoom, CAST(greatest(0, ceil(round(log2(360.0::DOUBLE * w / (span * 256)), 9))) AS INTEGER) AS part_zoom
+FROM (SELECT p_partkey, 256 * (1 << CAST(p_size % 9 AS INTEGER)) + p_partkey % 3 AS w, 256 * (1 << CAST(p_size % 7 AS INTEGER)) AS h, 1.0::DOUBLE + p_partkey % 100 AS span FROM part)""")
 def guess_max_zoom(spark, d):
-    rows = spark.createDataFrame([(256,), (512,), (16384,), (21600,)], "width int")
-    world = [F.lit(v) for v in (-180.0, -85.05112878, 180.0, 85.05112878)]
-    return rows.select("width", mercator.guess_max_zoom("width", "width", *world).alias("zoom"))
+    """Rasters of the sizes of parts, over the whole square world, and over stretches of the equator across the antimeridian."""
+    rows = _table(spark, d, "part").selectExpr("p_partkey", "256 * shiftleft(1, cast(p_size % 9 AS int)) + p_partkey % 3 AS w", "256 * shiftleft(1, cast(p_size % 7 AS int)) AS h", "cast(1 + p_partkey % 100 AS double) AS span")
+    world = [F.lit(v) for v in (-180.0, -85.0511287798066, 180.0, 85.0511287798066)]
+    # so high that its width decides
+    strip = [F.lit(179.5), F.lit(-60.0), F.lit(179.5) + F.col("span") - 360, F.lit(60.0)]
+    return rows.select("p_partkey", mercator.guess_max_zoom("w", "h", *world).alias("zoom"), mercator.guess_max_zoom("w", F.lit(1), *strip).alias("part_zoom"))
+
+
+def event_vector_tiles(spark, d, where: str):
+    """A vector tile for each fifty events: a layer for each type, with as many features as the ids' remainders by four. Made in tasks."""
+    layers = _table(spark, d, "events").where(where).groupBy(F.expr("event_id div 50").alias("tile_id"), "event_type").agg(F.sum(F.expr("event_id % 4")).cast("int").alias("n"))
+
+    @F.pandas_udf("binary")
+    def drawn(counts: pd.Series) -> pd.Series:
+        return counts.map(lambda c: _vector_tile({e["event_type"]: e["n"] for e in c if e["n"]}))
+
+    tiles = layers.groupBy("tile_id").agg(F.sort_array(F.collect_list(F.struct("event_type", "n"))).alias("counts"))
+    return tiles.select("tile_id", drawn("counts").alias("data"))
 
 
 def _vector_tile(layers: dict[str, int]) -> bytes:
     """A tile with so many bare features in each layer, for the queries and tests."""
-    field = lambda n, body: bytes([n << 3 | 2, len(body)]) + body
+    size = lambda n: bytes([n]) if n < 128 else bytes([n & 127 | 128]) + size(n >> 7)
+    field = lambda n, body: bytes([n << 3 | 2]) + size(len(body)) + body
     return b"".join(field(3, field(1, name.encode()) + b"".join(field(2, bytes([24, 1 + i % 3])) for i in range(count))) for name, count in layers.items())
 
 
-@query("SELECT r_name AS id, CASE WHEN r_regionkey < 3 THEN 3 * (r_regionkey + 1) ELSE 0 END AS features FROM region")
+@query("SELECT event_type AS id, CAST(sum(CASE WHEN event_type IN ('view', 'error') THEN 0 ELSE event_id % 4 END) AS INTEGER) AS features FROM events GROUP BY event_type")
 def mvt_layer_counts(spark, d):
-    regions = _table(spark, d, "region").select("r_regionkey", "r_name").collect()  # five rows of a fixed table
-    tile = _vector_tile({r["r_name"]: r["r_regionkey"] + 1 for r in regions if r["r_regionkey"] < 3})
-    tiles = spark.createDataFrame([(i, tile) for i in range(3)], "tile_id long, data binary")
-    return inspect.layer_counts(inspect.features(tiles), _table(spark, d, "region").select(F.col("r_name").alias("id"))).select("id", F.col("features").cast("int").alias("features"))
+    """Features of the layers that all events' tiles declare, of which two have none."""
+    tiles = event_vector_tiles(spark, d, "event_type NOT IN ('view', 'error')")
+    declared = _table(spark, d, "events").select(F.col("event_type").alias("id")).distinct()
+    return inspect.layer_counts(inspect.features(tiles), declared).select("id", F.col("features").cast("int").alias("features"))
+
+
+@query("SELECT tile_id, max(CASE WHEN event_id % 4 > 0 THEN 4096 END) AS extent, CAST(sum(event_id % 4) AS BIGINT) AS features FROM (SELECT event_id // 50 AS tile_id, event_id FROM events) GROUP BY tile_id")
+def tile_extents(spark, d):
+    """The largest extent and the features of every tile."""
+    found = inspect.features(event_vector_tiles(spark, d, "true"))
+    return found.groupBy("tile_id").agg(F.max("extent").alias("extent"), F.count("*").alias("features"))
 
 
 @query("SELECT doc_id AS tile_id, sha256(text) AS hash FROM documents WHERE octet_length(encode(text)) > 0")
@@ -511,28 +569,70 @@ def tree_roundtrip(spark, d):
     return read_tree(spark, f"file://{out}").select(hilbert.zxy_to_tile_id("z", "x", "y").alias("tile_id"), F.sha2("data", 256).alias("hash"))
 
 
-@query("SELECT o_orderkey % 256 AS x, o_custkey % 256 AS y, sha256(o_orderpriority) AS hash FROM orders WHERE o_orderkey IN (SELECT max(o_orderkey) FROM orders GROUP BY o_orderkey % 256, o_custkey % 256)")
-def version_2_scan(spark, d):
-    """Old archives are only read, so the one read here is put together from the rows of a bounded grid."""
-    register(spark)
+def _old_archives(spark, d) -> str:
+    """Old archives are only read: these are put together by tasks from the grid of all orders, one for each 32 columns, with a leaf for each tile of zoom 5."""
     rows = _table(spark, d, "orders").select(F.expr("o_orderkey % 256").alias("x"), F.expr("o_custkey % 256").alias("y"), "o_orderkey", "o_orderpriority")
-    grid = rows.groupBy("x", "y").agg(F.max_by("o_orderpriority", "o_orderkey").alias("data")).orderBy("x", "y").collect()  # 65,536 rows at most
+    grid = rows.groupBy("x", "y").agg(F.max_by("o_orderpriority", "o_orderkey").alias("data"))
     path = scratch(spark)
-    os.makedirs(path)
-    contents: dict[str, tuple[int, int]] = {}
     entry = lambda z, x, y, offset, length: bytes([z]) + x.to_bytes(3, "little") + y.to_bytes(3, "little") + offset.to_bytes(6, "little") + length.to_bytes(4, "little")
-    payload = bytearray()
-    for r in grid:
-        if r["data"] not in contents:
-            contents[r["data"]] = (512000 + len(payload), len(r["data"]))
-            payload += r["data"].encode()
-    made = [entry(8, r["x"], r["y"], *contents[r["data"]]) for r in grid]
-    root, leaf = made[:100], b"".join(made[100:])
-    pointer = entry(128 | 7, 0, 0, 512000 + len(payload), len(leaf))
-    head = b"PM" + struct.pack("<HIH", 2, 2, len(root) + 1) + b"{}" + b"".join(root) + pointer
-    with open(f"{path}/old", "wb") as out:
-        out.write(head.ljust(512000, b"\0") + bytes(payload) + leaf)
-    return spark.read.format("tile_archive_v2").option("path", f"{path}/old").load().select("x", "y", F.sha2("data", 256).alias("hash"))
+
+    def made(key, tiles: pd.DataFrame) -> pd.DataFrame:
+        contents, payload, leaves = {}, bytearray(), {}
+        for x, y, data in zip(tiles.x.tolist(), tiles.y.tolist(), tiles.data.tolist()):
+            if data not in contents:
+                contents[data] = (512000 + len(payload), len(data))
+                payload += data.encode()
+            leaves.setdefault((x // 8, y // 8), []).append(entry(8, x, y, *contents[data]))
+        at, pointers, own = 512000 + len(payload), [], []
+        for (x, y), entries in sorted(leaves.items()):
+            if (x + y) % 9 == 0:  # these are in the root directory
+                own += entries
+                continue
+            pointers.append(entry(128 | 5, x, y, at, 17 * len(entries)))
+            payload += b"".join(entries)
+            at += 17 * len(entries)
+        head = b"PM" + struct.pack("<HIH", 2, 2, len(own) + len(pointers)) + b"{}" + b"".join(own + pointers)
+        os.makedirs(path, exist_ok=True)
+        with open(f"{path}/.{key[0]}-{uuid.uuid4().hex}", "wb") as out:
+            out.write(head.ljust(512000, b"\0") + bytes(payload))
+        os.replace(out.name, f"{path}/old-{key[0]}")
+        return pd.DataFrame({"tiles": [len(tiles)]})
+
+    grid.groupBy(F.expr("x div 32").alias("strip")).applyInPandas(made, "tiles long").agg(F.sum("tiles")).first()
+    return path
+
+
+OLD_TILES = "(SELECT o_orderkey % 256 AS x, o_custkey % 256 AS y, sha256(o_orderpriority) AS hash FROM orders WHERE o_orderkey IN (SELECT max(o_orderkey) FROM orders GROUP BY o_orderkey % 256, o_custkey % 256))"
+
+
+@query(f"SELECT x, y, hash FROM {OLD_TILES}")
+def version_2_scan(spark, d):
+    path = _old_archives(spark, d)
+    return register(spark).read.format("tile_archive_v2").option("path", path).load().select("x", "y", F.sha2("data", 256).alias("hash"))
+
+
+@query(f"SELECT x, y, hash FROM {OLD_TILES} WHERE (x, y) IN (SELECT (n_nationkey * 11 % 256, n_nationkey * n_nationkey * 7 % 256) FROM nation)")
+def version_2_get(spark, d):
+    """The tiles at one address for each nation, found by their ancestors' leaves."""
+    path = _old_archives(spark, d)
+    asked = [(8, r.n_nationkey * 11 % 256, r.n_nationkey * r.n_nationkey * 7 % 256) for r in _table(spark, d, "nation").select("n_nationkey").collect()]  # 25 rows of a fixed table
+    return get_tiles(spark, path, asked).select("x", "y", F.sha2("data", 256).alias("hash"))
+
+
+@query("SELECT kind, doc_id AS tile_id, sha256(text) AS hash FROM documents, (VALUES ('database'), ('folder'), ('tile_json'), ('tree')) t(kind) WHERE octet_length(encode(text)) > 0")
+def opened_by_content(spark, d):
+    """The documents as archives, a database, a tree and behind a TileJSON document: each is told by its bytes and read alike."""
+    register(spark)
+    base = scratch(spark)
+    tiles = doc_tiles(spark, d).where("octet_length(data) > 0").withColumn("t", hilbert.tile_id_to_zxy("tile_id")).select("tile_id", "t.z", "t.x", "t.y", "data")
+    deepest = tiles.agg(F.max("z")).first()[0]
+    write_archives(tiles.select("tile_id", "data"), f"{base}/a", 2)
+    tiles.drop("tile_id").coalesce(1).write.format("tile_database").mode("append").options(path=f"{base}/b", metadata="{}").save()
+    write_tree(tiles.drop("tile_id"), f"{base}/c", ".bin", '{"format":"png"}')
+    with open(f"{base}/d", "w", encoding="utf-8") as out:
+        json.dump({"tilejson": "3.0.0", "tiles": [f"file://{base}/c/{{z}}/{{x}}/{{y}}.bin"], "minzoom": 0, "maxzoom": deepest}, out)
+    found = [open_tiles(spark, f"{base}/{name}").select(F.lit(kind_of(f"{base}/{name}")).alias("kind"), "tile_id", F.sha2("data", 256).alias("hash")) for name in "abcd"]
+    return found[0].unionAll(found[1]).unionAll(found[2]).unionAll(found[3])
 
 
 #: A quadrangle with a hole around a point for every customer, and another one beside it for some: polygon, ring, and its points in order.
@@ -612,10 +712,15 @@ def projected_metres(spark, d):
     return rows.select("event_id", F.round("m.x", 3).alias("x"), F.round("m.y", 3).alias("y"), F.round("b.lon", 7).alias("lon"), F.round("b.lat", 7).alias("lat"))
 
 
-@query("""SELECT * FROM (VALUES ('pbf', 1, 2, '.mvt', 'mvt'), ('png', 2, 1, '.png', 'png'), ('jpg', 3, 1, '.jpg', 'jpeg'), ('webp', 4, 2, '.webp', 'webp'), ('avif', 5, 1, '.avif', 'avif'), ('mlt', 6, 1, '.mlt', 'mlt'), ('tiff', 0, 1, '', 'unknown')) t(format, tile_type, compression, extension, name)""")
+@query("""WITH f AS (SELECT p_partkey, ['pbf', 'png', 'jpg', 'jpeg', 'webp', 'avif', 'mlt', 'tiff', 'PNG'][p_size % 9 + 1] AS format, CASE WHEN p_partkey % 4 = 0 THEN 'gzip' WHEN p_partkey % 4 = 1 THEN 'br' END AS said FROM part)
+SELECT p_partkey, tile_type, CAST(CASE WHEN format = 'pbf' OR said IS NOT DISTINCT FROM 'gzip' THEN 2 ELSE 1 END AS INTEGER) AS compression, ['', '.mvt', '.png', '.jpg', '.webp', '.avif', '.mlt'][tile_type + 1] AS extension, ['unknown', 'mvt', 'png', 'jpeg', 'webp', 'avif', 'mlt'][tile_type + 1] AS name,
+  ['none', 'gzip'][CASE WHEN format = 'pbf' OR said IS NOT DISTINCT FROM 'gzip' THEN 2 ELSE 1 END] AS packed
+FROM (SELECT *, CAST(CASE lower(format) WHEN 'pbf' THEN 1 WHEN 'png' THEN 2 WHEN 'jpg' THEN 3 WHEN 'jpeg' THEN 3 WHEN 'webp' THEN 4 WHEN 'avif' THEN 5 WHEN 'mlt' THEN 6 ELSE 0 END AS INTEGER) AS tile_type FROM f)""")
 def format_names(spark, d):
-    rows = spark.createDataFrame([("pbf", None), ("png", None), ("jpg", None), ("webp", "gzip"), ("avif", None), ("mlt", None), ("tiff", None)], "format string, said string").withColumn("t", facts.tile_type_of_format("format"))
-    return rows.select("format", F.col("t").cast("int").alias("tile_type"), facts.compression_of_format("format", "said").cast("int").alias("compression"), facts.tile_extension("t").alias("extension"), facts.tile_type_name("t").alias("name"))
+    """Formats and compressions as a tile set of every part would name them."""
+    rows = _table(spark, d, "part").selectExpr("p_partkey", "element_at(array('pbf', 'png', 'jpg', 'jpeg', 'webp', 'avif', 'mlt', 'tiff', 'PNG'), cast(p_size % 9 + 1 AS int)) AS format", "CASE WHEN p_partkey % 4 = 0 THEN 'gzip' WHEN p_partkey % 4 = 1 THEN 'br' END AS said")
+    rows = rows.withColumn("t", facts.tile_type_of_format("format")).withColumn("c", facts.compression_of_format("format", "said"))
+    return rows.select("p_partkey", F.col("t").cast("int").alias("tile_type"), F.col("c").cast("int").alias("compression"), facts.tile_extension("t").alias("extension"), facts.tile_type_name("t").alias("name"), facts.compression_name("c").alias("packed"))
 
 
 @query("SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'type' WHEN 2 THEN 'version' ELSE 'vector_layers' END AS faults FROM nation")
@@ -655,23 +760,24 @@ def served_tiles(spark, d):
     return answers.select(F.col("asked").alias("tile_id"), F.coalesce(F.col("data").cast("string"), "n_name").alias("text"), "status")
 
 
-@query("SELECT z, CAST(power(4, z) AS BIGINT) - CASE WHEN z = 3 THEN 8 ELSE 0 END AS tiles FROM range(0, 4) t(z)")
+@query(f"""WITH {_cover_sql('0, 7')}, tiles AS (SELECT DISTINCT z, x, y FROM cover)
+SELECT CAST(z AS INTEGER) AS z, x, y, sha256(z || '/' || x || '/' || y) AS hash FROM tiles WHERE (x * 7 + y) % 11 <> 5 AND (x + y) % 13 <> 7""")
 def pyramid_render(spark, d):
-    """A small world rendered by a function that finds one column of its deepest zoom empty."""
-    from tilespark.plans.pyramid import build_pyramid
-
+    """The tiles of all events' boxes, rendered by a function that finds some empty; others have a content that is left out."""
+    union = cover.tiles_of(cover.interval_union(cover.box_intervals(_boxes(spark, d), 0, 6)))
+    tiles = pyramid.rendered(union, lambda z, x, y: None if (x * 7 + y) % 11 == 5 else b"empty" if (x + y) % 13 == 7 else f"{z}/{x}/{y}".encode())
+    empty = spark.range(1).select(F.sha2(F.lit(b"empty"), 256).alias("hash"))
     out = scratch(spark)
-    build_pyramid(spark, lambda z, x, y: None if z == 3 and x == 5 else f"{z}/{x}/{y}".encode(), out, bounds=(-180.0, -85.0, 180.0, 85.0), max_zoom=3)
-    return convert.found_by_zoom(register(spark).read.format("tile_archive").option("path", out).load()).select(F.col("z").cast("long").alias("z"), "tiles")
+    write_archives(pyramid.without(tiles, empty), out, layout="data_first")
+    return register(spark).read.format("tile_archive").option("path", out).load().select("z", "x", "y", F.sha2("data", 256).alias("hash"))
 
 
-@query("SELECT r_name AS id, r_regionkey + 1 AS features FROM region WHERE r_regionkey % 2 = 0")
+@query("SELECT event_id // 50 AS tile_id, event_type AS id, CAST(sum(event_id % 4) AS INTEGER) AS features FROM events WHERE event_type IN ('click', 'error') AND event_id % 4 > 0 GROUP BY ALL")
 def layer_visibility(spark, d):
-    regions = _table(spark, d, "region").orderBy("r_regionkey")
-    tile = _vector_tile({r["r_name"]: r["r_regionkey"] + 1 for r in regions.collect()})  # five rows of a fixed table
-    found = inspect.features(spark.createDataFrame([(0, tile)], "tile_id long, data binary"))
-    shown = inspect.visible(found, regions.select(F.col("r_name").alias("id"), (F.col("r_regionkey") % 2 == 0).alias("visible")))
-    return shown.groupBy(F.col("layer").alias("id")).agg(F.count("*").cast("int").alias("features"))
+    """Features of two layers that are shown, tile by tile; one layer is hidden and the others are not listed."""
+    layers = _table(spark, d, "events").select(F.col("event_type").alias("id")).distinct().where("id IN ('click', 'error', 'view')").withColumn("visible", F.col("id") != "view")
+    shown = inspect.visible(inspect.features(event_vector_tiles(spark, d, "true")), layers)
+    return shown.groupBy("tile_id", F.col("layer").alias("id")).agg(F.count("*").cast("int").alias("features"))
 
 
 @query(f"""WITH RECURSIVE {GRID}, {STEPS},

@@ -2,7 +2,8 @@
 
 Their directories are fixed records of 17 bytes (zoom, column, row, offset, length); a
 zoom with the top bit set points to a leaf directory, keyed by an ancestor tile. Each
-distinct leaf directory is a partition.
+distinct leaf directory is a partition. ``get_tiles`` asks for addresses: an address is in the
+root directory, or in the leaf of its ancestor at the level of leaves, and no other leaf is read.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -38,6 +40,8 @@ class Stretch(InputPartition):
     archive: str
     entries: list[list[int]]
     leaf: tuple[int, int] | None = None
+    asked: list[tuple[int, int, int]] | None = None  # None: all
+    version: str | None = None
 
 
 class ReaderV2(DataSourceReader):
@@ -45,6 +49,7 @@ class ReaderV2(DataSourceReader):
         self.options = options
 
     def partitions(self) -> list[Stretch]:
+        asked = sorted({tuple(a) for a in json.loads(self.options["only"])}) if "only" in self.options else None
         parts = []
         for path in archives_in(self.options["path"]):
             source = open_ranges(path)
@@ -54,24 +59,40 @@ class ReaderV2(DataSourceReader):
             version, json_length, count = (int.from_bytes(head[a:b], "little") for a, b in ((2, 4), (4, 8), (8, 10)))
             if version != 2:
                 raise VersionError(f"{path} has version {version}, not 2")
-            json.loads(source.read(10, json_length) or b"{}")
-            entries = decode_entries(source.read(10 + json_length, count * ENTRY_V2))
-            tiles = entries[entries[:, 5] == 0]
-            if len(tiles):
-                parts.append(Stretch(path, tiles.tolist()))
-            for offset, length in sorted({(o, n) for o, n in entries[entries[:, 5] == 1][:, 3:5].tolist()}):
-                parts.append(Stretch(path, [], (offset, length)))
+            rest = source.read(10, json_length + count * ENTRY_V2)
+            json.loads(rest[:json_length] or b"{}")
+            entries = decode_entries(rest[json_length:])
+            parts += self._planned(path, source.version(), entries[entries[:, 5] == 0], entries[entries[:, 5] == 1], asked)
         return parts
 
+    @staticmethod
+    def _planned(path: str, version: str | None, tiles: np.ndarray, leaves: np.ndarray, asked: list | None) -> list[Stretch]:
+        if asked is None:
+            whole = [Stretch(path, tiles.tolist(), version=version)] if len(tiles) else []
+            return whole + [Stretch(path, [], place, version=version) for place in sorted(set(map(tuple, leaves[:, 3:5].tolist())))]
+        root = {tuple(t[:3]): t for t in tiles.tolist()}
+        place = {tuple(e[:3]): (e[3], e[4]) for e in leaves.tolist()}
+        level = int(leaves[0, 0]) if len(leaves) else 0
+        below: dict[tuple[int, int], list] = {}
+        for z, x, y in asked:
+            if (z, x, y) not in root and z >= level and (found := place.get((level, x >> (z - level), y >> (z - level)))):
+                below.setdefault(found, []).append((z, x, y))
+        own = [root[a] for a in asked if a in root]
+        return ([Stretch(path, own, version=version)] if own else []) + [Stretch(path, [], at, wanted, version) for at, wanted in sorted(below.items())]
+
     def read(self, part: Stretch | None) -> Iterator[pa.RecordBatch]:
         if part is None:  # there are no partitions
             return
         source = open_ranges(part.archive)
+        source.expect(part.version)
         entries = np.array(part.entries, np.int64).reshape(-1, 6)
         if part.leaf:
             entries = decode_entries(source.read(*part.leaf))
             if (entries[:, 5] == 1).any():
                 raise ArchiveError("leaf directories of version 2 do not nest")
+            if part.asked is not None:
+                wanted = set(part.asked)
+                entries = entries[[tuple(e) in wanted for e in entries[:, :3].tolist()]]
         for start in range(0, len(entries), BATCH):
             rows = entries[start : start + BATCH]
             data = [source.read(o, n) for o, n in rows[:, 3:5].tolist()]
@@ -89,3 +110,10 @@ class TileArchiveV2(DataSource):
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return ReaderV2(dict(self.options))
+
+
+def get_tiles(spark: SparkSession, path: str, addresses: list[tuple[int, int, int]]) -> DataFrame:
+    """Tiles of version 2 archives at (z, x, y) addresses; addresses without a tile give no row."""
+    from tilespark.session import register
+
+    return register(spark).read.format("tile_archive_v2").options(path=path, only=json.dumps(addresses)).load()
