@@ -24,6 +24,7 @@ from tilespark.sources.database import read_tree, write_tree
 from tilespark.sources.manifest import current, write_manifest
 from tilespark.sources.probe import kind_of, open_tiles
 from tilespark.sources.sink import write_archives
+from tilespark.streaming.cache import cached_answers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -746,6 +747,21 @@ def edge_status(spark, d):
     return answers.select("event_id", "status", *[F.coalesce(c, F.lit("")).alias(c) for c in ("cache_control", "vary", "allow_origin", "content_type")])
 
 
+@query(f"""WITH RECURSIVE {KINDS},
+asked AS (SELECT event_id, ts, event_type AS name, event_id % 6 AS z, '/' || event_type || '/' || (event_id % 6) || '/0/0.mvt' AS path FROM events),
+fetched AS (SELECT path, min(ts) AS ts FROM asked GROUP BY path
+  UNION ALL SELECT f.path, (SELECT min(a.ts) FROM asked a WHERE a.path = f.path AND a.ts >= f.ts + INTERVAL 1 DAY) AS ts FROM fetched f WHERE ts IS NOT NULL)
+SELECT event_id, f.ts IS NULL AS cached, CAST(CASE WHEN a.name IS NULL THEN 404 WHEN z > max_zoom THEN 404 WHEN tile_type > 1 THEN 400 WHEN z = 1 THEN 204 ELSE 200 END AS INTEGER) AS status,
+  coalesce(CASE WHEN z <= max_zoom AND tile_type <= 1 AND z <> 1 THEN sha256('tile ' || CAST((power(4, z) - 1) / 3 AS BIGINT)) END, '') AS hash
+FROM asked LEFT JOIN archives a USING (name) LEFT JOIN fetched f USING (path, ts)""")
+def edge_cache(spark, d):
+    """Requests of all events in order of time: each address is fetched once a day, other requests get what was kept. Zoom 1 has no tiles."""
+    asked = _table(spark, d, "events").select("event_id", "ts", F.expr("'/' || event_type || '/' || (event_id % 6) || '/0/0.mvt'").alias("path"))
+    answers = serve.serve(asked, _archives(spark), "example.com", flavor="edge")
+    found = cached_answers(answers, "ts", lambda archive, tile_id: None if tile_id == 1 else b"tile %d" % tile_id)
+    return found.select("event_id", "cached", "status", F.coalesce(F.sha2("data", 256), F.lit("")).alias("hash"))
+
+
 @query("SELECT CAST(n_nationkey AS BIGINT) AS tile_id, n_name AS text, CASE WHEN n_regionkey = 0 AND n_nationkey = 0 THEN 404 WHEN n_regionkey = 0 THEN 204 ELSE 200 END AS status FROM nation")
 def served_tiles(spark, d):
     """Requests for the first tiles of an archive from which one region's tiles, and with them zoom 0, were left out."""
