@@ -18,6 +18,7 @@ from tilespark.sources import codec, manifest
 from tilespark.sources.archive import SESSION, ArchiveReader, planned_anew, read_tiles
 from tilespark.sources.ranges import WebRanges
 from tilespark.sources.sink import ArchiveWriter, write_archives
+from tilespark.sources.stores import LocalFolder
 
 SCHEMA = StructType([StructField("tile_id", LongType()), StructField("data", BinaryType())])
 
@@ -28,7 +29,7 @@ def written(folder, ids, word, overwrite=False, files=2):
     parts = np.array_split(np.array(ids), files)
     batches = [pa.RecordBatch.from_arrays([pa.array(p), pa.array([f"{word} {i}".encode() for i in p.tolist()])], ["tile_id", "data"]) for p in parts]
     messages = [writer.write(iter([b])) for b in batches]
-    for i, m in enumerate(messages):
+    for i, m in enumerate(m for m in messages if m.staged):
         m.name = re.sub(r"part-\d+", f"part-{i:05d}", m.name)
     return writer, messages
 
@@ -106,14 +107,14 @@ def test_two_writers_lose_nothing_of_each_other(tmp_path, monkeypatch):
     writer.commit(messages)
     one, of_one = written(tmp_path / "a", range(5, 10), "one")
     two, of_two = written(tmp_path / "a", range(10, 15), "two")
-    staged = manifest._written
+    create = LocalFolder.create
 
-    def late(folder, rows):  # the other commits when this one has read the manifest
-        monkeypatch.setattr(manifest, "_written", staged)
+    def late(self, name, write):  # the other commits when this one has read the manifest
+        monkeypatch.setattr(LocalFolder, "create", create)
         two.commit(of_two)
-        return staged(folder, rows)
+        return create(self, name, write)
 
-    monkeypatch.setattr(manifest, "_written", late)
+    monkeypatch.setattr(LocalFolder, "create", late)
     one.commit(of_one)
     assert len(tiles_in(tmp_path / "a")) == 15
 

@@ -19,8 +19,8 @@ Options: ``path`` (a file, a folder, or several parted by commas or as a JSON li
 for archives), ``manifest`` (in place of a path), ``table`` (tiles, entries, header, metadata),
 ``mode`` (FAILFAST or PERMISSIVE: unreadable archives give no rows),
 ``decompress`` (tile bytes are decompressed), ``strict_zoom`` (tiles outside the
-header's zooms are left out; default true), ``on_change`` (error or replan), ``only`` and ``pinned``
-(what ``read_tiles`` asks for, and has found out).
+header's zooms are left out; default true), ``on_change`` (error or replan), ``stores`` (what registers object
+stores), ``only`` and ``pinned`` (what ``read_tiles`` asks for, and has found out).
 """
 
 from __future__ import annotations
@@ -46,6 +46,7 @@ from tilespark.sources.codec import ArchiveError, ChangedError, DirectoryError,
 from tilespark.sources.manifest import OWN_FILE, current, cuts_of, rows_of
 from tilespark.sources.ranges import BytesRanges, Kept, open_ranges
 from tilespark.sources.sink import ArchiveWriter
+from tilespark.sources.stores import folder_of, registered, store_of
 
 #: Headers and root directories that this process has decoded, by path and version.
 ROOTS = Kept(100)
@@ -75,6 +76,13 @@ def archives_in(path: str, low: int | None = None, high: int | None = None) -> l
     found = []
     for one in paths_in(path):
         local = one.removeprefix("file://")
+        if store_of(one):
+            names, base = folder_of(one).names(), one.rstrip("/")
+            rows = current(base, low, high)
+            own = set(names) if rows is None else {r["archive"] for r in rows}
+            # an address without names below it is an archive
+            found += [f"{base}/{f}" for f in names if not f.startswith(("_", ".")) and (f in own or not OWN_FILE.fullmatch(f))] if names else [one]
+            continue
         if not os.path.isdir(local):
             found.append(one)
             continue
@@ -149,6 +157,11 @@ class ArchiveReader(DataSourceReader):
         self.permissive = options.get("mode", "FAILFAST").upper() == "PERMISSIVE"
         self.replan = options.get("on_change", "error") == "replan"
         self.strict = options.get("strict_zoom", "true").lower() == "true"
+        self._register()
+
+    def _register(self) -> None:
+        if "stores" in self.options:
+            registered(self.options["stores"])
 
     def _root(self, path: str) -> tuple[dict, str | None, np.ndarray]:
         """Header, version and root directory of an archive; what was decoded before is not decoded again."""
@@ -221,7 +234,7 @@ class ArchiveReader(DataSourceReader):
 
     def _with_facts(self, rows: list[dict]) -> list[dict]:
         """Rows of archives in folders, with what the folders' manifests say."""
-        known = {f"{d}/{r['archive']}": r for d in {os.path.dirname(r["archive"]) for r in rows} if os.path.isdir(d) for r in current(d) or []}
+        known = {f"{d}/{r['archive']}": r for d in {os.path.dirname(r["archive"]) for r in rows} if os.path.isdir(d) or store_of(d) for r in current(d) or []}
         found = [{**known.get(r["archive"], {}), **r} for r in rows]
         return [r for r in found if self._may_match(r)]
 
@@ -275,6 +288,7 @@ class ArchiveReader(DataSourceReader):
     def read(self, part: Part | None) -> Iterator[pa.RecordBatch]:
         if part is None:  # there are no partitions
             return
+        self._register()  # a task's process may be another one
         begun = False
         try:
             for batch in self._pinned(part):
@@ -422,8 +436,10 @@ def read_tiles(spark: SparkSession, path: str | None = None, from_id: int | None
     asked: dict = {name: values if isinstance(values, list) else [values] for name, values in only.items()}
     asked |= {name: value for name, value in (("from_id", from_id), ("below_id", below_id)) if value is not None}
     options = {"on_change": "replan", **({"path": path} if path is not None else {}), **(options or {})}
+    if "stores" in options:
+        registered(options["stores"])
     one = paths_in(path) if path is not None else []
-    if len(one) == 1 and "://" in one[0] and not one[0].startswith("file://") and (ids := _few_ids(asked)) is not None:
+    if len(one) == 1 and "://" in one[0] and not one[0].startswith("file://") and (ids := _few_ids(asked)) is not None and not (store_of(one[0]) and folder_of(one[0]).names()):
         try:
             found = _looked_up(one[0], ids, options.get("strict_zoom", "true").lower() == "true")
         except ChangedError:

@@ -13,10 +13,7 @@ names are no part of the folder; files of other origin beside them are.
 
 from __future__ import annotations
 
-import contextlib
-import os
 import re
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -25,6 +22,8 @@ import pyarrow.dataset as ds
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 
+from tilespark.sources.stores import LocalFolder, StoreFolder, folder_of
+
 #: What the sink calls its files, before the suffix that a user may ask for, and its manifests.
 OWN_FILE = re.compile(r"part-\d{5}-[0-9a-f]{8}(\.\w+)?")
 OWN_MANIFEST = re.compile(r"_archives-(\d{8})\.parquet")
@@ -32,68 +31,60 @@ FACTS = {"archive": pa.string(), "version": pa.string(), "first_id": pa.int64(),
 MANIFEST = "archive string, version string, first_id long, end_id long, min_zoom int, max_zoom int, tiles long, entries long, leaves long, bytes long, cuts array<long>"
 
 
-def _last(folder: str) -> tuple[int, str | None]:
-    numbers = [(int(m[1]), f) for f in os.listdir(folder) if (m := OWN_MANIFEST.fullmatch(f))] if os.path.isdir(folder) else []
-    number, name = max(numbers, default=(0, None))
-    return number, name and f"{folder}/{name}"
+def _last(folder: LocalFolder | StoreFolder) -> tuple[int, str | None]:
+    return max(((int(m[1]), f) for f in folder.names() if (m := OWN_MANIFEST.fullmatch(f))), default=(0, None))
+
+
+def _may_hold(low: int | None, high: int | None) -> ds.Expression | None:
+    if low is None:
+        return None
+    first, end = ds.field("first_id"), ds.field("end_id")
+    return (first.is_null() | (first < high)) & (end.is_null() | (end > low))
 
 
 def rows_of(path: str, low: int | None = None, high: int | None = None) -> list[dict]:
     """Rows of a manifest (a file or folder of Parquet), of archives that can hold ids from low to high (exclusive)."""
-    may = None
-    if low is not None:
-        first, end = ds.field("first_id"), ds.field("end_id")
-        may = (first.is_null() | (first < high)) & (end.is_null() | (end > low))
-    return ds.dataset(path, format="parquet").to_table(filter=may).to_pylist()
+    return ds.dataset(path, format="parquet").to_table(filter=_may_hold(low, high)).to_pylist()
 
 
-def current(folder: str, low: int | None = None, high: int | None = None) -> list[dict] | None:
+def current(path: str, low: int | None = None, high: int | None = None) -> list[dict] | None:
     """Rows of a folder's last manifest; None where there is none. Files stand under their names."""
+    folder = folder_of(path)
     while True:
-        _, path = _last(folder)
+        _, name = _last(folder)
         try:
-            return None if path is None else rows_of(path, low, high)
+            return None if name is None else folder.rows(name, _may_hold(low, high))
         except FileNotFoundError:  # a commit has put another in its place
             continue
 
 
-def _written(folder: str, rows: list[dict]) -> str:
-    path = f"{folder}/.manifest-{uuid.uuid4().hex}"
-    columns = [pa.array([r.get(c) for r in rows], t) for c, t in FACTS.items()]
-    with open(path, "wb") as out:
-        pq.write_table(pa.table(columns, names=list(FACTS)), out, row_group_size=1 << 14)
-        out.flush()
-        os.fsync(out.fileno())
-    return path
-
-
-def publish(folder: str, change: Callable[[list[dict]], list[dict]]) -> list[dict]:
+def publish(path: str, change: Callable[[list[dict]], list[dict]]) -> list[dict]:
     """Put ``change`` of the folder's rows in their place at once; returns the rows that it was given."""
+    folder = folder_of(path)
     while True:
-        number, path = _last(folder)
-        old = [{"archive": f} for f in sorted(os.listdir(folder)) if OWN_FILE.fullmatch(f)] if path is None else current(folder) or []
-        staged = _written(folder, sorted(change(old), key=lambda r: (r.get("first_id") or 0, r["archive"])))
+        number, name = _last(folder)
+        old = [{"archive": f} for f in sorted(folder.names()) if OWN_FILE.fullmatch(f)] if name is None else current(path) or []
+        rows = sorted(change(old), key=lambda r: (r.get("first_id") or 0, r["archive"]))
+        table = pa.table([pa.array([r.get(c) for r in rows], t) for c, t in FACTS.items()], names=list(FACTS))
         try:
-            os.link(staged, f"{folder}/_archives-{number + 1:08d}.parquet")
+            folder.create(f"_archives-{number + 1:08d}.parquet", lambda out, table=table: pq.write_table(table, out, row_group_size=1 << 14))
         except FileExistsError:
             continue
-        finally:
-            os.remove(staged)
-        for f in os.listdir(folder):  # the one before stays for readers that have just found it
+        for f in folder.names():  # the one before stays for readers that have just found it
             if (m := OWN_MANIFEST.fullmatch(f)) and int(m[1]) < number:
-                with contextlib.suppress(FileNotFoundError):
-                    os.remove(f"{folder}/{f}")
+                folder.remove(f)
         return old
 
 
-def vacuum(folder: str) -> list[str]:
+def vacuum(path: str) -> list[str]:
     """Remove archives and staged files that no commit came to name; not while a write is under way."""
-    named = {r["archive"] for r in current(folder) or []}
-    if _last(folder)[1] is None:
+    folder, rows = folder_of(path), current(path)
+    if rows is None:
         return []
-    gone = [f for f in os.listdir(folder) if (OWN_FILE.fullmatch(f) and f not in named) or re.match(r"\.(manifest-)?[0-9a-f]{32}", f)]
+    named = {r["archive"] for r in rows}
+    gone = [f for f in folder.names() if (OWN_FILE.fullmatch(f) and f not in named) or re.match(r"\.(manifest-)?[0-9a-f]{32}", f)]
     for f in gone:
-        os.remove(f"{folder}/{f}")
+        folder.remove(f)
     return gone
 
 

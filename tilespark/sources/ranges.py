@@ -10,6 +10,7 @@ from collections.abc import Callable
 from typing import BinaryIO
 
 from tilespark.sources.codec import ArchiveError, ChangedError
+from tilespark.sources.stores import StoreRanges, store_of
 
 
 class FileRanges:
@@ -110,7 +111,9 @@ SOURCES: dict[str, Callable[[str], FileRanges | WebRanges]] = {"http://": WebRan
 
 
 def open_ranges(path: str):
-    return next(make for prefix, make in SOURCES.items() if path.startswith(prefix))(path)
+    if store_of(path):
+        return StoreRanges(path)
+    return SOURCES[max((p for p in SOURCES if path.startswith(p)), key=len)](path)
 
 
 class Kept:

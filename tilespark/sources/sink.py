@@ -15,12 +15,12 @@ replace is removed after that. A job that fails, wherever it stops, leaves the f
 Options: ``path``, ``metadata`` (a JSON object), ``tile_type``, ``tile_compression``,
 ``internal_compression`` (numbers as in the format), ``bounds`` and ``center``
 (degrees, parted by commas), ``layout`` (header_first or data_first), ``on_duplicate``
-(error or first), ``allow_empty``, ``suffix`` (of the file names, such as ``.tiles``).
+(error or first), ``allow_empty``, ``suffix`` (of the file names, such as ``.tiles``),
+``stores`` (what registers object stores, see ``sources.stores``).
 """
 
 from __future__ import annotations
 
-import contextlib
 import hashlib
 import json
 import os
@@ -40,8 +40,9 @@ from pyspark.sql.types import StructType
 from tilespark.functions.hilbert import END, LEVEL_STARTS
 from tilespark.schema import FIRST_READ_BYTES, HEADER_BYTES, LEAF_ENTRIES, MAX_ROOT_BYTES
 from tilespark.sources.codec import ArchiveError, compress, encode_directory, encode_header
-from tilespark.sources.manifest import OWN_FILE, current, cuts_of, publish
+from tilespark.sources.manifest import current, cuts_of, publish
 from tilespark.sources.ranges import FileRanges
+from tilespark.sources.stores import StoreFolder, folder_of, registered
 
 #: Bytes and tiles of an archive where no number of archives is asked for.
 ARCHIVE_BYTES, ARCHIVE_TILES = 1 << 30, 1 << 22
@@ -173,55 +174,85 @@ class Staged(WriterCommitMessage):
 class ArchiveWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, schema: StructType, overwrite: bool) -> None:
         self.options, self.overwrite = options, overwrite
+        self._register()
         self.folder = options["path"].removeprefix("file://").rstrip("/")
         self.job = uuid.uuid4().hex
         missing = {"tile_id", "data"} - set(schema.names)
         if missing:
             raise ArchiveError(f"an archive needs the columns tile_id and data; {', '.join(sorted(missing))} is missing")
-        if os.path.exists(self.folder) and os.listdir(self.folder) and not overwrite and options.get("append", "false") != "true":
+        folder = folder_of(self.folder)
+        if not overwrite and options.get("append", "false") != "true" and any(not f.startswith(("_", ".")) for f in folder.names()):
             raise ArchiveError(f"{self.folder} exists; overwrite it or append to it")
+        if isinstance(folder, StoreFolder) and current(self.folder) is None:
+            publish(self.folder, lambda rows: rows)  # objects show when they are named, and not before
+
+    def _register(self) -> None:
+        """Tasks, commits and aborts run in processes of their own."""
+        if "stores" in self.options:
+            registered(self.options["stores"])
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Staged:
         from pyspark import TaskContext
 
-        context = TaskContext.get()
+        self._register()
+        context, folder = TaskContext.get(), folder_of(self.folder)
         number = context.partitionId() if context else 0
-        os.makedirs(self.folder, exist_ok=True)
-        staged = f"{self.folder}/.{self.job}-{number}-{uuid.uuid4().hex}"
-        build = Build(staged, self.options)
-        for batch in batches:
-            for tile_id, data in zip(batch.column("tile_id").to_pylist(), batch.column("data").to_pylist()):
-                build.add(tile_id, data.encode() if isinstance(data, str) else data or b"")
-        if not build.entries and self.options.get("allow_empty", "false").lower() != "true":
-            build.payload.close()
-            if os.path.exists(staged):
-                os.remove(staged)
-            return Staged("", "")
-        facts = build.finish()
-        return Staged(staged, f"part-{number:05d}-{self.job[:8]}{self.options.get('suffix', '')}", facts)
+        stored = isinstance(folder, StoreFolder)
+        place = tempfile.mkdtemp() if stored else self.folder  # what is put in a store is built beside the task first
+        os.makedirs(place, exist_ok=True)
+        staged = f"{place}/.{self.job}-{number}-{uuid.uuid4().hex}"
+        try:
+            build = Build(staged, self.options)
+            for batch in batches:
+                for tile_id, data in zip(batch.column("tile_id").to_pylist(), batch.column("data").to_pylist()):
+                    build.add(tile_id, data.encode() if isinstance(data, str) else data or b"")
+            if not build.entries and self.options.get("allow_empty", "false").lower() != "true":
+                build.payload.close()
+                if os.path.exists(staged):
+                    os.remove(staged)
+                return Staged("", "")
+            facts = build.finish()
+            # each attempt puts an object of its own in a store, where nothing can be renamed
+            name = f"part-{number:05d}-{(uuid.uuid4().hex if stored else self.job)[:8]}{self.options.get('suffix', '')}"
+            if stored:
+                facts["version"] = folder.put(name, staged)
+            return Staged("" if stored else staged, name, facts)
+        finally:
+            if stored:
+                shutil.rmtree(place, ignore_errors=True)
 
     def commit(self, messages: list[Staged | None]) -> None:
-        kept = [m for m in messages if m and m.staged]
+        self._register()
+        kept, folder = [m for m in messages if m and m.name], folder_of(self.folder)
         if not kept:
             self._sweep()
             raise ArchiveError("there are no tiles to write")
-        if current(self.folder) is None:
-            publish(self.folder, lambda rows: rows)  # from now on a file shows when it is named, and not before
-        for m in kept:
-            os.replace(m.staged, f"{self.folder}/{m.name}")
-        new = [{"archive": m.name, **(m.facts or {})} for m in kept]
-        old = publish(self.folder, lambda rows: new if self.overwrite else rows + new)
+        if isinstance(folder, StoreFolder):
+            old = publish(self.folder, lambda rows: self._after(rows, kept))
+        else:
+            if current(self.folder) is None:
+                publish(self.folder, lambda rows: rows)  # from now on a file shows when it is named, and not before
+            for m in kept:
+                os.replace(m.staged, f"{self.folder}/{m.name}")
+            old = publish(self.folder, lambda rows: self._after(rows, kept))
         for row in old if self.overwrite else []:
-            with contextlib.suppress(FileNotFoundError):
-                os.remove(f"{self.folder}/{row['archive']}")
+            folder.remove(row["archive"])
         self._sweep()
 
+    def _after(self, rows: list[dict], kept: list[Staged]) -> list[dict]:
+        own = {m.name for m in kept}  # of a store without manifests all objects were rows
+        new = [{"archive": m.name, **(m.facts or {})} for m in kept]
+        return new if self.overwrite else [r for r in rows if r["archive"] not in own] + new
+
     def abort(self, messages: list[Staged | None]) -> None:
-        if os.path.isdir(self.folder) and (rows := current(self.folder)) is not None:
-            named = {row["archive"] for row in rows}
+        self._register()
+        folder = folder_of(self.folder)
+        rows = current(self.folder)
+        if rows is not None or isinstance(folder, StoreFolder):
+            named = {row["archive"] for row in rows or []}
             for m in messages:
-                if m and m.name and m.name not in named and os.path.exists(f"{self.folder}/{m.name}"):
-                    os.remove(f"{self.folder}/{m.name}")
+                if m and m.name and m.name not in named:
+                    folder.remove(m.name)
         self._sweep()
 
     def _sweep(self) -> None:
