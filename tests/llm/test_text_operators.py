@@ -92,6 +92,42 @@ def test_candidate_pairs(spark, monkeypatch, cell):
     assert edit_embedding.candidate_pairs(prints.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("cell", [2048, 5])
+def test_linked_texts(spark, monkeypatch, cell):
+    """Components against those of all pairs: chains whose ends are unlike, groups with no common centre, copies, odd rows."""
+    monkeypatch.setattr(edit_embedding, "CELL", cell)
+    rng = random.Random(7)
+    texts = ["", None, "", "short", "short"]
+    for group in range(6):
+        own = [rng.choice("abcdefghijklmnop ") for _ in range(900)]
+        for _ in range(14):  # each is a few edits from the one before
+            texts.append("".join(own))
+            for _ in range(rng.randrange(1, 5)):
+                own[rng.randrange(len(own))] = rng.choice("!?xyz")
+    rows = docs(spark, texts + texts[20:26] + [texts[30]], [*range(len(texts)), None, None, 3, 3, None, 1, 2]).withColumn("node", F.lit("clash"))
+    found = edit_embedding.linked_texts(rows, 0.7).collect()
+    plain = edit_embedding.edit_fingerprints(rows)
+    assert sorted(str(tuple(r)[:-1]) for r in found) == sorted(str(tuple(r)) for r in plain.collect())
+    prints = sorted({r.fingerprint for r in found})
+    parent = {p: p for p in prints}
+
+    def root(p):
+        while parent[p] != p:
+            p = parent[p]
+        return p
+
+    links = [(a, b) for i, a in enumerate(prints) for b in prints[:i] if edit_embedding.share_band(a, b) and edit_embedding.likeness(a, b) >= 0.7]
+    for a, b in links:
+        parent[root(a)] = root(b)
+    least: dict = {}
+    for r in found:
+        ids = [i for i in (least.get(root(r.fingerprint)), r.doc_id) if i is not None]
+        least[root(r.fingerprint)] = min(ids, default=None)
+    assert all(r.component_id == least[root(r.fingerprint)] for r in found)
+    assert len(links) > len(prints) and len({root(p) for p in prints}) < len(prints) / 3
+    assert edit_embedding.linked_texts(rows.limit(0)).count() == 0
+
+
 def test_near_texts_of_odd_tables(spark):
     """Rows as they were, with classes; null and repeated ids, long texts, clashing columns, no rows."""
     long = "one long text after another. " * 2000

@@ -14,8 +14,9 @@ of record times before the walk's end, which is uniform over the whole walk, and
 same step in two walks of lengths ``a < b`` with probability ``a / b``. Likeness is
 the share of equal digits, less what chance gives.
 
-``classes`` bands sampled digits of all fingerprints into keys and verifies the pairs that
-share one by likeness; ``near_texts`` gives every document its class and links. Of texts of 2,000 characters that differ by at most 12 edits, which
+Sampled digits of all fingerprints are banded into keys, and what shares a key is verified
+by likeness: ``linked_texts`` gives every document the smallest id that links lead to, without ever making all
+pairs of a key, and ``near_texts`` its class and the number of its links. Of texts of 2,000 characters that differ by at most 12 edits, which
 come to a likeness of 0.65 or more, a test finds more than nine pairs in ten that way.
 
 Defined cases: null text is empty; the empty text has a fingerprint of its own, and
@@ -39,7 +40,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilespark.llm.common import partitions, settle
+from tilespark.llm.common import discard, partitions, settle
+from tilespark.llm.components import components
 
 SLOTS = 128
 #: Classes of a band key that meet in one run of a task.
@@ -287,3 +289,102 @@ def near_texts(docs: DataFrame, at_least: float = 0.8) -> DataFrame:
     """``edit_fingerprints`` of all documents, with the class_id and n_links of each one's fingerprint."""
     found = settle(edit_fingerprints(docs), free=True)
     return found.join(classes(found, at_least), "fingerprint").select(*found.columns, "class_id", "n_links")
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    """The key of each fingerprint in every band: numbers only, the fingerprints stay behind."""
+    for batch in batches:
+        prints, nodes = batch.column("fingerprint").to_pylist(), batch.column("node")
+        keys = [xxhash.xxh64_intdigest(f"{b}:{''.join(pick(p))}", SEED) - (1 << 63) for b, pick in enumerate(_PICKS) for p in prints]
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.concat_arrays([nodes] * len(_PICKS))], ["cell", "node"])
+
+
+def _digits(prints: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(prints).encode(), np.uint8).reshape(len(prints), SLOTS)
+
+
+def _alike(same: np.ndarray, at_least: float) -> np.ndarray:
+    """Whether so many equal digits come to a likeness of ``at_least``."""
+    return (same / SLOTS - 1 / 16) * 16 / 15 >= at_least - 1e-12
+
+
+def _verified(batches: Iterator[pa.RecordBatch], at_least: float) -> Iterable[pa.RecordBatch]:
+    for batch in batches:
+        a, b = (_digits(batch.column(c).to_pylist()) for c in ("print_a", "print_b"))
+        yield batch.select(["a", "b"]).filter(pa.array(_alike((a == b).sum(axis=1), at_least)))
+
+
+def _joined(batches: Iterator[pa.RecordBatch], at_least: float) -> Iterable[pa.RecordBatch]:
+    """Links that connect, in each run of equal (cell, pair), all that are alike and apart so far; one run is held at a time."""
+    run: tuple | None = None
+    held: list[tuple] = []
+
+    def made() -> pa.RecordBatch:
+        links: list[tuple[int, int]] = []
+        if len(held) > 1:
+            nodes, roots, sides, prints = zip(*held)
+            digits, side = _digits(list(prints)), np.array(sides)
+            _, label = np.unique(np.array(roots, np.int64), return_inverse=True)
+            for x in range(len(nodes) - 1):
+                apart = label[x + 1 :] != label[x]
+                if side[x] >= 0:
+                    apart &= side[x + 1 :] != side[x]
+                at = np.flatnonzero(apart) + x + 1
+                for y in at[_alike((digits[at] == digits[x]).sum(axis=1), at_least)].tolist():
+                    if label[y] != label[x]:
+                        links.append((nodes[x], nodes[y]))
+                        label[label == label[y]] = label[x]
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array([link[i] for link in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    for batch in batches:
+        for cell, pair, *row in zip(*(batch.column(c).to_pylist() for c in ("cell", "pair", "node", "root", "side", "fingerprint"))):
+            if run != (cell, pair):
+                yield made()
+                run = (cell, pair)
+            held.append(tuple(row))
+    yield made()
+
+
+def linked_classes(prints: DataFrame, at_least: float = 0.8) -> DataFrame:
+    """fingerprint and component_id of every distinct fingerprint of ``prints`` (doc_id, fingerprint).
+
+    Fingerprints link if they share a band key and are at least so alike; component_id is the smallest doc_id that links
+    lead to. Only keys and hashes of fingerprints are shuffled to find what shares a key. Of each key all are compared with one
+    centre first, which joins most of a large group; keys that still have several components meet in tasks, where only what is
+    apart is compared, and a forest of links comes out. A key of more than ``CELL`` is split into pairs of
+    chunks. So no link between components is lost and no pairs of a group are made. A component of rows without ids alone has no id.
+    """
+    spark = prints.sparkSession
+    named = settle(prints.groupBy("fingerprint").agg(F.min(F.col("doc_id").cast("long")).alias("first_id")).withColumn("node", F.xxhash64("fingerprint")), free=True)
+    own = named.select("node", "fingerprint")
+    keyed = settle(own.mapInArrow(_keys, "cell long, node long"), free=True)
+    shared = keyed.groupBy("cell").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last").select("cell", "centre")
+    cells = settle(keyed.join(shared, "cell"), free=True)
+    discard(keyed)
+    of = lambda c: own.select(F.col("node").alias(c), F.col("fingerprint").alias(f"print_{c}"))
+    pairs = cells.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    links = settle(pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "print_a", "print_b").mapInArrow(partial(_verified, at_least=at_least), "a long, b long"), free=True)
+    labels = components(links)
+    known = cells.join(labels, "node", "left").select("cell", "node", F.coalesce("root", "node").alias("root"))
+    still = known.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high")
+    known = settle(known.join(still.select("cell", F.when(F.col("n") > CELL, F.ceil(2 * F.col("n") / CELL)).otherwise(1).cast("int").alias("chunks")), "cell"), free=True)
+    mine, lower, upper = F.pmod(F.xxhash64("node"), F.col("chunks").cast("long")).cast("int"), F.least("mine", "their"), F.greatest("mine", "their")
+    dealt = known.withColumn("mine", mine).withColumn("their", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select("cell", (lower * F.lit(1 << 24) + upper).cast("long").alias("pair"), "node", "root", F.when(lower == upper, F.lit(-1)).otherwise(F.col("mine")).cast("long").alias("side"))
+    met = dealt.join(own, "node").repartition(partitions(spark), "cell", "pair").sortWithinPartitions("cell", "pair")
+    more = settle(met.mapInArrow(partial(_joined, at_least=at_least), "a long, b long"), free=True)
+    if not more.isEmpty():
+        discard(labels)
+        labels = components(links.unionByName(more))
+    rooted = named.join(labels, "node", "left").select("fingerprint", F.coalesce("root", "node").alias("root"), "first_id")
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    out = settle(rooted.join(least, "root").select("fingerprint", "component_id"), free=True)
+    discard(named, cells, links, known, more, labels)
+    return out
+
+
+def linked_texts(docs: DataFrame, at_least: float = 0.8) -> DataFrame:
+    """``edit_fingerprints`` of all documents, with the component_id of each one's fingerprint."""
+    found = settle(edit_fingerprints(docs), free=True)
+    return found.join(linked_classes(found, at_least), "fingerprint").select(*found.columns, "component_id")

@@ -20,7 +20,8 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edit_embedding.edit_fingerprints(table(spark, sf_dir, "documents"))
+    """Every document's fingerprints, and the smallest id among the documents that banded and verified links lead to."""
+    return edit_embedding.linked_texts(table(spark, sf_dir, "documents"))
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
