@@ -386,9 +386,57 @@ def test_escaping(text):
         assert control not in hidden
 
 
-@pytest.mark.parametrize(("budget", "history", "turns"), [(1024, 128, 256), (30, 12, 256), (1, 0, 256), (60, 12, 3), (1024, 128, 5)])
-def test_chat_windows(spark, monkeypatch, budget, history, turns):
-    monkeypatch.setattr(chat, "TURNS", turns)
+def plain_windows(sizes, system, budget, history):
+    """Places of the turns of each window, worked out from the whole list of sizes."""
+    out, at = [], 0
+    while at < len(sizes):
+        before = []
+        if at:
+            room = min(history, budget - (sizes[0] if system else 0) - sizes[at])
+            while len(before) < at - bool(system) and sum(sizes[at - len(before) - 1 : at]) <= room:
+                before.insert(0, at - len(before) - 1)
+            before = [0] * bool(system) + before
+        used, end = sum(sizes[i] for i in before), at
+        while end < len(sizes) and (end == at or used + sizes[end] <= budget):
+            used += sizes[end]
+            end += 1
+        out.append((at, before + list(range(at, end))))
+        at = end
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(4, 60), max_size=60), st.booleans(), st.integers(1, 120), st.integers(0, 60))
+def test_chat_windows_are_greedy(sizes, system, budget, history):
+    rows = [(1, i, n, i == 0 and system) for i, n in enumerate(sizes)]
+    found: dict = {}
+    for conv, window, place, row in chat.windows(iter(rows + [(2, 99, 5, False)]), budget, history):
+        assert place == row or conv == 2
+        found.setdefault((conv, window), []).append(place)
+    assert {w: sorted(p) for (c, w), p in found.items() if c == 1} == dict(plain_windows(sizes, system, budget, history)) and found[2, 0] == [0]
+
+
+def test_chat_windows_do_not_depend_on_numbers_or_dealing(spark):
+    """A long conversation numbered 0, 1, 2, ... and one by time stamps, in many partitions and in one, with texts of many thousand words and clashing columns."""
+    rng = random.Random(6)
+    said = [("system" if i == 0 else ["user", "assistant"][i % 2], "word " * rng.choice([1, 20, 90, 300, 5000 if i % 97 == 5 else 2])) for i in range(700)]
+    rows = [(c, f(i), role, text) for c, f in ((1, lambda i: i), (2, lambda i: 1_700_000_000_000 + 977 * i * i), (3, lambda i: -(10**15) + 1000 * i)) for i, (role, text) in enumerate(said)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit("clash") for c in ("window", "place", "tokens", "of")})
+    made = {(r.conv_id, r.window): r.formatted for r in chat.formatted(table.repartition(13)).collect()}
+    want = plain_windows([chat.tokens(t) for _, t in said], True, chat.BUDGET, chat.HISTORY)
+    assert sorted(made) == [(c, w) for c in (1, 2, 3) for w, _ in want]
+    for (_, w), text in made.items():
+        assert [int(n) for n, _, _ in chat._TURN.findall(text)] == dict(want)[w]
+    assert sum(len(p) > 1 and p[1] < w for w, p in want[1:]) > len(want) / 3  # history over every seam
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        assert {(r.conv_id, r.window): r.formatted for r in chat.formatted(table.coalesce(1)).collect()} == made
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+@pytest.mark.parametrize(("budget", "history"), [(1024, 128), (30, 12), (1, 0), (60, 12)])
+def test_chat_windows(spark, budget, history):
     rng = random.Random(5)
     rows = []
     for conv in [*range(30), None]:
@@ -416,14 +464,10 @@ def test_chat_windows(spark, monkeypatch, budget, history, turns):
 
 
 def test_chat_history_gives_way_to_the_budget():
-    turn = lambda role, n: (1, 0, 2, None, role, "w " * n)
-    rows = [turn("system", 20), turn("user", 800), turn("assistant", 80), turn("user", 950)]
-    cut = lambda rows: [[int(n) for n, _, _ in chat._TURN.findall(w[2])] for w in chat.windows(iter(rows), 1024, 128)]
-    assert cut(rows) == [[0, 1, 2], [0, 3]]
-    rows[3] = turn("user", 900)
-    assert cut(rows) == [[0, 1, 2], [0, 2, 3]]
-    # a later stretch: 40 turns before it, and a copy of the system turn
-    assert cut([(1, 9, 0, 40, None, None), (1, 9, 1, None, "system", "w " * 20), (1, 9, 2, None, "user", "a"), (1, 9, 2, None, "assistant", "w " * 1000)]) == [[0, 40], [0, 41]]
+    sizes = lambda *n: [(1, i, 4 + k, i == 0) for i, k in enumerate(n)]
+    cut = lambda rows: [sorted(p for _, w, p, _ in found if w == at) for found in [list(chat.windows(iter(rows), 1024, 128))] for at in sorted({w for _, w, _, _ in found})]
+    assert cut(sizes(20, 800, 80, 950)) == [[0, 1, 2], [0, 3]]
+    assert cut(sizes(20, 800, 80, 900)) == [[0, 1, 2], [0, 2, 3]]
 
 
 def test_quality_values_are_shares():

@@ -14,11 +14,11 @@ inside texts (these marks, and the common ``<s>``, ``</s>``, ``[INST]``, ``[/INS
 backslashes already stand there, so undoing it gives the text back exactly. Roles are
 percent-encoded.
 
-A conversation is cut into stretches of ``TURNS`` turn numbers, and the stretches are dealt
-out, so one that holds a third of all rows is many tasks' work. Each stretch is sent how
-many turns stand before it, from a count of the keys alone, and a copy of the system turn;
-history is not repeated over its start. Rows are sorted by Spark and streamed: a task holds
-one window at a time, however long a stretch is. ``read_back``, which digests conversations
+Where windows begin depends on all turns before, but only on their numbers of tokens: these
+are sorted by conversation and streamed, a row of a few numbers a turn, and say of every turn which window it is
+new in and which repeat it. Then the texts are dealt out by window, so a conversation that holds a third of all rows
+is as many groups as it has windows, and a task holds one window at a time. Windows do not depend on how rows
+are dealt, nor on the turns' own numbers but for their order. ``read_back``, which digests conversations
 whole, streams the windows of one through one task, as a digest must.
 
 Defined cases: null text and null role are empty; turns are numbered by their place,
@@ -32,7 +32,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import deque
 from collections.abc import Iterable, Iterator
+from itertools import groupby, islice
+from operator import itemgetter
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
@@ -43,8 +46,6 @@ from tilespark.llm.common import partitions, settle
 
 #: Tokens of a window, and of the history that it repeats (words, and four for a turn's marks).
 BUDGET, HISTORY = 1024, 128
-#: Turn numbers of one stretch.
-TURNS = 256
 _CONTROL = r"(?=\||/?s>|<SYS>>|</SYS>>|/?INST\])"
 _ESCAPE = re.compile(r"([<\[])(\\*)" + _CONTROL)
 _UNESCAPE = re.compile(r"([<\[])\\(\\*)" + _CONTROL)
@@ -64,10 +65,6 @@ def tokens(text: str) -> int:
     return 4 + len(text.split())
 
 
-#: Kinds of rows that a stretch is sent, in their order: the turns before it, the system turn's copy, turns.
-_BEFORE, _SYSTEM, _TURN_ROW = 0, 1, 2
-
-
 def render(turns: list[tuple[int, str, str]], first_new: int) -> tuple[str, list[int], list[int]]:
     """The formatted window and the starts and ends of its loss; turns before ``first_new`` are masked."""
     parts, starts, ends, size = [], [], [], 0
@@ -82,88 +79,90 @@ def render(turns: list[tuple[int, str, str]], first_new: int) -> tuple[str, list
 
 
 def windows(rows: Iterable[tuple], budget: int, history: int) -> Iterator[tuple]:
-    """Windows of rows (conversation, stretch, kind, turns before, role, text) that come stretch by stretch.
+    """Of turns (conversation, row, tokens, whether its role is system) in their order: conversation, window, place and row of every turn of every window.
 
-    A window is numbered by the first turn that is new in it.
+    A window is numbered by the first turn that is new in it. Before its new turns it has the system turn and the longest
+    history, without the system turn, that neither ``history`` nor the room beside the first new turn forbids.
     """
-    at, number = None, 0
-    system: tuple | None = None
-    before: list[tuple] = []
-    span: list[tuple] = []
-    used = 0
-
-    def made() -> tuple:
-        turns = ([system] if system and system not in span else []) + before + span
-        return (at[0], span[0][0], *render(turns, span[0][0]))
-
-    for conv, stretch, kind, count, role, text in rows:
-        if at != (conv, stretch):
-            if span:
-                yield made()
-            at, number, system, before, span, used = (conv, stretch), 0, None, [], [], 0
-        if kind == _BEFORE:
-            number = count
-            continue
-        if kind == _SYSTEM:
-            system = (0, role, text)
-            used = tokens(text)
-            continue
-        turn = (number, role, text)
-        if number == 0 and role == "system":
-            system = turn
-        if span and used + tokens(text) > budget:
-            yield made()
-            kept = tokens(system[2]) if system else 0
+    at: object = rows  # no conversation
+    for conv, row, size, is_system in rows:
+        if conv != at:
+            at, place, first, used, kept, tail, held = conv, 0, 0, 0, None, deque(), 0
+            if is_system:
+                kept = (row, size)
+        if place > first and used + size > budget:
+            first, used = place, 0
+            if kept:
+                yield conv, first, 0, kept[0]
+                used = kept[1]
             # history goes before the budget does
-            tail, left = [], min(history, budget - kept - tokens(text))
-            for old in reversed(before + span):
-                left -= tokens(old[2])
-                if left < 0 or old == system:
+            room = min(history, budget - used - size)
+            repeated = []
+            for old in reversed(tail):
+                room -= old[2]
+                if room < 0:
                     break
-                tail.append(old)
-            before, span = tail[::-1], []
-            used = kept + sum(tokens(t[2]) for t in before)
-        span.append(turn)
-        used += tokens(text)
-        number += 1
-    if span:
-        yield made()
-
-
-def _dealt(conversations: DataFrame) -> DataFrame:
-    """Rows of stretches: conv_id, stretch, kind, turn, n, role, text."""
-    turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    turns = turns.withColumn("stretch", F.coalesce(F.floor(F.col("turn") / TURNS), F.lit(-(1 << 63))))
-    earlier = Window.partitionBy("conv_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    places = turns.groupBy("conv_id", "stretch").count().withColumn("n", F.sum("count").over(earlier))
-    later = settle(places.where("n > 0").select("conv_id", "stretch", "n"))
-    long = later.select("conv_id").distinct()
-    first = turns.join(long, turns["conv_id"].eqNullSafe(long["conv_id"]), "left_semi").groupBy("conv_id").agg(F.min(F.struct(F.col("turn").isNotNull().alias("numbered"), "turn", "role", "text")).alias("first"))
-    first = first.where("first.role = 'system'").select(F.col("conv_id").alias("of"), "first.role", "first.text")
-    none = lambda kind: F.lit(None).cast(kind)
-    before = later.select("conv_id", "stretch", F.lit(_BEFORE).alias("kind"), none("long").alias("turn"), "n", none("string").alias("role"), none("string").alias("text"))
-    copies = later.join(first, later["conv_id"].eqNullSafe(first["of"])).select("conv_id", "stretch", F.lit(_SYSTEM).alias("kind"), none("long").alias("turn"), none("long").alias("n"), "role", "text")
-    return turns.select("conv_id", "stretch", F.lit(_TURN_ROW).alias("kind"), "turn", none("long").alias("n"), "role", "text").unionAll(before).unionAll(copies)
+                repeated.append(old)
+            for old_place, old_row, old_size in repeated:
+                yield conv, first, old_place, old_row
+                used += old_size
+        yield conv, first, place, row
+        used += size
+        if place or not kept:
+            tail.append((place, row, size))
+            held += size
+        while held > history:
+            held -= tail.popleft()[2]
+        place += 1
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    for batch in batches:
+        sizes = pa.array([tokens(t) for t in batch.column("text").to_pylist()], pa.int64())
+        yield pa.RecordBatch.from_arrays([*batch.columns, sizes], [*batch.schema.names, "tokens"])
+
+
+def _in_order(turns: DataFrame) -> DataFrame:
+    """``turns`` without their texts, with ``tie``: the place among rows of one conversation and turn, by role and text."""
+    plain = turns.select("conv_id", "turn", "row", "tokens", (F.col("role") == "system").alias("is_system"))
+    twice = turns.groupBy("conv_id", "turn").count().where("count > 1").select(F.col("conv_id").alias("of_conv"), F.col("turn").alias("of_turn"))
+    if twice.isEmpty():
+        return plain.withColumn("tie", F.lit(0))
+    tied = turns.join(twice, turns["conv_id"].eqNullSafe(twice["of_conv"]) & turns["turn"].eqNullSafe(twice["of_turn"]), "left_semi")
+    ranked = tied.select(F.col("row").alias("of"), F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text")).alias("tie"))
+    return plain.join(ranked, plain["row"] == ranked["of"], "left").drop("of").withColumn("tie", F.coalesce("tie", F.lit(0)))
 
 
 def formatted(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """One row a window: conv_id, window, formatted, loss_starts and loss_ends (code points)."""
+    count = partitions(conversations.sparkSession)
+
+    def assigned(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "row", "tokens", "is_system"))))
+        for some in iter(lambda found=windows(rows, budget, history): list(islice(found, 10_000)), []):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*some)], ["conv_id", "window", "place", "row"])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "stretch", "kind", "n", "role", "text"))))
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         names, out, size = ["conv_id", "window", "formatted", "loss_starts", "loss_ends"], [], 0
-        for row in windows(rows, budget, history):
-            out.append(row)
-            size += len(row[2])
+        rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "window", "place", "role", "text"))))
+        for (conv, window), turns in groupby(rows, key=itemgetter(0, 1)):
+            out.append((conv, window, *render([t[2:] for t in turns], window)))
+            size += len(out[-1][2])
             if len(out) >= 1000 or size > 1 << 24:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
                 out, size = [], 0
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
-    rows = _dealt(conversations).repartition(partitions(conversations.sparkSession), "conv_id", "stretch")
-    return rows.sortWithinPartitions("conv_id", "stretch", "kind", "turn", "role", "text").mapInArrow(made, WINDOWS)
+    turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    numbered = turns.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_counted, "conv_id long, turn long, role string, text string, row long, tokens long")
+    turns = settle(numbered)
+    ordered = _in_order(turns).repartition(count, "conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "tie")
+    wanted = ordered.mapInArrow(assigned, "conv_id long, window long, place long, row long").withColumnRenamed("row", "of")
+    dealt = turns.select("row", "role", "text").join(wanted, F.col("row") == F.col("of"))
+    rows = dealt.select("conv_id", "window", "place", "role", "text").repartition(count, "conv_id", "window")
+    return rows.sortWithinPartitions("conv_id", "window", "place").mapInArrow(made, WINDOWS)
 
 
 def read_back(formatted_windows: DataFrame) -> DataFrame:
