@@ -240,6 +240,22 @@ def test_pyramid(spark, tmp_path):
             pyramid.build_pyramid(spark, draw, str(tmp_path / "r"), **({"bounds": (0.0, 0.0, 1.0, 1.0)} | bad))
 
 
+def test_pyramid_options(spark, tmp_path):
+    draw = lambda z, x, y: f"{z}/{x}/{y}".encode()
+    pyramid.build_pyramid(spark, draw, str(tmp_path / "p"), bounds=(-180.0, -85.0511287798066, 180.0, 85.0511287798066), zooms="1..", size=(1024, 1024), name="n", attribution="all", layer_type="baselayer", tile_format="PNG", jobs=3)
+    header, facts = read(spark, tmp_path / "p", "header").first(), json.loads(read(spark, tmp_path / "p", "metadata").first()["json"])
+    assert (header.tile_type, header.min_zoom, header.max_zoom, header.addressed_tiles_count) == (2, 1, 2, 20)
+    assert facts == {"name": "n", "type": "baselayer", "description": str(tmp_path / "p"), "attribution": "all", "tileSize": 256}
+    ring = [[-10.0, -5.0], [30.0, -5.0], [30.0, 40.0], [-10.0, -5.0]]
+    (tmp_path / "c").write_text(json.dumps({"features": [{"geometry": {"type": "Polygon", "coordinates": [ring]}}]}))
+    pyramid.build_pyramid(spark, draw, str(tmp_path / "q"), cutline=f"file://{tmp_path / 'c'}", zooms="..1")
+    header = read(spark, tmp_path / "q", "header").first()
+    assert (header.min_lon_e7, header.max_lat_e7, header.max_zoom) == (-100000000, 400000000, 1)
+    for bad in ({"layer_type": "x"}, {"tile_format": "tiff"}, {"zooms": "3..2"}):
+        with pytest.raises(codec.ArchiveError):
+            pyramid.build_pyramid(spark, draw, str(tmp_path / "r"), **({"bounds": (0.0, 0.0, 1.0, 1.0)} | bad))
+
+
 def test_cli(spark, tmp_path, capsys):
     from tilespark.__main__ import main
 

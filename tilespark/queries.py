@@ -255,9 +255,16 @@ def zoom_filter(spark, d):
     return convert.found_by_zoom(lookup.zoom_filtered(line_addresses(spark, d).withColumn("archive", F.lit("lines")), header))
 
 
-@query(f"WITH {ADDRESSES} SELECT z, x, y FROM addr ORDER BY z, x, y DESC LIMIT 500")
+def _placed(rows):
+    """Rows of a sort with their places in it, counted over its ranges."""
+    numbered = rows.withColumn("at", F.monotonically_increasing_id()).withColumn("one", F.lit(1).cast("long"))
+    return ordered.running_sum(ordered.into_ranges(numbered, "at"), "one", "place", "at").select(*rows.columns, "place")
+
+
+@query(f"WITH {ADDRESSES} SELECT z, x, y, row_number() OVER (ORDER BY z, x, y DESC) AS place FROM addr")
 def tms_order_topn(spark, d):
-    return inspect.tms_order(line_addresses(spark, d)).limit(500)
+    """All addresses with their places in the order of tile databases."""
+    return _placed(inspect.tms_order(line_addresses(spark, d)))
 
 
 @query(f'WITH {TYPE_TILES}, {DEDUPE}, {RUNS} SELECT tile_id, "offset", length, run_length FROM runs ORDER BY tile_id LIMIT 1000 OFFSET 1000')
@@ -470,8 +477,7 @@ def layer_states(spark, d):
 def drawing_order(spark, d):
     """Every feature with its place in the order: sorted, then counted over the ranges of the sort."""
     found = _table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.expr("cast(p_size % 3 + 1 as int)").alias("geom_type"), F.col("p_brand").alias("layer"))
-    sorted_ = inspect.drawing_order(found).withColumn("at", F.monotonically_increasing_id()).withColumn("one", F.lit(1).cast("long"))
-    return ordered.running_sum(ordered.into_ranges(sorted_, "at"), "one", "place", "at").select("id", "geom_type", "layer", "place")
+    return _placed(inspect.drawing_order(found))
 
 
 @query("""WITH t AS (SELECT c_custkey AS k, c_custkey % 4 = 3 AS junk, c_custkey % 5 = 4 AS nowhere, c_custkey % 170 AS a, c_custkey % 80 AS b FROM customer),
@@ -823,12 +829,29 @@ def archive_entries(spark, d):
 
 
 @query(f"""WITH RECURSIVE {GRID}, {STEPS},
-{DOC_TILES}, {DEDUPE}, {RUNS} SELECT runs.tile_id, z, x, y, "offset", length FROM runs JOIN ids USING (tile_id) ORDER BY z, x, y DESC LIMIT 500""")
+{DOC_TILES}, {DEDUPE}, {RUNS} SELECT runs.tile_id, z, x, y, "offset", length, row_number() OVER (ORDER BY z, x, y DESC) AS place FROM runs JOIN ids USING (tile_id)""")
 def archive_tms_order(spark, d):
     """Entries of an archive in the order of tile databases."""
     entries = _doc_archive(spark, d, 1).option("table", "entries").load().where("run_length > 0")
     t = entries.withColumn("t", hilbert.try_zxy("tile_id")).select("tile_id", F.col("t.z").cast("long").alias("z"), "t.x", "t.y", "offset", "length")
-    return inspect.tms_order(t).limit(500)
+    return _placed(inspect.tms_order(t))
+
+
+@query("""SELECT doc_id AS tile_id, row_number() OVER (ORDER BY doc_id) AS place, sha256(text) AS hash FROM documents WHERE octet_length(encode(text)) > 0""")
+def ascending_tiles(spark, d):
+    """The tiles of four archives in ascending order of their ids, each with its place."""
+    return _placed(_doc_archive(spark, d, 4).load().orderBy("tile_id").select("tile_id", F.sha2("data", 256).alias("hash")))
+
+
+@query(f"""WITH {HEADERS} SELECT name AS archive, west + 0.0 AS west, south, east, north, min_zoom, max_zoom, CASE WHEN layers IS NULL THEN 0 ELSE 1 END AS layers, tile_type IN (1, 6) AS is_vector, name LIKE '%7' AS is_overlay, CASE WHEN name LIKE '%3' THEN 'terrarium' ELSE '' END AS encoding FROM headers""")
+def tileset_facts(spark, d):
+    """What a viewer asks of the archives of all customers."""
+    rows = customer_headers(spark, d)
+    more = F.concat(F.when(F.col("name").endswith("7"), F.lit('"type":"overlay",')).otherwise(F.lit("")), F.when(F.col("name").endswith("3"), F.lit('"encoding":"terrarium",')).otherwise(F.lit("")))
+    metadata = rows.select("archive", F.concat(F.lit("{"), more, F.expr("substring(json, 2)")).alias("json"))
+    found = inspect.tileset_facts(rows.drop("json", "name"), metadata)
+    bounds = [F.get("bounds", i).alias(n) for i, n in enumerate(("west", "south", "east", "north"))]
+    return found.select("archive", *bounds, "min_zoom", "max_zoom", F.coalesce(F.size("layers"), F.lit(0)).alias("layers"), "is_vector", "is_overlay", F.coalesce("encoding", F.lit("")).alias("encoding"))
 
 
 @query("SELECT 'documents' AS name, '1.0.0' AS version, CAST(count(*) AS BIGINT) AS archives FROM range(2)")
