@@ -583,7 +583,7 @@ def _old_archives(spark, d) -> str:
     path = scratch(spark)
     entry = lambda z, x, y, offset, length: bytes([z]) + x.to_bytes(3, "little") + y.to_bytes(3, "little") + offset.to_bytes(6, "little") + length.to_bytes(4, "little")
 
-    def made(key, tiles: pd.DataFrame) -> pd.DataFrame:
+    def made(key, tiles):
         contents, payload, leaves = {}, bytearray(), {}
         for x, y, data in zip(tiles.x.tolist(), tiles.y.tolist(), tiles.data.tolist()):
             if data not in contents:
@@ -627,7 +627,7 @@ def version_2_get(spark, d):
 
 
 @query("SELECT kind, doc_id AS tile_id, sha256(text) AS hash FROM documents, (VALUES ('database'), ('folder'), ('tile_json'), ('tree')) t(kind) WHERE octet_length(encode(text)) > 0")
-def opened_by_content(spark, d):
+def read_by_content(spark, d):
     """The documents as archives, a database, a tree and behind a TileJSON document: each is told by its bytes and read alike."""
     register(spark)
     base = scratch(spark)
