@@ -207,6 +207,36 @@ def test_group_mentions_do_not_move_the_score(spark):
     assert high - low < 0.1 and wrong == 0
 
 
+def test_the_counterfactual_penalty_spares_neutral_mentions(spark, monkeypatch):
+    """Toxic texts mention groups nearly always, others hardly ever: without the penalty mentions alone count as toxic."""
+    rng = random.Random(12)
+    words = ["river", "stone", "lamp", "green", "walks", "under", "seven", "paper", "cloud", "quiet"]
+    groups = ["muslim", "gay", "women", "immigrants", "juifs", "frauen", "negros"]
+    rows, marks = [], []
+    for i in range(800):
+        toxic = i % 4 == 1
+        text = [rng.choice(words) for _ in range(12)]
+        if toxic and rng.random() < 0.8:
+            text.insert(rng.randrange(12), rng.choice(["scum", "vermin", "filth"]))
+        if rng.random() < (0.9 if toxic else 0.03):
+            text.insert(rng.randrange(12), rng.choice(groups))
+        rows.append(" ".join(text))
+        marks.append((i, 1, int(toxic)))
+    neutral = [" ".join([*(rng.choice(words) for _ in range(6)), g, *(rng.choice(words) for _ in range(6))]) for g in groups for _ in range(20)]
+    insults = [" ".join([*(rng.choice(words) for _ in range(6)), "vermin", *(rng.choice(words) for _ in range(6))]) for _ in range(40)]
+    texts = docs(spark, rows + neutral + insults)
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+
+    def wrong():
+        found = [r.predicted for r in toxicity.toxicity_scores(texts, labels).where(f"doc_id >= {len(rows)}").orderBy("doc_id").collect()]
+        return sum(found[: len(neutral)]) / len(neutral), sum(found[len(neutral) :]) / len(insults)
+
+    spared, caught = wrong()
+    monkeypatch.setattr(toxicity, "COUNTERFACTUAL", 0.0)
+    plain, _ = wrong()
+    assert plain > 0.5 and spared < 0.1 and caught > 0.9
+
+
 def test_keep_good_keeps_columns(spark):
     texts, labels = labelled(spark)
     kept = quality.keep_good(texts, labels)

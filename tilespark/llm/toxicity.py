@@ -33,7 +33,7 @@ EPOCHS = 5
 #: Weight of a toxic training row; they are the fewer.
 POSITIVE = 2.0
 COUNTERFACTUAL = 0.2
-#: Groups that a text may mention; a term is swapped for the term in the same place of another group.
+#: Groups that a text may mention, in the corpus's four languages (others are not known); a term is swapped for the term in the same place of another group.
 IDENTITY_TERMS = (
     ("women", "men", "girls", "boys"),
     ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
@@ -42,6 +42,24 @@ IDENTITY_TERMS = (
     ("black", "white", "asian", "latino", "african", "european"),
     ("immigrants", "refugees", "citizens", "foreigners"),
     ("disabled", "blind", "deaf", "elderly", "young"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("gays", "hétéros", "lesbiennes", "bisexuels", "transgenres"),
+    ("noirs", "blancs", "asiatiques", "arabes", "européens"),
+    ("immigrés", "réfugiés", "citoyens", "étrangers"),
+    ("handicapés", "aveugles", "sourds", "âgés", "jeunes"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("muslime", "christen", "juden", "buddhisten", "atheisten"),
+    ("schwule", "lesben", "bisexuelle", "heterosexuelle"),
+    ("schwarze", "weiße", "asiaten", "afrikaner", "europäer"),
+    ("einwanderer", "flüchtlinge", "bürger", "ausländer"),
+    ("behinderte", "blinde", "gehörlose", "alte", "junge"),
+    ("mujeres", "hombres", "chicas", "chicos"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("homosexuales", "heterosexuales", "lesbianas", "bisexuales"),
+    ("negros", "blancos", "asiáticos", "africanos", "europeos"),
+    ("inmigrantes", "refugiados", "ciudadanos", "extranjeros"),
+    ("discapacitados", "ciegos", "sordos", "ancianos", "jóvenes"),
 )
 _SWAPS = {term: group for group in IDENTITY_TERMS for term in group}
 _IDENTITY = re.compile(r"\b(" + "|".join(_SWAPS) + r")\b", re.I)
