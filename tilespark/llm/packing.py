@@ -26,9 +26,11 @@ columns other than doc_id and text are never read, whatever their names.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache, partial
+from functools import partial
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -97,9 +99,12 @@ class Chunks:
         return [b"".join(map(ids, chunks)) if chunks or not t else self._encode([t])[0].tobytes() for t, chunks in zip(texts, parted)]
 
 
-@lru_cache(2)
 def _chunks(vocabulary: str) -> Chunks:
-    return Chunks(vocabulary)
+    """The chunks that this process has met, for all its tasks: functions of this package come anew with each task, modules stay."""
+    held = sys.modules.setdefault("_chunks_of_tasks", ModuleType("_chunks_of_tasks"))
+    if getattr(held, "vocabulary", None) != vocabulary:
+        held.chunks, held.vocabulary = Chunks(vocabulary), vocabulary
+    return held.chunks
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], vocabulary: str, capacity: int) -> Iterable[pa.RecordBatch]:
