@@ -25,6 +25,7 @@ columns other than doc_id and text are never read, whatever their names.
 
 from __future__ import annotations
 
+import os
 import re
 import sys
 import zlib
@@ -62,6 +63,7 @@ class Chunks:
     """Ids, as little-endian bytes, of texts by a vocabulary with word ends that drops white space."""
 
     def __init__(self, vocabulary: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
