@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tilespark.llm.common import discard, received, send, settle
+from tilespark.llm.common import discard, in_pieces, received, send, settle
 
 WINDOW = 13
 SHINGLE = 3
@@ -158,7 +158,7 @@ def _prepared(texts: DataFrame, items: list[tuple[int | None, list[bytes]]]):
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         own = received(sent)
         totals = [np.zeros(len(c), np.int64) for c in own.codes]
-        for batch in batches:
+        for batch in in_pieces(batches):
             for text in batch.column(0).to_pylist():
                 ids = own.ids(text)
                 for kind in range(1, SHINGLE + 1):
@@ -184,7 +184,7 @@ def _found(texts: DataFrame, sent, keep: list[T.StructField]) -> DataFrame:
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         index = received(sent)
-        for batch in batches:
+        for batch in in_pieces(batches):
             n_words, spans, items = [], [], []
             for text in batch.column("text").to_pylist():
                 ids = index.ids(text)
@@ -367,7 +367,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, slice_words: int = SLICE_WORDS)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         index = received(sent)
-        for batch in batches:
+        for batch in in_pieces(batches):
             keep = []
             for text in batch.column(names.index("text")).to_pylist():
                 ids = index.ids(text)

@@ -39,6 +39,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tilespark.llm.common import in_pieces
+
 ROUNDS = 8
 #: Stands in for a secret that a deployment passes in.
 DEFAULT_KEY = b"tilespark demonstration key"
@@ -292,7 +294,7 @@ def pseudonymise(docs: DataFrame, key: bytes = DEFAULT_KEY, counts: bool = False
 
     def rewritten(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         own = Pseudonyms(key)
-        for batch in batches:
+        for batch in in_pieces(batches):
             texts, found = [], []
             for text in batch.column(names.index("text")).to_pylist():
                 n = dict.fromkeys(KINDS, 0)

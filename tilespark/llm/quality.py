@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilespark.llm.common import held_out
+from tilespark.llm.common import held_out, in_pieces
 from tilespark.llm.labelled import BITS, TRAINING_FEATURES, TRAINING_ROWS, FollowTheLeader, bucket, gather, sigmoid, training_texts
 
 THRESHOLD = 0.3
@@ -109,7 +109,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         scores = _scorer(weights.value)
-        for batch in batches:
+        for batch in in_pieces(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores(batch.column("text")), pa.float64())], ["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scored, "doc_id long, score double")
@@ -123,7 +123,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         scores = _scorer(weights.value)
-        for batch in batches:
+        for batch in in_pieces(batches):
             yield batch.filter(pa.array([x >= THRESHOLD for x in scores(batch.column(at))], pa.bool_()))
 
     return docs.mapInArrow(kept, docs.schema)
