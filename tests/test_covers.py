@@ -129,3 +129,19 @@ def test_scanline_spans_do_not_grow_with_area(spark):
 @pytest.mark.parametrize("lat", [-85.0, 84.9])
 def test_boxes_at_all_latitudes(spark, lat):
     assert cover.box_intervals(boxes(spark, [(0, lat - 0.3, 0.7, lat)]), 4, 8).count() >= 5
+
+
+@pytest.mark.parametrize("zooms", [(0, 11), (3, 6), (0, 0), (9, 9)])
+def test_the_union_that_is_drawn_is_that_of_the_intervals(spark, monkeypatch, zooms):
+    rng = random.Random(5)
+    rows = some_boxes(rng, 60, 3) + some_boxes(rng, 6, 60) + [(-180, -90, 180, 90)][: zooms[1] < 8] + [(170, -10, -170, 10), (179, 0, -179.5, 1), (1, 1, 0.5, 2), (5, 5, 5, 5), (5, 6, 7, 5), (0, 0, 0, 10), (22.5, 3, 22.5, 4), (179.99, -85, 180, 85), (3, -90, 4, -89), (3, 0, 4, 0)]
+    df = boxes(spark, rows + rows[:9])
+    rows_of = []
+    whole = cover.interval_union
+    monkeypatch.setattr(cover, "interval_union", lambda *covers: (rows_of.append(covers[0].count()), whole(*covers))[1])
+    found = sorted(map(tuple, cover.box_union(df, *zooms).collect()))
+    tiles = lambda intervals: {i for a, b in intervals for i in range(a, b)}
+    assert tiles(found) == tiles(whole(cover.box_intervals(df, *zooms)).collect()) and sum(b - a for a, b in found) == len(tiles(found))
+    # equal boxes cost nothing: what is drawn has as many intervals as it has without them
+    cover.box_union(boxes(spark, rows * 3), *zooms)
+    assert rows_of[0] == rows_of[1] or zooms[1] < 11

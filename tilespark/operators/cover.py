@@ -9,6 +9,10 @@ long edge is parted down to cells of ``CELL`` tiles a side first, which are deal
 ``interval_union`` merges overlapping intervals of any number of covers in a sweep over id
 ranges; how many tiles a cover has is then a sum, and no tile is ever a row
 before ``tiles_of``.
+
+``box_union`` merges all boxes of one table without the intervals of each: boxes are drawn into blocks
+of tiles at the deepest zoom, where equal and overlapping ones cost no more rows, and a tile at a zoom
+above is covered if one below it is.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilespark.functions.hilbert import LEVEL_STARTS, bulk_zxy, turns, zoom_of
+from tilespark.functions.hilbert import LEVEL_STARTS, _encode, bulk_zxy, turns, zoom_of
 from tilespark.functions.mercator import clamp_bounds, lonlat_to_tile
 from tilespark.operators.build import expanded
 from tilespark.shared import settle
@@ -30,6 +34,10 @@ from tilespark.shared import settle
 EDGE, CELL = 1 << 15, 1 << 12
 #: Tiles on edges that are worked on at once.
 AT_ONCE = 1 << 18
+#: Side (as a power of two) of the blocks of tiles in which a union is drawn, and as how many of them a box is drawn at most.
+BLOCK, BLOCKS = 8, 64
+#: Boxes narrower or lower than so many degrees may have tiles at some zooms and none below them.
+THIN = 1e-6
 _RECTANGLE = ("z", "x0", "x1", "y0", "y1")
 _CELL = ("level", "cx", "cy", "at", "turned")
 #: By orientation and digit: the column and row bits of a child, and its orientation.
@@ -190,6 +198,95 @@ def interval_union(*covers: DataFrame) -> DataFrame:
     return cut.where("first_id < end_id")
 
 
+def _above(first: np.ndarray, end: np.ndarray, zoom: int, min_zoom: int) -> Iterable[pa.RecordBatch]:
+    """Intervals of a zoom, disjoint and in order, and those of the tiles over them at the zooms down to ``min_zoom``."""
+    first, end = first - LEVEL_STARTS[zoom], end - LEVEL_STARTS[zoom]
+    for z in range(zoom, min_zoom - 1, -1):
+        if z < zoom:
+            first, end = first >> 2, ((end - 1) >> 2) + 1
+        if not len(first):
+            return
+        begins = np.flatnonzero(np.append(True, first[1:] > end[:-1]))
+        first, end = first[begins], end[np.append(begins[1:] - 1, len(end) - 1)]
+        yield pa.RecordBatch.from_arrays([pa.array(first + LEVEL_STARTS[z]), pa.array(end + LEVEL_STARTS[z])], ["first_id", "end_id"])
+
+
+def _drawn(batches: Iterator[pa.RecordBatch], zoom: int, min_zoom: int) -> Iterable[pa.RecordBatch]:
+    """Intervals of what rectangles (bx, by, salt; x0, x1, y0, y1 in their block) cover; those of a block and salt arrive one after the other."""
+    side = 1 << min(BLOCK, zoom)
+    wide = side + 1
+    orders: dict[tuple, np.ndarray] = {}
+    held, drawn = None, np.zeros(wide * wide, np.int64)
+
+    def tiles(block: tuple, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return _encode(np.full(len(x), zoom, np.int64), block[0] * side + x, block[1] * side + y)
+
+    def made() -> Iterable[pa.RecordBatch]:
+        # how the curve runs through a block follows from its corners
+        corners = tiles(held, np.array([0, side - 1, 0, side - 1]), np.array([0, 0, side - 1, side - 1]))
+        start = int(corners.min())
+        kind = tuple((corners - start).tolist())
+        if kind not in orders:
+            y, x = np.divmod(np.arange(side * side), side)
+            orders[kind] = np.argsort(tiles(held, x, y))
+        covered = (drawn.reshape(wide, wide).cumsum(0).cumsum(1)[:side, :side] > 0).ravel()[orders[kind]]
+        turns_ = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8)))
+        yield from _above(start + turns_[::2], start + turns_[1::2], zoom, min_zoom)
+
+    for batch in batches:
+        bx, by, salt, x0, x1, y0, y1 = (batch.column(c).to_numpy().astype(np.int64) for c in ("bx", "by", "salt", "x0", "x1", "y0", "y1"))
+        changes = np.flatnonzero((np.diff(bx) != 0) | (np.diff(by) != 0) | (np.diff(salt) != 0)) + 1
+        for a, b in zip([0, *changes.tolist()], [*changes.tolist(), len(bx)]):
+            if a == b:
+                continue
+            own = (int(bx[a]), int(by[a]), int(salt[a]))
+            if held is not None and own != held:
+                yield from made()
+                drawn[:] = 0
+            held = own
+            for sign, x, y in ((1, x0, y0), (-1, x1 + 1, y0), (-1, x0, y1 + 1), (1, x1 + 1, y1 + 1)):
+                if b - a < wide:
+                    np.add.at(drawn, y[a:b] * wide + x[a:b], sign)
+                else:
+                    drawn += sign * np.bincount(y[a:b] * wide + x[a:b], minlength=wide * wide)
+    if held is not None:
+        yield from made()
+
+
+def _lifted(batches: Iterator[pa.RecordBatch], zoom: int, min_zoom: int) -> Iterable[pa.RecordBatch]:
+    """Intervals of one zoom in any order, merged batch by batch, with those of the tiles over them."""
+    for merged in _merged(batches, True):
+        if merged.num_rows:
+            yield from _above(merged.column("first_id").to_numpy(), merged.column("end_id").to_numpy(), zoom, min_zoom)
+
+
+def box_union(boxes: DataFrame, min_zoom: int, max_zoom: int) -> DataFrame:
+    """Disjoint intervals of the tiles that any of ``boxes`` covers: as ``interval_union`` of ``box_intervals``, but found at the deepest zoom.
+
+    Boxes of very many blocks are intervals there at once. Thin ones, which a zoom may have and the next may not, are intervals at all zooms.
+    """
+    boxes = boxes.select("west", "south", "east", "north")
+    inside = clamp_bounds("west", "south", "east", "north")
+    thin = F.coalesce((inside["north"] - inside["south"] < THIN) | (F.col("east") >= F.col("west")) & (inside["east"] - inside["west"] < THIN), F.lit(True))
+    rest = boxes.where(~thin)
+    k, pair = min(BLOCK, max_zoom), "first_id long, end_id long"
+    left, right, top, bottom = (F.shiftright(F.col(c), k) for c in ("x0", "x1", "y0", "y1"))
+    many = (right - left + 1) * (bottom - top + 1) > BLOCKS
+    rectangles = tile_rectangles(rest, max_zoom, max_zoom)
+    blocks = rectangles.where(~many).withColumn("bx", F.explode(F.sequence(left, right))).withColumn("by", F.explode(F.sequence(top, bottom)))
+    within = lambda c, b: F.greatest(F.lit(0), F.least(F.lit((1 << k) - 1), F.col(c) - F.shiftleft(F.col(b), k))).cast("int").alias(c)
+    # where the blocks are few, each is drawn in several tasks
+    salts = max(1, 64 >> 2 * max(0, max_zoom - BLOCK))
+    salt = F.pmod(F.xxhash64("x0", "x1", "y0", "y1"), F.lit(salts)).cast("int").alias("salt")
+    dealt = blocks.select("bx", "by", salt, within("x0", "bx"), within("x1", "bx"), within("y0", "by"), within("y1", "by"))
+    ranges = int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(ranges, "bx", "by", "salt").sortWithinPartitions("bx", "by", "salt")
+    drawn = dealt.mapInArrow(partial(_drawn, zoom=max_zoom, min_zoom=min_zoom), pair)
+    wide = rectangles.where(many).select("west", "south", "east", "north").distinct()
+    lifted = box_intervals(wide, max_zoom, max_zoom).select("first_id", "end_id").mapInArrow(partial(_lifted, zoom=max_zoom, min_zoom=min_zoom), pair)
+    return interval_union(drawn, lifted, box_intervals(boxes.where(thin), min_zoom, max_zoom))
+
+
 def tile_counts(intervals: DataFrame) -> DataFrame:
     """z and the number of tiles of disjoint intervals."""
     return intervals.groupBy(zoom_of("first_id").alias("z")).agg(F.sum(F.col("end_id") - F.col("first_id")).alias("tiles"))
