@@ -64,3 +64,30 @@ def test_places_and_what_is_not_kept(spark):
     counts = {(r.status, r.cached): r["count"] for r in found.groupBy("status", "cached").count().collect()}
     assert counts == {(200, False): 4, (200, True): 197, (404, False): 2}
     assert cached_answers(answers.where(F.lit(False)), "at").count() == 0
+
+
+def test_requests_of_one_address_pass_in_batches(spark, tmp_path):
+    most = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    log = str(tmp_path / "log")
+
+    def fetch(archive, tile_id):
+        import sys
+
+        frame = sys._getframe(1)
+        while "rows" not in frame.f_locals:
+            frame = frame.f_back
+        with open(log, "a") as out:
+            out.write(f"{len(frame.f_locals['rows'])}\n")
+        return b"x"
+
+    rows = [("/view/0/0/0.mvt", DAY + datetime.timedelta(minutes=i), i) for i in range(3000)]
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+        answers = serve(spark.createDataFrame(rows, "path string, at timestamp, n long").repartition(7), _archives(spark), "example.com", flavor="edge")
+        found = {r.n: r for r in cached_answers(answers, "at", fetch).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+    assert sorted(n for n, r in found.items() if not r.cached) == [0, 1440, 2880] and len(found) == 3000
+    assert all(r.age == n % 1440 * 60 for n, r in found.items())
+    with open(log) as file:
+        assert max(map(int, file.read().split())) <= 100

@@ -40,7 +40,8 @@ def cached_answers(answers: DataFrame, time: str, fetch: Callable[[str, int], by
 
     Status, message and content_type are those of the request that was answered first. Answers without
     cache_control are never kept. A stream needs a watermark on ``time``; in a table requests are taken in order of time.
-    Requests of one address and place in one micro-batch are held together, without bytes of tiles but their one answer.
+    Requests of one address and place in one micro-batch are held together, without bytes of tiles but their one answer; those of
+    a table are sorted by Spark and pass batch by batch, with what is kept for the address.
     """
     columns = [c for c in answers.columns if c not in ("status", "message", "content_type")]
     fields = {f.name: f.dataType.simpleString() for f in answers.schema.fields}
@@ -83,7 +84,17 @@ def cached_answers(answers: DataFrame, time: str, fetch: Callable[[str, int], by
         yield out
 
     place = F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in columns if not fields[c].startswith(("map", "binary"))]), F.lit(places))
-    keyed = answers.withColumn("_address", F.coalesce("path", F.lit(""))).withColumn("_place", place).groupBy("_address", "_place")
+    keyed = answers.withColumn("_address", F.coalesce("path", F.lit(""))).withColumn("_place", place)
     if answers.isStreaming:
-        return keyed.applyInPandasWithState(streamed, out, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    return keyed.applyInPandas(lambda rows: answered(rows, None, None)[0], out)
+        return keyed.groupBy("_address", "_place").applyInPandasWithState(streamed, out, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+    def swept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, begun, held = None, None, None
+        for batch in batches:
+            for own, rows in batch.groupby(["_address", "_place"], sort=False):
+                if own != key:
+                    key, begun, held = own, None, None
+                found, begun, held = answered(rows, begun, held)
+                yield found
+
+    return keyed.repartition("_address", "_place").sortWithinPartitions("_address", "_place", time).mapInPandas(swept, out)
