@@ -471,9 +471,11 @@ def _filled(rows: DataFrame) -> tuple[int, int]:
     return size or 0, count
 
 
-def write_archives(tiles: DataFrame, path: str, archives: int | None = None, mode: str = "errorifexists", order: str | None = "tile_id", **options: str) -> None:
+def write_archives(tiles: DataFrame, path: str, archives: int | None = None, mode: str = "errorifexists", order: str | None = "tile_id", archive_bytes: int | None = None, **options: str) -> None:
     """Write (tile_id, data) as ``archives`` archives over ranges of ids, each sorted; None: as many as they fill.
 
+    With ``archive_bytes`` there are as many more as it takes that each holds about so many bytes.
+
     ``order`` None keeps the order in which rows arrive, which need not be that of the ids. In order of ids, archives that are
     too large for one task are written by several.
     """
@@ -482,8 +484,9 @@ def write_archives(tiles: DataFrame, path: str, archives: int | None = None, mod
     register(tiles.sparkSession)
     rows = tiles.select("tile_id", F.col("data").cast("binary").alias("data"), *([order] if order and order not in ("tile_id", "data") else []))
     local = order == "tile_id" and "stores" not in options and not store_of(path)
-    size, count = _filled(rows) if local or not archives else (0, 0)
-    archives = archives or max(1, -(-size // ARCHIVE_BYTES), -(-count // ARCHIVE_TILES))
+    size, count = _filled(rows) if local or not archives or archive_bytes else (0, 0)
+    if archive_bytes or not archives:
+        archives = max(archives or 1, -(-size // (archive_bytes or ARCHIVE_BYTES)), -(-count // ARCHIVE_TILES))
     overwrite = {"overwrite": "overwrite", "errorifexists": "append", "append": "append"}[mode]
     if mode == "append":
         options["append"] = "true"
