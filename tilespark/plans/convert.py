@@ -12,7 +12,7 @@ from tilespark.functions.facts import FORMATS, compression_of_format, from_e7, p
 from tilespark.functions.hilbert import zxy_to_tile_id
 from tilespark.session import register
 from tilespark.sources.codec import ArchiveError, compress
-from tilespark.sources.database import read_tree, write_tree
+from tilespark.sources.database import read_tree, tree_zooms, write_database, write_tree
 from tilespark.sources.sink import write_archives
 
 
@@ -83,12 +83,12 @@ def database_to_archive(spark: SparkSession, source: str, out: str, max_zoom: in
     _write(spark, tiles, facts, {r["name"]: r["value"] for r in pairs.collect()}, out, archives, mode)  # a handful of rows
 
 
-def archive_to_database(spark: SparkSession, source: str, out: str, databases: int = 1, mode: str = "append") -> None:
+def archive_to_database(spark: SparkSession, source: str, out: str, databases: int | None = 1, mode: str = "append") -> None:
     read = register(spark).read.format("tile_archive").option("path", source)
     pairs = metadata_rows(read.option("table", "header").load(), read.option("table", "metadata").load())
     metadata = {r["name"]: r["value"] for r in pairs.groupBy("name").agg(F.min("value").alias("value")).collect()}  # a handful of rows
-    tiles = read.option("table", "tiles").load().select("z", "x", "y", "data").coalesce(databases)
-    tiles.write.format("tile_database").mode(mode).options(path=out, metadata=json.dumps(metadata, ensure_ascii=False)).save()
+    tiles = read.option("table", "tiles").load().select("z", "x", "y", "data")
+    write_database(tiles, out, json.dumps(metadata, ensure_ascii=False), databases, mode)
 
 
 def archive_to_tree(spark: SparkSession, source: str, out: str, extension: str = ".mvt") -> None:
@@ -110,7 +110,7 @@ def tree_to_archive(spark: SparkSession, source: str, out: str, scheme: str = "z
     most = 99 if max_zoom in (None, "auto") and (max_zoom == "auto" or "maxzoom" not in metadata) else int(metadata["maxzoom"] if max_zoom is None else max_zoom)
     register(spark)
     tiles = read_tree(spark, source, scheme, int(metadata.get("minzoom", 0)), most)
-    zooms = tiles.agg(F.min("z"), F.max("z")).first()
+    zooms = tree_zooms(spark, source, scheme, int(metadata.get("minzoom", 0)), most)
     metadata = {**metadata, "format": tile_format, "minzoom": metadata.get("minzoom", zooms[0]), "maxzoom": zooms[1]}
     pairs = spark.createDataFrame([(k, v if isinstance(v, str) else json.dumps(v)) for k, v in metadata.items()], "name string, value string")
     _write(spark, tiles, header_facts(pairs).first(), metadata, out, archives, mode)

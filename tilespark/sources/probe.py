@@ -12,7 +12,7 @@ from tilespark.functions.hilbert import zxy_to_tile_id
 from tilespark.schema import MAGIC, VERSION
 from tilespark.sources.archive_v2 import MAGIC_V2
 from tilespark.sources.codec import ArchiveError
-from tilespark.sources.database import read_tree
+from tilespark.sources.database import databases_of, read_tree
 from tilespark.sources.ranges import WebRanges, open_ranges
 
 #: Fixed value: how the files of the database begin.
@@ -32,6 +32,8 @@ def kind_of(path: str) -> str:
     local = path.removeprefix("file://")
     if os.path.isdir(local):
         return "tree" if os.path.exists(f"{local}/metadata.json") else "folder"
+    if "://" not in local and not os.path.exists(local) and databases_of(local):
+        path = databases_of(local)[0]
     first = _first(path, 16)
     if first[: len(MAGIC) + 1] == MAGIC + bytes([VERSION]):
         return "archive"
