@@ -221,6 +221,40 @@ def test_near_dedup_stage_links_by_five_word_likeness(spark, monkeypatch, stars,
     assert near_copies.near_copies(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize(("cell", "frequent"), [(2048, 1 << 19), (3, 4)])
+def test_near_dedup_stage_links_what_no_band_shows(spark, monkeypatch, cell, frequent):
+    """Pairs of likeness 0.8 that share no band, and, without any bands, chains around one text with a common passage, against brute force."""
+    texts = []
+    for i in (9839, 312629, 380588):
+        words = [f"{i}w{j}" for j in range(13)]
+        texts += [" ".join(words), " ".join([*words[:-1], "other"])]
+        assert not (near_copies.bands(near_copies.shingles(texts[-1])) == near_copies.bands(near_copies.shingles(texts[-2]))).any()
+    kept = corpus_pipeline.near_dedup(spark, docs(spark, [(i, t, "s") for i, t in enumerate(texts)]), None)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 4]
+    monkeypatch.setattr(near_copies, "CELL", cell)
+    monkeypatch.setattr(near_copies, "FREQUENT", frequent)
+    monkeypatch.setattr(near_copies, "bands", lambda own: own[:0].view(np.int64))
+    rng = random.Random(11)
+    common = " ".join(f"c{i}" for i in range(12))
+    texts = [" ".join(f"w{rng.randrange(300)}" for _ in range(rng.choice([3, 9, 60]))) + " " + common for _ in range(25)]
+    for t in texts[:15]:
+        for _ in range(6):
+            own = t.split()
+            own[rng.randrange(len(own))] = f"w{rng.randrange(300)}"
+            t = " ".join(own)
+            texts.append(t)
+    texts += [None, "", texts[3], "one two"]
+    rng.shuffle(texts)
+    sets, label = [five_words(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and (sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) > 0):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    found = near_copies.near_copies(docs(spark, [(i, t, "s") for i, t in enumerate(texts)]))
+    assert [r.component_id for r in sorted(found.collect())] == label and 10 < len(set(label)) < len(texts) - 20
+
+
 def test_links_of_a_cell():
     """A run of near copies of one text, by chunks and whole, against all pairs."""
     rng = np.random.default_rng(3)
